@@ -52,7 +52,7 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7)
         codes = encode(x, found)
         hot = np.zeros((len(x), books * words), np.float32)
         for b in range(books):
-            hot[np.arange(len(x)), b * words + codes[:, b]] = 1
+            hot[np.arange(len(x)), b * words + codes[:, b].astype(int)] = 1
         gram = (hot.T @ hot).astype(float) + 1e-2 * np.eye(books * words)
         found = np.linalg.solve(gram, hot.T.astype(float) @ x + 1e-2 * found.reshape(books * words, -1)).reshape(found.shape)
     return found
@@ -71,7 +71,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
             flat = cost.reshape(n, -1)
             width = min(beam, flat.shape[1])
             pick = np.argpartition(flat, width - 1, axis=1)[:, :width]
-            come, word = pick // len(book), pick % len(book)
+            come, word = np.divmod(pick, len(book))
             rows = np.arange(n)[:, None]
             rest = rest[rows, come] - book[word]
             codes = np.concatenate([codes[rows, come], word[:, :, None].astype(np.uint8)], axis=2)

@@ -170,7 +170,8 @@ def _visit(data: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> Da
     """
     left = data.join(visits.select("cell", "batch").distinct(), "cell").select("cell", "block", "batch", "vec_id", "vec")
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    right = queries.join(visits.select("cell", "batch", "group", "blocks"), ["batch", "group"]).select("cell", "batch", "vec_id", "vec", "kth", blocks)
+    right = queries.drop("cell").join(visits.select("cell", "batch", "group", "blocks"), ["batch", "group"])
+    right = right.select("cell", "batch", "vec_id", "vec", "kth", blocks)
 
     def run(key: tuple, d: pa.Table, q: pa.Table) -> pa.Table:
         rows = []

@@ -82,7 +82,7 @@ def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray,
     long = np.array(sizes) >= MIN_WORDS
     start, stop = (ends - sizes)[long], ends[long]
     power = _powers(max([MIN_WORDS, *(stop - start)]))
-    content = [(s[a : b - SHINGLE + 1] * power[: b - a - SHINGLE + 1]).sum() + np.uint64(b - a) * _STEP for a, b in zip(start.tolist(), stop.tolist())]
+    content = np.array([(s[a : b - SHINGLE + 1] * power[: b - a - SHINGLE + 1]).sum() for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
     keys: list = []
     if len(start):
         pairs = np.stack([start, stop - SHINGLE + 1], 1).ravel()
@@ -102,10 +102,10 @@ def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(least)
     at = at[at + MIN_WORDS <= len(words)]
     inner = MIN_WORDS - SHINGLE + 1
-    windows = (s[at[:, None] + np.arange(inner)] * power[:inner]).sum(1) + np.uint64(MIN_WORDS) * _STEP
+    windows = (s[at[:, None] + np.arange(inner)] * power[:inner]).sum(1)
     starts = np.concatenate([start, at])
     lengths = np.concatenate([stop - start, np.full(len(at), MIN_WORDS)])
-    contents = _mix(np.concatenate([np.array(content, np.uint64), windows])).view(np.int64)
+    contents = _mix(np.concatenate([content, windows]) + lengths.astype(np.uint64) * _STEP).view(np.int64)
     return starts, lengths, contents, keys + [None] * len(at)
 
 
