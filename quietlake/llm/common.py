@@ -69,7 +69,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Characters of text that a Python task handles at a time, besides one whole text.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 
 
 def map_texts(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -52,6 +53,7 @@ class Encoder:
             raise ValueError(f"{path}: the mark between words must be one token")
         self.mark = mark[0]
         self.memo = Memo(self._encode)
+        self.stop = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?= )")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -62,8 +64,20 @@ class Encoder:
         parts = iter([ids[a:b].tobytes() for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])])
         return [np.array(self._ids(w), "<u4").tobytes() if MARK in w else next(parts) for w in words]
 
+    def _words(self, text: str) -> list[str]:
+        """Parts of the text at which the tokenizer cuts in any case, as alike as they can be made.
+
+        It lower-cases by character; so does str.lower() within Latin-1, which has nothing to
+        compose either. A full stop or comma between a letter and a space is a piece of its own.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return self.stop.sub(r" \1", text.lower().replace("\n", " ")).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        words = [self._words(t or "") for t in texts]
         self.memo.prepare(set().union(*words))
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) for w in words]
@@ -112,7 +126,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, separat
     totals = found.groupBy("part").agg(F.sum(size).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = found.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "ids")
+    # one row of two numbers for each task of pass one, which the driver knows one by one anyway
+    placed = found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "ids")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
