@@ -1,0 +1,179 @@
+"""Statistics over the event log: roll-ups, ranges, rankings, percentiles, storms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .events import ingress
+
+
+def daily(log: DataFrame) -> DataFrame:
+    return log.groupBy("day", "type").agg(F.count("*").alias("n"))
+
+
+def daily_status(log: DataFrame) -> DataFrame:
+    """Statuses of RESTORE only."""
+    return log.where("type = 'RESTORE'").groupBy("day", "status").agg(F.count("*").alias("n"))
+
+
+def daily_words(log: DataFrame) -> DataFrame:
+    """Masked words, of MASK only."""
+    return log.where("type = 'MASK'").groupBy("day", "label", "word", ingress(F.col("ingress")).alias("ingress")).agg(F.count("*").alias("n"))
+
+
+def daily_tokens(log: DataFrame) -> DataFrame:
+    used = log.where("type IN ('RESTORE', 'PASS') AND prompt_tokens IS NOT NULL")
+    return used.groupBy("day").agg(F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"), F.count("*").alias("requests"))
+
+
+def daily_models(log: DataFrame) -> DataFrame:
+    used = log.where("model IS NOT NULL")
+    return used.groupBy("day", "model").agg(
+        F.count_if(F.col("prompt_tokens").isNotNull()).alias("requests"), F.count_if(F.col("type") == "ERR").alias("errors"),
+        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion"),
+    )
+
+
+def daily_prefix(log: DataFrame) -> DataFrame:
+    """Rewritten and reused prefixes where it is known whether the body was rewritten."""
+    return log.where("rewritten IS NOT NULL").groupBy("day").agg(
+        F.count("*").alias("total"), F.count_if("rewritten").alias("rewritten"), F.count_if("reused").alias("reused")
+    )
+
+
+def prefix_ratios(log: DataFrame) -> DataFrame:
+    """Reuse among the rewritten; null without a sample."""
+    sums = daily_prefix(log).agg(*[F.sum(c).alias(c) for c in ("total", "rewritten", "reused")])
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4))
+    return sums.select("*", share("rewritten", "total").alias("rewritten_ratio"), share("reused", "rewritten").alias("reuse_ratio"))
+
+
+def requests() -> Column:
+    return F.count_if(F.col("type").isin("MASK", "PASS", "BYPASS", "BLOCK"))
+
+
+def alerts() -> Column:
+    """Blocks, errors and scan warnings, plus unresolved placeholders."""
+    return F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")) + F.coalesce(F.sum("unresolved"), F.lit(0))
+
+
+def day_stats(log: DataFrame, day: Column) -> DataFrame:
+    one = log.where(F.col("day") == day)
+    return one.agg(
+        requests().alias("requests"), alerts().alias("alerts"), F.count_if(F.col("type") == "MASK").alias("masked"),
+        F.coalesce(F.sum(F.when(F.col("type") == "MASK", F.col("n"))), F.lit(0)).alias("values"),
+        F.count_if((F.col("type") == "BLOCK") & (F.coalesce("decision", F.lit("blocked")) == "blocked")).alias("blocked"),
+        F.count_if((F.col("type") == "BLOCK") & (F.col("decision") == "flagged")).alias("flagged"),
+    )
+
+
+def range_stats(log: DataFrame, now: Column, days: int) -> DataFrame:
+    """Calendar days for the counters, a rolling window of days * 86400 seconds for the decisions."""
+    days = max(1, min(days, 90))
+    calendar = F.col("day") > F.date_sub(F.to_date(now), days)
+    rolling = F.col("ts") >= now - F.make_dt_interval(F.lit(days))
+    block = F.col("type") == "BLOCK"
+    return log.where(calendar | rolling).agg(
+        F.count_if(calendar & F.col("type").isin("MASK", "PASS", "BYPASS", "BLOCK")).alias("requests"),
+        F.count_if(calendar & (F.col("type") == "ERR")).alias("errors"),
+        F.count_if(rolling & block & (F.coalesce("decision", F.lit("blocked")) == "blocked")).alias("blocked"),
+        F.count_if(rolling & block & (F.col("decision") == "flagged")).alias("flagged"),
+    )
+
+
+def history_days(log: DataFrame, last: Column, days: int) -> DataFrame:
+    """The last `days` days, each with its counters, zero where nothing happened."""
+    spark = log.sparkSession
+    ends = spark.range(1).select(last.alias("last")) if not isinstance(last, DataFrame) else last
+    calendar = ends.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
+    per = log.groupBy("day").agg(requests().alias("requests"), F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")).alias("alerts"))
+    tokens = daily_tokens(log).select("day", (F.col("prompt") + F.col("completion")).alias("tokens"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return calendar.join(per, "day", "left").join(tokens, "day", "left").select("day", zero("requests"), zero("alerts"), zero("tokens"))
+
+
+def history_hours(log: DataFrame) -> DataFrame:
+    hour = (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("hour")
+    return log.groupBy(hour).agg(requests().alias("requests"), F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")).alias("alerts"))
+
+
+def models(log: DataFrame) -> DataFrame:
+    """By requests, then errors, then name."""
+    out = daily_models(log).groupBy("model").agg(*[F.sum(c).alias(c) for c in ("requests", "errors", "prompt", "completion")])
+    nth = F.row_number().over(Window.orderBy(F.desc("requests"), F.desc("errors"), "model"))
+    return out.withColumn("rank", nth)
+
+
+def nearest_rank(values: DataFrame, column: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """Percentiles as the value at index round-half-even(p * (n - 1)) of the sorted values.
+
+    Ranked by a window rather than gathered, so a group may be of any size.
+    """
+    w = Window.partitionBy(*by)
+    known = values.where(F.col(column).isNotNull())
+    ranked = known.select(*by, F.col(column).alias("x"), (F.row_number().over(w.orderBy(column)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    picks = [F.max(F.when(F.col("i") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col("x"))).alias(name) for name, p in shares.items()]
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), *picks)
+
+
+def storms(log: DataFrame, least: int = 5, seconds: int = 60, top: int = 5) -> DataFrame:
+    """Paths with at least `least` server errors within `seconds`: the most of any such window, top paths."""
+    bad = log.where("http_status >= 500")
+    w = Window.partitionBy("path").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    peak = bad.select("path", F.count("*").over(w).alias("k")).groupBy("path").agg(F.max("k").alias("peak"), F.count("*").alias("errors"))
+    return peak.where(F.col("peak") >= least).orderBy(F.desc("peak"), "path").limit(top)
+
+
+def words_top(log: DataFrame, k: int = 20) -> DataFrame:
+    """Top k (label, word) over all and for each ingress, ties by label and word."""
+    words = daily_words(log)
+    each = words.groupBy("ingress", "label", "word").agg(F.sum("n").alias("n"))
+    whole = words.groupBy("label", "word").agg(F.sum("n").alias("n")).select(F.lit("all").alias("ingress"), "label", "word", "n")
+    both = each.unionByName(whole)
+    nth = F.row_number().over(Window.partitionBy("ingress").orderBy(F.desc("n"), "label", "word"))
+    return both.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def priced(usage: DataFrame, catalogue: DataFrame, model: str = "model") -> DataFrame:
+    """usage with price columns: exact name, then bare name (vendor off, lower case, dots as dashes), then longest prefix.
+
+    catalogue: name, input, output (per million tokens). Distinct models are priced once and
+    joined back; the prefix step expands each model into its own prefixes for an equi-join.
+    """
+    bare = lambda c: F.replace(F.lower(F.element_at(F.split(c, "/"), -1)), F.lit("."), F.lit("-"))
+    names = usage.select(F.col(model).alias("m")).where("m IS NOT NULL").distinct().withColumn("b", bare(F.col("m")))
+    prices = catalogue.select("name", F.struct("input", "output").alias("p"), bare(F.col("name")).alias("nb"))
+    unique = prices.groupBy("nb").agg(F.min_by("p", "name").alias("p"))
+    exact = names.join(prices.select(F.col("name").alias("m"), F.col("p").alias("p1")), "m", "left")
+    bares = exact.join(unique.select(F.col("nb").alias("b"), F.col("p").alias("p2")), "b", "left")
+    heads = bares.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("b")), lambda i: F.substr("b", F.lit(1), i))).alias("nb"))
+    longest = heads.join(unique, "nb").groupBy("m").agg(F.max_by("p", F.length("nb")).alias("p3"))
+    done = bares.join(longest, "m", "left")
+    how = F.when(F.col("p1").isNotNull(), "exact").when(F.col("p2").isNotNull(), "bare").when(F.col("p3").isNotNull(), "prefix")
+    table = done.select(F.col("m").alias(model), F.coalesce("p1", "p2", "p3").alias("p"), how.alias("matched"))
+    out = usage.join(table, model, "left")
+    return out.select(*usage.columns, F.col("p.input").alias("input_price"), F.col("p.output").alias("output_price"), "matched")
+
+
+def cost(prompt: Column, completion: Column, input_price: Column, output_price: Column) -> Column:
+    return F.round((prompt * input_price + completion * output_price) / 1e6, 6)
+
+
+def last_known(frames: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Usage over the frames of a stream: for each column the last value that is present."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return frames.select(key, order, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
+
+
+def gaps(log: DataFrame, budget_seconds: float) -> DataFrame:
+    """Silences longer than the budget between consecutive events of a sid."""
+    prev = F.lag(F.unix_micros("ts")).over(Window.partitionBy("sid").orderBy("ts", "id"))
+    out = log.select("sid", "id", ((F.unix_micros("ts") - prev) / 1e6).alias("gap"))
+    return out.where(F.col("gap") > budget_seconds)
+
+
+def verified_markers(markers: DataFrame, log: DataFrame) -> DataFrame:
+    """First event in [start, stop] with the marker's ingress and host and an id past its cursor."""
+    hit = markers.join(log, (log["host"] == markers["m_host"]) & (ingress(log["ingress"]) == markers["m_ingress"]) & log["ts"].between(markers["m_start"], markers["m_stop"]) & (log["id"] > markers["m_cursor"]))
+    return hit.groupBy("m_id").agg(F.min("id").alias("first_id"), F.count("*").alias("hits"))
