@@ -53,7 +53,7 @@ class Encoder:
             raise ValueError(f"{path}: the mark between words must be one token")
         self.mark = mark[0]
         self.memo = Memo(self._encode)
-        self.stop = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?= )")
+        self.stop = re.compile(r"[.,](?= )(?<=[a-zà-öø-ÿ].)")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -74,7 +74,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.replace("\n", " ").split(" ")
-        return self.stop.sub(r" \1", text.lower().replace("\n", " ")).split(" ")
+        return self.stop.sub(r" \g<0>", text.lower().replace("\n", " ")).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [self._words(t or "") for t in texts]
@@ -90,7 +90,7 @@ def encoder(path: str) -> Encoder:
 
 
 def tokens(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
-    """(doc_id, part, start, ids): ids of the text (null: empty) and the separator, start counted in the partition."""
+    """(doc_id, part, start, ids): ids of the text (null: empty) and the separator, little-endian unsigned 32-bit; start counts in the partition."""
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +103,14 @@ def tokens(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
                 ids = [x + end for x in encoder(path).encode(batch.column(1).to_pylist())]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 stops = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + stops - sizes), lists], ["doc_id", "part", "start", "ids"]
+                    [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + stops - sizes), pa.array(ids, pa.binary())],
+                    ["doc_id", "part", "start", "ids"],
                 )
                 at += int(stops[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, start long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, start long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, separator: int = SEPARATOR, ids: bool = True) -> DataFrame:
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, separat
     not read.
     """
     found = written(tokens(docs, path or tokenizer_path(), separator), "tokens")
-    size = F.size("ids").cast("long")
+    size = (F.octet_length("ids") / 4).cast("long")
     totals = found.groupBy("part").agg(F.sum(size).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -132,8 +132,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, separat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            values, edges = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+            packed = batch.column(2).to_pylist()
+            values, edges = np.frombuffer(b"".join(packed), "<i4"), np.concatenate(([0], np.cumsum([len(x) for x in packed]) // 4))
             at, lo, hi = batch.column(1).to_numpy(), edges[:-1], edges[1:]
             n = hi - lo
             count = (at + n - 1) // length - at // length + 1
