@@ -21,21 +21,21 @@ from .common import table, written
 from .vectors import best, blocks_of, bucket, matrix, sample, valid_vectors
 
 #: Bound of the training sample. Every row is encoded and searched.
-SAMPLE = 16_384
-BOOKS, WORDS, BEAM = 8, 128, 4
-BLOCK_ROWS, QUERY_ROWS, SHORTLIST = 4096, 1024, 128
+SAMPLE = 8192
+BOOKS, WORDS, BEAM = 16, 128, 4
+BLOCK_ROWS, QUERY_ROWS, SHORTLIST = 4096, 1024, 256
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     centers = x[rng.permutation(len(x))[:k]]
     if len(centers) < k:
         centers = np.vstack([centers, np.zeros((k - len(centers), x.shape[1]))])
     for _ in range(rounds):
         label = (x @ centers.T - (centers**2).sum(1) / 2).argmax(1)
         n = np.bincount(label, minlength=k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, label, x)
-        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        hot = np.zeros((k, len(x)), np.float32)
+        hot[label, np.arange(len(x))] = 1
+        centers = np.where(n[:, None] > 0, (hot @ x) / np.maximum(n, 1)[:, None], centers)
     return centers
 
 
@@ -48,14 +48,13 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7)
         rest = rest - centers[(rest @ centers.T - (centers**2).sum(1) / 2).argmax(1)]
         out.append(centers)
     found = np.stack(out)
-    for _ in range(2):
-        codes = encode(x, found)
-        hot = np.zeros((len(x), books * words), np.float32)
-        for b in range(books):
-            hot[np.arange(len(x)), b * words + codes[:, b].astype(int)] = 1
-        gram = (hot.T @ hot).astype(float) + 1e-2 * np.eye(books * words)
-        found = np.linalg.solve(gram, hot.T.astype(float) @ x + 1e-2 * found.reshape(books * words, -1)).reshape(found.shape)
-    return found
+    codes = encode(x, found)
+    hot = np.zeros((len(x), books * words), np.float32)
+    for b in range(books):
+        hot[np.arange(len(x)), b * words + codes[:, b].astype(int)] = 1
+    # ridge towards the residual codebooks, so that rare words keep their place
+    gram = (hot.T @ hot).astype(float) + 2.0 * np.eye(books * words)
+    return np.linalg.solve(gram, (hot.T @ x.astype(np.float32)).astype(float) + 2.0 * found.reshape(books * words, -1)).reshape(found.shape)
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:

@@ -186,7 +186,15 @@ def similar(docs: DataFrame, paragraphs: DataFrame, block: int = BLOCK) -> DataF
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(full, "key").select("key", "content", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "collisions")
     places = paragraphs.select("content", "doc_id", "start", "words").join(met.select("content").distinct(), "content", "left_semi")
-    sets = written(_with_shingles(docs, places), "shingles")
+    return similar_in_blocks(met, written(_with_shingles(docs, places), "shingles"))
+
+
+def similar_in_blocks(met: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (u, v) that connect what pairs of a group of Jaccard similarity >= threshold connect.
+
+    met: key, content, blocks (into how many the group is split); sets: content, set. A task
+    holds one block or two of a group, and hands on a forest, not all pairs.
+    """
     mine = F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")
     # in a band of one block only its own; else every pair of blocks has a task that sees both
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
@@ -202,7 +210,7 @@ def similar(docs: DataFrame, paragraphs: DataFrame, block: int = BLOCK) -> DataF
 
         def flush() -> None:
             if len(ids) > 1:
-                edges = forest(ids, lists)
+                edges = forest(ids, lists, threshold)
                 u.extend(a for a, _ in edges)
                 v.extend(b for _, b in edges)
             ids.clear(), lists.clear()

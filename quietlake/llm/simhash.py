@@ -82,6 +82,16 @@ def _chain(x: Column, start: Column) -> Column:
     return ok
 
 
+def _first(x: Column, start: Column, far: Column) -> Column:
+    """Whether the chain before this one is broken and no other key of this start is shared.
+
+    Distinct fingerprints differ in some segment, where no chain can start; so every linked pair
+    has such a start, and is found a few times instead of from nearly all starts.
+    """
+    near = _rotated(x, start).bitwiseAND(F.lit(0xFFFFF).cast("long")) == 0
+    return ~(far & near) & ~_chain(x, (start + (SEGMENTS - 1)) % SEGMENTS)
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """Two keys for each start: segments 0-4, and segments 0-2 with 5-6, counted from the start."""
     at = nodes.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])))
@@ -122,7 +132,9 @@ def links(nodes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     cold = keys.join(full, "key", "left_anti") if hot else keys
     a, b = cold.alias("a"), cold.select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2")).alias("b")
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("rep") > F.col("rep2")) & _chain(x, F.col("start")))
+    far = F.shiftright(F.col("a.key"), 20).bitwiseAND(F.lit(1).cast("long")) == 1
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("rep") > F.col("rep2")) & _chain(x, F.col("start"))
+    pairs = a.join(b, same & _first(x, F.col("start"), far))
     pairs = pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
     if not hot:
         return pairs
@@ -148,6 +160,78 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, hot_bucket: int = H
     return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Fingerprints of word sets for similar_documents(): at a Jaccard similarity of 0.8 on five-word
+#: shingles two of them differ in about 4 bits, so that one of six differs in 4 or fewer.
+PRINTS = 6
+
+
+def word_prints(words: list[bytes]) -> np.ndarray:
+    """PRINTS 64-bit SimHashes (signed) of the set of words, from independent hashes."""
+    unique = set(words)
+    digest = xxhash.xxh3_128_digest
+    ones = np.zeros(64 * PRINTS, np.int64)
+    every = list(unique)
+    for at in range(0, len(every), 8192):
+        part = every[at : at + 8192]
+        raw = b"".join([digest(w, s) for w in part for s in range(PRINTS // 2)])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(every)).view(np.int64)
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8, block: int = 1024) -> DataFrame:
+    """(doc_id, component_id): documents connected by Jaccard similarity >= threshold on word shingles.
+
+    For similarities that are not as high as 4 bits of one fingerprint of shingles ask for.
+    Equal word sequences are one text. Texts whose word-set fingerprints link by any of PRINTS
+    independent ones (each searched as in near_duplicates) form candidate groups; in these the
+    exact similarity decides, block by block. Texts with fewer words than a shingle are compared
+    as one shingle. component_id is the smallest doc_id of the component; null doc_ids take no part.
+    """
+    from .paragraph_dedup import similar_in_blocks
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, prints = [], []
+        for t in batch.column(1):
+            words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+            texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            prints.append(word_prints(words))
+        flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * PRINTS), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), lists], ["doc_id", "content", "prints"])
+
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(map_texts(docs, work, "doc_id long, content binary, prints array<long>"), "prints")
+    texts = found.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints"))
+    texts = written(texts, "texts")
+    edges = None
+    for i in range(PRINTS):
+        each = texts.select("rep", F.col("prints")[i].alias("fp"))
+        nodes = written(each.groupBy("fp").agg(F.min("rep").alias("rep")), "nodes")
+        same = each.join(nodes.withColumnRenamed("rep", "v"), "fp").where("rep <> v").select(F.col("rep").alias("u"), "v")
+        linked = links(nodes).unionByName(same)
+        edges = linked if edges is None else edges.unionByName(linked)
+    groups = components(edges)
+    groups = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    met = groups.join(sizes, "root").select(F.col("root").alias("key"), F.col("node").alias("content"), "blocks")
+
+    def shingle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = []
+        for t in batch.column(1):
+            words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+            data = [b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))]
+            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, data), np.uint64, len(data))).view(np.int64))
+        cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["content", "set"])
+
+    members = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(map_texts(members, shingle, "content long, set array<long>"), "shingles")
+    roots = components(similar_in_blocks(met, sets, threshold)).withColumnRenamed("node", "rep")
+    classes = texts.join(roots, "rep", "left").select("content", F.coalesce("root", "rep").alias("component_id"))
+    return found.join(classes, "content").select("doc_id", "component_id")
+
+
 def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -98,3 +98,39 @@ def test_components_of_a_chain_and_a_star(spark):
     star = [(100, i) for i in range(101, 160)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain + star + [(5, 5)], "u long, v long")).collect()}
     assert all(got[i] == 1 for i in range(2, 61)) and all(got[i] == 100 for i in range(101, 160))
+
+
+def test_pairs_are_given_once(spark):
+    nodes = _nodes(spark, [0, 1, 3, 7, 15, 1 << 63])
+    pairs = simhash.links(nodes).collect()
+    assert len(pairs) == len({(r.u, r.v) for r in pairs}) > 0
+
+
+def test_similar_documents(spark):
+    """Edits spread over texts: classes are those of brute-force Jaccard similarity on five-word shingles."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 4) + str(rng.randint(0, 400)) for _ in range(240)]
+        for v, edits in enumerate((0, 1, 2, 4, 8, 24)):
+            w = list(base)
+            for p in rng.sample(range(240), edits):
+                w[p] = f"edit{rng.randint(0, 10**6)}"
+            rows.append((g * 10 + v, " ".join(w)))
+    rows += [(900, rows[0][1].upper()), (901, ""), (902, None), (903, "few words"), (904, "few words"), (905, "other words")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for _ in range(len(rows)):
+        for i in range(len(rows)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = {d: rows[root[i]][0] for i, (d, _) in enumerate(rows)}
+    for block in (1024, 2):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows), block=block).collect()} == want
+
+
+def test_similar_documents_awkward(spark):
+    got = simhash.similar_documents(awkward(spark)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
+    assert simhash.similar_documents(empty(spark)).count() == 0
