@@ -73,7 +73,7 @@ class PerfectHash:
             self.keys[s], self.values[s] = keys[i], values[i]
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 20) + d * ((h & 0xFFFFF) | 1)) % self.n
+        return (((h ^ (d * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 20) % self.n
 
     def get(self, key: bytes) -> int:
         """The value of the key, or -1 if it is none of the keys."""
