@@ -83,10 +83,16 @@ def map_texts(
             for n in _cuts(batch.column(batch.schema.get_field_index(text))):
                 yield from work(batch.slice(at, n))
                 at += n
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed Arrow memory back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def _cuts(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _cuts, table, written
+from .common import _cuts, release, table, written
 from .memo import Memo
 
 LENGTH = 2048
@@ -52,7 +52,7 @@ class Encoder:
         if len(mark) != 1:
             raise ValueError(f"{path}: the mark between words must be one token")
         self.mark = mark[0]
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, 120_000)
         self.stop = re.compile(r"[.,](?= )(?<=[a-zà-öø-ÿ].)")
 
     def _ids(self, text: str) -> list[int]:
@@ -108,6 +108,7 @@ def tokens(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
                     ["doc_id", "part", "start", "ids"],
                 )
                 at += int(stops[-1])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, start long, ids binary")
