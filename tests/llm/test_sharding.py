@@ -36,8 +36,11 @@ def test_against_brute_force(spark):
     counts = Counter(r.shard for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1
     mixture = Counter((r.shard, r.stratum) for r in got)
-    share = sum(1 for r in rows if r[2] == "s0") / 8
-    assert all(abs(mixture[(s, "s0")] - share) <= 2 for s in range(8))
+    # cuts fall at equal counts of rows, so a source is off its share by at most a row for each other source
+    for source in {r[2] for r in rows}:
+        share = sum(1 for r in rows if r[2] == source) / 8
+        assert all(abs(mixture[(s, source)] - share) <= 11 for s in range(8))
+    assert max(mixture[(s, "s0")] for s in range(8)) - min(mixture[(s, "s0")] for s in range(8)) <= 11
 
 
 def test_awkward_rows(spark):
