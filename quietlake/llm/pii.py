@@ -290,9 +290,13 @@ def redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) <= 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
+
+
 def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
+    counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     return out.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 

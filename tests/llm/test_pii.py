@@ -82,6 +82,8 @@ def test_reliabilities_find_the_good_labeler():
 
 def test_extra_spans(spark):
     rows = [(i, f'some words token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more and mail a{i}@b.org') for i in range(30)]
+    # enough evidence on cards for the reliabilities: valid ones and runs that fail the check
+    rows += [(200 + i, f"number {4111111111111111 if i % 2 else 4111111111111110 + 2 * (i % 3)} here") for i in range(40)]
     rows += [(100, "call (743) 555-3824 now"), (101, "nothing 12 here"), (102, "cards 4111111111111111 4111111111111111 end")]
     out = {r.doc_id: r for r in pii.find(documents(spark, rows)).collect()}
     kinds = lambda d: {pii.KINDS[s.kind] for s in out[d].spans}
