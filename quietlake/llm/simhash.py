@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, map_texts, table, written
+from .paragraph_dedup import _MULTIPLY, _STEP, _XOR, _mix, similar_in_blocks, tuned_bands
 
 BITS, SEGMENTS, WIDTH, DISTANCE = 64, 16, 4, 4
 HOT_BUCKET = 1000
@@ -160,72 +161,69 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, hot_bucket: int = H
     return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of word sets for similar_documents(): at a Jaccard similarity of 0.8 on five-word
-#: shingles two of them differ in about 4 bits, so that one of six differs in 4 or fewer.
-PRINTS = 6
+#: Candidates for similar_documents(): the bands of MinHashes of shingles that find a pair at the threshold with this recall.
+BAND_RECALL, MOST_HASHES = 0.9995, 64
 
 
-def word_prints(words: list[bytes]) -> np.ndarray:
-    """PRINTS 64-bit SimHashes (signed) of the set of words, from independent hashes."""
-    unique = set(words)
-    digest = xxhash.xxh3_128_digest
-    ones = np.zeros(64 * PRINTS, np.int64)
-    every = list(unique)
-    for at in range(0, len(every), 8192):
-        part = every[at : at + 8192]
-        raw = b"".join([digest(w, s) for w in part for s in range(PRINTS // 2)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(every)).view(np.int64)
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct hashes of the runs of `size` words; of fewer words, of all of them; none for no word."""
+    n = min(size, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(max(1, len(words) - size + 1), np.uint64)
+    for j in range(n):
+        out = _mix(out * _MULTIPLY[0] + h[j : len(out) + j])
+    return np.unique(out)
+
+
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key (signed) for each band of the set's MinHash signature."""
+    out = np.zeros(bands, np.uint64)
+    for b in range(bands):
+        for k in range(b * rows, (b + 1) * rows):
+            out[b : b + 1] = _mix(out[b : b + 1] * _MULTIPLY[1] + ((shingles ^ _XOR[k]) * _MULTIPLY[k]).min())
+    return _mix(out + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8, block: int = 1024) -> DataFrame:
     """(doc_id, component_id): documents connected by Jaccard similarity >= threshold on word shingles.
 
-    For similarities that are not as high as 4 bits of one fingerprint of shingles ask for.
-    Equal word sequences are one text. Texts whose word-set fingerprints link by any of PRINTS
-    independent ones (each searched as in near_duplicates) form candidate groups; in these the
-    exact similarity decides, block by block. Texts with fewer words than a shingle are compared
-    as one shingle. component_id is the smallest doc_id of the component; null doc_ids take no part.
+    For similarities that are not as high as 4 bits of one fingerprint of shingles ask for: at 0.8
+    two of them differ in about 10 of 64 bits, too many for keys that select. Equal word sequences
+    are one text. Texts that share a band of the MinHash signature of their shingles are
+    candidates, whatever the kind of edit; among these the exact similarity decides, block by
+    block, and groups that several bands bring together are compared once. Texts with fewer words
+    than a shingle are compared as one shingle. component_id is the smallest doc_id of the
+    component; null doc_ids take no part.
     """
-    from .paragraph_dedup import similar_in_blocks
+    bands, rows = tuned_bands(threshold, BAND_RECALL, MOST_HASHES)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, prints = [], []
+        texts, keys = [], []
         for t in batch.column(1):
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
             texts.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            prints.append(word_prints(words))
-        flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * PRINTS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), lists], ["doc_id", "content", "prints"])
+            keys.append(band_keys(shingle_set(words, shingle_words), bands, rows))
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), lists], ["doc_id", "content", "keys"])
 
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(map_texts(docs, work, "doc_id long, content binary, prints array<long>"), "prints")
-    texts = found.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints"))
-    texts = written(texts, "texts")
-    edges = None
-    for i in range(PRINTS):
-        each = texts.select("rep", F.col("prints")[i].alias("fp"))
-        nodes = written(each.groupBy("fp").agg(F.min("rep").alias("rep")), "nodes")
-        same = each.join(nodes.withColumnRenamed("rep", "v"), "fp").where("rep <> v").select(F.col("rep").alias("u"), "v")
-        linked = links(nodes).unionByName(same)
-        edges = linked if edges is None else edges.unionByName(linked)
-    groups = components(edges)
-    groups = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    met = groups.join(sizes, "root").select(F.col("root").alias("key"), F.col("node").alias("content"), "blocks")
+    found = written(map_texts(docs, work, "doc_id long, content binary, keys array<long>"), "signatures")
+    texts = written(found.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "texts")
+    keys = texts.select("rep", F.explode("keys").alias("key"))
+    who = [F.bit_xor(F.xxhash64("rep")).alias("who"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("who2")]
+    full = keys.groupBy("key").agg(F.count("*").alias("n"), *who).where("n > 1")
+    once = full.groupBy("n", "who", "who2").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    met = written(keys.join(once, "key").select("key", F.col("rep").alias("content"), blocks), "collisions")
 
     def shingle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = []
-        for t in batch.column(1):
-            words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            data = [b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))]
-            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, data), np.uint64, len(data))).view(np.int64))
+        sets = [shingle_set((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), shingle_words).view(np.int64) for t in batch.column(1)]
         cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["content", "set"])
 
-    members = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = docs.join(met.select(F.col("content").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(map_texts(members, shingle, "content long, set array<long>"), "shingles")
     roots = components(similar_in_blocks(met, sets, threshold)).withColumnRenamed("node", "rep")
     classes = texts.join(roots, "rep", "left").select("content", F.coalesce("root", "rep").alias("component_id"))

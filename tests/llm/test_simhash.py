@@ -134,3 +134,39 @@ def test_similar_documents_awkward(spark):
     got = simhash.similar_documents(awkward(spark)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
     assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["appended", "block", "spread"])
+def test_similar_documents_by_kind_of_edit(spark, kind):
+    """Pairs a little over 0.8, whatever the edit: one added passage, one replaced block, words spread over a text that repeats its words."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(40):
+        n = rng.randint(200, 400)
+        base = [f"w{rng.randint(0, 100) if kind == 'spread' else rng.getrandbits(40)}" for _ in range(n)]
+        w, new = list(base), lambda k: [f"new{rng.getrandbits(40)}" for _ in range(k)]
+        if kind == "appended":
+            w += new(int((n - 4) * 0.24))
+        elif kind == "block":
+            k = int((n - 4) / 9) - 5
+            w[n // 3 : n // 3 + k] = new(k)
+        else:
+            e = (n - 4) // 45
+            for i in range(e):
+                w[10 + i * n // e] = new(1)[0]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, w))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.87
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_band_recall():
+    """Of pairs at 0.8 and little more at least 0.998 share a band."""
+    rng = np.random.default_rng(3)
+    bands, rows = simhash.tuned_bands(0.8, simhash.BAND_RECALL, simhash.MOST_HASHES)
+    found = 0
+    for _ in range(2000):
+        s = rng.integers(1 << 63, size=300, dtype=np.uint64)
+        found += bool((simhash.band_keys(s, bands, rows) == simhash.band_keys(s[:240], bands, rows)).any())
+    assert found >= 1996
