@@ -1,15 +1,20 @@
 """Operator 10: passages that repeat across documents, by paragraph MinHash banding.
 
-Units of comparison are paragraphs (lines of at least MIN_WORDS words) and, so that a passage
-spliced into other text is found too, windows of MIN_WORDS words that start where the hash of
-two words is the smallest nearby: such places are the same wherever the passage stands. Units
-of equal words are one content. Distinct paragraphs that collide in a band of their MinHash
-signature meet in blocks of bounded size, where exact Jaccard similarity on five-word shingles
-decides; connected components of what passes are the classes. (Two windows of a class are
-equal: one changed word in 24 already takes their similarity below 0.8 nearly everywhere.)
-
+Paragraphs (lines of at least MIN_WORDS words) of equal words are one content. Distinct ones that
+collide in a band of their MinHash signature meet in blocks of bounded size, where exact Jaccard
+similarity on five-word shingles decides; connected components of what passes are the classes.
 In each class that spans documents the unit with the smallest (doc_id, place) stays and the
-others are removals. A removed word thus still stands, in its context, in an earlier place.
+others are removals.
+
+So that a passage spliced into other text or wrapped otherwise is found too, seeds of SEED words
+are chosen by winnowing (the smallest hash of every WINNOW consecutive starts): every run of
+SEED + WINNOW - 1 = 25 words that two documents share has a seed in common. A passage of over 50
+words with a similarity of 0.8 has such a run: e separate edits cost at least 5 e of its shingles,
+which are at most a ninth of them, so the longest of the e + 1 runs between has 25 words or more.
+Each place of a seed is compared with the seed's first place: the common run is grown word by word
+to its ends, then over edited places to the next common shingle, and of the chain of runs every
+stretch of at least MIN_WORDS words and a similarity of 0.8 is a removal. A removed word thus
+still stands, in its context, in an earlier place.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import components, map_texts, table, written
 
-SHINGLE, MIN_WORDS, NEARBY = 5, 24, 5
+SHINGLE, MIN_WORDS, SEED, WINNOW = 5, 24, 16, 10
 THRESHOLD, RECALL = 0.8, 0.995
 #: Distinct contents of one band that are compared in one task; fuller bands are split into blocks.
 BLOCK = 1024
@@ -71,13 +76,20 @@ def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, _mix(sum(h[j : n + j] * _MULTIPLY[j] for j in range(SHINGLE)))
 
 
+def winnowed(hashes: np.ndarray) -> np.ndarray:
+    """Places of the smallest of every WINNOW consecutive hashes (of all, if they are fewer)."""
+    if len(hashes) <= WINNOW:
+        return np.array([hashes.argmin()])
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, WINNOW).argmin(1) + np.arange(len(hashes) - WINNOW + 1))
+
+
 def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Starts, lengths (words), contents and band keys (None for windows) of the units of a text."""
+    """Starts, lengths (words), contents and band keys (None for seeds) of the units of a text."""
     words, sizes = words_of(text)
     none = np.zeros(0, np.int64)
     if len(words) < MIN_WORDS:
         return none, none, none, []
-    h, s = shingles(words)
+    _, s = shingles(words)
     ends = np.cumsum(sizes)
     long = np.array(sizes) >= MIN_WORDS
     start, stop = (ends - sizes)[long], ends[long]
@@ -94,23 +106,17 @@ def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray,
                 low = np.minimum.reduceat((tail ^ _XOR[k]) * _MULTIPLY[k], pairs)[::2]
                 out[b] = (out[b] + low) * _MULTIPLY[63 - r]
         keys = _mix(out + np.arange(bands, dtype=np.uint64)[:, None] * _STEP).T.view(np.int64).tolist()
-    place = _mix(h[:-1] * _MULTIPLY[40] + h[1:] * _MULTIPLY[41])
-    padded = np.concatenate([np.full(NEARBY, ~np.uint64(0)), place, np.full(NEARBY, ~np.uint64(0))])
-    least = np.ones(len(place), bool)
-    for d in range(1, NEARBY + 1):
-        least &= (place < padded[NEARBY - d : len(padded) - NEARBY - d]) & (place <= padded[NEARBY + d : len(padded) - NEARBY + d])
-    at = np.flatnonzero(least)
-    at = at[at + MIN_WORDS <= len(words)]
-    inner = MIN_WORDS - SHINGLE + 1
-    windows = (s[at[:, None] + np.arange(inner)] * power[:inner]).sum(1)
+    seeds = sum(s[j : len(words) - SEED + 1 + j] * power[j] for j in range(SEED - SHINGLE + 1))
+    at = winnowed(_mix(seeds))
+    windows = seeds[at]
     starts = np.concatenate([start, at])
-    lengths = np.concatenate([stop - start, np.full(len(at), MIN_WORDS)])
+    lengths = np.concatenate([stop - start, np.full(len(at), SEED)])
     contents = _mix(np.concatenate([content, windows]) + lengths.astype(np.uint64) * _STEP).view(np.int64)
     return starts, lengths, contents, keys + [None] * len(at)
 
 
 def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, words, content, keys) of every unit; keys is null for windows."""
+    """(doc_id, start, words, content, keys) of every unit; keys is null for seeds."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, starts, lengths, contents, keys = [], [], [], [], []
@@ -232,6 +238,116 @@ def similar_in_blocks(met: DataFrame, sets: DataFrame, threshold: float = THRESH
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
+def _places(units: DataFrame) -> DataFrame:
+    """content, its first place (doc_id, start) and its last document."""
+    return units.groupBy("content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+
+
+def _next(s: np.ndarray, t: np.ndarray, a: int, b: int, far: int) -> tuple[int, int] | None:
+    """The nearest places from a and b on, at most `far` further, with a shingle in common."""
+    x, y = s[a : a + far + 1], t[b : b + far + 1]
+    _, i, j = np.intersect1d(x, y, return_indices=True)
+    if not len(i):
+        return None
+    k = (i + j).argmin()
+    return a + int(i[k]), b + int(j[k])
+
+
+def _run(x: np.ndarray, y: np.ndarray, a: int, b: int) -> int:
+    """How many words are equal from a and b on."""
+    n, size = min(len(x) - a, len(y) - b), 32
+    at = 0
+    while at < n:
+        differ = np.flatnonzero(x[a + at : a + min(n, at + size)] != y[b + at : b + min(n, at + size)])
+        if len(differ):
+            return at + int(differ[0])
+        at, size = at + size, size * 4
+    return max(n, 0)
+
+
+def _onward(x: np.ndarray, y: np.ndarray, s: np.ndarray, t: np.ndarray, a: int, b: int, words: int) -> list[tuple[int, int, int]]:
+    """Common runs (start, start, words) that follow the ends a and b of a run over edits that its length bears."""
+    out: list[tuple[int, int, int]] = []
+    while met := _next(s, t, a, b, 4 + words // 8):
+        n = _run(x, y, *met)
+        if n < SHINGLE:  # equal hashes of different words
+            break
+        out.append((*met, n))
+        words += n
+        a, b = met[0] + n, met[1] + n
+    return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """(start, stop, start, stop) of the passages around seeds (places in x and in y) that the texts of word hashes x and y share."""
+    s, t = (_shingled(h) for h in (x, y))
+    runs: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for i, j in sorted(seeds):
+        if any(a <= i < b for a, b in runs.get(i - j, ())) or not np.array_equal(x[i : i + SEED], y[j : j + SEED]) or len(x) < i + SEED:
+            continue
+        back = _run(x[:i][::-1], y[:j][::-1], 0, 0)
+        first = (i - back, j - back, back + _run(x, y, i, j))
+        before = _onward(x[::-1], y[::-1], s[::-1], t[::-1], len(x) - first[0], len(y) - first[1], first[2])
+        before = [(len(x) - a - n, len(y) - b - n, n) for a, b, n in reversed(before)]
+        chain = [*before, first, *_onward(x, y, s, t, first[0] + first[2], first[1] + first[2], first[2])]
+        for a, b, n in chain:
+            runs.setdefault(a - b, []).append((a, a + n))
+        a, b, n = (np.array(c) for c in zip(*chain))
+        total = np.concatenate(([0], np.cumsum(np.maximum(n - SHINGLE + 1, 0))))
+        for k in range(len(chain)):
+            common = total[k + 1 :] - total[k]
+            long, other = a[k:] + n[k:] - a[k], b[k:] + n[k:] - b[k]
+            union = long + other - 2 * (SHINGLE - 1) - common
+            ok = np.flatnonzero((common >= threshold * union - 1e-9) & (long >= MIN_WORDS))
+            if len(ok):
+                e = k + int(ok[-1])
+                out.append((int(a[k]), int(a[e] + n[e]), int(b[k]), int(b[e] + n[e])))
+    return out
+
+
+def _shingled(h: np.ndarray) -> np.ndarray:
+    n = len(h) - SHINGLE + 1
+    return _mix(sum(h[j : n + j] * _MULTIPLY[j] for j in range(SHINGLE))) if n > 0 else h[:0]
+
+
+def grown(docs: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, start, stop, class_doc, keep) of the passages around seeds that stand in several documents.
+
+    A place of a seed is compared with the seed's first place. Within a document a passage
+    counts only where another document has its seed too, and is cut from the seed on.
+    """
+    shared = _places(seeds).where("first.doc_id < last").select("content", "first")
+    at = seeds.select("doc_id", "start", "content").join(shared, "content").where("doc_id <> first.doc_id OR start <> first.start")
+    pairs = at.groupBy("doc_id", F.col("first.doc_id").alias("head")).agg(F.collect_set(F.struct("start", F.col("first.start").alias("other"))).alias("seeds"))
+    pairs = written(pairs, "pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    heads = texts.join(pairs.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("head"), F.col("text").alias("other"))
+    both = pairs.join(heads, "head").join(texts, "doc_id").select("doc_id", "head", "seeds", "other", "text")
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, int, bool]] = []
+        hashed = lambda text: np.fromiter(map(xxhash.xxh64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()), np.uint64)
+        last: tuple = (None, None)
+        for d, h, found, other, text in zip(*(batch.column(i) for i in range(5))):
+            d, h, other = d.as_py(), h.as_py(), other.as_py()
+            if last[0] != other:
+                last = (other, hashed(other))
+            x, y = hashed(text.as_py()), last[1]
+            seeds = [(p["start"], p["other"]) for p in found.as_py()]
+            if d != h:
+                spans = grow(x, y, seeds, threshold)
+            else:
+                spans = [(a + i, b + i, e, f) for i, j in seeds if i > j for a, b, e, f in grow(x[i:], x[:i], [(0, j)], threshold)]
+            for a, b, e, f in spans:
+                rows += [(d, a, b, h, False), (h, e, f, h, True)]
+        out = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "stop", "class_doc", "keep"])
+
+    return map_texts(both, work, "doc_id long, start int, stop int, class_doc long, keep boolean")
+
+
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Repeated passages: doc_id, start, words (counted in words of the text), class_doc, keep.
 
@@ -244,10 +360,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     bands, rows = tuned_bands(threshold)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     found = written(units(docs, bands, rows), "units")
-    place = F.struct("doc_id", "start")
-    contents = found.groupBy("content").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
-    lines = found.where("keys IS NOT NULL")
-    lines = lines.groupBy("content").agg(F.min(F.struct("doc_id", "start", "words", "keys")).alias("u")).select("content", "u.*")
+    lines_found = found.where("keys IS NOT NULL")
+    contents = _places(lines_found)
+    lines = lines_found.groupBy("content").agg(F.min(F.struct("doc_id", "start", "words", "keys")).alias("u")).select("content", "u.*")
     lines = written(lines, "paragraphs")
     roots = components(similar(docs, lines, block))
     rooted = roots.select(F.col("node").alias("content"), "root").union(roots.select(F.col("root").alias("content"), "root").distinct())
@@ -255,11 +370,12 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     members = written(members.withColumn("root", F.coalesce("root", "content")), "members")
     classes = members.groupBy("root").agg(F.min("first").alias("head"), F.max("last").alias("last")).where("head.doc_id < last")
     kept = members.join(classes.select("root", "head"), "root").select("content", "head")
-    each = found.select("doc_id", "start", "words", "content").join(kept, "content")
+    each = lines_found.select("doc_id", "start", "words", "content").join(kept, "content")
     each = each.select(
         "doc_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.col("head.doc_id").alias("class_doc"),
         ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("keep"),
-    ).distinct()
+    )
+    each = each.unionByName(grown(docs, found.where("keys IS NULL"), threshold)).distinct()
     per_doc = each.groupBy("doc_id", "keep").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "class_doc"))).alias("u"))
     return per_doc.select("doc_id", "keep", F.explode(_joined(F.col("u"))).alias("r")).select(
         "doc_id", "r.start", (F.col("r.stop") - F.col("r.start")).alias("words"), "r.class_doc", "keep"

@@ -115,3 +115,23 @@ def test_windows_do_not_depend_on_their_surroundings():
     a = P.doc_units(text(rng, 37) + " " + inner + " " + text(rng, 11), 8, 3)
     b = P.doc_units(text(rng, 90) + " " + inner + " " + text(rng, 50), 8, 3)
     assert len(set(a[2].tolist()) & set(b[2].tolist())) >= 1
+
+
+@pytest.mark.parametrize("n", [51, 60, 100])
+def test_every_word_of_a_spliced_passage_goes(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(20):
+        p = text(rng, n)
+        rows += [(2 * i, f"{text(rng, 40)} {p} {text(rng, 33)}"), (2 * i + 1, f"{text(rng, 31)} {p} {text(rng, 45)}")]
+    got = P.repeats(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.start, r.words, r.class_doc) for r in got if not r.keep} == {(2 * i + 1, 31, n, 2 * i) for i in range(20)}
+    assert {(r.doc_id, r.start, r.words) for r in got if r.keep} == {(2 * i, 40, n) for i in range(20)}
+
+
+def test_a_shared_run_of_25_words_has_a_seed_in_common():
+    rng = random.Random(5)
+    for _ in range(300):
+        p = text(rng, P.SEED + P.WINNOW - 1)
+        a, b = (P.doc_units(f"{text(rng, rng.randint(10, 40))} {p} {text(rng, rng.randint(10, 40))}", 8, 3)[2].tolist() for _ in range(2))
+        assert set(a) & set(b)
