@@ -129,6 +129,44 @@ def test_every_word_of_a_spliced_passage_goes(spark, n):
     assert {(r.doc_id, r.start, r.words) for r in got if r.keep} == {(2 * i, 40, n) for i in range(20)}
 
 
+def edited(rng, p, kind):
+    w = list(p)
+    if kind == "middle":
+        w[len(w) // 2] = "changed"
+    elif kind == "early":
+        w[9] = "changed"
+    elif kind == "dropped":
+        del w[len(w) // 2]
+    elif kind == "added":
+        w.insert(len(w) // 3, "added")
+    return w
+
+
+@pytest.mark.parametrize("kind", ["middle", "early", "dropped", "added"])
+def test_edited_passages_in_other_lines(spark, kind):
+    """A passage of 60 words with one edit (over 0.8) goes as a whole, from within a line and from wrapped lines."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(20):
+        p = words(rng, 60)
+        q = edited(rng, p, kind)
+        wrapped = "\n".join(" ".join(q[k : k + 11]) for k in range(0, len(q), 11))
+        rows += [(3 * i, f"{text(rng, 40)} {' '.join(p)} {text(rng, 33)}"), (3 * i + 1, f"{text(rng, 31)} {' '.join(q)} {text(rng, 45)}"), (3 * i + 2, f"{text(rng, 12)}\n{wrapped}\n{text(rng, 9)}")]
+        want |= {(3 * i + 1, 31, len(q)), (3 * i + 2, 12, len(q))}
+    assert {(r.doc_id, r.start, r.words) for r in P.repeats(documents(spark, rows)).collect() if not r.keep} == want
+
+
+def test_passages_that_are_not_alike_enough_stay():
+    """Two edits in 60 words are under 0.8: only the runs of MIN_WORDS words go; of a shared run of 20 words nothing."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(1 << 63, size=60, dtype=np.uint64)
+    y = x.copy()
+    y[[14, 40]] = 1, 2
+    assert P.grow(x, y, [(15, 15), (20, 20)]) == [(15, 40, 15, 40)]
+    z = np.concatenate([rng.integers(1 << 63, size=30, dtype=np.uint64), x[20:40], rng.integers(1 << 63, size=30, dtype=np.uint64)])
+    assert P.grow(x, z, [(21, 31)]) == []
+
+
 def test_a_shared_run_of_25_words_has_a_seed_in_common():
     rng = random.Random(5)
     for _ in range(300):
