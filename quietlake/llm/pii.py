@@ -36,7 +36,7 @@ _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[A-Za-z0-9-]{1,63}){1,8}"
 )
 _SECRET = re.compile(
-    r"(?i)\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|id|key|hash)\b[\"']?\x20?[=:]\x20?([\"']?)([A-Za-z0-9_+/=-]{12,256})"
+    r"(?i)\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|id|key|hash)\b[\"']?\x20?[=:]\x20?([\"']?)([A-Za-z0-9_+/=-]{12,}+)"
 )
 
 #: Cue words of each kind, looked for among the words left of a candidate.
@@ -276,19 +276,33 @@ def find(docs: DataFrame, keep: list[str] | None = None, materialise: bool = Tru
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """text with each span (of `spans`) replaced by its kind in brackets; overlapping ones by the first."""
+    """text with each span (of `spans`) replaced by its kind in brackets; overlapping ones, to the end of their union, by that of the longest (of equal ones the first)."""
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
     by_start = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("s"), c["stop"].alias("e"), c["kind"].alias("k"))))
+    merged = F.aggregate(by_start, F.filter(F.transform(by_start, _alone), lambda _: F.lit(False)), _merged)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, c: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (c["s"] - acc["at"]).cast("int")), F.lit("["), F.get(names, c["k"]), F.lit("]"))
-        return F.when(c["s"] < acc["at"], acc).otherwise(F.struct(piece.alias("out"), c["e"].alias("at")))
+        return F.struct(piece.alias("out"), c["e"].alias("at"))
 
-    done = F.aggregate(by_start, start, step)
+    done = F.aggregate(merged, start, step)
     return F.when(F.size(found) <= 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
 
+def _alone(c: Column) -> Column:
+    """A span of a union so far: its start, end, kind and the length of the span that gives the kind."""
+    return F.struct(c["s"].cast("long").alias("s"), c["e"].cast("long").alias("e"), c["k"].alias("k"), (c["e"] - c["s"]).cast("long").alias("n"))
+
+
+def _merged(acc: Column, c: Column) -> Column:
+    last, now = F.try_element_at(acc, F.lit(-1)), _alone(c)
+    kind = F.when(now["n"] > last["n"], now["k"]).otherwise(last["k"])
+    both = F.struct(last["s"].alias("s"), F.greatest(last["e"], now["e"]).alias("e"), kind.alias("k"), F.greatest(last["n"], now["n"]).alias("n"))
+    head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    return F.when((F.size(acc) > 0) & (now["s"] < last["e"]), F.concat(head, F.array(both))).otherwise(F.concat(acc, F.array(now)))
+
+
 def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long")
 

@@ -113,3 +113,17 @@ def test_redaction(spark):
 def test_awkward_rows(spark):
     assert len(pii.find(awkward(spark)).collect()) == 9
     assert pii.find(empty(spark)).count() == 0
+
+
+def test_overlapping_spans_are_redacted_to_their_union(spark):
+    texts = ["10.0.0.5@example.com x", "192.168.0.1.bob@example.com x", "a 10.0.0.5 b me@example.com"]
+    spans = [[(1, 0, 8), (0, 0, 20)], [(1, 0, 11), (0, 0, 27)], [(0, 13, 27), (1, 2, 10)]]
+    df = spark.createDataFrame(list(zip(texts, spans)), "text string, spans array<struct<kind: int, start: int, stop: int>>")
+    got = [r[0] for r in df.select(pii.redacted(df.text, df.spans)).collect()]
+    assert got == ["[EMAIL] x", "[EMAIL] x", "a [IP] b [EMAIL]"]
+
+
+@pytest.mark.parametrize("n", [256, 257, 5000])
+def test_long_credentials_are_one_span(n):
+    m = pii._SECRET.search(f"password = {'aB3' * n}"[: 11 + n] + " end")
+    assert m.end() - m.start(3) == n
