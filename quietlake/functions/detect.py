@@ -1,20 +1,28 @@
 """Detectors as one fused pattern over a text, with labels by Column validators.
 
 Candidates are matches of one alternation, in the order of the rules: earlier rules win where
-two begin at the same place, and a placeholder that is already there is passed over whole.
-Patterns have bounded repetitions and no look-around besides ASCII word boundaries, so matching
-is linear in the text. A candidate that no validator accepts is left alone.
+two begin at the same place, and a placeholder that is already there is passed over whole. Values
+have no upper length: their characters are one class, matched possessively, so matching is linear
+in the text. Cheap look-aheads (hints) pass over words at which no rule can begin. The pattern
+runs once for each text: it marks the candidates, and the text is split at the marks. A candidate
+that no validator accepts is left alone.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import names as N
 from . import validators as V
+from .text import let, prefix_sums
+
+#: Marks candidates within a text: a code point that is no character.
+MARK = "\ufdd0"
 
 #: \b by ASCII word characters; Java 17's own also counts letters of other scripts.
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -29,14 +37,19 @@ _SECRET_HEAD_ZH = r"(?:密码|口令|令牌|密钥)[\"']?[ \t]{0,4}(?:=|:|：|
 
 
 def java(pattern: str) -> str:
-    """The same pattern for Java; a local part that @ must follow need not be tried shorter."""
+    """The same pattern for Java: ASCII word edges, and runs without an upper bound are never given back."""
     # before a group of patterns that all begin with a word character half of the test is enough
-    return pattern.replace(r"\b(?:", r"(?<![A-Za-z0-9_])(?:").replace(r"\b", _EDGE).replace("{1,63}@", "{1,63}+@")
+    out = pattern.replace(r"\b(?:", r"(?<![A-Za-z0-9_])(?:").replace(r"\b", _EDGE).replace("{1,63}@", "{1,63}+@")
+    return re.sub(r"(\{[0-9]+,\})(?!\+)", r"\1+", out)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """label, pattern of the whole candidate, test of the value, pattern of what precedes the value and stays."""
+    """label, pattern of the whole candidate, test of the value, patterns of what stands before and after the value and stays.
+
+    hint: a cheap pattern that every candidate begins with (Java), for rules that begin a word.
+    fold: values that differ by case only have one placeholder.
+    """
 
     label: str
     pattern: str
@@ -44,6 +57,9 @@ class Rule:
     keep: str | None = None
     credential: bool = False
     enabled: bool = True
+    tail: str | None = None
+    hint: str | None = None
+    fold: bool = False
 
 
 def _secret_ok(v: Column) -> Column:
@@ -54,123 +70,162 @@ def _ip(label: str) -> Callable[[Column], Column]:
     return lambda v: F.coalesce(V.ip_class(v) == label, F.lit(False))
 
 
-_IP = r"\b[0-9]{1,10}(?:\.[0-9]{1,10}){1,9}\b"
+#: Four numbers and what would make them a version: a name before them, more parts or a suffix after them.
+_IP = r"\b(?:[A-Za-z][A-Za-z0-9_]{0,40}[-_.])?[0-9]{1,10}(?:\.[0-9]{1,10}){1,9}(?:[-_.][A-Za-z0-9_]{1,40}){0,4}"
 _DIGITS = r"\b[0-9](?:[ -]?[0-9]){9,30}\b"
+_SECRET = r"[A-Za-z0-9_+/=!@#$%^&*-]{8,}"
+_CONN = r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:"
+_KEYS = r"sk|pk|rk|ah|ghp|gho|ghs|ghu|ghr|github_pat|xoxb|xoxp|xoxa|glpat|hf|npm|pypi|dify|gsk|xai|nvapi|pplx|dop_v1"
+
+#: Hints: a digit, a word before an @ or an assignment, and the beginnings of credentials.
+_DIGIT, _WORD = "[0-9]", r"[A-Za-z0-9._%+-]{0,100}+(?:@|[\"']?[ \t]{0,4}[=:：])"
+_ALNUM = r"[A-Z]*+[0-9]"
 
 #: In order of priority.
 RULES: tuple[Rule, ...] = (
-    Rule("PRIVATEKEY", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----", credential=True),
-    Rule("CONNSTR", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9.-]{1,128}", None, r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:", True),
-    Rule("JWT", r"\beyJ[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{5,4000}\.[A-Za-z0-9_-]{5,2000}", V.jwt_ok, None, True),
-    Rule("SECRET", rf"\b(?i:{_SECRET_HEAD})[A-Za-z0-9_+/=!@#$%^&*-]{{8,128}}", _secret_ok, rf"(?i:{_SECRET_HEAD})", True),
-    Rule("SECRET", rf"{_SECRET_HEAD_ZH}[A-Za-z0-9_+/=!@#$%^&*-]{{8,128}}", _secret_ok, _SECRET_HEAD_ZH, True),
-    Rule("TOKEN", r"\b(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,512}", None, r"(?i:bearer)[ \t]{1,4}", True),
-    Rule("ACCESSKEY", r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|LTAI[0-9A-Za-z]{12,20}|AKID[0-9A-Za-z]{32}|AIza[0-9A-Za-z_-]{35})\b", None, None, True),
-    Rule("APIKEY", r"\b(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp|glpat|hf|npm)[_-][A-Za-z0-9_-]{16,200}", None, None, True),
-    Rule("EMAIL", r"\b[A-Za-z0-9_][A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    Rule("MAC", r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", V.mac_ok, enabled=False),
-    Rule("IPV6PRIVATE", r"\b(?i:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9A-Fa-f]{0,4}){2,7}", V.ipv6_private_ok, enabled=False),
-    Rule("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", V.iban_ok, enabled=False),
-    Rule("USCC", r"\b[0-9A-Z]{18}\b", V.uscc_ok, enabled=False),
-    Rule("IP_PRIVATE", _IP, _ip("IP_PRIVATE")),
-    Rule("IP_INTERNAL", _IP, _ip("IP_INTERNAL"), enabled=False),
-    Rule("IP_PUBLIC", _IP, _ip("IP_PUBLIC"), enabled=False),
+    Rule("PRIVATEKEY", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s{1,2}[A-Za-z-]{1,30}: [^\n]{0,200}){0,4}[A-Za-z0-9+/=\s]{1,}-----END [A-Z ]{0,20}PRIVATE KEY-----", credential=True),
+    Rule("CONNSTR", rf"\b{_CONN}[^\s/@]{{1,}}@[A-Za-z0-9.-]{{1,128}}", V.connection_password_ok, _CONN, True, tail=r"@[A-Za-z0-9.-]{1,128}$", hint=_WORD),
+    Rule("JWT", r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", V.jwt_ok, None, True, hint="eyJ"),
+    Rule("SECRET", rf"\b(?i:{_SECRET_HEAD}){_SECRET}", _secret_ok, rf"(?i:{_SECRET_HEAD})", True, hint=_WORD),
+    Rule("SECRET", rf"{_SECRET_HEAD_ZH}{_SECRET}", _secret_ok, _SECRET_HEAD_ZH, True),
+    Rule("TOKEN", r"\b(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,}", None, r"(?i:bearer)[ \t]{1,4}", True, hint=r"(?i:bearer)[ \t]"),
+    Rule("ACCESSKEY", r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|LTAI[0-9A-Za-z]{12,20}|AKID[0-9A-Za-z]{32}|AIza[0-9A-Za-z_-]{35})\b", None, None, True, hint="A[KSI]|LTAI"),
+    Rule("APIKEY", rf"\b(?:{_KEYS})[_-][A-Za-z0-9_-]{{16,}}|\bSG\.[A-Za-z0-9_.-]{{16,}}", None, None, True, hint=rf"(?:{_KEYS})[_-]|SG\."),
+    Rule("EMAIL", r"\b[A-Za-z0-9_][A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", hint=_WORD),
+    Rule("MAC", r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", V.mac_ok, enabled=False, hint="[0-9A-Fa-f]{2}[:-]"),
+    Rule("IPV6PRIVATE", r"\b(?i:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9A-Fa-f]{0,4}){2,7}", V.ipv6_private_ok, enabled=False, hint="[fF][dDeE]"),
+    Rule("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", V.iban_ok, enabled=False, hint=_ALNUM),
+    Rule("USCC", r"\b[0-9A-Z]{18}\b", V.uscc_ok, enabled=False, hint="[0-9A-Z]{18}"),
+    Rule("IP_PRIVATE", _IP, _ip("IP_PRIVATE"), hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
+    Rule("IP_INTERNAL", _IP, _ip("IP_INTERNAL"), enabled=False, hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
+    Rule("IP_PUBLIC", _IP, _ip("IP_PUBLIC"), enabled=False, hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
     Rule("LANDLINE", r"(?:\+86[ -]?)?(?:\(0?[0-9]{2,3}\)[ -]?|\b0[0-9]{2,3}[ -])[2-9][0-9]{6,7}(?:-[0-9]{1,5}| ext\.? ?[0-9]{1,5})?\b", V.landline_ok, enabled=False),
-    Rule("IDCARD", r"\b(?:[0-9]{17}[0-9Xx]|[0-9]{15})\b", V.id_card_ok),
-    Rule("PHONE", r"\b(?:(?:00)?86[ -]?)?1[3-9][0-9](?:[0-9]{8}| [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4})\b", V.cn_mobile_ok),
-    Rule("CARD", _DIGITS, V.card_ok),
-    Rule("HKID", r"\bH[0-9]{8}\b", V.hkid_ok, enabled=False),
+    Rule("IDCARD", r"\b(?:[0-9]{17}[0-9Xx]|[0-9]{15})\b", V.id_card_ok, hint=_DIGIT),
+    Rule("PHONE", r"\b(?:(?:00)?86[ -]?)?1[3-9][0-9](?:[0-9]{8}| [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4})\b", V.cn_mobile_ok, hint=_DIGIT),
+    Rule("CARD", _DIGITS, V.card_ok, hint=_DIGIT),
+    Rule("HKID", r"\bH[0-9]{8}\b", V.hkid_ok, enabled=False, hint="H[0-9]"),
     Rule("PLATE", r"[\x{4e00}-\x{9fff}][A-HJ-NP-Z][A-HJ-NP-Z0-9]{5,6}\b", V.plate_ok, enabled=False),
-    Rule("HIGHENTROPY", r"\b[A-Za-z0-9_+/=-]{20,200}", V.high_entropy, None, True, enabled=False),
+    Rule("HIGHENTROPY", r"\b[A-Za-z0-9_+/=-]{20,}", V.high_entropy, None, True, enabled=False, hint="[A-Za-z0-9_+/=-]{20}"),
+    Rule("NAME", rf"(?:{'|'.join(N.STRONG_LEFT)})(?:是|为|：|:|\s){{0,2}}(?:{N.PATTERN})", N.name_ok, rf"(?:{'|'.join(N.STRONG_LEFT)})(?:是|为|：|:|\s){{0,2}}", enabled=False),
+    Rule("NAME", rf"(?:{N.SHORT})(?:{'|'.join(N.STRONG_RIGHT)})", N.name_ok, enabled=False, tail=rf"(?:{'|'.join(N.STRONG_RIGHT)})$"),
 )
-LABELS = tuple(r.label for r in RULES)
-CREDENTIALS = tuple(r.label for r in RULES if r.credential)
+LABELS = tuple(dict.fromkeys(r.label for r in RULES))
+CREDENTIALS = tuple(dict.fromkeys(r.label for r in RULES if r.credential))
 
+#: What callers choose rules by: labels, rules of their own, or both; None for the default ones.
+Chosen = Sequence["str | Rule"] | None
 
-def rules_for(labels: Sequence[str] | None = None) -> list[Rule]:
-    """The named rules in order of priority; those enabled by default if none are named."""
-    return [r for r in RULES if (r.label in labels if labels is not None else r.enabled)]
 
+def rules_for(chosen: Chosen = None) -> list[Rule]:
+    """Own rules first, then the named ones in order of priority; those enabled by default if none are named."""
+    if chosen is None:
+        return [r for r in RULES if r.enabled]
+    own = [c for c in chosen if isinstance(c, Rule)]
+    return own + [r for r in RULES if r.label in [c for c in chosen if isinstance(c, str)]]
 
-def fused(labels: Sequence[str] | None = None) -> str:
+
+def fused(chosen: Chosen = None, hints: bool = False) -> str:
     """One alternation: placeholders, patterns that begin anywhere, and those that begin a word under one test for that."""
-    patterns = list(dict.fromkeys(r.pattern for r in rules_for(labels)))
-    words = [p[2:] for p in patterns if p.startswith(r"\b")]
-    return "|".join([PLACEHOLDER, *(p for p in patterns if not p.startswith(r"\b")), *([rf"\b(?:{'|'.join(words)})"] if words else [])])
+    rules = rules_for(chosen)
+    patterns = list(dict.fromkeys(r.pattern for r in rules))
+    words = [p[2:].replace(r"|\b", "|") for p in patterns if p.startswith(r"\b")]
+    given = [r.hint for r in rules if r.pattern.startswith(r"\b")]
+    ahead = f"(?={'|'.join(dict.fromkeys(given))})" if hints and all(given) else ""
+    return "|".join([PLACEHOLDER, *(p for p in patterns if not p.startswith(r"\b")), *([rf"\b(?:{ahead}(?:{'|'.join(words)}))"] if words else [])])
+
 
+def parts(text: Column, chosen: Chosen = None) -> Column:
+    """array<string>: what stands between the candidates at even places, the candidates at odd ones."""
+    pattern = java(fused(chosen, hints=True))
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    apart = F.flatten(F.transform(F.split(text, pattern, -1), lambda g, i: F.array(g, F.get(found, i))))
+    # a text that holds the mark itself is searched twice instead
+    return F.when(F.contains(text, F.lit(MARK)), F.slice(apart, F.lit(1), F.greatest(F.size(apart) - 1, F.lit(0)))).otherwise(marked)
 
-def _label(match: Column, labels: Sequence[str] | None) -> Column:
+
+def _label(match: Column, chosen: Chosen) -> Column:
     """Label of a candidate by the first rule that accepts it, else null; each rule is evaluated once."""
-    rules = rules_for(labels)
+    rules = rules_for(chosen)
     ips = [r.label for r in rules if r.label.startswith("IP_")]
     out = F.when(match.rlike(java(f"^{PLACEHOLDER}$")), F.lit(None).cast("string"))
     done = False
     for r in rules:
-        whole = match.rlike(java(f"^(?:{r.pattern})$"))
         if r.label in ips:
             if not done:
                 kind = V.ip_class(match)
-                out, done = out.when(whole & F.coalesce(kind.isin(*ips), F.lit(False)), kind), True
+                out, done = out.when(match.rlike(r"^[0-9.]+$") & F.coalesce(kind.isin(*ips), F.lit(False)), kind), True
             continue
+        whole = match.rlike(java(f"^(?:{r.pattern})$"))
         v = F.regexp_replace(match, java(f"^{r.keep}"), "") if r.keep else match
-        if r.label == "CONNSTR":
-            v = F.regexp_replace(v, _TAIL, "")
+        v = F.regexp_replace(v, r.tail, "") if r.tail else v
         out = out.when(whole & r.ok(v) if r.ok else whole, r.label)
     return out
 
 
-#: A connection string's password ends at the last @.
-_TAIL = r"@[A-Za-z0-9.-]{1,128}$"
+def _split(c: Column, chosen: Chosen) -> Column:
+    """match and label with head and tail: what stays before and after the value."""
+    head, tail = F.lit(""), F.lit("")
+    for r in rules_for(chosen):
+        mine = c["label"] == r.label
+        if r.keep:
+            found = F.regexp_extract(c["match"], java(f"^{r.keep}"), 0)
+            head = F.when(mine & (found != ""), found).otherwise(head)
+        if r.tail:
+            found = F.regexp_extract(c["match"], r.tail, 0)
+            tail = F.when(mine & (found != ""), found).otherwise(tail)
+    known = lambda x: F.when(c["label"].isNull(), "").otherwise(x)
+    return F.struct(c["match"].alias("match"), c["label"].alias("label"), known(head).alias("head"), known(tail).alias("tail"))
 
 
-def candidates(text: Column, labels: Sequence[str] | None = None) -> Column:
-    """array<struct<match, label, head, value, tail>> of every candidate, in order; a null label means that it stays as it is."""
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(java(fused(labels))), F.lit(0)), F.array().cast("array<string>"))
-    labelled = F.transform(found, lambda m: F.struct(m.alias("match"), _label(m, labels).alias("label")))
+def _value(c: Column) -> Column:
+    size = F.length(c["match"]) - F.length(c["head"]) - F.length(c["tail"])
+    value = F.substr(c["match"], F.length(c["head"]) + 1, size)
+    return F.struct(c["match"].alias("match"), c["label"].alias("label"), c["head"].alias("head"), value.alias("value"), c["tail"].alias("tail"))
 
-    def split(c: Column) -> Column:
-        head = F.lit("")
-        for r in rules_for(labels):
-            if r.keep:
-                here = (c["label"] == r.label) & (F.regexp_extract(c["match"], java(f"^{r.keep}"), 0) != "")
-                head = F.when(here, F.regexp_extract(c["match"], java(f"^{r.keep}"), 0)).otherwise(head)
-        tail = F.when(c["label"] == "CONNSTR", F.regexp_extract(c["match"], _TAIL, 0)).otherwise("")
-        return F.struct(c["match"].alias("match"), c["label"].alias("label"), F.when(c["label"].isNull(), "").otherwise(head).alias("head"), tail.alias("tail"))
 
-    def value(c: Column) -> Column:
-        size = F.length(c["match"]) - F.length(c["head"]) - F.length(c["tail"])
-        return F.struct(c["match"].alias("match"), c["label"].alias("label"), c["head"].alias("head"), F.substr(c["match"], F.length(c["head"]) + 1, size).alias("value"), c["tail"].alias("tail"))
+def candidates_of(pieces: Column, chosen: Chosen) -> Column:
+    found = F.filter(pieces, lambda _, i: i % 2 == 1)
+    labelled = F.transform(found, lambda m: F.struct(m.alias("match"), _label(m, chosen).alias("label")))
+    return F.transform(F.transform(labelled, lambda c: _split(c, chosen)), _value)
 
-    return F.transform(F.transform(labelled, split), value)
+
+def candidates(text: Column, chosen: Chosen = None) -> Column:
+    """array<struct<match, label, head, value, tail>> of every candidate, in order; a null label means that it stays as it is."""
+    return F.coalesce(candidates_of(parts(text, chosen), chosen), F.array().cast("array<struct<match:string,label:string,head:string,value:string,tail:string>>"))
 
 
-def gaps(text: Column, labels: Sequence[str] | None = None) -> Column:
-    """What stands before, between and after the candidates: one more than there are candidates."""
-    return F.split(text, java(fused(labels)), -1)
+def detect(text: Column, chosen: Chosen = None) -> Column:
+    """array<struct<start, stop, label, value>>: accepted values with 0-based code points, ends exclusive; none for a null text."""
 
+    def spans(pieces: Column) -> Column:
+        def each(both: Column) -> Column:
+            begins, found = both["begins"], both["found"]
 
-def detect(text: Column, labels: Sequence[str] | None = None) -> Column:
-    """array<struct<start, stop, label, value>>: accepted values with 0-based code points, ends exclusive."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,label:string,value:string>>").alias("out"))
-    pairs = F.arrays_zip(candidates(text, labels).alias("c"), gaps(text, labels).alias("g"))
+            def one(c: Column, i: Column) -> Column:
+                start = F.get(begins, 2 * i + 1) + F.length(c["head"])
+                return F.struct(start.alias("start"), (start + F.length(c["value"])).alias("stop"), c["label"].alias("label"), c["value"].alias("value"))
 
-    def step(acc: Column, p: Column) -> Column:
-        c = p["c"]
-        a = acc["at"] + F.length(p["g"]) + F.length(c["head"])
-        b = a + F.length(c["value"])
-        one = F.array(F.struct(a.alias("start"), b.alias("stop"), c["label"].alias("label"), c["value"].alias("value")))
-        out = F.when(c["label"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"])
-        at = acc["at"] + F.length(p["g"]) + F.coalesce(F.length(c["match"]), F.lit(0))
-        return F.struct(at.alias("at"), out.alias("out"))
+            return F.filter(F.transform(found, one), lambda s: s["label"].isNotNull())
 
-    return F.aggregate(pairs, start, step)["out"]
+        return let(F.struct(prefix_sums(F.transform(pieces, F.length)).alias("begins"), candidates_of(pieces, chosen).alias("found")), each)
 
+    return F.coalesce(let(parts(text, chosen), spans), F.array().cast("array<struct<start:int,stop:int,label:string,value:string>>"))
 
-def replaced(text: Column, token: Callable[[Column], Column], labels: Sequence[str] | None = None) -> Column:
+
+def replaced(text: Column, token: Callable[[Column], Column], chosen: Chosen = None) -> Column:
     """text with the value of each accepted candidate c replaced by token(c)."""
-    new = F.transform(
-        candidates(text, labels),
-        lambda c: F.when(c["label"].isNull(), c["match"]).otherwise(F.concat(c["head"], token(c), c["tail"])),
-    )
-    parts = F.zip_with(gaps(text, labels), new, lambda g, m: F.concat(F.coalesce(g, F.lit("")), F.coalesce(m, F.lit(""))))
-    return F.when(text.isNull(), None).otherwise(F.array_join(parts, ""))
+    return replaced_parts(parts(text, chosen), token, chosen)
+
+
+def replaced_parts(pieces: Column, token: Callable[[Column], Column], chosen: Chosen = None) -> Column:
+    """The same from parts() of the text."""
+
+    def new(both: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            c = F.get(both["found"], ((i - 1) / 2).cast("int"))
+            return F.when((i % 2 == 0) | c["label"].isNull(), p).otherwise(F.concat(c["head"], token(c), c["tail"]))
+
+        return F.array_join(F.transform(both["pieces"], piece), "")
+
+    return F.when(pieces.isNotNull(), let(pieces, lambda p: let(F.struct(p.alias("pieces"), candidates_of(p, chosen).alias("found")), new)))

@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(numbers: Column, block: int = 256) -> Column:
+    """What lies before each of the numbers (an array of ints) in sum, by blocks: copies no growing array."""
+    zero = F.lit(0)
+    total = lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x)
+    count = F.greatest(F.ceil(F.size(numbers) / block).cast("int"), F.lit(1))
+    sums = F.transform(F.sequence(zero, count - 1), lambda b: total(F.slice(numbers, b * block + 1, F.lit(block))))
+
+    def places(both: Column) -> Column:
+        before = F.transform(both["sums"], lambda _, b: total(F.slice(both["sums"], F.lit(1), b)))
+        place = lambda before: F.transform(
+            both["numbers"],
+            lambda _, i: F.get(before, (i / block).cast("int")) + total(F.slice(both["numbers"], (i / block).cast("int") * block + 1, i % block)),
+        )
+        return let(before, place)
+
+    return let(F.struct(numbers.alias("numbers"), sums.alias("sums")), places)
+
+
 #: Entities in the order in which they are decoded; the ampersand last.
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#64;", "@"), ("&amp;", "&"))
 

@@ -36,6 +36,15 @@ def ipv4_ok(value: Column) -> Column:
     return F.coalesce(shape & small, F.lit(False))
 
 
+#: Resolvers that everybody may name.
+PUBLIC_DNS = (
+    "8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1", "4.2.2.1", "4.2.2.2", "4.2.2.3", "114.114.114.114", "114.114.115.115",
+    "223.5.5.5", "223.6.6.6", "119.29.29.29", "180.76.76.76", "9.9.9.9", "208.67.222.222", "208.67.220.220",
+)
+#: Versions in the shape of an address: digits only, or a build number.
+VERSION_LIKE = r"^(?:[0-9](?:\.[0-9]){3}|[0-9]\.[0-9]{1,3}\.0\.[0-9]{3})$"
+
+
 def _octet(value: Column, i: int) -> Column:
     return F.split_part(value, F.lit("."), F.lit(i)).try_cast("int")
 
@@ -51,11 +60,21 @@ def ip_class(value: Column) -> Column:
         F.when(~ipv4_ok(value), None)
         .when(((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)), "IP_PRIVATE")
         .when((a == 10) | ((a == 172) & b.between(16, 31)), "IP_INTERNAL")
-        .when(reserved, None)
+        .when(reserved | value.isin(*PUBLIC_DNS) | value.rlike(VERSION_LIKE), None)
         .otherwise("IP_PUBLIC")
     )
 
 
+#: Places for passwords in documents: variables in brackets, and the words that stand for one.
+TEMPLATE = r"^(?:\$\{[^{}]{1,64}\}|\$[A-Z_]{2,64}|\{\{?[^{}]{1,64}\}\}?|<[^<>]{1,64}>|\[[^\[\]]{1,64}\]|%[A-Z_]{2,64}%)$"
+TEMPLATE_WORDS = r"^(?i:password|passwd|pass|pwd|secret|your[_-]?password|changeme|x{3,}|\*{3,})$"
+
+
+def connection_password_ok(value: Column) -> Column:
+    """A password rather than a place for one."""
+    return F.coalesce(~value.rlike(TEMPLATE) & ~value.rlike(TEMPLATE_WORDS), F.lit(False))
+
+
 def cn_mobile_ok(value: Column) -> Column:
     """Mainland mobile number, optionally with its country code; separators 3-4-4 and all alike; not one digit only."""
     core = r"1[3-9][0-9](?:[0-9]{8}| [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4})"

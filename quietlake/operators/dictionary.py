@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.detect import Rule
+
 
 def merged(existing: DataFrame, picked: DataFrame, most: int = 500) -> DataFrame:
     """(category, word) of both, each word once per category, existing first, at most `most` per category; state is kept, added, duplicate or overflow."""
@@ -56,7 +58,12 @@ def alternation(words: list[tuple[str, bool]]) -> str:
         head = r"(?<![A-Za-z0-9_])" if edge and re.match(r"[A-Za-z0-9_]", word[0]) else ""
         tail = r"(?![A-Za-z0-9_])" if edge and re.match(r"[A-Za-z0-9_]", word[-1]) else ""
         parts.append(head + _quoted(word) + tail)
-    return "(?iu)" + "|".join(parts) if parts else "(?!)"
+    return "(?iu:" + "|".join(parts) + ")" if parts else "(?!)"
+
+
+def rule(category: str, words: list[tuple[str, bool]]) -> Rule:
+    """A rule for detect() and mask() before all others: words of a category; spellings that differ by case share a placeholder."""
+    return Rule(category, f"(?:{alternation(words)})", fold=True)
 
 
 def matches(text: Column, words: list[tuple[str, bool]]) -> Column:

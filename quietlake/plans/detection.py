@@ -61,7 +61,7 @@ def pages_pii_summary(spark, sf_dir):
 def conversations_pii_by_role(spark, sf_dir):
     """Every role with its number of turns and of findings, zero included."""
     turns = load(spark, sf_dir, "conversations").select("role", F.size(D.detect(F.col("text"), L)).alias("k"))
-    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.greatest("k", F.lit(0))).alias("found"))
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum("k").alias("found"))
 
 
 def mask_documents_tokens(spark, sf_dir):
@@ -78,7 +78,7 @@ def mask_roundtrip(spark, sf_dir):
     """Per document whether restore(mask(text)) gives the text again."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     known = T.mapping(T.found_values(docs, "text", L), KEY)
-    back = T.restore(T.mask(docs, KEY, labels=L), known, "doc_id")
+    back = T.restore(T.mask(docs, KEY, labels=L, known=known), known)
     return back.select("doc_id", F.sha2("text", 256).alias("restored_sha256"))
 
 
@@ -90,10 +90,9 @@ def mask_idempotent(spark, sf_dir):
 
 
 def egress_leaks(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    masked = T.mask(docs, KEY, labels=L)
-    leaks = T.leaks(masked, T.found_values(docs, "text", L), "doc_id").groupBy("doc_id").agg(F.count("*").alias("leaks"))
-    return docs.select("doc_id").join(leaks, "doc_id", "left").select("doc_id", F.coalesce("leaks", F.lit(0)).alias("leaks"))
+    """Values that a masked text still holds, in one pass over each text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", T.egress(F.col("text"), L).alias("e"))
+    return docs.select("doc_id", "e.leaks", "e.skipped")
 
 
 def restore_accounting(spark, sf_dir):
@@ -125,19 +124,19 @@ def allow_values(spark, sf_dir):
 
 def quality_by_pii(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    k = F.size(F.filter(D.detect(F.col("text"), L), lambda s: s["label"].isNotNull()))
+    k = F.size(D.detect(F.col("text"), L))
     each = docs.select("doc_id", (k > 0).alias("has_pii")).join(load(spark, sf_dir, "labels"), "doc_id")
     return each.groupBy("has_pii").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
 
 
 def known_value_scan(spark, sf_dir):
-    """Values confirmed in one document, of 8 characters at least and no credential, counted wherever they stand as a token."""
+    """Values of 8 characters or more that are no credentials, each once; every document that holds them, by the first word of the value."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    known = T.found_values(docs, "text", L).where((F.length("value") >= 8) & (F.col("label") == "EMAIL")).select(F.col("value").alias("word")).distinct()
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+@-]+"), F.lit(0))).alias("word")).where(F.contains("word", F.lit("@")))
-    return words.join(known, "word").groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).select(
-        F.sha2("word", 256).alias("word_sha256"), "n", "docs"
-    )
+    known = T.found_values(docs, "text", L).where((F.length("value") >= 8) & ~F.col("label").isin(*D.CREDENTIALS)).select("value").distinct()
+    known = known.withColumn("w", F.regexp_extract("value", "([A-Za-z0-9_]+)", 1))
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("w"))
+    held = words.join(known, "w").where(F.contains("text", F.col("value")))
+    return held.groupBy("value").agg(F.count("*").alias("docs")).select(F.sha2("value", 256).alias("value_sha256"), "docs")
 
 
 def secret_entropy(spark, sf_dir):
@@ -159,8 +158,7 @@ QUERIES = {
     )
 }
 
-_VALUE = f"CASE WHEN label = 'SECRET' THEN {S.secret_value('m')} ELSE m END"
-_HEAD = f"CASE WHEN label = 'SECRET' THEN left(m, length(m) - length({S.secret_value('m')})) ELSE '' END"
+_VALUE, _HEAD, _TAIL = (f("label", "m") for f in (S.value, S.head, S.tail))
 _EMAIL = S.quoted(D.fused(["EMAIL"]))
 _MASKED = f"""
 base AS (SELECT doc_id, text, regexp_extract_all(text, {S.fused()}) AS ms, regexp_split_to_array(text, {S.fused()}) AS gs FROM documents),
@@ -170,7 +168,7 @@ parts AS (
 lab AS (SELECT doc_id, i, g, ms[i] AS m, CASE WHEN ms[i] IS NULL THEN NULL ELSE {S.label('ms[i]')} END AS label FROM parts),
 masked AS (
   SELECT doc_id, string_agg(g || CASE WHEN m IS NULL THEN '' WHEN label IS NULL THEN m
-    ELSE {_HEAD} || {S.token('label', '(' + _VALUE + ')', KEY)} END, '' ORDER BY i) AS text
+    ELSE {_HEAD} || {S.token('label', _VALUE, KEY)} || {_TAIL} END, '' ORDER BY i) AS text
   FROM lab GROUP BY doc_id
 )"""
 
@@ -196,11 +194,12 @@ ORACLE_SQL = {
     "mapping_distinct_values": f"WITH {_H}, d AS (SELECT DISTINCT label, value FROM hits) SELECT label, {S.token('label', 'value', KEY)} AS token, sha256(value) AS value_sha256 FROM d",
     "mask_roundtrip": "SELECT doc_id, sha256(text) AS restored_sha256 FROM documents",
     "mask_idempotent": "SELECT count(*) AS same, count(*) AS documents FROM documents",
-    "egress_leaks": f"""WITH {_MASKED}, {_H.strip().replace('raw AS', 'raw AS', 1)}
-        SELECT k.doc_id, count(DISTINCT h.value) AS leaks FROM masked k LEFT JOIN hits h ON h.doc_id = k.doc_id
-        AND length(h.value) >= 4 AND h.label <> 'SECRET' AND contains(regexp_replace(k.text, {S.quoted(T.TOKEN)}, chr(1), 'g'), h.value) GROUP BY k.doc_id""",
+    "egress_leaks": f"""WITH {_MASKED}, {_H}, n AS (SELECT doc_id, count(DISTINCT value) AS n FROM hits WHERE length(value) >= 4 AND label NOT IN {T.D.CREDENTIALS} GROUP BY doc_id),
+        k AS (SELECT d.doc_id, count(DISTINCT h.value)::INTEGER AS leaks FROM documents d LEFT JOIN masked k ON k.doc_id = d.doc_id LEFT JOIN hits h ON h.doc_id = k.doc_id
+          AND length(h.value) >= 4 AND h.label NOT IN {T.D.CREDENTIALS} AND contains(regexp_replace(k.text, {S.quoted(T.TOKEN)}, chr(1), 'g'), h.value) GROUP BY d.doc_id)
+        SELECT doc_id, CASE WHEN coalesce(n, 0) <= 200 THEN leaks END AS leaks, CASE WHEN n > 200 THEN 'too_many_values' END AS skipped FROM k LEFT JOIN n USING (doc_id)""",
     "restore_accounting": f"""WITH {_H}
-        SELECT doc_id, count_if(label <> 'EMAIL' AND length(value) % 2 = 0) AS restored,
+        SELECT doc_id, count_if(label <> 'EMAIL' AND length(value) % 2 = 0) AS restored, 0::BIGINT AS degraded,
           count_if(label <> 'EMAIL' AND length(value) % 2 = 1) AS unresolved, count_if(label = 'EMAIL') AS foreign
         FROM hits GROUP BY doc_id""",
     "rule_actions": f"""WITH {_H} SELECT doc_id, count_if(label = 'EMAIL') AS masked, count_if(label NOT IN ('EMAIL', 'CARD', 'SECRET')) AS warned,
@@ -210,9 +209,8 @@ ORACLE_SQL = {
     "quality_by_pii": f"""WITH {_H}, d AS (SELECT DISTINCT doc_id FROM hits)
         SELECT (d.doc_id IS NOT NULL) AS has_pii, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic
         FROM documents JOIN labels USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY 1""",
-    "known_value_scan": f"""WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(text, {_EMAIL})) AS w FROM documents),
-        t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+@-]+')) AS w FROM documents)
-        SELECT sha256(w) AS word_sha256, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE w LIKE '%@%' AND length(w) >= 8 AND w IN (SELECT w FROM c) GROUP BY w""",
+    "known_value_scan": f"""WITH {_H}, v AS (SELECT DISTINCT value FROM hits WHERE length(value) >= 8 AND label NOT IN {D.CREDENTIALS})
+        SELECT sha256(value) AS value_sha256, count(*) AS docs FROM v JOIN documents ON contains(text, value) GROUP BY value""",
     "secret_entropy": f"""WITH {_H}, d AS (SELECT DISTINCT value FROM hits WHERE label = 'SECRET'),
         ch AS (SELECT value, unnest(string_split(value, '')) AS c FROM d), f AS (SELECT value, c, count(*) AS n FROM ch GROUP BY 1, 2)
         SELECT substr(sha256(value), 1, 16) AS digest, round(-sum(n / length(value) * log2(n / length(value))), 6) AS entropy,

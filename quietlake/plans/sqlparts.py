@@ -5,8 +5,10 @@ from __future__ import annotations
 from ..functions import detect as D
 from ..functions import validators as V
 
-#: Labels that the given tables can contain.
-LABELS = ("SECRET", "EMAIL", "IP_PRIVATE", "IP_INTERNAL", "IP_PUBLIC", "IDCARD", "PHONE", "CARD")
+#: The default rules and all classes of addresses.
+LABELS = (
+    "PRIVATEKEY", "CONNSTR", "JWT", "SECRET", "TOKEN", "ACCESSKEY", "APIKEY", "EMAIL", "IP_PRIVATE", "IP_INTERNAL", "IP_PUBLIC", "IDCARD", "PHONE", "CARD",
+)
 
 
 def quoted(text: str) -> str:
@@ -44,7 +46,8 @@ def ip_class(v: str) -> str:
       WHEN ({a} = 192 AND {b} = 168) OR ({a} = 169 AND {b} = 254) OR ({a} = 100 AND {b} BETWEEN 64 AND 127) THEN 'IP_PRIVATE'
       WHEN {a} = 10 OR ({a} = 172 AND {b} BETWEEN 16 AND 31) THEN 'IP_INTERNAL'
       WHEN {a} IN (0, 127) OR {a} >= 224 OR ({a} = 192 AND {b} = 0 AND {c} IN (0, 2)) OR ({a} = 198 AND {b} IN (18, 19))
-        OR ({a} = 198 AND {b} = 51 AND {c} = 100) OR ({a} = 203 AND {b} = 0 AND {c} = 113) THEN NULL
+        OR ({a} = 198 AND {b} = 51 AND {c} = 100) OR ({a} = 203 AND {b} = 0 AND {c} = 113)
+        OR {v} IN {V.PUBLIC_DNS} OR regexp_matches({v}, '{V.VERSION_LIKE}') THEN NULL
       ELSE 'IP_PUBLIC' END"""
 
 
@@ -79,23 +82,57 @@ def code_identifier(v: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({v}, {quoted(p)})" for p in IDENTIFIERS) + ")"
 
 
-def secret_value(m: str) -> str:
-    head = next(r.keep for r in D.RULES if r.label == "SECRET")
-    return f"regexp_replace({m}, {quoted('^' + head)}, '')"
+def _rules(name: str) -> list:
+    return [r for r in D.RULES if r.label == name]
+
+
+def value(label_: str, m: str) -> str:
+    """What is between head and tail of a candidate of this label."""
+    cases = []
+    for r in D.rules_for(LABELS):
+        if r.keep or r.tail:
+            v = f"regexp_replace({m}, {quoted('^' + r.keep)}, '')" if r.keep else m
+            v = f"regexp_replace({v}, {quoted(r.tail)}, '')" if r.tail else v
+            hit = f" AND regexp_matches({m}, {quoted('^' + r.keep)})" if r.keep else ""
+            cases.append(f"WHEN {label_} = '{r.label}'{hit} THEN {v}")
+    return f"(CASE {' '.join(cases)} ELSE {m} END)"
+
+
+def head(label_: str, m: str) -> str:
+    cases = [f"WHEN {label_} = '{r.label}' AND regexp_matches({m}, {quoted('^' + r.keep)}) THEN regexp_extract({m}, {quoted('^' + r.keep)})" for r in D.rules_for(LABELS) if r.keep]
+    return f"(CASE {' '.join(cases)} ELSE '' END)"
+
+
+def tail(label_: str, m: str) -> str:
+    cases = [f"WHEN {label_} = '{r.label}' THEN regexp_extract({m}, {quoted(r.tail)})" for r in D.rules_for(LABELS) if r.tail]
+    return f"(CASE {' '.join(cases)} ELSE '' END)"
+
+
+def _jwt(v: str) -> str:
+    part = f"replace(replace(split_part({v}, '.', 1), '-', '+'), '_', '/')"
+    padded = f"rpad({part}, (ceil(length({part}) / 4.0) * 4)::INTEGER, '=')"
+    return f"coalesce(TRY(json_extract_string(decode(from_base64({padded})), '$.alg')) IS NOT NULL, false)"
 
 
 def label(m: str) -> str:
     """CASE expression: the label of a candidate, or null."""
-    pattern = {r.label: r.pattern for r in reversed(D.RULES)}
-    full = lambda name: f"regexp_matches({m}, {quoted('^(?:' + pattern[name] + ')$')})"
-    v = secret_value(m)
-    return f"""CASE WHEN regexp_matches({m}, {quoted('^' + D.PLACEHOLDER + '$')}) THEN NULL
-      WHEN {full('SECRET')} AND regexp_matches({v}, '[0-9!@#$%^&*+/=_-]') AND NOT {code_identifier(v)} THEN 'SECRET'
-      WHEN {full('EMAIL')} THEN 'EMAIL'
-      WHEN {full('IP_PUBLIC')} AND ({ip_class(m)}) IS NOT NULL THEN {ip_class(m)}
-      WHEN {full('IDCARD')} AND {id_card_ok(m)} THEN 'IDCARD'
-      WHEN {full('PHONE')} AND {cn_mobile_ok(m)} THEN 'PHONE'
-      WHEN {full('CARD')} AND {card_ok(m)} THEN 'CARD' END"""
+    out = [f"WHEN regexp_matches({m}, {quoted('^' + D.PLACEHOLDER + '$')}) THEN NULL"]
+    ips = False
+    for r in D.rules_for(LABELS):
+        if r.label.startswith("IP_"):
+            if not ips:
+                out.append(f"WHEN regexp_matches({m}, '^[0-9.]+$') AND ({ip_class(m)}) IS NOT NULL THEN {ip_class(m)}")
+            ips = True
+            continue
+        v = f"regexp_replace({m}, {quoted('^' + r.keep)}, '')" if r.keep else m
+        v = f"regexp_replace({v}, {quoted(r.tail)}, '')" if r.tail else v
+        test = {
+            "SECRET": f"regexp_matches({v}, '[0-9!@#$%^&*+/=_-]') AND NOT {code_identifier(v)}",
+            "CONNSTR": f"NOT regexp_matches({v}, {quoted(V.TEMPLATE)}) AND NOT regexp_matches({v}, {quoted(V.TEMPLATE_WORDS)})",
+            "JWT": _jwt(m), "IDCARD": id_card_ok(m), "PHONE": cn_mobile_ok(m), "CARD": card_ok(m),
+        }.get(r.label, "true")
+        out.append(f"WHEN regexp_matches({m}, {quoted('^(?:' + r.pattern + ')$')}) AND {test} THEN '{r.label}'")
+    return f"CASE {' '.join(out)} END"
 
 
 def fused() -> str:
@@ -112,18 +149,18 @@ cand AS (
 ),
 labelled AS (SELECT *, {label('m')} AS label FROM cand),
 hits AS (
-  SELECT {id_column}{more}, nth, label, CASE WHEN label = 'SECRET' THEN {secret_value('m')} ELSE m END AS value
+  SELECT {id_column}{more}, nth, label, {value('label', 'm')} AS value
   FROM labelled WHERE label IS NOT NULL
 )"""
 
 
-def suffix(label_: str, value: str, key: str, round_: str = "'0'") -> str:
-    inner = f"sha256('{key}.i' || chr(31) || {label_} || chr(31) || {value} || chr(31) || {round_})"
+def suffix(label_: str, value_: str, key: str, round_: str = "'0'") -> str:
+    inner = f"sha256('{key}.i' || chr(31) || {label_} || chr(31) || {value_} || chr(31) || {round_})"
     outer = f"sha256('{key}.o' || {inner})"
     chars = [f"substr('bcdfghjkmnpqrstvwxz', CAST(('0x' || substr({outer}, {4 * i + 1}, 4)) AS INTEGER) % 19 + 1, 1)" for i in range(6)]
     return "(" + " || ".join(chars) + ")"
 
 
-def token(label_: str, value: str, key: str, round_: str = "'0'") -> str:
+def token(label_: str, value_: str, key: str, round_: str = "'0'") -> str:
     name = f"substr(replace({label_}, '_', ''), 1, 12)"
-    return f"('{{{{' || {name} || '_' || {suffix(label_, value, key, round_)} || '}}}}')"
+    return f"('{{{{' || {name} || '_' || {suffix(label_, value_, key, round_)} || '}}}}')"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quietlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +20,24 @@ def build_session(app: str = "quietlake", master: str | None = None, **conf: str
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, which only a local session can use."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = getattr(spark.sparkContext, "_quietlake_dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = spark.sparkContext._quietlake_dir = tempfile.mkdtemp(prefix="quietlake-")
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/quietlake-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quietlake_path = path
+    return out

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tokens import TOKEN
-
 #: A possible beginning of a placeholder at the end of what has arrived.
 PARTIAL = re.compile(r"\{(?:\{(?:[A-Z0-9\u4e00-\u9fff]{0,12}(?:_[0-9a-z]{0,6}\}?)?)?)?\Z")
 #: Characters that a channel may hold back before it lets them go as they are.
@@ -57,8 +55,7 @@ def restored_batch(pieces: DataFrame, known: DataFrame) -> DataFrame:
     """Pieces of a micro-batch with the placeholders of the mapping replaced (for foreachBatch)."""
     from ..operators.tokens import restore
 
-    keyed = pieces.withColumn("_id", F.struct("sid", "channel", "seq"))
-    return restore(keyed, known, "_id").drop("_id")
+    return restore(pieces, known)
 
 
 def whole(chunks: DataFrame) -> DataFrame:
@@ -76,5 +73,3 @@ def frames(lines: DataFrame, text: str = "value") -> DataFrame:
     field = lambda name: F.transform(F.filter(rows, lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
     return each.select(*rest, "n", F.get(field("event"), F.lit(0)).alias("event"), F.array_join(field("data"), "\n").alias("data"))
 
-
-PLACEHOLDER = TOKEN
