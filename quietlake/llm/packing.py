@@ -11,18 +11,20 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _cuts, release, table, written
 from .memo import Memo
+from .ragged import binaries, contents, distinct, joined, per_list, taken
 
 LENGTH = 2048
 SEPARATOR = 1
@@ -37,7 +39,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """ids of whole texts by the tokenizers library, which sees each distinct word of a batch once.
+    """ids of whole texts by the tokenizers library, which sees each distinct word of a slice once.
 
     This tokenizer drops white space and never merges across it, so the ids of a text are
     those of its words in order. Ids are little-endian unsigned 32-bit.
@@ -52,35 +54,56 @@ class Encoder:
         if len(mark) != 1:
             raise ValueError(f"{path}: the mark between words must be one token")
         self.mark = mark[0]
-        self.memo = Memo(self._encode, 120_000)
-        self.stop = re.compile(r"[.,](?= )(?<=[a-zà-öø-ÿ].)")
+        self.memo = Memo(self._encode, 200_000)
+        # the characters that stand for bytes in the vocabulary, by byte
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        odd = [b for b in range(256) if b not in plain]
+        self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(odd)}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self._ids(f" {MARK} ".join(w for w in words if MARK not in w)), "<u4")
-        cuts = np.flatnonzero(ids == self.mark)
-        parts = iter([ids[a:b].tobytes() for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])])
-        return [np.array(self._ids(w), "<u4").tobytes() if MARK in w else next(parts) for w in words]
-
-    def _words(self, text: str) -> list[str]:
-        """Parts of the text at which the tokenizer cuts in any case, as alike as they can be made.
-
-        It lower-cases by character; so does str.lower() within Latin-1, which has nothing to
-        compose either. A full stop or comma between a letter and a space is a piece of its own.
+        """Words of lower-case Latin-1 letters are one piece to this tokenizer and go to its model at once; others go through it whole."""
+        out: list[bytes] = [b""] * len(words)
+        rest: list[int] = []
+        tokenize, pack = self.tokenizer.model.tokenize, [struct.Struct(f"<{n}I").pack for n in range(64)]
+        for i, w in enumerate(words):
+            if w.isalpha() and len(w) < 32 and (w.isascii() or (max(w) <= "ÿ" and "ª" not in w and "º" not in w)) and w.islower():
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(self.shown)
+                ids = [t.id for t in tokenize(w)]
+                out[i] = pack[len(ids)](*ids)
+            elif MARK in w:
+                out[i] = np.array(self._ids(w), "<u4").tobytes()
+            elif w:
+                rest.append(i)
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            ids = np.array(self._ids(f" {MARK} ".join([words[i] for i in some])), "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            for i, a, b in zip(some, [0, *(cuts + 1)], [*cuts, len(ids)]):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+    def _words(self, texts: pa.Array) -> pa.ListArray:
+        """Parts of the texts at which the tokenizer cuts in any case, as alike as they can be made.
+
+        It lower-cases by character; so does Arrow within Latin-1, which has nothing to compose
+        either. A full stop or comma between a letter and a space or the end is a piece of its own.
         """
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
-        return self.stop.sub(r" \g<0>", text.lower().replace("\n", " ")).split(" ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        wide = pc.match_substring_regex(texts, r"[^\x00-\x{ff}]")
+        alike = pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-zà-öø-ÿ])([.,])( |$)", r"\1 \2\3")
+        return pc.split_pattern(pc.if_else(wide, texts, alike), " ")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [self._words(t or "") for t in texts]
-        self.memo.prepare(set().union(*words))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end (null: none), and how many each text has."""
+        words, which, counts = distinct(self._words(texts))
+        self.memo.prepare(set(words))
+        values, starts, sizes = joined([self.memo[w] for w in words], "<u4")
+        each = sizes[which]
+        return taken(values, starts[which], each), per_list(each, counts)
 
 
 @functools.cache
@@ -91,7 +114,6 @@ def encoder(path: str) -> Encoder:
 
 def tokens(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
     """(doc_id, part, start, ids): ids of the text (null: empty) and the separator, little-endian unsigned 32-bit; start counts in the partition."""
-    end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -100,11 +122,11 @@ def tokens(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
             for n in _cuts(whole.column(1)):
                 batch = whole.slice(done, n)
                 done += n
-                ids = [x + end for x in encoder(path).encode(batch.column(1).to_pylist())]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                values, sizes = encoder(path).encode(batch.column(1))
+                values, sizes = np.insert(values, np.cumsum(sizes), separator), sizes + 1
                 stops = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + stops - sizes), pa.array(ids, pa.binary())],
+                    [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(at + stops - sizes), binaries(values, sizes)],
                     ["doc_id", "part", "start", "ids"],
                 )
                 at += int(stops[-1])
@@ -133,8 +155,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, separat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(2).to_pylist()
-            values, edges = np.frombuffer(b"".join(packed), "<i4"), np.concatenate(([0], np.cumsum([len(x) for x in packed]) // 4))
+            values, edges = contents(batch.column(2), "<i4")
             at, lo, hi = batch.column(1).to_numpy(), edges[:-1], edges[1:]
             n = hi - lo
             count = (at + n - 1) // length - at // length + 1

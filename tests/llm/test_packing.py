@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quietlake.llm import packing
@@ -55,6 +57,9 @@ def test_awkward_rows(spark):
 
 def test_words_equal_whole_texts():
     e, t = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    texts = ["a\x01b c \x01", "<|endoftext|> x", "\tq w e\x1cz", "é ́x", "ΣΑΣ ΣΣ", "", " ", "\n\n a  b \n", "I'LL don't", "１２３ ½ Ⅷ"]
-    for text, ids in zip(texts, e.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = ["a\x01b c \x01", "<|endoftext|> x", "\tq w e\x1cz", "é ́x", "ΣΑΣ ΣΣ", "", " ", "\n\n a  b \n", "I'LL don't", "１２３ ½ Ⅷ", None]
+    texts += ["Ångström's ÉCOLE, naïve. Größe\nfür. ªb ºc µm ÿ Ÿ ß ẞ İ ı", "b. c, d.e ,f .g. h.. i., j", "x" * 31 + " " + "y" * 32 + " " + "ñ" * 70]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abzÀÉßñÿªº.,'’ \n09-\u0301İſK中") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    values, sizes = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
