@@ -12,17 +12,23 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
 from .memo import Memo
+from .ragged import binaries, contents, distinct, joined, per_list, taken
+
+#: Marks a piece that follows no space; a text that holds it is encoded whole.
+FIRST = "\r"
+#: White space other than single spaces and newlines, in any script.
+ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}"
 
 
 def rank_path() -> str:
@@ -83,28 +89,40 @@ class PerfectHash:
         return self.values[s] if self.keys[s] == key else -1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """ids of a pre-token that is not a token itself."""
-    n = len(piece)
-    parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left id and right id as one number -> id of the token that the two make, which is its rank."""
+    out = {}
+    for token, i in ranks.items():
+        for at in range(1, len(token)):
+            left, right = ranks.get(token[:at]), ranks.get(token[at:])
+            if left is not None and right is not None:
+                out[left << 24 | right] = i
+    return out
+
+
+def merge(parts: list[int], pairs: dict[int, int]) -> list[int]:
+    """ids of a pre-token that is not a token itself, from the ids of its bytes: the heap holds (rank, place) as one number."""
+    n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = ranks.get
-    heap = [(r, i) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    rank, push, pop = pairs.get, heapq.heappush, heapq.heappop
+    heap = [r << 32 | i for i in range(n - 1) if (r := rank(parts[i] << 24 | parts[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        r, i = heapq.heappop(heap)
-        left = parts[i]
-        if left is None or (j := after[i]) >= n or rank(both := left + parts[j]) != r:
+        top = pop(heap)
+        r, i = top >> 32, top & 0xFFFFFFFF
+        left, j = parts[i], after[i]
+        if left < 0 or j >= n or rank(left << 24 | parts[j]) != r:
             continue
-        parts[i], parts[j] = both, None
+        parts[i], parts[j] = r, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (r := rank(both + parts[k])) is not None:
-                heapq.heappush(heap, (r, i))
-        if (h := before[i]) >= 0 and (r := rank(parts[h] + both)) is not None:
-            heapq.heappush(heap, (r, h))
-    return [ranks[p] for p in parts if p is not None]
+            if (new := rank(r << 24 | parts[k])) is not None:
+                push(heap, new << 32 | i)
+        h = before[i]
+        if h >= 0 and (new := rank(parts[h] << 24 | r)) is not None:
+            push(heap, new << 32 | h)
+    return [p for p in parts if p >= 0]
 
 
 class Codec:
@@ -114,17 +132,21 @@ class Codec:
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pairs = pair_table(self.ranks)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        self.first = Memo(lambda chunks: [self._chunk(c) for c in chunks], 60_000)
-        self.spaced = Memo(lambda chunks: [self._chunk(" " + c) for c in chunks], 200_000)
+        ids = sorted(t for t in self.ranks.values())
+        by_id = {i: t for t, i in self.ranks.items()}
+        self.bytes, starts, sizes = joined([by_id[i] for i in ids], "u1")
+        self.starts, self.sizes = np.zeros(ids[-1] + 1, np.int64), np.zeros(ids[-1] + 1, np.int64)
+        self.starts[ids], self.sizes[ids] = starts, sizes
+        self.memo = Memo(lambda pieces: [self._piece(p) for p in pieces], 200_000)
         self.line = self._chunk("\n")
-        self.odd = re.compile(r"[^\S \n]|[ \n]{2}")
 
     def pretoken(self, text: str) -> list[int]:
         piece = text.encode("utf-8", "surrogatepass")
         found = self.whole.get(piece)
-        return [found] if found >= 0 else merge(piece, self.ranks)
+        return [found] if found >= 0 else merge([self.single[b] for b in piece], self.pairs)
 
     def _chunk(self, text: str) -> bytes:
         out: list[int] = []
@@ -132,22 +154,37 @@ class Codec:
             out += self.pretoken(p)
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each whole text."""
-        cut = [None if self.odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self.first.prepare({line[0] for lines in cut if lines for line in lines})
-        self.spaced.prepare({c for lines in cut if lines for line in lines for c in line[1:]})
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        out = []
-        for t, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self._chunk(t))
-            else:
-                out.append(self.line.join([b"".join([first(line[0]), *map(spaced, line[1:])]) for line in lines]))
-        return out
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _piece(self, piece: str) -> bytes:
+        """Pieces that follow no space are marked by FIRST, the first one of a line by its newline; all others follow a space."""
+        if piece.startswith(FIRST):
+            return self._chunk(piece[1:])
+        return self.line + self._chunk(piece[1:]) if piece.startswith("\n") else self._chunk(" " + piece)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end (null: none), and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        # a full stop or comma between a letter and white space or the end is a pre-token of its own
+        stops = pc.replace_substring_regex(pc.if_else(odd, "", texts), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n]|$)", rf"\1 {FIRST}\2\3")
+        plain = pc.binary_join_element_wise(FIRST, pc.replace_substring(stops, "\n", " \n"), "")
+        pieces, which, counts = distinct(pc.split_pattern(plain, " "))
+        self.memo.prepare(set(pieces))
+        values, starts, sizes = joined([self.memo[p] for p in pieces], "<u4")
+        each = sizes[which]
+        out, n = taken(values, starts[which], each), per_list(each, counts)
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return out, n
+        whole = [self._chunk(texts[int(i)].as_py()) for i in at]
+        more, begin, size = joined(whole, "<u4")
+        first = np.cumsum(n) - n
+        first[at], n[at] = begin + len(out), size
+        return taken(np.concatenate([out, more]), first, n), n
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and how many each text has."""
+        sizes = self.sizes[ids]
+        return taken(self.bytes, self.starts[ids], sizes), per_list(sizes, counts)
 
 
 @functools.cache
@@ -167,10 +204,10 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = codec(path).encode([t or "" for t in batch.column(1).to_pylist()])
-        out = [batch.column(0), pa.array(ids, pa.binary())]
+        ids, counts = codec(path).encode(batch.column(1))
+        out = [batch.column(0), binaries(ids, counts)]
         if decoded:
-            out.append(pa.array(map(codec(path).decode, ids), pa.binary()))
+            out.append(binaries(*codec(path).decode(ids, counts)))
         yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -182,8 +219,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or rank_path()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = [codec(path).decode(x or b"") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+        ids, edges = contents(pc.fill_null(batch.column(1), b""), "<u4")
+        yield pa.RecordBatch.from_arrays([batch.column(0), binaries(*codec(path).decode(ids, np.diff(edges)))], ["doc_id", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return map_texts(encoded.select("doc_id", "ids"), work, f"doc_id {kind}, decoded binary", text="ids")
