@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quietlake.llm import simhash
 
-from .helpers import awkward, documents, empty
+from .helpers import PROSE, awkward, documents, empty
 
 
 def brute_fingerprint(text, k):
@@ -100,6 +101,31 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 1 for i in range(2, 61)) and all(got[i] == 100 for i in range(101, 160))
 
 
+def test_longer_keys_find_the_same(spark):
+    """All key lengths give the components of brute force."""
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    for f in list(fps):
+        for n in (2, 3, 4, 4, 5):
+            g = f
+            for b in rng.sample(range(64), n):
+                g ^= 1 << b
+            fps.add(g)
+    fps = sorted(fps)
+    want = brute_components(fps, list(range(len(fps))))
+    for _, sets in simhash.KEYS:
+        found = {r.node: r.root for r in simhash.components(simhash.links(_nodes(spark, fps), 1000, sets)).collect()}
+        assert {i: found.get(i, i) for i in range(len(fps))} == want
+    assert [len(simhash.keys_for(n)) for n in (10, 1 << 23, 1 << 30)] == [2, 4, 22]
+
+
+def test_a_row_without_an_id_is_a_bridge(spark, monkeypatch):
+    prints = {"a": 0, "b": 0x0F, "c": 0xFF}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, n: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for p in prints.items() for x in p]), F.col("text")).cast("long").alias("fp")))
+    got = simhash.near_duplicates(documents(spark, [(1, "a"), (None, "b"), (2, "c")])).collect()
+    assert [r.component_id for r in got] == [1, 1, 1]
+
+
 def test_pairs_are_given_once(spark):
     nodes = _nodes(spark, [0, 1, 3, 7, 15, 1 << 63])
     pairs = simhash.links(nodes).collect()
@@ -132,6 +158,9 @@ def test_similar_documents(spark):
 
 def test_similar_documents_awkward(spark):
     got = simhash.similar_documents(awkward(spark)).collect()
+    repeated = documents(spark, [(5, PROSE), (5, "another text of the same number altogether"), (5, PROSE), (6, PROSE), (None, PROSE)])
+    kept = simhash.first_of_each(repeated, simhash.similar_documents(repeated)).collect()
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in kept) == [(0, PROSE[:7]), (5, "another"), (5, PROSE[:7])]
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 7)]
     assert simhash.similar_documents(empty(spark)).count() == 0
 
