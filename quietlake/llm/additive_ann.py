@@ -3,8 +3,9 @@
 Unit vectors are approximated by sums of codewords, one from each of BOOKS full-dimensional
 codebooks. The books start as k-means of successive residuals on a bounded sample and are then
 refitted jointly by least squares; every row is encoded by a beam search and keeps its codes and
-the norm of its approximation. A query scores a block of rows by table look-ups (one table of
-inner products per query) over the stored norm; the shortlist of each block is reranked by the
+the norm of its approximation. Only codes and norms meet the queries: a query scores every row
+by table look-ups (one table of inner products per query) over the stored norm. The shortlists of
+the blocks are merged to one of each query, and only its rows are fetched to be reranked by the
 exact cosine of the original vectors.
 """
 
@@ -14,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .vectors import best, blocks_of, bucket, matrix, sample, valid_vectors
+from .vectors import answer, best, blocks_of, bucket, matrix, sample, valid_vectors
 
 #: Bound of the training sample. Every row is encoded and searched.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 16, 128, 4
-BLOCK_ROWS, QUERY_ROWS, SHORTLIST = 4096, 1024, 256
+BLOCK_ROWS, QUERY_ROWS, SHORTLIST = 65_536, 1024, 512
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -78,7 +79,14 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(books)), np.uint8)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, also of vectors so large or small that squares overflow or vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
 def _encoded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """(row, vec_id, codes, norm)."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,69 +94,85 @@ def _encoded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = matrix(part.column(1), part.num_rows)
-                codes = encode(x / np.sqrt((x**2).sum(1, keepdims=True)), b)
+                codes = encode(scaled(matrix(part.column(2), part.num_rows)), b)
                 norm = np.sqrt((sum(b[i][codes[:, i]] for i in range(len(b))) ** 2).sum(1))
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.array(norm)], ["vec_id", "vec", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array(norm)], ["row", "vec_id", "codes", "norm"])
 
-    return vectors.mapInArrow(run, "vec_id long, vec array<double>, codes binary, norm double")
+    return vectors.mapInArrow(run, "row long, vec_id long, codes binary, norm double")
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, k: int, shortlist: int) -> list[tuple[int, int, float]]:
-    """(query id, vec id, cosine) of each query's k best of the block's shortlist."""
-    order = np.argsort(ids, kind="stable")
-    x, ids, codes, norm = x[order], ids[order], codes[order], norm[order]
-    length = np.sqrt((x * x).sum(1))
-    look = np.einsum("qd,mkd->qmk", q, books)
-    out = []
+def shortlists(q: np.ndarray, q_rows: np.ndarray, rows: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the row, score) of the `most` best rows of a block for each query, its own row apart."""
+    look = np.einsum("qd,mkd->qmk", q, books).astype(np.float32)
+    down = np.maximum(norm, 1e-12).astype(np.float32)
+    who, which, scores = [], [], []
+    columns = [np.ascontiguousarray(codes[:, m]) for m in range(len(books))]
     for i in range(len(q)):
-        score = sum(look[i, m][codes[:, m]] for m in range(len(books))) / np.maximum(norm, 1e-12)
-        few = min(shortlist + 1, len(ids))
-        at = np.argsort(-score, kind="stable")[:few]
-        at = at[ids[at] != q_ids[i]]
-        exact = (x[at] * q[i]).sum(1) / (length[at] * np.sqrt((q[i] * q[i]).sum()))
-        top = np.lexsort((ids[at], -exact))[:k]
-        out += [(int(q_ids[i]), int(ids[at[t]]), float(exact[t])) for t in top]
-    return out
+        score = look[i, 0][columns[0]]
+        for m in range(1, len(books)):
+            score += look[i, m][columns[m]]
+        score /= down
+        score[rows == q_rows[i]] = -np.inf
+        few = min(most, len(rows))
+        at = np.argpartition(-score, few - 1)[:few]
+        at = at[score[at] > -np.inf]
+        who.append(np.full(len(at), i)), which.append(at), scores.append(score[at])
+    return np.concatenate(who), np.concatenate(which), np.concatenate(scores).astype(float)
 
 
 def nearest(rows: DataFrame, k: int = 5, every: int = 50, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest cosines that the search finds for each query.
 
     rows: vec_id and embedding. Queries are the rows whose vec_id is divisible by `every`,
-    candidates every row with another vec_id; ties go to the smaller vec_id. Zero vectors, and
-    what valid_vectors() leaves out, take no part. Repeated vec_ids are candidates each by
-    itself; as queries they count once. An empty table gives no rows.
+    candidates every other row; ties go to the smaller vec_id. Zero vectors, and what
+    valid_vectors() leaves out, take no part. Rows of a repeated vec_id are queries and candidates
+    each by itself, of each other too. An empty table gives no rows.
     """
-    vectors = valid_vectors(rows).where(F.exists("vec", lambda x: x != 0))
-    vectors = written(vectors, "vectors")
+    vectors = valid_vectors(rows.where(F.exists("embedding", lambda x: x != 0)))
     n = vectors.count()
     if not n:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    x = sample(vectors, SAMPLE, n)
-    books = train(x / np.sqrt((x**2).sum(1, keepdims=True)))
-    coded = written(_encoded(vectors, books).withColumn("block", bucket(blocks_of(n, BLOCK_ROWS))), "codes")
-    asked = coded.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec").dropDuplicates(["vec_id"])
-    batches, blocks = blocks_of(asked.count(), QUERY_ROWS), blocks_of(n, BLOCK_ROWS)
+    books = train(scaled(sample(vectors, SAMPLE, n)))
+    blocks = blocks_of(n, BLOCK_ROWS)
+    coded = written(_encoded(vectors, books).withColumn("block", bucket(blocks)), "codes")
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    batches = blocks_of(asked.count(), QUERY_ROWS)
     each = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
     left = coded.select("*", each(batches, "batch"))
     right = asked.withColumn("batch", bucket(batches)).select("*", each(blocks, "block"))
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def run(key: tuple, d: pa.Table, q: pa.Table) -> pa.Table:
-        found = []
+        who = which = np.zeros(0, np.int64)
+        score = np.zeros(0)
         if d.num_rows and q.num_rows:
             codes = np.frombuffer(b"".join(d["codes"].to_pylist()), np.uint8).reshape(d.num_rows, -1)
-            found = search_block(
-                matrix(q["vec"], q.num_rows), q["vec_id"].to_numpy(), matrix(d["vec"], d.num_rows), d["vec_id"].to_numpy(),
-                codes, d["norm"].to_numpy(), shared.value, k, shortlist,
-            )
-        a, b, s = zip(*found) if found else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    part = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(run, "query_id long, vec_id long, score double")
-    return best(part, k, "double")
+            who, which, score = shortlists(scaled(matrix(q["vec"], q.num_rows)), q["row"].to_numpy(), d["row"].to_numpy(), codes, d["norm"].to_numpy(), shared.value, shortlist)
+        return pa.table([q["row"].take(pa.array(who)), d["row"].take(pa.array(which)), pa.array(score)], ["query", "row", "score"])
+
+    part = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(run, "query long, row long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row"))
+    chosen = part.withColumn("_n", place).where(F.col("_n") <= shortlist).select("query", "row")
+    exact = chosen.join(vectors, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                x, q = (matrix(b.column(i), b.num_rows) for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cosines(q, x))], ["query", "query_id", "vec_id", "row", "score"])
+
+    scored = exact.select("query", "query_id", "vec_id", "row", "vec", "q").mapInArrow(rerank, "query long, query_id long, vec_id long, row long, score double")
+    return answer(best(scored, k), "double")
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; huge and tiny vectors are scaled by their largest component first."""
+    top = [np.abs(x).max(1, keepdims=True) for x in (a, b)]
+    far = [np.where((t > 1e100) | (t < 1e-100), t, 1.0) for t in top]
+    a, b = a / far[0], b / far[1]
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .vectors import best, blocks_of, bucket, matrix, sample, valid_vectors
+from .vectors import answer, best, blocks_of, bucket, matrix, sample, valid_vectors
 
 #: Bound of the vectors from which centres are chosen, and of the centres: both fit on the driver.
 SAMPLE, CELLS = 20_000, 4096
@@ -83,10 +83,10 @@ def _bounds(cq: np.ndarray, rq: float, nq: float, centers: np.ndarray, radii: np
     return most + SLACK * (np.abs(most) + norms * nq + 1)
 
 
-def dual_search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, float]]:
-    """(query id, vec id, score) of each query's k best in data that reach its floor; own ids apart."""
-    order = np.argsort(d_ids, kind="stable")
-    data, d_ids = data[order], d_ids[order]
+def dual_search(queries: np.ndarray, q_rows: np.ndarray, data: np.ndarray, d_ids: np.ndarray, d_rows: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(place of the query, vec id, row, score) of each query's k best in data that reach its floor; its own row apart."""
+    order = np.lexsort((d_rows, d_ids))
+    data, d_ids, d_rows = data[order], d_ids[order], d_rows[order]
     qt, dt = CoverTree(queries), CoverTree(data)
     kth = floor.copy()
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
@@ -122,7 +122,7 @@ def dual_search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids:
             at, step = at + step, step * 2
             scores = queries[mine] @ data[cand].T
             for i, qi in enumerate(mine.tolist()):
-                ok = (scores[i] >= kth[qi]) & (d_ids[cand] != q_ids[qi])
+                ok = (scores[i] >= kth[qi]) & (d_rows[cand] != q_rows[qi])
                 if ok.any():
                     s = np.concatenate([found[qi][0], scores[i][ok]])
                     p = np.concatenate([found[qi][1], cand[ok]])
@@ -130,7 +130,7 @@ def dual_search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids:
                     found[qi] = (s[top], p[top])
                     if len(top) == k:
                         kth[qi] = max(kth[qi], s[top[-1]])
-    return [(int(q_ids[i]), int(d_ids[p]), float(s)) for i, (ss, pp) in enumerate(found) for s, p in zip(ss, pp)]
+    return [(i, int(d_ids[p]), int(d_rows[p]), float(s)) for i, (ss, pp) in enumerate(found) for s, p in zip(ss, pp)]
 
 
 def _net_of(points: np.ndarray, most: int) -> np.ndarray:
@@ -146,8 +146,9 @@ def _net_of(points: np.ndarray, most: int) -> np.ndarray:
 
 
 def _assigned(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(vec_id, vec, cell, dist) of the nearest centre."""
+    """(row, vec_id, vec, cell, dist) of the nearest centre."""
     shared = vectors.sparkSession.sparkContext.broadcast(centers)
+    names = ["row", "vec_id", "vec", "cell", "dist"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -155,46 +156,77 @@ def _assigned(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = matrix(part.column(1), part.num_rows)
+                x = matrix(part.column(2), part.num_rows)
                 cell = (x @ c.T - half).argmax(1)
                 dist = np.sqrt(((x - c[cell]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(dist)], ["vec_id", "vec", "cell", "dist"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(dist)], names)
 
-    return vectors.mapInArrow(run, "vec_id long, vec array<double>, cell int, dist double")
+    return vectors.mapInArrow(run, "row long, vec_id long, vec array<double>, cell int, dist double")
+
+
+def _batches(centers: np.ndarray, queries: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """cell -> (first batch, batches): neighbouring cells share a batch of about QUERY_ROWS queries, a fuller cell has several of its own.
+
+    Cells are taken in a chain of nearest neighbours; there are at most CELLS.
+    """
+    left, chain = sorted(queries), []
+    at = left[0] if left else 0
+    while left:
+        left.remove(at)
+        chain.append(at)
+        if left:
+            at = left[int(((centers[left] - centers[at]) ** 2).sum(1).argmin())]
+    out, batch, filled = {}, 0, 0
+    for cell in chain:
+        n = queries[cell]
+        if filled and filled + n > QUERY_ROWS:
+            batch, filled = batch + 1, 0
+        count = blocks_of(n, QUERY_ROWS)
+        out[cell] = (batch, count)
+        if count > 1:
+            batch, filled = batch + count, 0
+        else:
+            filled += n
+    return out
+
+
+_FOUND = "query long, query_id long, vec_id long, row long, score double"
 
 
 def _visit(data: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """Partial results of the (cell, batch) pairs in visits: data rows meet the batch's queries block by block.
 
-    data: vec_id, vec, cell, block; queries: vec_id, vec, batch, kth; visits: cell, batch, blocks.
+    data: row, vec_id, vec, cell, block; queries: row, vec_id, vec, batch, group, kth; visits: batch, group, cell, blocks.
     """
-    left = data.join(visits.select("cell", "batch").distinct(), "cell").select("cell", "block", "batch", "vec_id", "vec")
+    left = data.join(visits.select("cell", "batch").distinct(), "cell").select("cell", "block", "batch", "row", "vec_id", "vec")
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     right = queries.drop("cell").join(visits.select("cell", "batch", "group", "blocks"), ["batch", "group"])
-    right = right.select("cell", "batch", "vec_id", "vec", "kth", blocks)
+    right = right.select("cell", "batch", "row", "vec_id", "vec", "kth", blocks)
 
     def run(key: tuple, d: pa.Table, q: pa.Table) -> pa.Table:
-        rows = []
+        rows: list = []
         if d.num_rows and q.num_rows:
-            q_ids, d_ids = q["vec_id"].to_numpy(), d["vec_id"].to_numpy()
-            rows = dual_search(matrix(q["vec"], q.num_rows), q_ids, matrix(d["vec"], d.num_rows), d_ids, k, q["kth"].to_numpy())
-        a, b, s = zip(*rows) if rows else ((), (), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+            args = matrix(q["vec"], q.num_rows), q["row"].to_numpy(), matrix(d["vec"], d.num_rows), d["vec_id"].to_numpy(), d["row"].to_numpy()
+            rows = dual_search(*args, k, q["kth"].to_numpy())
+        i, b, r, s = (np.array(x) for x in (zip(*rows) if rows else ((), (), (), ())))
+        at = pa.array(i.astype(np.int64))
+        columns = [q["row"].take(at), q["vec_id"].take(at), pa.array(b.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(s.astype(float))]
+        return pa.table(columns, ["query", "query_id", "vec_id", "row", "score"])
 
     keys = ("cell", "block", "batch")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, quantise: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score (a long if quantised): the k largest inner products of each query.
 
     rows: vec_id and embedding. Queries are the rows whose vec_id is divisible by `every`,
-    candidates every row with another vec_id, ties to the smaller vec_id; fewer candidates than
-    k give fewer rows. What takes no part: see valid_vectors(). Repeated vec_ids are candidates
-    each by itself, and as queries give their k rows once. An empty table gives no rows.
+    candidates every other row, ties to the smaller vec_id; fewer candidates than k give fewer
+    rows. What takes no part: see valid_vectors(). Rows of a repeated vec_id are queries and
+    candidates each by itself, of each other too. An empty table gives no rows.
     """
     change = (lambda x: F.floor(256 * x).cast("double")) if quantise else (lambda x: x)
-    vectors = written(valid_vectors(rows, change), "vectors")
+    vectors = valid_vectors(rows, change)
     n = vectors.count()
     kind = "long" if quantise else "double"
     if not n:
@@ -203,12 +235,17 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, quantise: bool = True) -
     cells = written(_assigned(vectors, centers), "cells")
     spark = rows.sparkSession
 
-    sizes = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
+    # one row for each cell, of which there are at most CELLS
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    per_cell = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.count_if(is_query).alias("q")).collect()
+    sizes = {r["cell"]: (r["n"], r["radius"]) for r in per_cell}
     blocks = spark.createDataFrame([(c, blocks_of(s[0], BLOCK_ROWS)) for c, s in sizes.items()], "cell int, blocks int")
     data = cells.join(F.broadcast(blocks), "cell").withColumn("block", bucket(F.col("blocks"))).drop("blocks", "dist")
 
-    asked = cells.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    asked = asked.withColumn("batch", bucket(blocks_of(asked.count(), QUERY_ROWS))).withColumn("group", F.col("cell"))
+    dealt = _batches(centers, {r["cell"]: r["q"] for r in per_cell if r["q"]})
+    batches = spark.createDataFrame([(c, *b) for c, b in dealt.items()], "cell int, first int, count int")
+    asked = cells.where(is_query).join(F.broadcast(batches), "cell")
+    asked = asked.withColumn("batch", F.col("first") + bucket(F.col("count"))).withColumn("group", F.col("cell")).drop("first", "count")
     asked = written(asked, "queries")
     known = np.array(sorted(sizes))
     radii = np.array([sizes[c][1] for c in known.tolist()])
@@ -234,14 +271,12 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, quantise: bool = True) -
         return groups.select("batch", "group", "radius", "kth").mapInArrow(run, "batch int, group int, cell int, blocks int")
 
     low = F.lit(float("-inf"))
-    none = asked.withColumn("kth", low)
-    first = written(_visit(data, none, choose(groups.withColumn("kth", low), True), k), "first")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    worst = first.withColumn("rank", ranked).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    with_kth = asked.join(worst, "vec_id", "left").withColumn("kth", F.coalesce("kth", low))
+    first = written(_visit(data, asked.withColumn("kth", low), choose(groups.withColumn("kth", low), True), k), "first")
+    worst = best(first, k).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
+    with_kth = asked.join(worst, "row", "left").withColumn("kth", F.coalesce("kth", low))
     reach = with_kth.groupBy("batch", "group").agg(F.max("dist").alias("radius"), F.min("kth").alias("kth"))
     rest = _visit(data, with_kth, choose(reach, False), k)
-    return best(first.union(rest), k, kind)
+    return answer(best(first.union(rest), k), kind)
 
 
 def op8_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,15 +287,15 @@ QUERIES = {"op8_dual_cover_tree": op8_dual_cover_tree}
 ORACLE_SQL = {
     "op8_dual_cover_tree": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  SELECT q.k AS q, q.vec_id AS query_id, c.k, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.k <> c.k
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, k) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

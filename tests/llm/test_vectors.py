@@ -130,3 +130,25 @@ def test_awkward_vectors(spark):
     assert {r.query_id for r in got} <= {i for i, v in usable(awkward()) if v.any()}
     ties = [r for r in got if r.query_id == 1000]
     assert sorted(r.vec_id for r in ties) == [7, 1001, 1002, 1003, 1004]
+
+
+def test_repeated_ids_and_one_odd_vector(spark):
+    """Rows of one vec_id are candidates of each other; one vector of another length changes nothing."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 50)] + [(50, [1.0, 2.0, 3.0, 4.0]), (50, [1.0, 2.0, 3.0, 4.1]), (50, [1.0, 2.0, 3.0, 4.1])]
+    for found in (cover_tree.top_k, additive_ann.nearest):
+        got = found(table(spark, [*rows, (51, [9.0] * 5)])).collect()
+        assert [r.query_id for r in got] == [50] * 15 and sorted(r.rank for r in got) == sorted([1, 2, 3, 4, 5] * 3)
+        assert sorted(r.vec_id for r in got if r.rank <= 2) == [50] * 6
+
+
+def test_huge_and_tiny_vectors(spark):
+    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) * s for _ in range(4)]) for i, s in enumerate([1e300, 1e-300, 1.0] * 20)]
+    got = additive_ann.nearest(spark.createDataFrame(rows, kind)).collect()
+    assert len(got) == 10 and all(math.isfinite(r.score) and abs(r.score) <= 1 + 1e-9 for r in got)
+    unit = {i: np.array(v) / abs(np.array(v)).max() for i, v in rows}
+    for r in got:
+        a, b = unit[r.query_id], unit[r.vec_id]
+        assert abs(r.score - a @ b / math.sqrt((a @ a) * (b @ b))) < 1e-9
