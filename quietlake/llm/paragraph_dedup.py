@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_texts, table, written
@@ -348,17 +348,46 @@ def grown(docs: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> Da
     return map_texts(both, work, "doc_id long, start int, stop int, class_doc long, keep boolean")
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a doc_id of its own for each text, and (uid, doc_id) of the texts that had to share one (None if none had to).
+
+    The text of the smallest hash keeps the doc_id; others get a large number made of both.
+    """
+    docs = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    h = F.xxhash64("text")
+    spread = docs.groupBy("doc_id").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi")).where("_lo <> _hi").select("doc_id", "_lo")
+    spread = written(spread, "sharedids")
+    if not spread.take(1):
+        return docs, None
+    made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))
+    both = docs.join(spread, "doc_id", "left").withColumn("_uid", F.when(F.col("_lo").isNull() | (h == F.col("_lo")), F.col("doc_id")).otherwise(made))
+    names = both.where("_lo IS NOT NULL").select(F.col("_uid").alias("uid"), "doc_id").distinct()
+    return both.withColumn("doc_id", F.col("_uid")).select(*docs.columns), written(names, "uids")
+
+
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Repeated passages: doc_id, start, words (counted in words of the text), class_doc, keep.
 
     One row per run of units of the same fate: keep for the first places of their classes,
     not keep for removals; class_doc is the smallest doc_id that the run's first unit repeats in.
     Only classes over at least two documents count; documents without such a unit have no rows. A null
-    or short text has no units. Repeated doc_ids count as one document. Documents without a
-    doc_id take no part. An empty table gives no rows; other columns are not read.
+    or short text has no units. Rows of one doc_id with different texts are documents of their
+    own, equal rows are one. Documents without a doc_id take no part. An empty table gives no
+    rows; other columns are not read.
     """
+    own, names = identified(docs.select("doc_id", "text"))
+    return _named(_repeats(own, threshold, block), names)
+
+
+def _named(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    for c in ("doc_id", "class_doc") if names is not None else ():
+        known = names.select(F.col("uid").alias(c), F.col("doc_id").alias("_name"))
+        found = found.join(known, c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+    return found.select("doc_id", "start", "words", "class_doc", "keep")
+
+
+def _repeats(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     bands, rows = tuned_bands(threshold)
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     found = written(units(docs, bands, rows), "units")
     lines_found = found.where("keys IS NOT NULL")
     contents = _places(lines_found)
@@ -375,25 +404,27 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
         "doc_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.col("head.doc_id").alias("class_doc"),
         ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("keep"),
     )
-    each = each.unionByName(grown(docs, found.where("keys IS NULL"), threshold)).distinct()
-    per_doc = each.groupBy("doc_id", "keep").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "class_doc"))).alias("u"))
-    return per_doc.select("doc_id", "keep", F.explode(_joined(F.col("u"))).alias("r")).select(
-        "doc_id", "r.start", (F.col("r.stop") - F.col("r.start")).alias("words"), "r.class_doc", "keep"
-    )
-
-
-def _joined(spans: Column) -> Column:
-    """Overlapping or touching spans as one; linear, since a run is closed when the next one begins."""
-    far = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["class_doc"].alias("class_doc")))
-    empty = F.filter(far, lambda _: F.lit(False))
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        more = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["class_doc"].alias("class_doc"))
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & (s["start"] <= last["stop"]), F.concat(head, F.array(more))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(far, empty, step)
+    return _joined(each.unionByName(grown(docs, found.where("keys IS NULL"), threshold)))
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Overlapping or touching spans of a document and fate as one; a document's spans are bounded by its text."""
+    w = Window.partitionBy("doc_id", "keep").orderBy("start", "stop", "class_doc")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("_new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    runs = begins.withColumn("_run", F.sum("_new").over(w)).groupBy("doc_id", "keep", "_run")
+    out = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("class_doc", F.struct("start", "stop", "class_doc")).alias("class_doc"))
+    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("words"), "class_doc", "keep")
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """docs without the passages that an earlier document has, and without documents of which nothing is left; rows without a doc_id stay as they are."""
+    own, names = identified(docs)
+    out = without(own, _repeats(own.select("doc_id", "text"), threshold, block).where("NOT keep"))
+    if names is not None:
+        out = out.join(names.select(F.col("uid").alias("doc_id"), F.col("doc_id").alias("_name")), "doc_id", "left").withColumn("doc_id", F.coalesce("_name", "doc_id"))
+    kind = docs.schema["doc_id"].dataType
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without(docs: DataFrame, removals: DataFrame) -> DataFrame:

@@ -173,3 +173,59 @@ def test_a_shared_run_of_25_words_has_a_seed_in_common():
         p = text(rng, P.SEED + P.WINNOW - 1)
         a, b = (P.doc_units(f"{text(rng, rng.randint(10, 40))} {p} {text(rng, rng.randint(10, 40))}", 8, 3)[2].tolist() for _ in range(2))
         assert set(a) & set(b)
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    rng = random.Random(21)
+    p, q = text(rng, 60), text(rng, 60)
+    rows = [(1, p + "\n" + text(rng, 30)), (1, "short"), (1, text(rng, 20) + "\n" + p), (2, q), (2, q), (2, text(rng, 90)), (None, p)]
+    got = {(r.doc_id, r.words, r.class_doc, r.keep) for r in P.repeats(documents(spark, rows)).collect()}
+    assert got == {(1, 60, 1, True), (1, 60, 1, False)}
+    out = P.deduplicated(documents(spark, rows)).collect()
+    assert len(out) == len(rows) and sum(p in r.text for r in out) == 2 and sorted(r.text for r in out if r.doc_id == 2) == sorted(t for d, t in rows if d == 2)
+
+
+def test_lines_against_all_pairs(spark):
+    """All lines go that all-pairs Jaccard similarity puts into a class with an earlier one."""
+    rng = random.Random(31)
+    heads = [words(rng, rng.randint(30, 70)) for _ in range(40)]
+    rows = []
+    for d in range(150):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            w = list(rng.choice(heads)) if rng.random() < 0.4 else words(rng, rng.randint(24, 60))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 10**6))
+            lines.append(" ".join(w))
+        rows.append((d, "\n".join(lines)))
+    units = [(d, i, line) for d, t in rows for i, line in enumerate(t.split("\n"))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (u[2].split() for u in units)]
+    root = list(range(len(units)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(units)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    of = {}
+    for i, u in enumerate(units):
+        of.setdefault(find(i), []).append(u)
+    want = {(d, i) for c in of.values() if len({u[0] for u in c}) > 1 for d, i, _ in sorted(c)[1:]}
+    lengths = {d: [len(line.split()) for line in t.split("\n")] for d, t in rows}
+    gone = {}
+    for r in P.repeats(documents(spark, rows)).where("NOT keep").collect():
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.words))
+    got = set()
+    for d, n in lengths.items():
+        at = 0
+        for i, size in enumerate(n):
+            if set(range(at, at + size)) <= gone.get(d, set()):
+                got.add((d, i))
+            at += size
+    # lines of stretches that several earlier passages hold go too
+    assert want and want <= got and len(got - want) <= 0.1 * len(want)
