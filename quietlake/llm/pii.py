@@ -2,8 +2,10 @@
 
 Every text is searched for candidate spans: the base shapes (always kept when valid) and looser
 ones, such as card numbers inside a longer run, numbers without a plus, spelled-out addresses and
-credentials after a keyword. Three labelers vote on each candidate: its own shape, a gazetteer
-of cue words to its left, and its neighbouring characters. Spark counts how often each pattern
+credentials after a keyword. Five labelers vote on each candidate: its own shape, a gazetteer
+of cue words to its left, its neighbouring characters, a register of what such values may begin or
+end with (top-level domains, address blocks, issuers, number plans, prefixes of keys), and values
+of other kinds near it. Spark counts how often each pattern
 of votes and features occurs over the whole table; expectation-maximisation on these counts
 estimates the labelers' reliabilities, and its posteriors train a logistic span classifier on
 the features. A pattern has a fixed number of values, so what reaches the driver is bounded by
@@ -50,8 +52,16 @@ GAZETTEER = {
 #: Words to the left that speak against a kind.
 AGAINST = {"version", "v", "chapter", "section", "fig", "figure", "page", "isbn", "commit", "sha", "hash", "checksum", "id", "order"}
 
-#: kind, votes of three labelers, valid, size, before, after, cue.
-PATTERNS = 5 * 27 * 2 * 4 * 4 * 4 * 3
+#: Generic top-level domains; those of two letters are countries.
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro example test invalid local".split())
+#: Country calling codes by their first digits: zones with one code, and the two-digit codes; others have three digits.
+CALLING = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9]")
+KEY_PREFIX = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|sk[-_]|pk[-_]|xox[abp]-|glpat-|npm_|hf_|eyJ)")
+#: Characters between a value and one of another kind that still count as near.
+NEAR = 120
+
+#: kind, votes of five labelers, valid, size, before, after, cue, register.
+PATTERNS = 5 * 243 * 2 * 4 * 4 * 4 * 3 * 3
 
 
 def luhn(digits: str) -> bool:
@@ -141,8 +151,27 @@ def _char(text: str, at: int) -> int:
     return 1 if text[at].isalpha() else 2 if text[at].isdigit() else 3
 
 
+def _registered(kind: int, value: str) -> int:
+    """1 if a register speaks for the value, -1 if it speaks against it, else 0."""
+    if kind == 0:
+        top = value[value.rfind(".") + 1 :].rstrip("]})").lower()
+        return 1 if top in DOMAINS or (len(top) == 2 and top.isalpha()) else -1 if top.isdigit() else 0
+    digits = _digits(value)
+    if kind == 1:
+        parts = [int(x.lstrip("0") or 0) if len(x.lstrip("0")) <= 3 else 999 for x in value.split(".")]
+        return -1 if parts[0] in (0, 127) or parts[0] >= 224 or max(parts) < 10 else 1
+    if kind == 2:
+        return 1 if digits[0] in "3456" or "2221" <= digits[:4] <= "2720" else -1
+    if kind == 3:
+        if value.startswith("+"):
+            return 1 if CALLING.match(digits) else -1
+        return 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
+    classes = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value)
+    return 1 if classes == 3 or KEY_PREFIX.match(value) else -1 if classes == 1 else 0
+
+
 def _pattern(text: str, kind: int, s: int, e: int, valid: bool, keyword: str) -> tuple[int, int]:
-    """(votes, features) of a candidate, each as one number."""
+    """(votes, features) of a candidate, each as one number; the last labeler's vote is still missing."""
     name = KINDS[kind]
     before, after = _char(text, s - 1), _char(text, e)
     left = [w.strip("()[]{}<>\"'.,;:=#*") for w in text[max(0, s - 48) : s].lower().split()[-3:]]
@@ -153,12 +182,11 @@ def _pattern(text: str, kind: int, s: int, e: int, valid: bool, keyword: str) ->
     shape = 1 if valid else -1
     if kind == 4 and valid:
         shape = 1 if size >= 20 else 0
-    gazetteer = cue - 1
     tight = before in (1, 2) or after in (1, 2)
-    context = -1 if tight else 1
-    votes = (shape + 1) * 9 + (gazetteer + 1) * 3 + context + 1
+    register = _registered(kind, text[s:e])
+    votes = (((shape + 1) * 3 + cue) * 3 + (0 if tight else 2)) * 3 + register + 1
     bucket = 0 if size < 12 else 1 if size < 20 else 2 if size < 33 else 3
-    return votes, ((((kind * 2 + valid) * 4 + bucket) * 4 + before) * 4 + after) * 3 + cue
+    return votes, (((((kind * 2 + valid) * 4 + bucket) * 4 + before) * 4 + after) * 3 + cue) * 3 + register + 1
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool, int, int]]:
@@ -170,7 +198,12 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int, int]]:
         if s >= ends.get(k, 0):
             ends[k] = e
             out.append((k, s, e, False, *_pattern(text, k, s, e, ok, word)))
-    return out
+    order = sorted(range(len(out)), key=lambda i: out[i][1:3])
+    near = [False] * len(out)
+    for i, j in zip(order, order[1:]):
+        if out[i][0] != out[j][0] and 0 <= out[j][1] - out[i][2] <= NEAR:
+            near[i] = near[j] = True
+    return [(k, s, e, ok, votes * 3 + (2 if near[i] else 1), features) for i, (k, s, e, ok, votes, features) in enumerate(out)]
 
 
 _CANDIDATE = "array<struct<kind:int,start:long,stop:long,base:boolean,votes:int,features:int>>"
@@ -214,12 +247,12 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
 def _one_hot(features: np.ndarray) -> np.ndarray:
     f = features.copy()
     columns = []
-    for size in (3, 4, 4, 4, 2, 5):
+    for size in (3, 3, 4, 4, 4, 2, 5):
         columns.append(np.eye(size)[f % size])
         f = f // size
-    kind, valid = columns[5], columns[4]
-    both = (kind[:, :, None] * valid[:, None, :]).reshape(len(features), -1)
-    return np.hstack([*columns[:4], both, np.ones((len(features), 1))])
+    kind, valid = columns[6], columns[5]
+    cross = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(features), -1)
+    return np.hstack([*columns[:5], cross(kind, valid), cross(kind, columns[0]), np.ones((len(features), 1))])
 
 
 def train(found: DataFrame) -> list[int]:
@@ -230,8 +263,8 @@ def train(found: DataFrame) -> list[int]:
         return []
     rows.sort()
     votes, features, n = (np.array(x) for x in zip(*rows))
-    split = np.stack([votes // 9, votes // 3 % 3, votes % 3], 1)
-    kinds = features // (2 * 4 * 4 * 4 * 3)
+    split = np.stack([votes // 3**i % 3 for i in (4, 3, 2, 1, 0)], 1)
+    kinds = features // (2 * 4 * 4 * 4 * 3 * 3)
     post = np.zeros(len(rows))
     for k in np.unique(kinds):
         at = kinds == k
@@ -243,7 +276,7 @@ def train(found: DataFrame) -> list[int]:
         grad = x.T @ (w * (post - p)) - 0.1 * beta
         hess = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(beta))
         beta = beta + np.linalg.solve(hess, grad)
-    valid = features // (4 * 4 * 4 * 3) % 2 == 1
+    valid = features // (4 * 4 * 4 * 3 * 3) % 2 == 1
     return sorted(set(features[(x @ beta > 0) & valid].tolist()))
 
 
@@ -310,6 +343,8 @@ def _count(kind: int) -> Column:
 def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents"))
     counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
+    secrets = F.size(F.filter("spans", lambda c: c["kind"] == KINDS.index("secret"))).cast("long").alias("n_secret")
+    counts += [secrets, F.size("spans").cast("long").alias("n_spans")]
     return out.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
