@@ -27,7 +27,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum:
 
     Law 'rows': shard counts differ by one at most. size is the UTF-8 bytes of the text (null:
     none) plus 1; the CRC of a null text is 0, as that of an empty one. A null source is a source
-    of its own, a null doc_id is ordered as an empty string. Rows equal in every column read
+    of its own, a null doc_id is ordered as an empty string; the text is part of the order, so rows
+    that share a doc_id or have none are dealt apart. Rows equal in every column read
     here are interchangeable, so any order among them gives the same result. An empty table
     gives no rows. Other columns of docs are not read.
     """
@@ -37,7 +38,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum:
     rows = docs.select(
         F.col("doc_id"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("(null)")).alias("stratum"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text).cast("string"))).alias("key"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
     ).withColumn("b", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))

@@ -3,6 +3,9 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
+import xxhash
+
 from quietlake.llm import sharding
 
 from .helpers import awkward, documents, empty
@@ -11,7 +14,8 @@ from .helpers import awkward, documents, empty
 def brute(rows, shards, seed):
     by = defaultdict(list)
     for d, text, source in rows:
-        by[source].append((hashlib.md5(f"{seed}:{d}".encode()).hexdigest(), d, zlib.crc32((text or "").encode()), len((text or "").encode()) + 1))
+        h = int(np.array([xxhash.xxh64_intdigest((text or "").encode(), seed=42)], np.uint64).view(np.int64)[0])
+        by[source].append((hashlib.md5(f"{seed}:{d}:{h}".encode()).hexdigest(), d, zlib.crc32((text or "").encode()), len((text or "").encode()) + 1))
     line = []
     for s, group in by.items():
         for i, r in enumerate(sorted(group)):
