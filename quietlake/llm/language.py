@@ -26,6 +26,8 @@ SMOOTHING = 0.5
 PENALTY = 4.0
 ROUNDS = 12
 UNDETERMINED = "und"
+#: Bound of the model, which every worker holds.
+MOST_LANGUAGES = 500
 
 
 @functools.cache
@@ -74,6 +76,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             cell = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell)), pa.array(cell), pa.array(c[cell])], ["lang", "cell", "n"])
 
+    kinds = known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if kinds > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: a model has a row of {CELLS} cells for each")
     sums = known.mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = sums.toPandas()
     langs = sorted(found["lang"].unique())

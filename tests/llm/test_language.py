@@ -62,3 +62,65 @@ def test_nothing_learned(spark):
     model = language.train(empty(spark))
     assert model[0] == []
     assert language.predict(documents(spark, [(1, "some words")]), model).first().lang_pred == "und"
+
+
+def test_predictions_against_a_plain_version(spark, data):
+    """Trigram counts, EM and elimination written out again with dictionaries, for documents of the table."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(120).cache()
+    langs, log_p = language.train(docs)
+    rows = {r.doc_id: r for r in language.predict(docs, (langs, log_p)).collect()}
+    log_p = log_p.astype("float32").astype(float)
+
+    def likelihood(theta, cells):
+        return sum(n * math.log(sum(w * math.exp(log_p[k][c]) for k, w in theta.items())) for c, n in cells.items())
+
+    def em(theta, cells, rounds):
+        total = sum(cells.values())
+        for _ in range(rounds):
+            new = dict.fromkeys(theta, 0.0)
+            for c, n in cells.items():
+                each = {k: w * math.exp(log_p[k][c]) for k, w in theta.items()}
+                z = sum(each.values())
+                for k in each:
+                    new[k] += n * each[k] / z / total
+            done = max(abs(new[k] - theta[k]) for k in theta) < 1e-3
+            theta = new
+            if done:
+                break
+        return theta
+
+    for r in docs.collect():
+        got = rows[r.doc_id]
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert got.lang_pred == "und"
+            continue
+        cells = Counter(language.trigram_cells(r.text).tolist())
+        price = language.PENALTY * math.log(sum(cells.values()) + 1)
+        single = {k: sum(n * log_p[k][c] for c, n in cells.items()) for k in range(len(langs))}
+        best = max(single, key=lambda k: (single[k], -k))
+        theta = em(dict.fromkeys(range(len(langs)), 1 / len(langs)), cells, language.ROUNDS)
+        ll = likelihood(theta, cells)
+        if ll - single[best] <= price:
+            theta = {best: 1.0}
+        else:
+            while len(theta) > 1:
+                weakest = min(theta, key=lambda k: (theta[k], k))
+                rest = {k: w for k, w in theta.items() if k != weakest}
+                size = sum(rest.values())
+                rest = em({k: w / size for k, w in rest.items()}, cells, language.ROUNDS) if len(rest) > 1 else dict.fromkeys(rest, 1.0)
+                less = likelihood(rest, cells)
+                if ll - less > price:
+                    break
+                theta, ll = rest, less
+        top = max(theta, key=lambda k: (theta[k], -k))
+        assert (got.lang_pred, sorted(got.languages)) == (langs[top], sorted(langs[k] for k in theta))
+        assert abs(got.score - theta[top] / sum(theta.values())) < 1e-3
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.train(documents(spark, [(i, "some text here", "s", f"l{i}") for i in range(9)]))
