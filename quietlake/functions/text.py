@@ -32,6 +32,20 @@ def prefix_sums(numbers: Column, block: int = 256) -> Column:
     return let(F.struct(numbers.alias("numbers"), sums.alias("sums")), places)
 
 
+def spliced(text: Column, spans: Column, new: Callable[[Column], Column]) -> Column:
+    """text with each of the spans (sorted, apart; 0-based start, stop) replaced by new(span); copies each stretch once."""
+
+    def pieces(all_: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(F.coalesce(F.get(all_, i - 1)["stop"], F.lit(0)))
+            return F.concat(F.substr(text, begin + 1, s["start"] - begin), new(s))
+
+        last = F.coalesce(F.try_element_at(all_, F.lit(-1))["stop"], F.lit(0))
+        return F.concat(F.array_join(F.transform(all_, piece), ""), F.substr(text, last + 1, F.length(text)))
+
+    return let(spans, lambda all_: F.when(F.size(all_) == 0, text).otherwise(pieces(all_)))
+
+
 #: Entities in the order in which they are decoded; the ampersand last.
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#64;", "@"), ("&amp;", "&"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_fences, redact_evidence
@@ -142,7 +142,7 @@ def visible(findings: DataFrame, hidden: DataFrame, never: str = "canary") -> Da
     """Without rows that match a hidden (signal, evidence LIKE pattern), unless the evidence holds the marker."""
     rule = hidden.select(F.col("signal").alias("h_signal"), F.col("pattern").alias("h_pattern"))
     match = (findings["signal"] == rule["h_signal"]) & F.call_function("like", findings["evidence"], rule["h_pattern"]) & ~findings["evidence"].contains(never)
-    return findings.join(F.broadcast(rule), match, "left_anti")
+    return findings.join(rule, match, "left_anti")
 
 
 def step_findings(plan: DataFrame, findings: DataFrame) -> DataFrame:
@@ -156,3 +156,162 @@ def step_findings(plan: DataFrame, findings: DataFrame) -> DataFrame:
 def verdict(worst: Column, expected: Column, covered: Column) -> Column:
     """CRITICAL always; INCONCLUSIVE if not all expected steps are covered; else the worst severity or CLEAN."""
     return F.when(worst == "CRITICAL", "CRITICAL").when(covered < expected, "INCONCLUSIVE").otherwise(F.coalesce(worst, F.lit("CLEAN")))
+
+
+#: Events that a stream of answers may have.
+KNOWN_EVENTS = (
+    "message_start", "content_block_start", "content_block_delta", "content_block_stop", "message_delta", "message_stop", "ping", "error",
+    "response.created", "response.output_text.delta", "response.completed", "",
+)
+
+
+def sse_anomalies(frames: DataFrame, unknown_most: int = 6) -> DataFrame:
+    """(sid, kind, severity, n) over frames (sid, seq, event, input_tokens, output_tokens, signature), all LOW.
+
+    unknown_event: frames of unknown kinds; output_regress: the count of output falls;
+    input_inconsistent: the counts of input differ within an answer; empty_signature: a signature that is there but empty.
+    """
+    w = Window.partitionBy("sid").orderBy("seq")
+    before = F.last("output_tokens", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    each = frames.withColumn("_regress", F.coalesce(F.col("output_tokens") < before, F.lit(False)))
+    unknown = ~F.coalesce("event", F.lit("")).isin(*KNOWN_EVENTS)
+    per = each.groupBy("sid").agg(
+        F.count_if(unknown).alias("unknown_event"), F.count_if("_regress").alias("output_regress"),
+        F.when(F.min("input_tokens") < F.max("input_tokens"), 1).otherwise(0).cast("long").alias("input_inconsistent"), F.count_if(F.col("signature") == "").alias("empty_signature"),
+    )
+    kinds = ("unknown_event", "output_regress", "input_inconsistent", "empty_signature")
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("f")
+    return per.select("sid", found).where("f.n > 0").select("sid", "f.kind", F.lit("LOW").alias("severity"), "f.n")
+
+
+def tool_rewrite(expected: Column, actual: Column) -> Column:
+    """S3 finding where a tool call does not come back as it was sent: LOW if only white space differs, else HIGH."""
+    kind = echo_class(expected, actual)
+    level = F.when(kind == "whitespace", "LOW").otherwise("HIGH")
+    shown = F.concat(F.lit("expected "), redact_evidence(expected, "call"), F.lit("; actual "), redact_evidence(actual, "call"))
+    return F.when(kind != "exact", F.struct(F.lit("S3").alias("signal"), level.alias("severity"), kind.alias("kind"), F.substring(shown, 1, 300).alias("evidence")))
+
+
+#: Instructions that matter more when somebody hides them.
+_INSTRUCTION = r"(?i)(?:ignore\s{1,4}(?:all\s{1,4})?(?:previous|prior|above)\s{1,4}instructions|(?:reveal|print|show|send)\s{1,4}(?:me\s{1,4})?(?:your|the)\s{1,4}(?:system\s{1,4}prompt|api\s{0,1}key|password|secret)|\brm\s{1,4}-rf\b|\bcurl\s[^|]{1,200}\|\s{0,4}sh\b)"
+
+
+def decoded(text: Column, most: int = 32) -> Column:
+    """array<struct<kind, text>>: readable texts hidden in a text as base64, as escaped code units or as numeric entities; the first `most` of each kind."""
+    runs = lambda p: F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))), 1, most)
+    padded = lambda r: F.rpad(F.translate(F.regexp_replace(r, "=+$", ""), "-_", "+/"), (F.ceil(F.length(F.regexp_replace(r, "=+$", "")) / 4) * 4).cast("int"), "=")
+    made = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("text"))
+    plain = F.transform(runs(r"[A-Za-z0-9+/_-]{24,4000}={0,2}"), lambda r: made("base64", F.try_to_binary(padded(r), F.lit("base64")).cast("string")))
+    escapes = F.transform(runs(r"(?:\\u[0-9a-fA-F]{4}){4,400}"), lambda r: made("escape", F.get_json_object(F.concat(F.lit('{"v":"'), r, F.lit('"}')), "$.v")))
+    code = lambda e: F.char(F.coalesce(F.regexp_extract(e, "&#([0-9]{1,7});", 1).try_cast("long"), F.lit(32)))
+    entities = F.transform(
+        runs(r"(?:&#[0-9]{2,3};){4,400}"), lambda r: made("entity", F.array_join(F.transform(F.regexp_extract_all(r, F.lit("&#[0-9]{2,3};"), F.lit(0)), code), ""))
+    )
+    return F.filter(F.concat(plain, escapes, entities), lambda d: F.coalesce(d["text"].rlike(r"^[\x20-\x7e\s\x{a0}-\x{ffff}]{4,}$"), F.lit(False)))
+
+
+def hidden_instructions(text: Column, request: Column) -> Column:
+    """S6 findings for instructions that a text holds in an encoded form and the request does not."""
+    bad = F.filter(decoded(text), lambda d: d["text"].rlike(_INSTRUCTION) & ~F.coalesce(F.contains(request, d["text"]), F.lit(False)))
+    return F.transform(bad, lambda d: F.struct(F.lit("S6").alias("signal"), F.lit("HIGH").alias("severity"), F.concat(F.lit("encoded_"), d["kind"]).alias("kind"), F.substring(redact_evidence(d["text"], "encoded"), 1, 300).alias("evidence")))
+
+
+def credential_echo(text: Column, request: Column, labels: list[str] | None = None) -> Column:
+    """S6 findings for credentials in an answer: MEDIUM if the request held them (echo), HIGH if they lead into an address, CRITICAL if they are new."""
+    from ..functions import detect as D
+
+    def one(c: Column) -> Column:
+        asked, sent = F.coalesce(F.contains(request, c["value"]), F.lit(False)), F.coalesce(text.rlike(r"https?://[^\s]{0,200}[?&]") & F.contains(F.regexp_replace(text, r"\s", " "), F.concat(F.lit("="), c["value"])), F.lit(False))
+        kind = F.when(sent, "credential_exfil").when(asked, "credential_echo").otherwise("credential_new")
+        level = F.when(sent, "HIGH").when(asked, "MEDIUM").otherwise("CRITICAL")
+        return F.struct(F.lit("S6").alias("signal"), level.alias("severity"), kind.alias("kind"), redact_evidence(c["value"], F.lower(c["label"])).alias("evidence"))
+
+    found = F.filter(D.detect(text, labels or [c for c in D.CREDENTIALS if c != "HIGHENTROPY"]), lambda s: s["label"].isin(*D.CREDENTIALS))
+    return F.transform(found, one)
+
+
+def turn_anchored(text: Column, marker: str) -> Column:
+    """Whether a marker (a pattern) stands at the beginning of a line, as a turn of a dialogue does."""
+    return F.coalesce(text.rlike(rf"(?m)^[ \t]{{0,8}}(?:{marker})"), F.lit(False))
+
+
+#: A canary that a probe plants: a fixed prefix and 12 letters or digits.
+CANARY = r"canary-[a-z0-9]{12}"
+
+
+def pollution(answers: DataFrame, nonces: DataFrame, id_column: str) -> DataFrame:
+    """(id, nonce) of answers that hold a canary of another request (id, nonce): S7, HIGH. An equi-join on the canaries found."""
+    seen = answers.select(id_column, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANARY), F.lit(0)))).alias("nonce"))
+    planted = nonces.select(F.col(id_column).alias("_owner"), "nonce")
+    return seen.join(planted, "nonce").where(F.col("_owner") != F.col(id_column)).select(id_column, "nonce", F.col("_owner").alias("planted_in")).distinct()
+
+
+def probe_plan(spark, steps: list[str], secret: str) -> DataFrame:
+    """(step, probe_id, nonce) of a run of probes: each with a canary that only the secret gives away."""
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(steps)], "n int, step string")
+    made = F.sha2(F.concat_ws(":", F.lit(secret), "n", "step"), 256)
+    return rows.select("step", F.concat(F.lit("probe-"), "n").alias("probe_id"), F.concat(F.lit("canary-"), F.substring(made, 1, 12)).alias("nonce"))
+
+
+#: Dimensions of the risk matrix and the signals that speak for each.
+MATRIX = (
+    ("leakage", ("S1", "SECRET", "PRIVATEKEY", "CONNSTR")), ("identity", ("S2", "IDCARD", "PHONE")), ("integrity", ("S3", "S4", "CARD")),
+    ("injection", ("S6", "EMAIL")), ("isolation", ("S7", "IP_PRIVATE", "IP_INTERNAL", "IP_PUBLIC")), ("action", ("S9", "TOKEN", "APIKEY")),
+)
+
+
+def matrix(findings: DataFrame, by: str, covered: Column, expected: int) -> DataFrame:
+    """Per group six dimensions, each with the worst severity found in it (or none), and the verdict: the worst of all, but INCONCLUSIVE if fewer than the expected steps were covered and nothing is CRITICAL."""
+    worst = lambda signals: F.max(F.when(F.col("signal").isin(*signals), rank(F.col("severity"))))
+    per = findings.groupBy(by).agg(*[worst(s).alias(d) for d, s in MATRIX], F.max_by("severity", rank(F.col("severity"))).alias("_worst"), covered.alias("_covered"))
+    level = lambda d: F.coalesce(F.get(F.array(*[F.lit(x) for x in SEVERITIES]), F.col(d) - 1), F.lit("none")).alias(d)
+    return per.select(by, *[level(d) for d, _ in MATRIX], verdict(F.col("_worst"), F.lit(expected), F.col("_covered")).alias("verdict"))
+
+
+#: Rules for commands in answers: (channel, pattern, action); allow comes before block, and block before rewrite and observe.
+COMMANDS = (
+    ("tool", r"\brm\s{1,4}-[a-zA-Z]{0,6}r[a-zA-Z]{0,6}\s{1,4}/(?:\s|$)", "block"),
+    ("tool", r"\bmkfs(?:\.[a-z0-9]{1,8})?\s", "block"),
+    ("text", r"\bcurl\s[^\n|]{1,200}\|\s{0,4}(?:ba|z)?sh\b", "rewrite"),
+    ("reason", r"\bsudo\s", "observe"),
+)
+NOTICE = "[command withheld]"
+
+
+def commands(channel: Column, text: Column, rules: tuple = COMMANDS, allow: tuple[str, ...] = ()) -> Column:
+    """struct(action, text, hits): none, observe, rewrite (the command is replaced by a notice) or block (the whole text is)."""
+    free = F.lit(False)
+    for p in allow:
+        free = free | text.rlike(p)
+    hit = {a: F.lit(False) for a in ("observe", "rewrite", "block")}
+    new, hits = text, F.lit(0)
+    for where, pattern, action in rules:
+        here = (channel == where) & text.rlike(pattern)
+        hit[action] = hit[action] | here
+        hits = hits + F.when(here, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        if action == "rewrite":
+            new = F.when(channel == where, F.regexp_replace(new, pattern, NOTICE.replace("$", ""))).otherwise(new)
+    action = F.when(free, "none").when(hit["block"], "block").when(hit["rewrite"], "rewrite").when(hit["observe"], "observe").otherwise("none")
+    shown = F.when(action == "block", F.lit(NOTICE)).when(action == "rewrite", new).otherwise(text)
+    return F.struct(action.alias("action"), shown.alias("text"), F.when(free, 0).otherwise(hits).alias("hits"))
+
+
+def closed(worst: Column, path: Column, fail_closed: bool = True) -> Column:
+    """struct(status, path) of an answer after its audit: 503 for CRITICAL findings if the gate is closed on failure; the path without its query."""
+    status = F.when((worst == "CRITICAL") & F.lit(fail_closed), 503).otherwise(200)
+    return F.struct(status.alias("status"), F.split_part(path, F.lit("?"), F.lit(1)).alias("path"))
+
+
+def safe_text(text: Column, most: int = 300) -> Column:
+    """For reports: one line without bars, back-ticks or angle brackets, cut to `most` characters."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"[|`<>]", " "), r"\s+", " ")), 1, most)
+
+
+def safe_target(url: Column) -> Column:
+    """For reports: scheme, host and path of an address, without user, query or fragment; null if it is none."""
+    return F.when(url.rlike(r"^https?://"), F.regexp_replace(F.regexp_extract(url, r"^(https?://[^?#]*)", 1), r"^(https?://)[^/@]*@", "$1"))
+
+
+def pruned(findings: DataFrame, now: Column, days: int) -> DataFrame:
+    """Findings that retention keeps; days <= 0 keeps all."""
+    return findings if days <= 0 else findings.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))

@@ -103,21 +103,27 @@ def siblings(log: DataFrame) -> DataFrame:
     return top.withColumn("b", b).select("id", "sid", F.when(F.col("nth") == 1, F.col("b")).otherwise(F.col("a")).alias("sibling"))
 
 
+#: The events of a request that belong together; the first of these that is there says how it ended.
+ENDS = ("RESTORE", "ERR", "CANCEL")
+FOLDED = ("MASK", *ENDS)
+
+
 def folded(log: DataFrame) -> DataFrame:
-    """One row per sid: first MASK, RESTORE, ERR of the session side by side; terminal RESTORE over ERR."""
+    """One row per sid: the first MASK, RESTORE, ERR and CANCEL of the session side by side; host, model and ms of the end, or else of the request."""
     first = F.row_number().over(Window.partitionBy("sid", "type").orderBy("id"))
-    one = log.where(F.col("type").isin("MASK", "RESTORE", "ERR")).withColumn("nth", first).where("nth = 1")
-    by = {t: F.max(F.when(F.col("type") == t, F.col("id"))).alias(f"{t.lower()}_id") for t in ("MASK", "RESTORE", "ERR")}
-    status = F.max(F.when(F.col("type") == "RESTORE", F.col("status"))).alias("restore_status")
-    out = one.groupBy("sid").agg(*by.values(), status)
-    terminal = F.when(F.col("restore_id").isNotNull(), "RESTORE").when(F.col("err_id").isNotNull(), "ERR").otherwise("MASK")
-    return out.withColumn("terminal", terminal)
+    one = log.where(F.col("type").isin(*FOLDED)).withColumn("nth", first).where("nth = 1")
+    of = lambda t, c: F.max(F.when(F.col("type") == t, F.col(c)))
+    ids = [of(t, "id").alias(f"{t.lower()}_id") for t in FOLDED]
+    both = [F.coalesce(*[of(t, c) for t in (*ENDS, "MASK")]).alias(c) for c in ("host", "model", "ms")]
+    out = one.groupBy("sid").agg(*ids, of("RESTORE", "status").alias("restore_status"), *both)
+    end = F.coalesce(*[F.when(F.col(f"{t.lower()}_id").isNotNull(), F.lit(t)) for t in ENDS], F.lit("MASK"))
+    return out.withColumn("terminal", end)
 
 
 def independent(log: DataFrame) -> DataFrame:
     """Events outside the fold: other types, and later ones of the same type in a session."""
     nth = F.row_number().over(Window.partitionBy("sid", "type").orderBy("id"))
-    return log.withColumn("nth", nth).where(~F.col("type").isin("MASK", "RESTORE", "ERR") | (F.col("nth") > 1)).drop("nth")
+    return log.withColumn("nth", nth).where(~F.col("type").isin(*FOLDED) | (F.col("nth") > 1)).drop("nth")
 
 
 def pruned(log: DataFrame, now: Column, days: int) -> DataFrame:
@@ -172,3 +178,131 @@ def client_app(name: Column, rules: list[tuple[str, str]]) -> Column:
     for word, app in reversed(rules):
         out = F.when(F.lower(name).contains(word), app).otherwise(out)
     return out
+
+
+#: Fields of an item that a summary keeps.
+ITEM_FIELDS = ("label", "token", "count", "kind", "source", "status")
+
+
+def summary_items(items: Column, most: int = 32) -> Column:
+    """array<map<string, string>>: the first `most` items with the fields that a summary keeps, values cut to 160 characters."""
+    kept = lambda m: F.transform_values(F.map_filter(m, lambda k, v: k.isin(*ITEM_FIELDS) & v.isNotNull()), lambda k, v: F.substring(v, 1, 160))
+    return F.transform(F.slice(items, 1, most), kept)
+
+
+def traced(items: Column, text: Column, most: int = 1000) -> tuple[Column, Column]:
+    """items (maps) without their originals, and the text cut to `most` characters with a mark that says so."""
+    cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("… (cut)"))).otherwise(text)
+    return F.transform(items, lambda m: F.map_filter(m, lambda k, v: k != "original")), cut
+
+
+def log_mode(wanted: Column, trace_until: Column, now: Column) -> Column:
+    """summary, detailed or trace; a trace ends at its time, and anything else is summary."""
+    return F.when((wanted == "trace") & (now < trace_until), "trace").when(wanted == "detailed", "detailed").otherwise("summary")
+
+
+#: A marker that set-up writes into requests: a fixed prefix and 16 letters or digits, between edges.
+MARKER = r"(?<![A-Za-z0-9_-])qlmark-[A-Za-z0-9]{16}(?![A-Za-z0-9_-])"
+
+
+def markers(text: Column) -> Column:
+    """array<string>: SHA-256 of each distinct marker in a text."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))), lambda m: F.sha2(m, 256))
+
+
+def scrubbed(text: Column, diagnostic: bool = False) -> Column:
+    """JSON text, keys and values alike, without markers; for a diagnosis also without the field `request_body`."""
+    out = F.regexp_replace(text, MARKER, "[marker]")
+    return F.regexp_replace(out, r'"request_body"\s*:\s*(?:"(?:[^"\\]|\\.)*+"|[^,{}\[\]]*+)\s*,?', "") if diagnostic else out
+
+
+#: Columns of a record that never leave it.
+PRIVATE = ("marker", "nonce", "secret")
+
+
+def public(records: DataFrame) -> DataFrame:
+    return records.drop(*PRIVATE)
+
+
+def targeted(log: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows that a target (domain, path; a null path is any) covers: its domain or a subdomain, and exactly its path.
+
+    A host meets the targets of each of its own endings, so the join is on equal domains.
+    """
+    labels = F.split(F.lower("host"), r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    known = targets.select(F.lower("domain").alias("_d"), F.col("path").alias("_p")).distinct()
+    hosts = log.select("host").distinct().select("host", F.explode(endings).alias("_d")).join(known, "_d").select(F.col("host").alias("_h"), "_p").distinct()
+    return log.join(hosts, (F.col("host") == F.col("_h")) & (F.col("_p").isNull() | (F.col("_p") == F.split_part("path", F.lit("?"), F.lit(1)))), "left_semi")
+
+
+def routed(log: DataFrame, routes: DataFrame, port: str = "port", path: str = "path") -> DataFrame:
+    """log with upstream and upstream_path: by the port that listens, else by the longest prefix of the path, which is cut off; queries stay.
+
+    routes: port, prefix, upstream. A path meets the routes of each of its own prefixes that end at a slash.
+    """
+    by_port = routes.where("port IS NOT NULL").groupBy(F.col("port").alias("_port")).agg(F.min("upstream").alias("_u1"))
+    prefixes = routes.where("prefix IS NOT NULL").groupBy(F.col("prefix").alias("_prefix")).agg(F.min("upstream").alias("_u2"))
+    bare = F.split_part("_path", F.lit("?"), F.lit(1))
+    steps = F.split(bare, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    paths = log.select(F.col(path).alias("_path")).where("_path IS NOT NULL").distinct()
+    best = paths.select("_path", F.explode(heads).alias("_prefix")).join(prefixes, "_prefix").groupBy("_path").agg(F.max_by(F.struct("_prefix", "_u2"), F.length("_prefix")).alias("_b"))
+    both = log.join(by_port, F.col(port) == F.col("_port"), "left").join(best, F.col(path) == F.col("_path"), "left")
+    upstream = F.coalesce("_u1", "_b._u2")
+    rest = F.when(F.col("_u1").isNull() & F.col("_b").isNotNull(), F.substr(path, F.length("_b._prefix") + 1)).otherwise(F.col(path))
+    return both.select(*log.columns, upstream.alias("upstream"), rest.alias("upstream_path"))
+
+
+def unlisted(method: Column, body: Column, fail_closed: bool) -> Column:
+    """What to do with a request that no target covers: pass (only reads), mask (its shape is that of a model's request) or, of an unknown shape, mask or pass."""
+    keys = F.json_object_keys(body)
+    shaped = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ("messages", "prompt", "input", "contents", "model")]))
+    return F.when(F.upper(method).isin("GET", "HEAD", "OPTIONS"), "pass").when(F.coalesce(shaped, F.lit(False)), "mask").otherwise("mask" if fail_closed else "pass")
+
+
+def typing_probe(body: Column, keys: tuple[str, ...] = ("typing", "is_typing")) -> Column:
+    """Whether a body is only the notice that somebody types: one of these keys at its top."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(body), F.array(*[F.lit(k) for k in keys])), F.lit(False))
+
+
+def with_process(log: DataFrame, ports: DataFrame, port: str = "client_port") -> DataFrame:
+    """log with pid and app of the client, by the port that it sent from; the newest owner (port, pid, app, ts) not younger than the event."""
+    owner = ports.select(F.col("port").alias("_port"), "pid", "app", F.col("ts").alias("_since"))
+    until = F.lead("_since").over(Window.partitionBy("_port").orderBy("_since"))
+    owner = owner.withColumn("_until", until)
+    on = (F.col(port) == F.col("_port")) & (F.col("ts") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
+    return log.join(owner, on, "left").drop("_port", "_since", "_until")
+
+
+def by_ids(log: DataFrame, ids: list[int]) -> DataFrame:
+    return log.where(F.col("id").isin(*ids)) if ids else log.limit(0)
+
+
+def cleared(log: DataFrame, cutoff: Column) -> DataFrame:
+    """After a clear: rows of before the cutoff are gone whenever they arrive."""
+    return log.where(F.col("ts") >= cutoff)
+
+
+def terminal(log: DataFrame) -> DataFrame:
+    """Per session its terminal state: RESTORE over ERR over CANCEL over BLOCK; open without any of them."""
+    order = ("RESTORE", "ERR", "CANCEL", "BLOCK")
+    has = [F.max((F.col("type") == t).cast("int")).alias(t) for t in order]
+    state = F.coalesce(*[F.when(F.col(t) == 1, F.lit(t)) for t in order], F.lit("OPEN"))
+    return log.groupBy("sid").agg(*has).select("sid", state.alias("state"))
+
+
+def table_size(table: DataFrame) -> DataFrame:
+    """Files, bytes and rows of a table that is read from files."""
+    each = table.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.first("file_size").alias("bytes"), F.count("*").alias("rows"))
+    return each.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+
+
+def compacted(table: DataFrame, path: str, target_bytes: int = 128 << 20, least: float = 0.25) -> bool:
+    """Rewrites a table into files of about target_bytes at path if that saves at least this share of its files; returns whether it did."""
+    size = table_size(table).first()
+    files = max(1, -(-size["bytes"] // target_bytes)) if size["files"] else 0
+    if not size["files"] or size["files"] - files < least * size["files"] or size["files"] == files:
+        return False
+    table.coalesce(files).write.mode("overwrite").parquet(path)
+    return True

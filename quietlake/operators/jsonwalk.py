@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, spliced
+
 #: Fields of the protocol that are never text of a user, outside business zones.
 PROTOCOL_KEYS = ("role", "type", "model", "id", "name", "tool_call_id", "tool_use_id", "cache_control", "object", "finish_reason", "stop_reason", "media_type")
 #: Keys whose whole value is business content, whatever its keys are called.
@@ -49,6 +53,44 @@ def walk(body: str | None) -> list[dict] | None:
     return out
 
 
+_SCALAR = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?|-?[0-9][0-9.eE+-]*|true|false|null', re.S)
+
+
+def literals(body: str) -> list[tuple[int, int]]:
+    """Where the values (not the keys) stand in a JSON text, in its order, which is that of walk()."""
+    return [m.span() for m in _SCALAR.finditer(body) if m.group(1) is None]
+
+
+def _placed(body: str | None) -> list[dict] | None:
+    found = walk(body)
+    if found is None:
+        return None
+    return [x | {"start": a, "stop": b} for x, (a, b) in zip(found, literals(body))]
+
+
+def rewritten(body: Column, masked: Callable[[Column], Column], fail_closed: bool = True) -> Column:
+    """struct(body, changed): a JSON text in which the literals of leaves that masked() changes are replaced, and no other byte.
+
+    masked: of a leaf's text. Numbers are masked in their decimal form and become strings. A text that
+    cannot be walked is masked as a whole if fail_closed, else left as it is (changed is null then).
+    """
+    from .tokens import json_escaped
+
+    spots = F.pandas_udf(lambda b: b.map(_placed), LEAF.replace(">>", ",start:int,stop:int>>"), F.PandasUDFType.SCALAR)(body)
+
+    def splice(changed: Column) -> Column:
+        quoted = lambda c: F.concat(F.lit('"'), json_escaped(c["new"]), F.lit('"'))
+        return F.struct(spliced(body, changed, quoted).alias("body"), F.size(changed).alias("changed"))
+
+    def work(all_: Column) -> Column:
+        mine = F.filter(all_, lambda x: scannable(x["key"], x["kind"], x["value"], x["business"], x["definition"]))
+        each = F.transform(mine, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("old"), masked(x["value"]).alias("new")))
+        return let(F.filter(each, lambda x: x["old"] != x["new"]), splice)
+
+    whole = F.struct((masked(body) if fail_closed else body).alias("body"), F.lit(None).cast("int").alias("changed"))
+    return let(spots, lambda all_: F.when(all_.isNull(), whole).otherwise(work(all_)))
+
+
 def leaves(body: Column) -> Column:
     """LEAF of each body; made on call, since workers import this module without a session."""
     return F.pandas_udf(lambda b: b.map(walk), LEAF, F.PandasUDFType.SCALAR)(body)
@@ -118,3 +160,38 @@ def usage(body: Column) -> Column:
         number("$.usage.completion_tokens", "$.usage.output_tokens").alias("completion"),
         number("$.usage.prompt_tokens_details.cached_tokens", "$.usage.cache_read_input_tokens").alias("cache_read"),
     )
+
+
+def text_enums(values: Column) -> Column:
+    """A tool's list of allowed values (JSON) with its strings only; null if it is no list."""
+    each = F.try_parse_json(values).try_cast("array<variant>")
+    return F.to_json(F.transform(F.filter(each, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")))
+
+
+#: Efforts of reasoning that every service takes.
+EFFORTS = ("low", "medium", "high")
+
+
+def effort_hint(body: Column, status: Column) -> Column:
+    """A hint where a request that was refused (400 or 422) asked for another effort of reasoning; the request itself is never changed."""
+    asked = F.coalesce(F.get_json_object(body, "$.reasoning_effort"), F.get_json_object(body, "$.reasoning.effort"))
+    return F.when(asked.isNotNull() & ~asked.isin(*EFFORTS) & status.isin(400, 422), F.concat(F.lit("reasoning effort "), asked))
+
+
+def decision(reasons: Column, masked: Column, fail_closed: bool) -> Column:
+    """Of a map reason -> count and the number of masked values: block (a blocking reason, gate closed), mask, or pass."""
+    return F.when((completeness(reasons) == "blocked") & F.lit(fail_closed), "block").when(masked > 0, "mask").otherwise("pass")
+
+
+def report(kind: str, reasons: Column, masked: Column, fail_closed: bool = True) -> Column:
+    """struct(kind, decision, completeness, reason_codes) of an inspection: of kind mask, skip or restore."""
+    made = decision(reasons, masked, fail_closed) if kind == "mask" else F.lit("pass")
+    return F.struct(F.lit(kind).alias("kind"), made.alias("decision"), completeness(reasons).alias("completeness"), reasons.alias("reason_codes"))
+
+
+def dialogue(parts: DataFrame, id_column: str) -> DataFrame:
+    """(id, reasoning, answer) of streamed parts (id, seq, section, source, text): sections in order; of several copies of the reasoning that of one source, the first by name."""
+    one = parts.where("section = 'reasoning'").groupBy(id_column).agg(F.min("source").alias("_one"))
+    both = parts.join(one, id_column, "left").where("section <> 'reasoning' OR source = _one")
+    line = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("seq", "text")))), lambda x: F.coalesce(x["text"], F.lit(""))), "").alias(s)
+    return both.groupBy(id_column).agg(line("reasoning"), line("answer"))

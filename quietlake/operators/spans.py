@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import spliced
+
 
 def resolved(spans: Column) -> Column:
     """Non-overlapping spans from left to right; of those that begin together the longest; later overlapping ones are dropped whole.
@@ -23,14 +25,7 @@ def resolved(spans: Column) -> Column:
 
 def applied(text: Column, spans: Column) -> Column:
     """text with each resolved span replaced by its token."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["token"])
-        return F.struct(s["stop"].alias("at"), piece.alias("out"))
-
-    done = F.aggregate(resolved(spans), begin, step)
-    return F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+    return spliced(text, resolved(spans), lambda s: s["token"])
 
 
 def merged(spans: Column, gap: int = 0) -> Column:

@@ -12,9 +12,13 @@ def daily(log: DataFrame) -> DataFrame:
     return log.groupBy("day", "type").agg(F.count("*").alias("n"))
 
 
-def daily_status(log: DataFrame) -> DataFrame:
-    """Statuses of RESTORE only."""
-    return log.where("type = 'RESTORE'").groupBy("day", "status").agg(F.count("*").alias("n"))
+def daily_status(log: DataFrame, foreign: str | None = None) -> DataFrame:
+    """Statuses of RESTORE only; with the name of a column of counts, a row `foreign` for the events in which it is above zero."""
+    restored = log.where("type = 'RESTORE'")
+    out = restored.groupBy("day", "status").agg(F.count("*").alias("n"))
+    if foreign:
+        out = out.unionByName(restored.where(F.col(foreign) > 0).groupBy("day").agg(F.lit("foreign").alias("status"), F.count("*").alias("n")))
+    return out
 
 
 def daily_words(log: DataFrame) -> DataFrame:
@@ -58,43 +62,66 @@ def alerts() -> Column:
     return F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")) + F.coalesce(F.sum("unresolved"), F.lit(0))
 
 
-def day_stats(log: DataFrame, day: Column) -> DataFrame:
-    one = log.where(F.col("day") == day)
+def serious(audit: DataFrame) -> DataFrame:
+    """Findings of the two upper severities."""
+    return audit.where(F.col("severity").isin("HIGH", "CRITICAL"))
+
+
+def with_findings(log: DataFrame, audit: DataFrame | None) -> DataFrame:
+    """The log and serious findings (ts, severity) as rows of type AUDIT, to be counted in one pass."""
+    if audit is None:
+        return log
+    return log.unionByName(serious(audit).select("ts", F.to_date("ts").alias("day"), F.lit("AUDIT").alias("type")), allowMissingColumns=True)
+
+
+def day_stats(log: DataFrame, day: Column, audit: DataFrame | None = None) -> DataFrame:
+    """Counters of a day; with findings (ts, severity) the serious ones count as alerts, and as audit_high."""
+    one = with_findings(log, audit).where(F.col("day") == day)
+    high = F.count_if(F.col("type") == "AUDIT")
     return one.agg(
-        requests().alias("requests"), alerts().alias("alerts"), F.count_if(F.col("type") == "MASK").alias("masked"),
+        requests().alias("requests"), (alerts() + high).alias("alerts"), F.count_if(F.col("type") == "MASK").alias("masked"), high.alias("audit_high"),
         F.coalesce(F.sum(F.when(F.col("type") == "MASK", F.col("n"))), F.lit(0)).alias("values"),
         F.count_if((F.col("type") == "BLOCK") & (F.coalesce("decision", F.lit("blocked")) == "blocked")).alias("blocked"),
         F.count_if((F.col("type") == "BLOCK") & (F.col("decision") == "flagged")).alias("flagged"),
     )
 
 
-def range_stats(log: DataFrame, now: Column, days: int) -> DataFrame:
-    """Calendar days for the counters, a rolling window of days * 86400 seconds for the decisions."""
+def range_stats(log: DataFrame, now: Column, days: int, audit: DataFrame | None = None) -> DataFrame:
+    """Calendar days for the counters, a rolling window of days * 86400 seconds for the decisions and the serious findings (ts, severity)."""
     days = max(1, min(days, 90))
     calendar = F.col("day") > F.date_sub(F.to_date(now), days)
     rolling = F.col("ts") >= now - F.make_dt_interval(F.lit(days))
     block = F.col("type") == "BLOCK"
-    return log.where(calendar | rolling).agg(
+    return with_findings(log, audit).where(calendar | rolling).agg(
         F.count_if(calendar & F.col("type").isin("MASK", "PASS", "BYPASS", "BLOCK")).alias("requests"),
         F.count_if(calendar & (F.col("type") == "ERR")).alias("errors"),
         F.count_if(rolling & block & (F.coalesce("decision", F.lit("blocked")) == "blocked")).alias("blocked"),
         F.count_if(rolling & block & (F.col("decision") == "flagged")).alias("flagged"),
+        F.count_if(rolling & (F.col("type") == "AUDIT")).alias("audit_high"),
     )
 
 
-def history_days(log: DataFrame, last: Column, days: int) -> DataFrame:
-    """The last `days` days, each with its counters, zero where nothing happened."""
+def history_days(log: DataFrame, last: Column, days: int, audit: DataFrame | None = None) -> DataFrame:
+    """The last `days` days, each with its counters, zero where nothing happened; serious findings (ts, severity) count as alerts."""
     spark = log.sparkSession
     ends = spark.range(1).select(last.alias("last")) if not isinstance(last, DataFrame) else last
     calendar = ends.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
     per = log.groupBy("day").agg(requests().alias("requests"), F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")).alias("alerts"))
     tokens = daily_tokens(log).select("day", (F.col("prompt") + F.col("completion")).alias("tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    if audit is not None:
+        high = serious(audit).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("high"))
+        both = calendar.join(per, "day", "left").join(tokens, "day", "left").join(high, "day", "left")
+        return both.select("day", zero("requests"), (F.coalesce("alerts", F.lit(0)) + F.coalesce("high", F.lit(0))).cast("long").alias("alerts"), zero("tokens"))
     return calendar.join(per, "day", "left").join(tokens, "day", "left").select("day", zero("requests"), zero("alerts"), zero("tokens"))
 
 
-def history_hours(log: DataFrame) -> DataFrame:
+def history_hours(log: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """Hours with events; serious findings (ts, severity) count as alerts of these hours only."""
     hour = (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("hour")
+    if audit is not None:
+        high = serious(audit).groupBy(hour).agg(F.count("*").alias("high"))
+        return history_hours(log).join(high, "hour", "left").select("hour", "requests", (F.col("alerts") + F.coalesce("high", F.lit(0))).alias("alerts"))
     return log.groupBy(hour).agg(requests().alias("requests"), F.count_if(F.col("type").isin("BLOCK", "ERR", "SCAN_WARN")).alias("alerts"))
 
 
@@ -105,23 +132,48 @@ def models(log: DataFrame) -> DataFrame:
     return out.withColumn("rank", nth)
 
 
+def value_bucket(x: Column) -> Column:
+    """A number that grows with x: 256 steps for each power of two, so that no bucket spans much of any spread of values."""
+    steps = F.floor(F.log2(F.abs(x)) * 256) + 300_000
+    return F.when(x > 0, steps).when(x < 0, -steps).otherwise(F.lit(0)).cast("long")
+
+
 def nearest_rank(values: DataFrame, column: str, shares: dict[str, float], by: list[str]) -> DataFrame:
-    """Percentiles as the value at index round-half-even(p * (n - 1)) of the sorted values.
+    """Percentiles as the value at index round-half-even(p * (n - 1)) of the sorted values; exact for groups of any size.
 
-    Ranked by a window rather than gathered, so a group may be of any size.
+    Equal values are counted first. Counts per bucket of values tell in which bucket each index
+    lies, and only the values of these buckets are sorted, each bucket by itself.
     """
+    known = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    known = known.withColumn("b", value_bucket(F.col("x")))
     w = Window.partitionBy(*by)
-    known = values.where(F.col(column).isNotNull())
-    ranked = known.select(*by, F.col(column).alias("x"), (F.row_number().over(w.orderBy(column)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col("x"))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), *picks)
+    per = known.groupBy(*by, "b").agg(F.sum("c").alias("c"))
+    per = per.select(*by, "b", "c", (F.sum("c").over(w.orderBy("b")) - F.col("c")).alias("base"), F.sum("c").over(w).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(p) * (F.col("n") - 1)).cast("long").alias("at")) for name, p in shares.items()])
+    picks = per.select(*by, "b", "base", "c", "n", F.explode(wanted).alias("w")).where((F.col("w.at") >= F.col("base")) & (F.col("w.at") < F.col("base") + F.col("c")))
+    picks = picks.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("b").alias("_b"), "n", "w.name", (F.col("w.at") - F.col("base")).alias("at"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = known.join(picks, same & (F.col("b") == F.col("_b")))
+    line = Window.partitionBy(*by, "b", "name").orderBy("x")
+    inside = inside.withColumn("upto", F.sum("c").over(line)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
+    return inside.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in shares])
 
 
 def storms(log: DataFrame, least: int = 5, seconds: int = 60, top: int = 5) -> DataFrame:
-    """Paths with at least `least` server errors within `seconds`: the most of any such window, top paths."""
-    bad = log.where("http_status >= 500")
-    w = Window.partitionBy("path").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    peak = bad.select("path", F.count("*").over(w).alias("k")).groupBy("path").agg(F.max("k").alias("peak"), F.count("*").alias("errors"))
+    """Paths with at least `least` server errors within `seconds`: the most of any such window, top paths.
+
+    Errors of one instant are counted first, and each stretch of ten windows' length is counted by
+    itself, together with the window before it; a path may have any number of errors.
+    """
+    span, size = seconds * 1_000_000, seconds * 10_000_000
+    bad = log.where("http_status >= 500").groupBy("path", F.unix_micros("ts").alias("t")).agg(F.count("*").alias("c"))
+    own = F.floor(F.col("t") / size)
+    both = bad.select("path", "t", "c", own.alias("own"), F.explode(F.array_distinct(F.array(own, F.floor((F.col("t") + span) / size)))).alias("part"))
+    w = Window.partitionBy("path", "part").orderBy("t").rangeBetween(-span, 0)
+    counted = both.withColumn("k", F.sum("c").over(w)).where("own = part")
+    peak = counted.groupBy("path").agg(F.max("k").alias("peak"), F.sum("c").alias("errors"))
     return peak.where(F.col("peak") >= least).orderBy(F.desc("peak"), "path").limit(top)
 
 
@@ -173,7 +225,108 @@ def gaps(log: DataFrame, budget_seconds: float) -> DataFrame:
     return out.where(F.col("gap") > budget_seconds)
 
 
-def verified_markers(markers: DataFrame, log: DataFrame) -> DataFrame:
-    """First event in [start, stop] with the marker's ingress and host and an id past its cursor."""
-    hit = markers.join(log, (log["host"] == markers["m_host"]) & (ingress(log["ingress"]) == markers["m_ingress"]) & log["ts"].between(markers["m_start"], markers["m_stop"]) & (log["id"] > markers["m_cursor"]))
+def verified_markers(markers: DataFrame, log: DataFrame, hours: int = 6) -> DataFrame:
+    """First event in [start, stop] with the marker's ingress and host and an id past its cursor.
+
+    Stretches of time of `hours` hours are part of the key, so that a marker meets the events of its own time only.
+    """
+    size = hours * 3600
+    part = lambda c: F.floor(F.unix_timestamp(c) / size)
+    markers = markers.withColumn("m_part", F.explode(F.sequence(part("m_start"), part("m_stop"))))
+    hit = markers.join(log, (part(log["ts"]) == markers["m_part"]) & (log["host"] == markers["m_host"]) & (ingress(log["ingress"]) == markers["m_ingress"]) & log["ts"].between(markers["m_start"], markers["m_stop"]) & (log["id"] > markers["m_cursor"]))
     return hit.groupBy("m_id").agg(F.min("id").alias("first_id"), F.count("*").alias("hits"))
+
+
+def backfilled(parts: DataFrame, path: str, upto: str | None) -> str | None:
+    """Roll-up rows (day, …) of days after the mark appended to the table at path, once: returns the new mark, to be kept by the caller.
+
+    A second call with the mark that it returned writes nothing.
+    """
+    new = parts if upto is None else parts.where(F.col("day") > F.lit(upto).cast("date"))
+    last = new.agg(F.max("day").cast("string")).first()[0]
+    if last is None:
+        return upto
+    new.write.mode("append").partitionBy("day").parquet(path)
+    return last
+
+
+def without_rollups(log: DataFrame) -> DataFrame:
+    """Today's counters by a scan of the events where no roll-up exists: every BLOCK counts as blocked, and words, tokens and prefixes are left out."""
+    return log.groupBy("day").agg(requests().alias("requests"), alerts().alias("alerts"), F.count_if(F.col("type") == "BLOCK").alias("blocked"))
+
+
+def connections(log: DataFrame, now: Column) -> DataFrame:
+    """Per upstream: sends, failed ones, and the age in seconds of the oldest session of which no answer or failure is known."""
+    closed = F.max(F.col("type").isin("RESTORE", "ERR", "BLOCK").cast("int"))
+    per = log.groupBy("host", "sid").agg(F.count("*").alias("sends"), F.count_if(F.col("type") == "ERR").alias("failed"), closed.alias("closed"), F.min("ts").alias("first"))
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.min(F.when(F.col("closed") == 0, F.col("first"))))
+    return per.groupBy("host").agg(F.sum("sends").alias("sends"), F.sum("failed").alias("failed"), F.count_if(F.col("closed") == 0).alias("open"), age.alias("oldest_seconds"))
+
+
+def daily_actions(log: DataFrame) -> DataFrame:
+    """What a user sees counted: masked, restored and skipped per day."""
+    action = F.create_map(*[F.lit(x) for p in (("MASK", "mask"), ("RESTORE", "restore"), ("PASS", "skip")) for x in p])[F.col("type")]
+    return log.select("day", action.alias("action")).where("action IS NOT NULL").groupBy("day", "action").agg(F.count("*").alias("n"))
+
+
+#: Rules of the self check: name, severity, condition on the aggregates of selfcheck_context().
+SELFCHECK = (
+    ("no_traffic", "LOW", "events = 0"),
+    ("nothing_masked", "MEDIUM", "events > 0 AND masked = 0"),
+    ("error_rate", "HIGH", "errors > 0.2 * events"),
+    ("some_errors", "LOW", "errors > 0 AND errors <= 0.2 * events"),
+    ("server_errors", "MEDIUM", "server_errors > 10"),
+    ("unresolved", "HIGH", "unresolved > 0.1 * restored"),
+    ("some_unresolved", "LOW", "unresolved > 0 AND unresolved <= 0.1 * restored"),
+    ("incomplete", "MEDIUM", "incomplete > 0.05 * restored"),
+    ("rewritten", "LOW", "rewritten > 0"),
+    ("no_restore", "MEDIUM", "masked > 0 AND restored = 0"),
+    ("many_blocked", "MEDIUM", "blocked > 0.1 * events"),
+    ("flagged", "LOW", "flagged > 0"),
+    ("slow", "MEDIUM", "mean_ms > 1000"),
+    ("very_slow", "HIGH", "most_ms > 60000"),
+    ("no_usage", "LOW", "restored > 0 AND with_usage = 0"),
+    ("empty_prompts", "LOW", "with_usage > 0 AND prompt = 0"),
+    ("single_host", "LOW", "hosts = 1"),
+    ("many_hosts", "LOW", "hosts > 100"),
+    ("unknown_ingress", "LOW", "unknown_ingress > 0"),
+    ("stale", "MEDIUM", "age_seconds > 86400"),
+    ("future_events", "HIGH", "age_seconds < 0"),
+)
+
+
+def selfcheck_context(log: DataFrame, now: Column) -> DataFrame:
+    """One row of aggregates for the rules of the self check."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    t = F.col("type")
+    return log.agg(
+        F.count("*").alias("events"), n(t == "MASK").alias("masked"), n(t == "RESTORE").alias("restored"), n(t == "ERR").alias("errors"), n(F.col("http_status") >= 500).alias("server_errors"),
+        n(F.col("status") == "unresolved").alias("unresolved"), n(F.col("status") == "incomplete").alias("incomplete"), n(F.col("status") == "rewritten").alias("rewritten"),
+        n((t == "BLOCK") & (F.coalesce("decision", F.lit("blocked")) == "blocked")).alias("blocked"), n((t == "BLOCK") & (F.col("decision") == "flagged")).alias("flagged"),
+        F.avg("ms").alias("mean_ms"), F.max("ms").alias("most_ms"), n(F.col("prompt_tokens").isNotNull()).alias("with_usage"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt"),
+        F.count_distinct("host").alias("hosts"), n(F.col("ingress").isNull()).alias("unknown_ingress"), (F.unix_timestamp(now) - F.unix_timestamp(F.max("ts"))).alias("age_seconds"),
+    )
+
+
+def selfcheck(context: DataFrame) -> DataFrame:
+    """(rule, severity) of the rules that hold for the aggregates."""
+    each = [F.when(F.coalesce(F.expr(test), F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(level).alias("severity"))) for name, level, test in SELFCHECK]
+    return context.select(F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL").select("r.*")
+
+
+def evaluation(pairs: DataFrame, id_column: str) -> DataFrame:
+    """Quality of recognised texts (id, truth, found): character error rate as edits a character of the truth, recall of the truth's words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    truth, found = words("truth"), words("found")
+    cer = F.levenshtein("truth", "found") / F.greatest(F.length("truth"), F.lit(1))
+    recall = F.when(F.size(truth) > 0, F.size(F.array_intersect(truth, found)) / F.size(truth))
+    return pairs.select(id_column, F.round(cer, 6).alias("cer"), F.round(recall, 6).alias("recall"))
+
+
+def box_overlap(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes (x1, y1, x2, y2)."""
+    side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
+    inter = side("x1", "x2") * side("y1", "y2")
+    area = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
+    union = area(a) + area(b) - inter
+    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
+from ..functions import normalize as N
 from ..functions.text import let
 from ..session import written
 
@@ -95,15 +96,17 @@ def _identified(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_h", F.sha2(F.col(text), 256))
 
 
-def mask(df: DataFrame, key: str, text: str = "text", labels: D.Chosen = None, known: DataFrame | None = None, actions: dict[str, str] | None = None, size: int = SIZE) -> DataFrame:
+def mask(df: DataFrame, key: str, text: str = "text", labels: D.Chosen = None, known: DataFrame | None = None, actions: dict[str, str] | None = None, size: int = SIZE, normalise: bool = False) -> DataFrame:
     """df with the values in text replaced by placeholders. Null texts stay null.
 
     Without `known` one narrow pass, in which two values may share a suffix (about one pair at ten
     thousand values). With `known`, the mapping of these values, colliding ones have the
     placeholders that it gives them: texts that hold such a value are joined with them by their
     hashes. actions: label -> mask, warn (found but left in the text) or block (masked as well);
-    anything else is mask.
+    anything else is mask. normalise: values in full width or with invisible characters are found
+    too, each spelling as a value of its own.
     """
+    replaced = N.replaced if normalise else D.replaced
     folds = [r.label for r in D.rules_for(labels) if r.fold]
     norm = lambda c: F.when(c["label"].isin(*folds), F.lower(c["value"])).otherwise(c["value"]) if folds else c["value"]
     warned = [label for label, action in (actions or {}).items() if action == "warn"]
@@ -116,14 +119,14 @@ def mask(df: DataFrame, key: str, text: str = "text", labels: D.Chosen = None, k
 
     again = known.where("round > 0").select("label", "value", "token") if known is not None else None
     if again is None or not again.take(1):
-        return df.withColumn(text, D.replaced(F.col(text), new, labels))
+        return df.withColumn(text, replaced(F.col(text), new, labels))
     texts = _identified(df.select(text), text).dropDuplicates(["_h"])
-    found = texts.select("_h", F.explode(D.candidates(F.col(text), labels)).alias("c")).where("c.label IS NOT NULL")
+    found = texts.select("_h", F.explode((N if normalise else D).detect(F.col(text), labels)).alias("c"))
     hits = found.select("_h", "c.label", norm(F.col("c")).alias("value")).distinct().join(again, ["label", "value"])
     entry = F.struct(F.concat_ws(_SEP, "label", "value").alias("k"), F.col("token").alias("v"))
     given = hits.groupBy("_h").agg(F.map_from_entries(F.collect_list(entry)).alias("_given"))
     both = _identified(df, text).join(given, "_h", "left")
-    return both.withColumn(text, D.replaced(F.col(text), lambda c: new(c, F.col("_given")), labels)).drop("_h", "_given")
+    return both.withColumn(text, replaced(F.col(text), lambda c: new(c, F.col("_given")), labels)).drop("_h", "_given")
 
 
 def occurrences(df: DataFrame, text: str, pattern: str = TOKEN) -> DataFrame:

@@ -96,8 +96,8 @@ def tool_echo(spark, sf_dir):
 
 
 def error_leaks(spark, sf_dir):
-    """Documents as bodies of answers, every second one an error."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, 500).otherwise(200).alias("status"), "text")
+    """Documents as bodies of answers; those of the languages whose name ends in e or n are errors."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").rlike("[en]$"), 500).otherwise(200).alias("status"), "text")
     found = docs.select("doc_id", F.explode(U.error_leaks(F.col("status"), F.col("text"))).alias("f"))
     return found.select("doc_id", "f.kind", "f.severity", "f.evidence")
 
@@ -140,7 +140,7 @@ _F = f"""WITH {S.found(extra='source')}, f AS (SELECT doc_id, source, label AS s
 def _leak(kind: str, severity: str, pattern: str) -> str:
     hit = f"regexp_extract(text, {S.quoted(pattern)})"
     return f"""SELECT doc_id, '{kind}' AS kind, '{severity}' AS severity, '{kind}' || ' len=' || length({hit}) || ' sha=' || substr(sha256({hit}), 1, 16) AS evidence
-      FROM documents WHERE doc_id % 2 = 0 AND {hit} <> ''"""
+      FROM documents WHERE regexp_matches(lang, '[en]$') AND {hit} <> ''"""
 
 
 ORACLE_SQL = {

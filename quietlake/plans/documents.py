@@ -53,15 +53,22 @@ def json_usage(spark, sf_dir):
     )
 
 
+#: Distinct runs of the benchmark up to which they are sent to every task.
+SMALL = 1_000_000
+
+
 def benchmark_leak_join(spark, sf_dir):
-    """Documents with an 8-word run of a benchmark item, and how many of its distinct runs."""
+    """Runs of eight words that a document shares with a benchmark item: two hashes of each run are compared, 128 bits in all."""
+    line = lambda k: F.array_join(F.slice("w", k, 8), " ")
+    each = lambda k: F.struct(F.xxhash64(line(k)).alias("h"), F.xxhash64(line(k), F.lit(1)).alias("h2"))
     runs = lambda df, i: (
         df.where("text IS NOT NULL").select(i, F.split(F.lower("text"), r"\s+").alias("w")).where("size(w) >= 8")
-        .select(i, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda k: F.xxhash64(F.array_join(F.slice("w", k, 8), " "))))).alias("h"))
+        .select(i, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), each))).alias("r")).select(i, "r.h", "r.h2")
     )
     items = runs(load(spark, sf_dir, "benchmark"), "item_id")
     docs = runs(load(spark, sf_dir, "documents"), "doc_id")
-    return docs.join(items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("runs"))
+    items = F.broadcast(items) if items.count() <= SMALL else items
+    return docs.join(items, ["h", "h2"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("runs"))
 
 
 def dictionary_hits(spark, sf_dir):

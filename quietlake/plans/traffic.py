@@ -74,11 +74,10 @@ def stats_models(spark, sf_dir):
 
 def stats_models_cost(spark, sf_dir):
     log = _log(spark, sf_dir).where("model IS NOT NULL").select("id", "model", F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"), F.coalesce("completion_tokens", F.lit(0)).alias("completion_tokens"))
-    parts = load(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 3")
-    catalogue = parts.select(
-        F.when(F.col("p_partkey") == 1, F.lit("vendor1/Model.1")).when(F.col("p_partkey") == 2, "other/model-2").otherwise("model").alias("name"),
-        (F.col("p_size") * 0.1).alias("input"), (F.col("p_size") * 0.4).alias("output"),
-    )
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("vendor"), (k % 3).cast("string"), F.lit("/Model."), (k % 6).cast("string"))).when(k % 7 == 1, F.concat(F.lit("other/model-"), (k % 4).cast("string")))
+    name = name.when(k % 7 == 2, "model").otherwise(F.concat(F.lit("never-"), k.cast("string")))
+    catalogue = load(spark, sf_dir, "part").groupBy(name.alias("name")).agg((F.min("p_size") * 0.1).alias("input"), (F.max("p_size") * 0.4).alias("output"))
     out = A.priced(log, catalogue)
     money = (F.col("prompt_tokens") * F.col("input_price") + F.col("completion_tokens") * F.col("output_price")) / 1e6
     return out.groupBy("model", "matched").agg(F.count("*").alias("n"), F.round(F.sum(money), 6).alias("cost"))
@@ -210,8 +209,8 @@ def sliding_errors(spark, sf_dir):
 
 
 def marker_verification(spark, sf_dir):
-    """Each customer with a key below 200 marks one host and ingress for a day; the first event that fits verifies it."""
-    c = load(spark, sf_dir, "customer").where("c_custkey < 200")
+    """Each customer marks one host and ingress for a day; the first event that fits verifies it."""
+    c = load(spark, sf_dir, "customer")
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("c_custkey") * 10000)
     markers = c.select(
         F.col("c_custkey").alias("m_id"), F.concat(F.lit("api"), (F.col("c_custkey") % 5).cast("string"), F.lit(".example.com")).alias("m_host"),
@@ -222,11 +221,12 @@ def marker_verification(spark, sf_dir):
 
 
 def restore_items(spark, sf_dir):
-    """Restored (label, word) by the number of events that hold it, each event once; top 500 with the total."""
+    """Restored (label, word) by the number of events that hold it, each event once; the top 500, ranked, with the number of all."""
     log = _log(spark, sf_dir).where("type = 'RESTORE'").select("id", "label", "word").distinct()
     n = log.groupBy("label", "word").agg(F.count("*").alias("events"))
-    nth = F.row_number().over(Window.orderBy(F.desc("events"), "label", "word"))
-    return n.withColumn("rank", nth).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1)))).where("rank <= 500")
+    top = n.orderBy(F.desc("events"), "label", "word").limit(500)
+    total = n.agg(F.count("*").alias("total")).first()[0]
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), "label", "word"))).withColumn("total", F.lit(total))
 
 
 def clear_cutoff(spark, sf_dir):
@@ -270,8 +270,9 @@ mx AS (SELECT max(ts) AS now FROM log)
 _REQ = "count_if(type IN ('MASK', 'PASS', 'BYPASS', 'BLOCK'))"
 _ALERT = "count_if(type IN ('BLOCK', 'ERR', 'SCAN_WARN'))"
 _PICK = lambda name, p: f"max(CASE WHEN i = round_even({p} * (c - 1), 0) THEN ms END) AS {name}"
-_FIRST = "f AS (SELECT sid, type, id, status, row_number() OVER (PARTITION BY sid, type ORDER BY id) AS nth FROM log)"
-_FOLD = """fold AS (SELECT sid, max(CASE WHEN type = 'MASK' THEN id END) AS mask_id, max(CASE WHEN type = 'RESTORE' THEN id END) AS restore_id,
+_FIRST = "f AS (SELECT sid, type, id, status, host, model, ms, row_number() OVER (PARTITION BY sid, type ORDER BY id) AS nth FROM log)"
+_BOTH = ", ".join("coalesce(" + ", ".join(f"max(CASE WHEN type = '{t}' THEN {c} END)" for t in ("RESTORE", "ERR", "MASK")) + f") AS {c}" for c in ("host", "model", "ms"))
+_FOLD = f"""fold AS (SELECT sid, {_BOTH}, NULL::BIGINT AS cancel_id, max(CASE WHEN type = 'MASK' THEN id END) AS mask_id, max(CASE WHEN type = 'RESTORE' THEN id END) AS restore_id,
     max(CASE WHEN type = 'ERR' THEN id END) AS err_id, max(CASE WHEN type = 'RESTORE' THEN status END) AS restore_status
     FROM f WHERE nth = 1 AND type IN ('MASK', 'RESTORE', 'ERR') GROUP BY sid)"""
 
@@ -287,12 +288,12 @@ ORACLE_SQL = {
         "prefix_fidelity": """SELECT count(*) AS total, count_if(rewritten) AS rewritten, count_if(reused) AS reused,
             round(count_if(rewritten) / count(*), 4) AS rewritten_ratio, round(count_if(reused) / count_if(rewritten), 4) AS reuse_ratio FROM log WHERE rewritten IS NOT NULL""",
         "stats_today": f"""SELECT {_REQ} AS requests, ({_ALERT} + sum(unresolved))::BIGINT AS alerts, count_if(type = 'MASK') AS masked,
-            coalesce(sum(CASE WHEN type = 'MASK' THEN n END), 0)::BIGINT AS "values",
+            coalesce(sum(CASE WHEN type = 'MASK' THEN n END), 0)::BIGINT AS "values", 0::BIGINT AS audit_high,
             count_if(type = 'BLOCK' AND coalesce(decision, 'blocked') = 'blocked') AS blocked, count_if(type = 'BLOCK' AND decision = 'flagged') AS flagged
             FROM log, mx WHERE day = now::DATE""",
         "stats_range_7": """SELECT count_if(day > now::DATE - 7 AND type IN ('MASK', 'PASS', 'BYPASS', 'BLOCK')) AS requests, count_if(day > now::DATE - 7 AND type = 'ERR') AS errors,
             count_if(ts >= now - INTERVAL 7 DAY AND type = 'BLOCK' AND coalesce(decision, 'blocked') = 'blocked') AS blocked,
-            count_if(ts >= now - INTERVAL 7 DAY AND type = 'BLOCK' AND decision = 'flagged') AS flagged FROM log, mx""",
+            count_if(ts >= now - INTERVAL 7 DAY AND type = 'BLOCK' AND decision = 'flagged') AS flagged, 0::BIGINT AS audit_high FROM log, mx""",
         "stats_history_day": f""", cal AS (SELECT unnest(generate_series(now::DATE + 5 - 39, now::DATE + 5, INTERVAL 1 DAY))::DATE AS day FROM mx),
             p AS (SELECT day, {_REQ} AS requests, {_ALERT} AS alerts, sum(prompt_tokens + completion_tokens) AS tokens FROM log GROUP BY day)
             SELECT day, coalesce(requests, 0)::BIGINT AS requests, coalesce(alerts, 0)::BIGINT AS alerts, coalesce(tokens, 0)::BIGINT AS tokens FROM cal LEFT JOIN p USING (day)""",
@@ -301,11 +302,11 @@ ORACLE_SQL = {
         "stats_models": """, m AS (SELECT model, count(prompt_tokens) AS requests, count_if(type = 'ERR') AS errors, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt,
             coalesce(sum(completion_tokens), 0)::BIGINT AS completion FROM log WHERE model IS NOT NULL GROUP BY model)
             SELECT *, row_number() OVER (ORDER BY requests DESC, errors DESC, model)::INTEGER AS rank FROM m""",
-        "stats_models_cost": """, c AS (SELECT CASE p_partkey WHEN 1 THEN 'vendor1/Model.1' WHEN 2 THEN 'other/model-2' ELSE 'model' END AS name, p_size * 0.1::DOUBLE AS i, p_size * 0.4::DOUBLE AS o FROM part WHERE p_partkey BETWEEN 1 AND 3),
+        "stats_models_cost": """, c AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'vendor' || (p_partkey % 3) || '/Model.' || (p_partkey % 6) WHEN p_partkey % 7 = 1 THEN 'other/model-' || (p_partkey % 4)
+              WHEN p_partkey % 7 = 2 THEN 'model' ELSE 'never-' || p_partkey END AS name, min(p_size) * 0.1::DOUBLE AS i, max(p_size) * 0.4::DOUBLE AS o FROM part GROUP BY 1),
+            b AS (SELECT replace(lower(split_part(name, '/', -1)), '.', '-') AS b, arg_min(i, name) AS i, arg_min(o, name) AS o FROM c GROUP BY 1),
             u AS (SELECT model, replace(lower(split_part(model, '/', 2)), '.', '-') AS b, coalesce(prompt_tokens, 0) AS pt, coalesce(completion_tokens, 0) AS ct FROM log WHERE model IS NOT NULL),
-            r AS (SELECT u.*, e.i AS i1, e.o AS o1, x.i AS i2, x.o AS o2, z.i AS i3, z.o AS o3 FROM u LEFT JOIN c e ON e.name = u.model
-              LEFT JOIN c x ON replace(lower(split_part(x.name, '/', -1)), '.', '-') = u.b
-              LEFT JOIN c z ON z.name = 'model')
+            r AS (SELECT u.*, e.i AS i1, e.o AS o1, x.i AS i2, x.o AS o2, z.i AS i3, z.o AS o3 FROM u LEFT JOIN c e ON e.name = u.model LEFT JOIN b x ON x.b = u.b LEFT JOIN c z ON z.name = 'model')
             SELECT model, CASE WHEN i1 IS NOT NULL THEN 'exact' WHEN i2 IS NOT NULL THEN 'bare' ELSE 'prefix' END AS matched, count(*) AS n,
               round(sum((pt * coalesce(i1, i2, i3) + ct * coalesce(o1, o2, o3)) / 1e6), 6) AS cost FROM r GROUP BY 1, 2""",
         "recent_percentiles": f""", w AS (SELECT status, ms FROM log WHERE type = 'RESTORE' ORDER BY id DESC LIMIT 2000),
@@ -348,7 +349,7 @@ ORACLE_SQL = {
         "sliding_errors": """, h AS (SELECT date_trunc('hour', ts) AS hour FROM log WHERE http_status >= 500), w AS (SELECT hour AS start FROM h UNION ALL SELECT hour - INTERVAL 1 HOUR FROM h)
             SELECT start, count(*) AS n FROM w GROUP BY start""",
         "marker_verification": """, m AS (SELECT c_custkey AS m_id, 'api' || (c_custkey % 5) || '.example.com' AS h, CASE WHEN c_nationkey % 2 = 0 THEN 'ext' ELSE 'proxy' END AS i,
-              TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 10000) AS s, c_custkey * 3 AS cur FROM customer WHERE c_custkey < 200)
+              TIMESTAMP '2024-01-01' + to_seconds(c_custkey * 10000) AS s, c_custkey * 3 AS cur FROM customer)
             SELECT m_id, min(id) AS first_id, count(*) AS hits FROM m JOIN log ON host = h AND coalesce(ingress, 'proxy') = i AND ts BETWEEN s AND s + INTERVAL 1 DAY AND id > cur GROUP BY m_id""",
         "restore_items": """, d AS (SELECT DISTINCT id, label, word FROM log WHERE type = 'RESTORE'), n AS (SELECT label, word, count(*) AS events FROM d GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (ORDER BY events DESC, label, word)::INTEGER AS rank, count(*) OVER () AS total FROM n) SELECT * FROM r WHERE rank <= 500""",

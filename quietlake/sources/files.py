@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 import zipfile
 import zlib
@@ -99,7 +100,7 @@ _PARTS = re.compile(r"^(?:word/(?:document|header\d*|footer\d*|footnotes|comment
 
 
 def office_texts(files: DataFrame) -> DataFrame:
-    """(path, part, text) of docx, xlsx and pptx files given as binaryFile rows; unreadable files have one row with a null part."""
+    """(path, part, text) of docx, xlsx and pptx files given as binaryFile rows; unreadable files have one row with a null part, parts over BODY_LIMIT one with a null text."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
@@ -108,7 +109,9 @@ def office_texts(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for info in z.infolist():
-                            if _PARTS.match(info.filename) and info.file_size <= BODY_LIMIT:
+                            if _PARTS.match(info.filename) and info.file_size > BODY_LIMIT:
+                                rows.append((path, info.filename, None))  # too large to be unpacked: said, not left out
+                            elif _PARTS.match(info.filename):
                                 xml = z.read(info).decode("utf-8", "replace")
                                 text = re.sub(r"<[^>]*>", "", re.sub(r"</(?:w:p|a:p|si)>", "\n", xml))
                                 for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
@@ -162,3 +165,91 @@ def markdown_report(findings: DataFrame, path: str, title: str = "Report") -> No
     head = findings.sparkSession.range(1).select(F.lit(f"# {title}\n\n| signal | severity | kind | evidence |\n|-|-|-|-|").alias("value"))
     body = findings.select(row.alias("value"), rank(F.col("severity")).alias("r")).orderBy(F.desc("r"), "value").select("value")
     head.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
+
+
+def repacked(content: bytes, texts: dict[str, dict[str, str]]) -> bytes:
+    """An office file in which, part by part, texts between tags are replaced (old -> new); all else is as it was."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            data = old.read(info)
+            if info.filename in texts:
+                xml = data.decode("utf-8")
+                for a, b in texts[info.filename].items():
+                    quote = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+                    xml = xml.replace(quote(a), quote(b))
+                data = xml.encode()
+            new.writestr(info, data)
+    return out.getvalue()
+
+
+def office_masked(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, content) of office files with values replaced; spans: path, part, value, token. Files without spans stay as they are."""
+    per = spans.groupBy("path").agg(F.collect_set(F.struct("part", "value", "token")).alias("s"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            out = []
+            for content, found in zip(frame["content"], frame["s"]):
+                texts: dict[str, dict[str, str]] = {}
+                for f in sorted(found if found is not None else [], key=lambda f: -len(f["value"])):
+                    texts.setdefault(f["part"], {})[f["value"]] = f["token"]
+                out.append(repacked(content, texts) if texts else content)
+            yield pd.DataFrame({"path": frame["path"], "content": out})
+
+    return files.select("path", "content").join(per, "path", "left").mapInPandas(run, "path string, content binary")
+
+
+def exported(log: DataFrame, path: str, kind: str, most: int, hidden: tuple[str, ...] = ("word", "payload")) -> dict[str, int]:
+    """The newest `most` rows as CSV or JSON without the hidden columns; returns how many were written and whether any were left out."""
+    public = log.drop(*hidden)
+    part = public.orderBy(F.desc("id")).limit(most + 1).cache()
+    n = part.count()
+    kept = part.orderBy(F.desc("id")).limit(most)
+    getattr(kept.write.mode("overwrite").option("header", True) if kind == "csv" else kept.write.mode("overwrite"), kind)(path)
+    part.unpersist()
+    return {"rows": min(n, most), "truncated": int(n > most)}
+
+
+def price_cache(prices: DataFrame, path: str) -> DataFrame:
+    """Keeps a price list at path, replaced as a whole; a list without a row leaves the old one in place."""
+    spark = prices.sparkSession
+    if prices.take(1):
+        prices.coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("name string, input double, output double").parquet(path)
+
+
+#: Settings with their defaults, and the test that a given value must pass.
+SETTINGS = {
+    "fail_closed": (True, lambda v: isinstance(v, bool)), "log_mode": ("summary", lambda v: v in ("summary", "detailed", "trace")),
+    "retention_days": (30, lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= 0), "rules": ({}, lambda v: isinstance(v, dict)), "categories": ({}, lambda v: isinstance(v, dict)),
+}
+
+
+def settings(text: str | None) -> dict:
+    """Settings from a JSON text; what is missing, unknown or wrong falls back to its default. To be read again for each micro-batch."""
+    try:
+        given = json.loads(text or "{}")
+    except ValueError:
+        given = {}
+    given = given if isinstance(given, dict) else {}
+    return {k: given[k] if k in given and ok(given[k]) else default for k, (default, ok) in SETTINGS.items()}
+
+
+def signals(control: DataFrame, now: Column) -> DataFrame:
+    """(name, value) in force: of each signal (name, value, ts, ttl) the newest that has not run out."""
+    alive = control.where(F.col("ttl").isNull() | (F.col("ts") + F.make_dt_interval(secs=F.col("ttl").cast("double")) > now))
+    return alive.groupBy("name").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
+
+
+def imported_once(spark: SparkSession, path: str, schema: str, target: str, day: str) -> int | None:
+    """Old JSON lines into the table at target, once: a second call finds the mark beside it and returns null. Bad lines are left out and counted in the mark."""
+    mark = f"{target}-imported"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(mark)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    good, bad = json_lines(spark, path, schema)
+    good.write.mode("append").parquet(target)
+    n = good.count()
+    spark.createDataFrame([(day, n, bad.count())], "day string, rows long, bad long").coalesce(1).write.mode("overwrite").json(mark)
+    return n

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,32 +25,87 @@ def release(pending: str, delta: str, final: bool, cap: int = CAP) -> tuple[str,
     return text[: held.start()], text[held.start() :]
 
 
-def _ordered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks in order of seq: later ones wait until the missing one has come."""
-    following, pending, waiting = state.get if state.exists else (0, "", {})
-    waiting = {int(k): tuple(v) for k, v in waiting.items()} if isinstance(waiting, dict) else {int(s): (d, f) for s, d, f in waiting}
-    for part in parts:
-        for row in part.itertuples():
-            if row.seq >= following:
-                waiting.setdefault(int(row.seq), (row.delta or "", bool(row.final)))
-    out = []
-    while following in waiting:
-        delta, final = waiting.pop(following)
-        text, pending = release(pending, delta, final)
-        out.append((*key, following, text, final))
-        following += 1
-    state.update((following, pending, [(s, d, f) for s, (d, f) in sorted(waiting.items())]))
-    yield pd.DataFrame(out, columns=["sid", "channel", "seq", "text", "final"])
-
-
-def reassembled(chunks: DataFrame) -> DataFrame:
-    """Stream (sid, channel, seq, text, final) of pieces that split no placeholder, from (sid, channel, seq, delta, final)."""
+def release_lines(pending: str, delta: str, final: bool, cap: int = 65_536) -> tuple[str, str]:
+    """Whole lines may go on; a line longer than cap goes as it is."""
+    text = pending + delta
+    at = len(text) if final or len(text) - text.rfind("\n") - 1 > cap else text.rfind("\n") + 1
+    return text[:at], text[at:]
+
+
+def release_behind(pending: str, delta: str, final: bool, cap: int = CAP) -> tuple[str, str]:
+    """The last cap characters wait, so that a command that is still being written is seen whole before it goes on."""
+    text = pending + delta
+    at = len(text) if final else max(0, len(text) - cap)
+    return text[:at], text[at:]
+
+
+def _handler(cut: Callable[[str, str, bool], tuple[str, str]], idle_ms: int):
+    def ordered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Chunks in order of seq: later ones wait until the missing one has come, or until the channel is idle for too long."""
+        following, pending, waiting = state.get if state.exists else (0, "", [])
+        held = {int(s): (d, f) for s, d, f in waiting}
+        out = []
+        if state.hasTimedOut:  # a gap that is never filled: what has come goes on, in its order
+            for seq in sorted(held):
+                text, pending = cut(pending, held[seq][0], False)
+                out.append((*key, seq, text, False))
+            out.append((*key, following + len(held), pending, True))
+            state.remove()
+            yield pd.DataFrame(out, columns=["sid", "channel", "seq", "text", "final"])
+            return
+        for part in parts:
+            for row in part.itertuples():
+                if row.seq >= following:
+                    held.setdefault(int(row.seq), (row.delta or "", bool(row.final)))
+        done = False
+        while following in held:
+            delta, final = held.pop(following)
+            text, pending = cut(pending, delta, final)
+            out.append((*key, following, text, final))
+            following, done = following + 1, done or final
+        if done:
+            state.remove()
+        else:
+            state.update((following, pending, [(s, d, f) for s, (d, f) in sorted(held.items())]))
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["sid", "channel", "seq", "text", "final"])
+
+    return ordered
+
+
+def reassembled(chunks: DataFrame, cut: Callable[[str, str, bool], tuple[str, str]] = release, idle_seconds: int = 600) -> DataFrame:
+    """Stream (sid, channel, seq, text, final) of pieces that split no placeholder, from (sid, channel, seq, delta, final).
+
+    cut: release, release_lines or release_behind. The state of a channel goes with its last piece,
+    or when it was idle for idle_seconds: then what waits goes on as its end.
+    """
     return chunks.groupBy("sid", "channel").applyInPandasWithState(
-        _ordered, "sid string, channel string, seq long, text string, final boolean",
-        "following long, pending string, waiting array<struct<seq:long,delta:string,final:boolean>>", "append", GroupStateTimeout.NoTimeout,
+        _handler(cut, idle_seconds * 1000), "sid string, channel string, seq long, text string, final boolean",
+        "following long, pending string, waiting array<struct<seq:long,delta:string,final:boolean>>", "append", GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
+_CHOICES = "choices array<struct<index:int,finish_reason:string,delta:struct<content:string,reasoning_content:string,tool_calls:array<struct<index:int,function:struct<arguments:string>>>>>>"
+
+
+def channel_deltas(events: DataFrame) -> DataFrame:
+    """(sid, n, channel, delta, final) of frames (sid, n, data): one channel for each choice's text, its reasoning and each of its tool calls.
+
+    [DONE] ends all channels of an answer: it gives one row of channel '*' with final set. Data that
+    are no JSON object give no rows.
+    """
+    done = events.where(F.trim("data") == "[DONE]").select("sid", "n", F.lit("*").alias("channel"), F.lit("").alias("delta"), F.lit(True).alias("final"))
+    parsed = events.where(F.trim("data") != "[DONE]").select("sid", "n", F.explode(F.from_json("data", _CHOICES)["choices"]).alias("c"))
+    name = lambda kind: F.concat(F.coalesce("c.index", F.lit(0)).cast("string"), F.lit(f":{kind}"))
+    tools = F.transform("c.delta.tool_calls", lambda t: F.struct(F.concat(name("tool"), t["index"].cast("string")).alias("channel"), t["function"]["arguments"].alias("delta")))
+    made = F.concat(
+        F.array(F.struct(name("text").alias("channel"), F.col("c.delta.content").alias("delta")), F.struct(name("reason").alias("channel"), F.col("c.delta.reasoning_content").alias("delta"))),
+        F.coalesce(tools, F.array().cast("array<struct<channel:string,delta:string>>")),
+    )
+    rows = parsed.select("sid", "n", F.col("c.finish_reason").isNotNull().alias("final"), F.explode(made).alias("m")).where("m.delta IS NOT NULL")
+    return rows.select("sid", "n", "m.channel", "m.delta", "final").unionByName(done)
+
+
 def restored_batch(pieces: DataFrame, known: DataFrame) -> DataFrame:
     """Pieces of a micro-batch with the placeholders of the mapping replaced (for foreachBatch)."""
     from ..operators.tokens import restore

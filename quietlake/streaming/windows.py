@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def hourly(log: DataFrame, late: str = "1 hour") -> DataFrame:
     return log.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "type", "n")
@@ -28,25 +30,19 @@ def after_cutoff(log: DataFrame, cutoff: str, late: str = "1 hour") -> DataFrame
     return log.withWatermark("ts", late).where(F.col("ts") >= F.lit(cutoff).cast("timestamp"))
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that the session names, a temporary one where it names none."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quietlake-")
-    return f"{base.rstrip('/')}/quietlake-{label}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, label: str, mode: str = "complete") -> DataFrame:
-    """The result of a streaming query once everything there has been read, as a table.
+    """The result of a streaming query once everything there has been read, as a table in the shared folder.
 
-    Complete mode replaces the table with each micro-batch; append mode adds to it.
+    Complete mode replaces the table with each micro-batch. In append mode each micro-batch has a
+    folder of its own, which a batch that is run again replaces.
     """
     spark = stream.sparkSession
-    out = folder(spark, label)
+    out = f"{shared_dir(spark)}/quietlake-{label}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    found = spark.read.schema(stream.schema).parquet(out)
+    return found if mode == "complete" else found.select(*stream.columns)
