@@ -39,7 +39,7 @@ def release_behind(pending: str, delta: str, final: bool, cap: int = CAP) -> tup
     return text[:at], text[at:]
 
 
-def _handler(cut: Callable[[str, str, bool], tuple[str, str]], idle_ms: int):
+def _handler(cut: Callable[[str, str, bool], tuple[str, str]], idle_seconds: int | None):
     def ordered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Chunks in order of seq: later ones wait until the missing one has come, or until the channel is idle for too long."""
         following, pending, waiting = state.get if state.exists else (0, "", [])
@@ -67,21 +67,24 @@ def _handler(cut: Callable[[str, str, bool], tuple[str, str]], idle_ms: int):
             state.remove()
         else:
             state.update((following, pending, [(s, d, f) for s, (d, f) in sorted(held.items())]))
-            state.setTimeoutDuration(idle_ms)
+            if idle_seconds:
+                state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame(out, columns=["sid", "channel", "seq", "text", "final"])
 
     return ordered
 
 
-def reassembled(chunks: DataFrame, cut: Callable[[str, str, bool], tuple[str, str]] = release, idle_seconds: int = 600) -> DataFrame:
+def reassembled(chunks: DataFrame, cut: Callable[[str, str, bool], tuple[str, str]] = release, idle_seconds: int | None = None) -> DataFrame:
     """Stream (sid, channel, seq, text, final) of pieces that split no placeholder, from (sid, channel, seq, delta, final).
 
-    cut: release, release_lines or release_behind. The state of a channel goes with its last piece,
-    or when it was idle for idle_seconds: then what waits goes on as its end.
+    cut: release, release_lines or release_behind. The state of a channel goes with its last piece.
+    With idle_seconds (for streams that run on; a run to the end of what is there never ends with
+    it) also when the channel was idle for so long: then what waits goes on as its end.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
     return chunks.groupBy("sid", "channel").applyInPandasWithState(
-        _handler(cut, idle_seconds * 1000), "sid string, channel string, seq long, text string, final boolean",
-        "following long, pending string, waiting array<struct<seq:long,delta:string,final:boolean>>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        _handler(cut, idle_seconds), "sid string, channel string, seq long, text string, final boolean",
+        "following long, pending string, waiting array<struct<seq:long,delta:string,final:boolean>>", "append", timeout,
     )
 
 

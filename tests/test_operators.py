@@ -139,3 +139,115 @@ def test_report_and_frames(spark, tmp_path):
     assert text.index("S2") < text.index("S1") and "a b" in text
     sse = spark.createDataFrame([(1, "event: m\r\ndata: a\r\ndata: b\r\n\r\ndata: [DONE]\n\n")], "id int, value string")
     assert [(r.event, r.data) for r in channels.frames(sse).orderBy("n").collect()] == [("m", "a\nb"), (None, "[DONE]")]
+
+
+def test_office_files_are_repacked(spark):
+    import io
+    import zipfile
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", "<w:p>mail ab@x.org &amp; more</w:p>")
+        z.writestr("word/other.bin", b"\x00\x01")
+    files = spark.createDataFrame([("a.docx", raw.getvalue()), ("b.docx", b"no zip")], "path string, content binary")
+    spans = spark.createDataFrame([("a.docx", "word/document.xml", "ab@x.org", "{{EMAIL_bcdfgh}}")], "path string, part string, value string, token string")
+    done = {r.path: bytes(r.content) for r in S.office_masked(files, spans).collect()}
+    with zipfile.ZipFile(io.BytesIO(done["a.docx"])) as z:
+        assert z.read("word/document.xml") == b"<w:p>mail {{EMAIL_bcdfgh}} &amp; more</w:p>" and z.read("word/other.bin") == b"\x00\x01"
+    assert done["b.docx"] == b"no zip"
+
+
+def test_large_office_parts_are_said(spark, monkeypatch):
+    import io
+    import zipfile
+
+    from quietlake.sources import files as source
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", "<w:p>" + "x" * 100 + "</w:p>")
+    df = spark.createDataFrame([("a.docx", raw.getvalue())], "path string, content binary")
+    assert [r.text for r in source.office_texts(df).collect()] == ["x" * 100]
+
+
+def test_exports_settings_signals(spark, tmp_path):
+    log = spark.createDataFrame([(i, "h", "w", "p") for i in range(5)], "id long, host string, word string, payload string")
+    assert S.exported(log, str(tmp_path / "j"), "json", 3) == {"rows": 3, "truncated": 1}
+    assert S.exported(log, str(tmp_path / "c"), "csv", 9) == {"rows": 5, "truncated": 0}
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "j")).collect()) == [2, 3, 4]
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["id", "host"]
+    assert S.settings('{"log_mode": "trace", "retention_days": -1, "x": 1}') == {"fail_closed": True, "log_mode": "trace", "retention_days": 30, "rules": {}, "categories": {}}
+    assert S.settings("no json")["fail_closed"] is True
+    prices = spark.createDataFrame([("m", 1.0, 2.0)], "name string, input double, output double")
+    path = str(tmp_path / "prices")
+    assert S.price_cache(prices, path).count() == 1 and S.price_cache(prices.limit(0), path).count() == 1
+
+
+def test_imported_once_and_backfill(spark, tmp_path):
+    (tmp_path / "old.jsonl").write_text('{"id": 1}\nbroken\n{"id": 2}\n')
+    target = str(tmp_path / "t")
+    assert S.imported_once(spark, str(tmp_path / "old.jsonl"), "id long", target, "2024-01-01") == 2
+    assert S.imported_once(spark, str(tmp_path / "old.jsonl"), "id long", target, "2024-01-01") is None
+    parts = spark.sql("SELECT DATE'2024-01-01' AS day, 3L AS n UNION ALL SELECT DATE'2024-01-02', 4L")
+    mark = A.backfilled(parts, str(tmp_path / "r"), None)
+    assert mark == "2024-01-02" and A.backfilled(parts, str(tmp_path / "r"), mark) == mark and spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_compaction_and_size(spark, tmp_path):
+    from quietlake.operators import events
+
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "a"))
+    table = spark.read.parquet(str(tmp_path / "a"))
+    size = events.table_size(table).first()
+    assert (size.files, size.rows) == (8, 100) and size.bytes > 0
+    assert events.compacted(table, str(tmp_path / "b")) and events.table_size(spark.read.parquet(str(tmp_path / "b"))).first().files == 1
+    assert not events.compacted(spark.read.parquet(str(tmp_path / "b")), str(tmp_path / "c"))
+
+
+def test_entities(spark):
+    from quietlake.operators import entities as N
+
+    text = "在华为技术有限公司和北京市海淀区中关村大街27号见面"
+    df = spark.createDataFrame([(text, [(1, 5, "ORG"), (10, 13, "ADDR"), (13, 21, "ADDR"), (12, 16, "ADDR")])], f"t string, s {N.SPAN}")
+    cut = df.select(N.clipped(F.col("s")).alias("s")).first().s
+    assert [(s.start, s.stop) for s in cut] == [(1, 5), (10, 13), (13, 16), (16, 21)]
+    grown = df.select(N.grown(F.col("t"), F.filter("s", lambda s: s["start"] != 12)).alias("s")).first().s
+    assert [text[s.start : s.stop] for s in grown] == ["华为技术有限公司", "海淀区中关村大街27号"]
+    joined = df.select(N.addresses_joined(F.col("t"), F.filter("s", lambda s: s["start"] != 12)).alias("s")).first().s
+    assert [text[s.start : s.stop] for s in joined] == ["华为技术", "北京市海淀区中关村大街"]
+    both = df.select(N.preferred(F.slice("s", 1, 1), F.slice("s", 2, 2)).alias("s")).first().s
+    assert len(both) == 3
+    masked = spark.createDataFrame([("a bc d", "a {{X}} d"), (None, "x")], "a string, b string").select(N.spans_from_mask(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [(s.start, s.stop, s.token) for s in masked[0].s] == [(2, 4, "{{X}}")] and masked[1].s == []
+    found = spark.createDataFrame([(1, 0, "王小明说"), (1, 9, "高兴")], "id int, start int, value string")
+    bad = spark.createDataFrame([(1, 9, "高")], "id int, start int, value string")
+    assert [r.value for r in N.without_rejected(found, bad, "id").collect()] == ["王小明说"]
+
+
+def test_lines_and_hold_back():
+    from quietlake.streaming import channels
+
+    text = "one\ntwo\nthree " + "x" * 90
+    for cut, kept in ((channels.release_lines, "three " + "x" * 90), (channels.release_behind, "x" * 64)):
+        for i in range(len(text)):
+            out, pending = [], ""
+            for part, final in ((text[:i], False), (text[i:], False), ("", True)):
+                if final:
+                    assert pending == kept
+                piece, pending = cut(pending, part, final)
+                out.append(piece)
+            assert "".join(out) == text and pending == ""
+
+
+def test_json_rewriting(spark):
+    import json
+
+    from quietlake.functions import detect as D
+    from quietlake.operators import jsonwalk as J
+
+    new = lambda v: D.replaced(v, lambda c: F.lit('<"q">'), ["EMAIL", "PHONE"])
+    bodies = ['{"a": "x\\u0041 ab@x.org", "n": 13812345678 , "b":[1.50,null,true,"ab@x.org"]}', '"ab@x.org"', '[ ]', 'no json ab@x.org', '{"id":"ab@x.org","a":"k: \\"v\\"" }', None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = [r.r for r in df.orderBy("i").select(J.rewritten(F.col("b"), new).alias("r")).collect()]
+    assert json.loads(got[0].body) == {"a": 'xA <"q">', "n": '<"q">', "b": [1.5, None, True, '<"q">']} and "1.50,null" in got[0].body and got[0].changed == 3
+    assert json.loads(got[1].body) == '<"q">' and got[2].body == bodies[2] and got[3].body == 'no json <"q">' and got[3].changed is None and got[4].body == bodies[4]
