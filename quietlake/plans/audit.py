@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import audit as U
 from ..operators import tokens as T
 from . import sqlparts as S
-from .tables import load
+from .tables import load, texts
 
 #: The command that a derived answer holds, by event type.
 COMMANDS = {
@@ -20,7 +20,7 @@ _SEV = {"SECRET": "CRITICAL", "CARD": "HIGH", "EMAIL": "MEDIUM"}
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections in documents as findings: signal is the label, evidence never shows the value."""
-    hits = T.found_values(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", S.LABELS)
+    hits = T.found_values(texts(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", S.LABELS)
     level = F.create_map(*[F.lit(x) for p in _SEV.items() for x in p])
     return hits.select(
         "doc_id", "source", F.col("label").alias("signal"), F.coalesce(level[F.col("label")], F.lit("LOW")).alias("severity"),
@@ -97,7 +97,7 @@ def tool_echo(spark, sf_dir):
 
 def error_leaks(spark, sf_dir):
     """Documents as bodies of answers; those of the languages whose name ends in e or n are errors."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").rlike("[en]$"), 500).otherwise(200).alias("status"), "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").rlike("[en]$"), 500).otherwise(200).alias("status"), "text")
     found = docs.select("doc_id", F.explode(U.error_leaks(F.col("status"), F.col("text"))).alias("f"))
     return found.select("doc_id", "f.kind", "f.severity", "f.evidence")
 

@@ -9,7 +9,7 @@ from ..functions import detect as D
 from ..functions import text as X
 from ..operators import tokens as T
 from . import sqlparts as S
-from .tables import load
+from .tables import load, texts
 
 #: A fixed key, so that the SQL side can compute the same placeholders. Real jobs pass their own.
 KEY = "demonstration-key"
@@ -17,7 +17,7 @@ L = S.LABELS
 
 
 def _hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", *columns, "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", *columns, "text")
     return T.found_values(docs, "text", L)
 
 
@@ -28,7 +28,7 @@ def detect_summary(spark, sf_dir):
 
 
 def detect_email_by_lang(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     hits = T.found_values(docs, "text", ["EMAIL"])
     return hits.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.lower("value")).alias("addresses"))
 
@@ -54,18 +54,18 @@ def detect_spans(spark, sf_dir):
 
 
 def pages_pii_summary(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages").select("page_id", X.decode_entities(F.col("html")).alias("text"))
+    pages = texts(spark, sf_dir, "pages").select("page_id", X.decode_entities(F.col("html")).alias("text"))
     return T.found_values(pages, "text", L).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
 def conversations_pii_by_role(spark, sf_dir):
     """Every role with its number of turns and of findings, zero included."""
-    turns = load(spark, sf_dir, "conversations").select("role", F.size(D.detect(F.col("text"), L)).alias("k"))
+    turns = texts(spark, sf_dir, "conversations").select("role", F.size(D.detect(F.col("text"), L)).alias("k"))
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum("k").alias("found"))
 
 
 def mask_documents_tokens(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     out = T.mask(docs, KEY, labels=L)
     return out.select("doc_id", F.sha2("text", 256).alias("masked_sha256"), F.length("text").alias("masked_len"))
 
@@ -76,14 +76,14 @@ def mapping_distinct_values(spark, sf_dir):
 
 def mask_roundtrip(spark, sf_dir):
     """Per document whether restore(mask(text)) gives the text again."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     known = T.mapping(T.found_values(docs, "text", L), KEY)
     back = T.restore(T.mask(docs, KEY, labels=L, known=known), known)
     return back.select("doc_id", F.sha2("text", 256).alias("restored_sha256"))
 
 
 def mask_idempotent(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     once = T.mask(docs, KEY, labels=L)
     twice = once.select("doc_id", D.replaced(F.col("text"), lambda c: T.token(c["label"], c["value"], KEY), L).alias("again"), "text")
     return twice.agg(F.count_if(F.col("again") == F.col("text")).alias("same"), F.count("*").alias("documents"))
@@ -91,13 +91,13 @@ def mask_idempotent(spark, sf_dir):
 
 def egress_leaks(spark, sf_dir):
     """Values that a masked text still holds, in one pass over each text."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", T.egress(F.col("text"), L).alias("e"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", T.egress(F.col("text"), L).alias("e"))
     return docs.select("doc_id", "e.leaks", "e.skipped")
 
 
 def restore_accounting(spark, sf_dir):
     """The mapping of documents from even sources is lost; the tokens of emails were never issued."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
     hits = T.found_values(docs, "text", L)
     all_ = T.mapping(hits, KEY)
     masked = T.mask(docs.select("doc_id", "text"), KEY, labels=L)
@@ -123,7 +123,7 @@ def allow_values(spark, sf_dir):
 
 
 def quality_by_pii(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.size(D.detect(F.col("text"), L))
     each = docs.select("doc_id", (k > 0).alias("has_pii")).join(load(spark, sf_dir, "labels"), "doc_id")
     return each.groupBy("has_pii").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
@@ -131,7 +131,7 @@ def quality_by_pii(spark, sf_dir):
 
 def known_value_scan(spark, sf_dir):
     """Values of 8 characters or more that are no credentials, each once; every document that holds them, by the first word of the value."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     known = T.found_values(docs, "text", L).where((F.length("value") >= 8) & ~F.col("label").isin(*D.CREDENTIALS)).select("value").distinct()
     known = known.withColumn("w", F.regexp_extract("value", "([A-Za-z0-9_]+)", 1))
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("w"))

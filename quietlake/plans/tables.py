@@ -4,6 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a file for each core from which on its own splits are enough.
+SPLIT = 32 << 20
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are to be searched, which costs far more than reading them.
+
+    A small file may have one row group, hence one task; it is dealt out to all cores first. Large
+    tables are searched where they are read.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    table = load(spark, sf_dir, name)
+    return table.repartition(cores) if size < cores * SPLIT else table
