@@ -33,6 +33,8 @@ SHINGLE, MIN_WORDS, SEED, WINNOW = 5, 24, 16, 10
 THRESHOLD, RECALL = 0.8, 0.995
 #: Distinct contents of one band that are compared in one task; fuller bands are split into blocks.
 BLOCK = 1024
+#: Documents whose words a task keeps while it compares pairs.
+KEPT = 32
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
@@ -83,19 +85,19 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, WINNOW).argmin(1) + np.arange(len(hashes) - WINNOW + 1))
 
 
-def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Starts, lengths (words), contents and band keys (None for seeds) of the units of a text."""
+def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths (words) and contents of the units of a text, lines before seeds, and the lines' band keys."""
     words, sizes = words_of(text)
     none = np.zeros(0, np.int64)
     if len(words) < MIN_WORDS:
-        return none, none, none, []
+        return none, none, none, none.reshape(0, bands)
     _, s = shingles(words)
     ends = np.cumsum(sizes)
     long = np.array(sizes) >= MIN_WORDS
     start, stop = (ends - sizes)[long], ends[long]
     power = _powers(max([MIN_WORDS, *(stop - start)]))
     content = np.array([(s[a : b - SHINGLE + 1] * power[: b - a - SHINGLE + 1]).sum() for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
-    keys: list = []
+    keys = none.reshape(0, bands)
     if len(start):
         pairs = np.stack([start, stop - SHINGLE + 1], 1).ravel()
         tail = np.append(s, ~np.uint64(0))
@@ -105,29 +107,31 @@ def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray,
                 k = b * rows + r
                 low = np.minimum.reduceat((tail ^ _XOR[k]) * _MULTIPLY[k], pairs)[::2]
                 out[b] = (out[b] + low) * _MULTIPLY[63 - r]
-        keys = _mix(out + np.arange(bands, dtype=np.uint64)[:, None] * _STEP).T.view(np.int64).tolist()
+        keys = _mix(out + np.arange(bands, dtype=np.uint64)[:, None] * _STEP).T.view(np.int64)
     seeds = sum(s[j : len(words) - SEED + 1 + j] * power[j] for j in range(SEED - SHINGLE + 1))
     at = winnowed(_mix(seeds))
     windows = seeds[at]
     starts = np.concatenate([start, at])
     lengths = np.concatenate([stop - start, np.full(len(at), SEED)])
     contents = _mix(np.concatenate([content, windows]) + lengths.astype(np.uint64) * _STEP).view(np.int64)
-    return starts, lengths, contents, keys + [None] * len(at)
+    return starts, lengths, contents, keys
 
 
 def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, start, words, content, keys) of every unit; keys is null for seeds."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        row, starts, lengths, contents, keys = [], [], [], [], []
+        row, starts, lengths, contents, keys, line = [], [], [], [], [], []
         for i, t in enumerate(batch.column(1)):
             a, n, c, k = doc_units(t.as_py() or "", bands, rows)
             row.append(np.full(len(a), i)), starts.append(a), lengths.append(n), contents.append(c)
-            keys += k
+            keys.append(k.ravel()), line.append(np.arange(len(a)) < len(k))
         out = [pa.array(np.concatenate(x)) for x in (row, starts, lengths, contents)]
+        lines = np.concatenate(line)
+        edges = np.concatenate(([0], np.cumsum(lines * bands))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.ascontiguousarray(np.concatenate(keys))), mask=pa.array(~lines))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(out[0]), out[1].cast(pa.int32()), out[2].cast(pa.int32()), out[3], pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "start", "words", "content", "keys"],
+            [batch.column(0).take(out[0]), out[1].cast(pa.int32()), out[2].cast(pa.int32()), out[3], lists], ["doc_id", "start", "words", "content", "keys"]
         )
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, start int, words int, content long, keys array<long>")
@@ -278,12 +282,15 @@ def _onward(x: np.ndarray, y: np.ndarray, s: np.ndarray, t: np.ndarray, a: int,
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """(start, stop, start, stop) of the passages around seeds (places in x and in y) that the texts of word hashes x and y share."""
-    s, t = (_shingled(h) for h in (x, y))
+def grow(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], threshold: float = THRESHOLD, s: np.ndarray | None = None, t: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, stop, start, stop) of the passages around seeds (places in x and in y) that the texts of word hashes x and y share. s, t: their shingles, if known."""
+    s, t = (_shingled(h) if given is None else given for h, given in ((x, s), (y, t)))
     runs: dict[int, list[tuple[int, int]]] = {}
-    out = []
+    out: list[tuple[int, int, int, int]] = []
+    reach = 0
     for i, j in sorted(seeds):
+        if i + SEED + WINNOW - 1 <= reach:  # well within a removal: a passage that goes on past its end has a later seed
+            continue
         if any(a <= i < b for a, b in runs.get(i - j, ())) or not np.array_equal(x[i : i + SEED], y[j : j + SEED]) or len(x) < i + SEED:
             continue
         back = _run(x[:i][::-1], y[:j][::-1], 0, 0)
@@ -303,6 +310,20 @@ def grow(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], threshold:
             if len(ok):
                 e = k + int(ok[-1])
                 out.append((int(a[k]), int(a[e] + n[e]), int(b[k]), int(b[e] + n[e])))
+                if a[k] <= i:
+                    reach = max(reach, out[-1][1])
+    return out
+
+
+def grow_within(x: np.ndarray, s: np.ndarray, seeds: list[tuple[int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """The same for seeds (a place and an earlier one) within one text, each from its later place on; s: its shingles."""
+    out, reach = [], 0
+    for i, j in sorted(seeds):
+        if i <= j or i + SEED + WINNOW - 1 <= reach:
+            continue
+        for a, b, e, f in grow(x[i:], x[:i], [(0, j)], threshold, s[i:], s[: max(i - SHINGLE + 1, 0)]):
+            out.append((a + i, b + i, e, f))
+            reach = max(reach, b + i if a == 0 else 0)
     return out
 
 
@@ -327,20 +348,29 @@ def grown(docs: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> Da
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int, bool]] = []
-        hashed = lambda text: np.fromiter(map(xxhash.xxh64_intdigest, text.encode("utf-8", "surrogatepass").lower().split()), np.uint64)
-        last: tuple = (None, None)
+        recent: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def hashed(i: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            """Words and shingles of document i, kept while other pairs of it are near."""
+            if i not in recent:
+                if len(recent) >= KEPT:
+                    recent.pop(next(iter(recent)))
+                h = np.fromiter(map(xxhash.xxh64_intdigest, text.as_py().encode("utf-8", "surrogatepass").lower().split()), np.uint64)
+                recent[i] = h, _shingled(h)
+            return recent[i]
+
         for d, h, found, other, text in zip(*(batch.column(i) for i in range(5))):
-            d, h, other = d.as_py(), h.as_py(), other.as_py()
-            if last[0] != other:
-                last = (other, hashed(other))
-            x, y = hashed(text.as_py()), last[1]
+            d, h = d.as_py(), h.as_py()
+            x, s = hashed(d, text)
             seeds = [(p["start"], p["other"]) for p in found.as_py()]
             if d != h:
-                spans = grow(x, y, seeds, threshold)
+                y, t = hashed(h, other)
+                spans = grow(x, y, seeds, threshold, s, t)
             else:
-                spans = [(a + i, b + i, e, f) for i, j in seeds if i > j for a, b, e, f in grow(x[i:], x[:i], [(0, j)], threshold)]
+                spans = grow_within(x, s, seeds, threshold)
             for a, b, e, f in spans:
                 rows += [(d, a, b, h, False), (h, e, f, h, True)]
+        rows = list(dict.fromkeys(rows))
         out = list(zip(*rows)) or [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "stop", "class_doc", "keep"])
