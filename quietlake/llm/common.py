@@ -17,8 +17,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; ships this package to the executors if they cannot import it."""
+    """One of the given tables; ships this package to the executors if they cannot import it.
+
+    Texts go to Python in batches of bounded bytes and not of rows only, so that workers and Arrow's
+    buffers stay small.
+    """
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +55,7 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
 #: Characters of text that a Python task handles at a time, besides one whole text.
 SLICE_CHARS = 2_000_000
 
