@@ -82,7 +82,8 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     """Places of the smallest of every WINNOW consecutive hashes (of all, if they are fewer)."""
     if len(hashes) <= WINNOW:
         return np.array([hashes.argmin()])
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, WINNOW).argmin(1) + np.arange(len(hashes) - WINNOW + 1))
+    at = np.lib.stride_tricks.sliding_window_view(hashes, WINNOW).argmin(1) + np.arange(len(hashes) - WINNOW + 1)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]  # they never go back
 
 
 def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -250,6 +251,15 @@ def _places(units: DataFrame) -> DataFrame:
 def _next(s: np.ndarray, t: np.ndarray, a: int, b: int, far: int) -> tuple[int, int] | None:
     """The nearest places from a and b on, at most `far` further, with a shingle in common."""
     x, y = s[a : a + far + 1], t[b : b + far + 1]
+    if far <= 64:  # by hand, where arrays are too small to be worth it
+        place: dict[int, int] = {}
+        for j, v in enumerate(y.tolist()):
+            place.setdefault(v, j)
+        met = [(i + place[v], i, place[v]) for i, v in enumerate(x.tolist()) if v in place]
+        if not met:
+            return None
+        _, i, j = min(met)
+        return a + i, b + j
     _, i, j = np.intersect1d(x, y, return_indices=True)
     if not len(i):
         return None
@@ -300,6 +310,12 @@ def grow(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], threshold:
         chain = [*before, first, *_onward(x, y, s, t, first[0] + first[2], first[1] + first[2], first[2])]
         for a, b, n in chain:
             runs.setdefault(a - b, []).append((a, a + n))
+        if len(chain) == 1:
+            a, b, n = first
+            if n >= MIN_WORDS:
+                out.append((a, a + n, b, b + n))
+                reach = max(reach, a + n)
+            continue
         a, b, n = (np.array(c) for c in zip(*chain))
         total = np.concatenate(([0], np.cumsum(np.maximum(n - SHINGLE + 1, 0))))
         for k in range(len(chain)):
