@@ -43,7 +43,7 @@ def colliding_placeholders(spark, sf_dir):
     masked = T.mask(docs, KEY, labels=["EMAIL"], known=known, size=4)
     lost = known.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).first()[0]
     back = _restored_short(masked, known)
-    return back.groupBy("id").agg(F.count("*").alias("texts"), F.min("text").alias("first"), F.max("text").alias("last"), F.lit(lost).alias("shared"))
+    return back.groupBy("id").agg(F.count("*").alias("texts"), F.min("text").alias("first"), F.max("text").alias("last"), F.lit(lost).cast("long").alias("shared"))
 
 
 def _restored_short(masked, known):

@@ -226,7 +226,7 @@ def restore_items(spark, sf_dir):
     n = log.groupBy("label", "word").agg(F.count("*").alias("events"))
     top = n.orderBy(F.desc("events"), "label", "word").limit(500)
     total = n.agg(F.count("*").alias("total")).first()[0]
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), "label", "word"))).withColumn("total", F.lit(total))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), "label", "word"))).withColumn("total", F.lit(total).cast("long"))
 
 
 def clear_cutoff(spark, sf_dir):
