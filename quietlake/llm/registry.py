@@ -16,6 +16,7 @@ MODULES = (
     "cover_tree",
     "additive_ann",
     "paragraph_dedup",
+    "sentence_bpe",
 )
 
 
