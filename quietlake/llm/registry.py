@@ -17,6 +17,7 @@ MODULES = (
     "additive_ann",
     "paragraph_dedup",
     "sentence_bpe",
+    "collocations",
 )
 
 
