@@ -18,6 +18,7 @@ MODULES = (
     "paragraph_dedup",
     "sentence_bpe",
     "collocations",
+    "conversation_repair",
 )
 
 
