@@ -384,5 +384,59 @@ def op12_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+#: The same by a left-to-right programme over the places, with the checksum bit by bit.
+SQL = """
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 20 AS kind FROM given),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM hurt),
+marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM marked GROUP BY conv_id),
+steps(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+inserted(p, q, cost, audit, lines) AS (
+  SELECT p, p, 0, '', '' FROM range(4) t(p)
+  UNION ALL SELECT p, q, 5, 'I', chr(10) || CASE q WHEN 2 THEN 'user:' ELSE 'assistant:' END FROM steps WHERE initial <> 's'
+  UNION ALL SELECT x.p, y.q, 10, 'II', CASE y.q WHEN 3 THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE chr(10) || 'assistant:' || chr(10) || 'user:' END
+    FROM steps x JOIN steps y ON y.p = x.q WHERE x.initial <> 's' AND y.initial <> 's'),
+edits AS (
+  SELECT conv_id, i, p, p AS q, 2 AS cost, 'D' AS audit, '' AS line FROM marked, range(4) t(p)
+  UNION ALL
+  SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', chr(10) || role || ':' || text
+    FROM marked JOIN steps USING (initial) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', chr(10) || CASE q WHEN 2 THEN 'user:' ELSE 'assistant:' END || text
+    FROM marked, steps WHERE steps.initial <> 's' AND fault NOT IN ('blank', 'duplicate')),
+ways AS (
+  SELECT e.conv_id, e.i, e.p, n.q, min(struct_pack(cost := e.cost + n.cost, audit := e.audit || n.audit, lines := e.line || n.lines)) AS w
+  FROM edits e JOIN inserted n ON n.p = e.q GROUP BY ALL),
+best(conv_id, i, p, w) AS (
+  SELECT c.conv_id, 0::BIGINT, n.q, struct_pack(cost := n.cost, audit := n.audit, lines := n.lines) FROM counted c, inserted n WHERE n.p = 0
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, x.q, min(struct_pack(cost := b.w.cost + x.w.cost, audit := b.w.audit || x.w.audit, lines := b.w.lines || x.w.lines))
+  FROM best b JOIN ways x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.i = b.i + 1 AND x.p = b.p GROUP BY b.conv_id, b.i, x.q),
+final AS (
+  SELECT b.conv_id, min(b.w) AS w FROM best b JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.rows = b.i WHERE b.p IN (0, 3) GROUP BY b.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(f.w.cost, 0)::BIGINT AS cost,
+       coalesce(f.w.audit, '') AS audit, sha256(coalesce(substr(f.w.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
 QUERIES = {"op12_interval_repair": op12_interval_repair}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op12_interval_repair": SQL}

@@ -5,7 +5,6 @@ import re
 import zlib
 
 import duckdb
-import pytest
 from pyspark.sql import types as T
 
 from quietlake.llm import conversation_repair as repair
@@ -197,8 +196,6 @@ def test_whole_table(spark, data):
 
 
 def test_sql(spark, data):
-    if not repair.ORACLE_SQL:
-        pytest.skip("no SQL")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
     want = con.sql(repair.SQL)
