@@ -32,7 +32,7 @@ SLACK = 4
 #: Bytes of text for each hash partition; a summary's size follows from it.
 PARTITION_BYTES = 4_000_000
 #: n-grams that a task counts at a time.
-PENDING = 3_000_000
+PENDING = 1_500_000
 #: The survivors' bit array: bits for each survivor, and the most bits (128 MB); fuller arrays let more n-grams into the exact count.
 BITS_EACH, MOST_BITS = 32, 1 << 30
 SEGMENT_BITS = 1 << 23
@@ -61,14 +61,14 @@ class Words:
         begins[1:] = ~inside[:-1]
         begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
         starts = np.flatnonzero(begins & inside)
-        before = np.cumsum(inside)
+        before = np.cumsum(inside, dtype=np.int32)
         edges = np.append(before[starts] - 1, before[-1] if len(before) else 0).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(raw[inside])])
         coded = words.dictionary_encode()
         self.distinct = coded.dictionary
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.text = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(kind == BREAK)[starts] + self.text
+        self.piece = np.cumsum(kind == BREAK, dtype=np.int32)[starts] + self.text
 
     def hashes(self) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct.to_numpy(zero_copy_only=False)], np.uint64)
