@@ -10,7 +10,7 @@ from ..functions import validators as V
 from ..operators import dictionary as W
 from ..operators import jsonwalk as J
 from ..operators import tokens as T
-from .tables import load
+from .tables import load, texts
 
 
 def dialog_concat(spark, sf_dir):
@@ -53,22 +53,20 @@ def json_usage(spark, sf_dir):
     )
 
 
-#: Distinct runs of the benchmark up to which they are sent to every task.
-SMALL = 1_000_000
-
-
 def benchmark_leak_join(spark, sf_dir):
-    """Runs of eight words that a document shares with a benchmark item: two hashes of each run are compared, 128 bits in all."""
-    line = lambda k: F.array_join(F.slice("w", k, 8), " ")
-    each = lambda k: F.struct(F.xxhash64(line(k)).alias("h"), F.xxhash64(line(k), F.lit(1)).alias("h2"))
-    runs = lambda df, i: (
-        df.where("text IS NOT NULL").select(i, F.split(F.lower("text"), r"\s+").alias("w")).where("size(w) >= 8")
-        .select(i, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), each))).alias("r")).select(i, "r.h", "r.h2")
-    )
-    items = runs(load(spark, sf_dir, "benchmark"), "item_id")
-    docs = runs(load(spark, sf_dir, "documents"), "doc_id")
-    items = F.broadcast(items) if items.count() <= SMALL else items
-    return docs.join(items, ["h", "h2"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("runs"))
+    """Distinct runs of eight words that a document shares with a benchmark item: two hashes of each run are compared, 128 bits in all.
+
+    Runs of documents are not made distinct before the join, where only few are left; both
+    hashes are computed while the runs are written out, one pass over each text.
+    """
+    run = F.array_join(F.slice("w", F.col("at") + 1, 8), " ")
+    words = lambda df, i: df.where("text IS NOT NULL").select(i, F.split(F.lower("text"), r"\s+").alias("w")).where("size(w) >= 8")
+    places = lambda df, i: words(df, i).select(i, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 8)).alias("at"))
+    runs = lambda df, i: places(df, i).select(i, F.xxhash64(run).alias("h"), F.xxhash64(run, F.lit(1)).alias("h2"))
+    items = runs(load(spark, sf_dir, "benchmark"), "item_id").distinct()
+    docs = runs(texts(spark, sf_dir, "documents"), "doc_id")
+    shared = docs.join(items, ["h", "h2"]).groupBy("doc_id", "item_id", "h", "h2").agg(F.count("*").alias("n"))
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("runs"))
 
 
 def dictionary_hits(spark, sf_dir):

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import tokens as T
+from ..session import written
+from ..streaming import restoration as R
 from ..streaming import windows as S
+from .detection import KEY
 from .tables import load
 from .traffic import LOG
 
@@ -26,8 +30,27 @@ def stream_daily_status(spark, sf_dir):
     return S.drained(log.groupBy("day", "status").agg(F.count("*").alias("n")), "status")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status)}
+def stream_restored(spark, sf_dir):
+    """Conversations as sessions whose turns are channels: texts with placeholders, cut into pieces of one to nine characters that arrive out of order."""
+    t = load(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    value = F.concat(F.lit("u"), "conv_id", F.lit("."), "turn", F.lit("@mail.example"))
+    token = T.token(F.lit("EMAIL"), value, KEY)
+    text = F.concat(F.lit("Reply to "), token, F.lit(" or {{EMAIL_zzzzzz}}{{"), F.coalesce("text", F.lit("")), F.lit(" "), token)
+    one = t.select(F.col("conv_id").cast("string").alias("sid"), F.struct(F.col("turn").cast("string").alias("channel"), text.alias("text")).alias("c"), F.struct(token.alias("token"), value.alias("value")).alias("i"))
+    answers = one.groupBy("sid").agg(F.collect_list("c").alias("channels"), F.collect_list("i").alias("issued")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    rows = R.session_rows(answers, (1 + F.pmod(F.crc32("sid"), F.lit(9))).cast("int")).repartition("seq")
+    files = written(rows, "chunks")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    out = S.drained(R.restored(stream), "restored", "append")
+    per = out.groupBy("sid", "channel").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return per.select(F.col("sid").cast("long").alias("conv_id"), F.col("channel").cast("long").alias("turn"), F.length(whole).cast("long").alias("chars"), F.sha2(whole, 256).alias("sha256"))
+
+
+_ANSWER = "'Reply to u' || conv_id || '.' || turn || '@mail.example or {{EMAIL_zzzzzz}}{{' || coalesce(text, '') || ' u' || conv_id || '.' || turn || '@mail.example'"
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status, stream_restored)}
 ORACLE_SQL = {
     "stream_hourly": LOG + "SELECT date_trunc('hour', ts) AS hour, type, count(*) AS n FROM log GROUP BY ALL",
+    "stream_restored": f"SELECT conv_id, turn, length(a)::BIGINT AS chars, sha256(a) AS sha256 FROM (SELECT *, {_ANSWER} AS a FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)",
     "stream_daily_status": LOG + "SELECT day, status, count(*) AS n FROM log WHERE type = 'RESTORE' GROUP BY day, status",
 }
