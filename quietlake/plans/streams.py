@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import tokens as T
-from ..session import written
+from ..session import shared_dir, written
 from ..streaming import restoration as R
+from ..streaming import rollups as U
 from ..streaming import windows as S
 from .detection import KEY
 from .tables import load
@@ -47,10 +50,32 @@ def stream_restored(spark, sf_dir):
     return per.select(F.col("sid").cast("long").alias("conv_id"), F.col("channel").cast("long").alias("turn"), F.length(whole).cast("long").alias("chars"), F.sha2(whole, 256).alias("sha256"))
 
 
+def rollups_incremental(spark, sf_dir):
+    """All six roll-ups: the events up to the median id as history, the others as they come in micro-batches, with a compaction in between."""
+    log = E.adapted(load(spark, sf_dir, "events"))
+    half = F.lit(log.agg(F.percentile_approx("id", 0.5)).first()[0])
+    path = f"{shared_dir(spark)}/quietlake-rollups-{uuid.uuid4().hex}"
+    mark = U.backfilled(log.where(F.col("id") <= half), path, "unresolved")
+    files = written(log.repartition("sid"), "log")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path).where(F.col("id") > mark)
+    run = U.kept_current(stream, path, "events", "unresolved", compact_after=2).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return U.current(spark, path)
+
+
 _ANSWER = "'Reply to u' || conv_id || '.' || turn || '@mail.example or {{EMAIL_zzzzzz}}{{' || coalesce(text, '') || ' u' || conv_id || '.' || turn || '@mail.example'"
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status, stream_restored)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status, stream_restored, rollups_incremental)}
 ORACLE_SQL = {
     "stream_hourly": LOG + "SELECT date_trunc('hour', ts) AS hour, type, count(*) AS n FROM log GROUP BY ALL",
     "stream_restored": f"SELECT conv_id, turn, length(a)::BIGINT AS chars, sha256(a) AS sha256 FROM (SELECT *, {_ANSWER} AS a FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)",
+    "rollups_incremental": LOG + """, rows AS (
+  SELECT 'daily' AS rollup, day, type AS k1, NULL::VARCHAR AS k2, NULL::VARCHAR AS k3, 1 AS m1, 0 AS m2, 0 AS m3, 0 AS m4 FROM log
+  UNION ALL SELECT 'status', day, status, NULL, NULL, 1, 0, 0, 0 FROM log WHERE type = 'RESTORE'
+  UNION ALL SELECT 'status', day, 'foreign', NULL, NULL, 1, 0, 0, 0 FROM log WHERE type = 'RESTORE' AND unresolved > 0
+  UNION ALL SELECT 'words', day, label, word, CASE WHEN ingress = 'ext' THEN 'ext' ELSE 'proxy' END, 1, 0, 0, 0 FROM log WHERE type = 'MASK'
+  UNION ALL SELECT 'tokens', day, NULL, NULL, NULL, prompt_tokens, completion_tokens, 1, 0 FROM log WHERE type IN ('RESTORE', 'PASS') AND prompt_tokens IS NOT NULL
+  UNION ALL SELECT 'models', day, model, NULL, NULL, (prompt_tokens IS NOT NULL)::INT, (type = 'ERR')::INT, coalesce(prompt_tokens, 0), coalesce(completion_tokens, 0) FROM log WHERE model IS NOT NULL
+  UNION ALL SELECT 'prefix', day, NULL, NULL, NULL, 1, rewritten::INT, coalesce(reused, false)::INT, 0 FROM log WHERE rewritten IS NOT NULL)
+SELECT rollup, day, k1, k2, k3, sum(m1)::BIGINT AS m1, sum(m2)::BIGINT AS m2, sum(m3)::BIGINT AS m3, sum(m4)::BIGINT AS m4 FROM rows GROUP BY ALL""",
     "stream_daily_status": LOG + "SELECT day, status, count(*) AS n FROM log WHERE type = 'RESTORE' GROUP BY day, status",
 }
