@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import validators as V
+from ..operators import automaton as A
 from ..operators import dictionary as W
 from ..operators import jsonwalk as J
 from ..operators import tokens as T
@@ -76,6 +77,20 @@ def dictionary_hits(spark, sf_dir):
     return W.word_hits(load(spark, sf_dir, "documents").select("doc_id", "text"), words).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words from the parts: a code of three letters for each key, and the names."""
+    letter = lambda n: F.char((97 + F.floor(F.col("p_partkey") / n) % 26).cast("int"))
+    p = load(spark, sf_dir, "part")
+    return p.select(F.concat(letter(1), letter(26), letter(676)).alias("word")).union(p.select("p_name")).where("word <> ''").distinct()
+
+
+def dictionary_substrings(spark, sf_dir):
+    """Documents that hold a code or a name of a part anywhere and in any case, by an automaton of all of them."""
+    docs = texts(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    found = A.found(docs, _codes(spark, sf_dir)).select(F.explode(F.array_distinct(F.transform("words", lambda w: w["word"]))).alias("word"))
+    return found.groupBy("word").agg(F.count("*").alias("docs"))
+
+
 def dictionary_merge(spark, sf_dir):
     """Customers' names as existing words by segment, suppliers' names and some customers' again as picked ones, 120 per segment."""
     c = load(spark, sf_dir, "customer")
@@ -136,7 +151,7 @@ def top_orders(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dialog_concat, roles_scope, json_leaf_kinds, json_usage, benchmark_leak_join, dictionary_hits, dictionary_merge, validators_derived, pages_hosts,
+        dialog_concat, roles_scope, json_leaf_kinds, json_usage, benchmark_leak_join, dictionary_hits, dictionary_substrings, dictionary_merge, validators_derived, pages_hosts,
         display_words, toxic_by_source, orders_calendar, top_orders,
     )
 }
@@ -163,6 +178,9 @@ ORACLE_SQL = {
     "dictionary_hits": f"""WITH b AS (SELECT DISTINCT w FROM (SELECT {_TOKENS} AS w FROM benchmark) WHERE length(w) > 12),
         d AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) GROUP BY doc_id, w)
         SELECT w AS word, sum(n)::BIGINT AS n, count(*) AS docs FROM d JOIN b USING (w) GROUP BY w""",
+    "dictionary_substrings": """WITH c AS (
+  SELECT chr((97 + p_partkey % 26)::INT) || chr((97 + p_partkey // 26 % 26)::INT) || chr((97 + p_partkey // 676 % 26)::INT) AS word FROM part UNION SELECT p_name FROM part)
+SELECT word, count(*) AS docs FROM c JOIN (SELECT lower(text) AS text FROM documents) ON contains(text, word) WHERE word <> '' GROUP BY word""",
     "dictionary_merge": """WITH u AS (SELECT c_mktsegment AS category, c_name AS word, 0 AS new FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_mktsegment, c_name, 1 FROM customer WHERE c_custkey % 2 = 0),
         s AS (SELECT *, row_number() OVER (PARTITION BY category, word ORDER BY new) AS same FROM u),
         n AS (SELECT *, sum(CASE WHEN same = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY new, word ROWS UNBOUNDED PRECEDING) AS nth FROM s)
