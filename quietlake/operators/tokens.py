@@ -16,6 +16,7 @@ from ..functions import detect as D
 from ..functions import normalize as N
 from ..functions.text import let
 from ..session import written
+from . import known as K
 
 #: 19 consonants; a suffix is six of them.
 ALPHABET = "bcdfghjkmnpqrstvwxz"
@@ -220,18 +221,19 @@ def masked_word(word: Column, credential: Column) -> Column:
     )
 
 
-def egress(text: Column, labels: D.Chosen = None, least: int = 4, most: int = 200, most_bytes: int = 4 << 20) -> Column:
+def egress(text: Column, labels: D.Chosen = None, least: int = 4, most: int | None = None, most_bytes: int | None = None) -> Column:
     """struct(leaks, skipped): how many of its own values the masked text still holds outside placeholders.
 
-    Values of at least `least` characters that are no credentials. Beyond `most` values or
-    `most_bytes` the text is not verified, and skipped says why.
+    Values of at least `least` characters that are no credentials. All values of all texts are
+    verified; with `most` or `most_bytes` a text of more values or bytes is not, and skipped says why.
     """
 
     def verify(both: Column) -> Column:
         values = F.array_distinct(F.transform(F.filter(both["found"], lambda c: c["label"].isNotNull() & ~c["label"].isin(*D.CREDENTIALS) & (F.length(c["value"]) >= least)), lambda c: c["value"]))
         bare = F.regexp_replace(both["bare"], TOKEN, "\u0000")
         held = lambda b: F.size(F.filter(b["values"], lambda v: F.contains(b["bare"], v)))
-        many, long = F.size(values) > most, F.octet_length(both["bare"]) > most_bytes
+        many = F.size(values) > most if most is not None else F.lit(False)
+        long = F.octet_length(both["bare"]) > most_bytes if most_bytes is not None else F.lit(False)
         skipped = F.when(many, "too_many_values").when(long, "too_long")
         return F.struct(F.when(skipped.isNull(), let(F.struct(values.alias("values"), bare.alias("bare")), held)).alias("leaks"), skipped.alias("skipped"))
 
@@ -245,21 +247,11 @@ def egress(text: Column, labels: D.Chosen = None, least: int = 4, most: int = 20
 def forward(df: DataFrame, known: DataFrame, text: str = "text", least: int = 8) -> DataFrame:
     """df with every known value of at least `least` characters replaced by its placeholder wherever it stands between word edges.
 
-    known: label, value, token. Credentials are left to the rules. Texts meet the values by the
-    first word of a value, and only values that a text really holds are replaced, longest first.
+    known: label, value, token. Credentials are left to the rules. Chinese, Japanese and the like
+    have no edges, so values are found in the middle of their runs. See known.replaced().
     """
-    word = r"[\p{L}\p{N}_]+"
     wanted = known.where((F.length("value") >= least) & ~F.col("label").isin(*D.CREDENTIALS))
-    wanted = wanted.select(F.regexp_extract("value", f"({word})", 1).alias("w"), "value", "token").where("w <> ''")
-    texts = _identified(df.select(text), text).dropDuplicates(["_h"])
-    words = texts.select("_h", text, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("w"))
-    hits = words.join(wanted, "w").where(F.contains(text, F.col("value"))).select("_h", "value", "token").distinct()
-    order = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token")))
-    per = hits.groupBy("_h").agg(order.alias("_known"))
-    quoted = lambda v: F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    done = F.aggregate("_known", F.col(text), lambda t, k: F.regexp_replace(t, quoted(k["value"]), k["token"]))
-    both = _identified(df, text).join(per, "_h", "left")
-    return both.withColumn(text, F.when(F.col("_known").isNull(), F.col(text)).otherwise(done)).drop("_h", "_known")
+    return K.replaced(df, wanted.select("value", "token"), text)
 
 
 def unrestored(df: DataFrame, known: DataFrame, id_column: str, text: str = "text", labels: D.Chosen = None) -> DataFrame:

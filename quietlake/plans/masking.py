@@ -17,6 +17,9 @@ from .detection import KEY
 from .tables import load
 
 
+_NUMERALS = "零一二三四五六七八九"
+
+
 def _pad(c, n: int):
     return F.lpad(c.cast("string"), n, "0")
 
@@ -89,6 +92,15 @@ def forward_values(spark, sf_dir):
     return T.forward(docs, known)
 
 
+def forward_in_runs(spark, sf_dir):
+    """Customers' keys in Chinese numerals inside a run of Chinese characters; those of even number are known."""
+    c = load(spark, sf_dir, "customer")
+    han = F.translate(_pad(F.col("c_custkey"), 9), "0123456789", _NUMERALS)
+    known = T.mapping(c.where("c_custkey % 2 = 0").select(F.lit("NAME").alias("label"), han.alias("value")), KEY)
+    docs = c.select("c_custkey", F.concat(F.lit("客户"), han, F.lit("今天来了,"), han, F.lit("x")).alias("text"))
+    return T.forward(docs, known)
+
+
 def unrestored_values(spark, sf_dir):
     """Addresses in answers that no mapping of the requests accounts for."""
     c = load(spark, sf_dir, "customer")
@@ -202,7 +214,7 @@ def price_lists(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, unrestored_values, masked_bodies, masked_conversations, export_records,
+        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, forward_in_runs, unrestored_values, masked_bodies, masked_conversations, export_records,
         tolerant_restore, validators_more, jwt_headers, digit_runs, entity_windows, env_entries, price_lists,
     )
 }
@@ -229,6 +241,9 @@ ORACLE_SQL = {
         SELECT c_custkey, ok::INTEGER AS found, CASE WHEN ok THEN 4 ELSE -1 END AS start, CASE WHEN ok THEN 16 ELSE -1 END AS stop,
           'tél ' || CASE WHEN ok THEN '*' ELSE substr(w, 1, 3) || chr(8203) || substr(w, 4, 8) END || ' fin' AS masked FROM q""",
     "forward_values": f"""SELECT c_custkey, 'ask ' || CASE WHEN c_custkey % 2 = 0 THEN {Q.token("'NAME'", 'c_name', KEY)} ELSE c_name END || ', not ' || c_name || 'x' AS text FROM customer""",
+    "forward_in_runs": f"""SELECT c_custkey, '客户' || w || '今天来了,' || w || 'x' AS text FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {Q.token("'NAME'", 'han', KEY)} ELSE han END AS w
+  FROM (SELECT c_custkey, translate(lpad(c_custkey::VARCHAR, 9, '0'), '0123456789', '{_NUMERALS}') AS han FROM customer))""",
     "unrestored_values": f"SELECT c_custkey, 'EMAIL' AS label, {_MAIL} AS value FROM customer WHERE c_custkey % 3 <> 0",
     "masked_bodies": f"""SELECT c_custkey, 2::INTEGER AS changed, '{{ "model" : "m-' || {_MAIL} || '",  "messages":[{{"role":"user","content":"say \\"hi\\" to ' || {_EMAIL(_MAIL)} || '\\n"}},{{"type":"tool_use","input":{{"name": "'
         || {_EMAIL(_MAIL)} || '"}}}}], "n": ' || c_custkey || '.50 }}' AS body FROM customer""",
