@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TYPES = {"view": "PASS", "click": "MASK", "purchase": "RESTORE", "signup": "BLOCK", "error": "ERR"}
 LABELS = ("EMAIL", "PHONE", "CARD", "SECRET", "IP_PRIVATE")
 
@@ -266,13 +268,37 @@ def typing_probe(body: Column, keys: tuple[str, ...] = ("typing", "is_typing"))
     return F.coalesce(F.arrays_overlap(F.json_object_keys(body), F.array(*[F.lit(k) for k in keys])), F.lit(False))
 
 
+def as_of(rows: DataFrame, changes: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+    """rows with the values of the last of changes (key, time, values) that has the row's key and is not later than it; null without one.
+
+    Rows and changes are sorted together over the cluster by key and time and cut into slices of
+    about equal size, whatever one key holds. Within a slice the last change is carried forward;
+    what a slice begins with comes from the ends of the slices before it, of which there is one
+    for each slice and key. No row is paired with more than one change. Of changes at one time the
+    largest counts; rows without key or time have nulls.
+    """
+    value = F.struct(*[F.col(v).alias(v) for v in values])
+    known = changes.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key).alias("_p"), F.col(time).alias("_t")).agg(F.max(value).alias("_o"))
+    of = known.schema["_o"].dataType
+    mine = rows.select(F.col(key).alias("_p"), F.col(time).alias("_t"), F.struct(*[F.col(c).alias(c) for c in rows.columns]).alias("_e"))
+    datable = F.col("_p").isNotNull() & F.col("_t").isNotNull()
+    both = mine.where(datable).select("_p", "_t", F.lit(1).alias("_k"), "_e", F.lit(None).cast(of).alias("_o"))
+    both = both.unionByName(known.select("_p", "_t", F.lit(0).alias("_k"), F.lit(None).cast(mine.schema["_e"].dataType).alias("_e"), "_o"))
+    cut = written(both.repartitionByRange("_p", "_t").withColumn("_s", F.spark_partition_id()), "slices")
+    within = Window.partitionBy("_s", "_p").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max_by(F.when(F.col("_k") == 0, F.col("_o")), F.when(F.col("_k") == 0, F.col("_t")))
+    ends = cut.groupBy("_s", "_p").agg(last.alias("_last"))
+    before = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_s", "_p", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    filled = cut.withColumn("_o", F.last("_o", ignorenulls=True).over(within)).where("_k = 1").join(carried, ["_s", "_p"], "left")
+    found = filled.select("_e", F.coalesce("_o", "_carried").alias("_o"))
+    found = found.unionByName(mine.where(~datable).select("_e", F.lit(None).cast(of).alias("_o")))
+    return found.select(*[F.col("_e").getField(c).alias(c) for c in rows.columns], *[F.col("_o").getField(v).alias(v) for v in values])
+
+
 def with_process(log: DataFrame, ports: DataFrame, port: str = "client_port") -> DataFrame:
     """log with pid and app of the client, by the port that it sent from; the newest owner (port, pid, app, ts) not younger than the event."""
-    owner = ports.select(F.col("port").alias("_port"), "pid", "app", F.col("ts").alias("_since"))
-    until = F.lead("_since").over(Window.partitionBy("_port").orderBy("_since"))
-    owner = owner.withColumn("_until", until)
-    on = (F.col(port) == F.col("_port")) & (F.col("ts") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
-    return log.join(owner, on, "left").drop("_port", "_since", "_until")
+    return as_of(log, ports.select(F.col("port").alias(port), "pid", "app", "ts"), port, "ts", ["pid", "app"])
 
 
 def by_ids(log: DataFrame, ids: list[int]) -> DataFrame:
