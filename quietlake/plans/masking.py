@@ -11,6 +11,7 @@ from ..operators import dictionary as W
 from ..operators import entities as E
 from ..operators import jsonwalk as J
 from ..operators import tokens as T
+from ..operators import zhnames as Z
 from ..sources import files as S
 from . import sqlparts as Q
 from .detection import KEY
@@ -101,6 +102,21 @@ def forward_in_runs(spark, sf_dir):
     return T.forward(docs, known)
 
 
+_NOISE, _FIRST, _GIVEN, _SECOND = "方法正确，文字很好；程序一般。", "王李张刘陈杨赵黄", "伟芳娜敏静丽强磊洋艳", "军杰娟涛明超兰霞平刚"
+
+
+def zh_names(spark, sf_dir):
+    """A name with evidence before every document, among ordinary words that begin with a surname, some of them next to evidence too."""
+    d = load(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    pick = lambda chars, n: F.substr(F.lit(chars), (n % len(chars) + 1).cast("int"), F.lit(1))
+    i = F.col("doc_id")
+    name = F.concat(pick(_FIRST, i), pick(_GIVEN, i), F.when(i % 2 == 0, pick(_SECOND, F.floor(i / 10))).otherwise(""))
+    frame = F.when(i % 3 == 0, F.concat(F.lit("请联系"), name, F.lit("。"))).when(i % 3 == 1, F.concat(name, F.lit("先生来电。"))).otherwise(F.concat(F.lit("负责人:"), name, F.lit("。")))
+    text = F.concat(F.lit(_NOISE), F.when(i % 5 == 0, "客户方法，").otherwise(""), frame, F.coalesce("text", F.lit("")))
+    docs = d.select("doc_id", text.alias("text"))
+    return Z.names(docs, Z.counter_examples(docs)).select("doc_id", "start", "value")
+
+
 def unrestored_values(spark, sf_dir):
     """Addresses in answers that no mapping of the requests accounts for."""
     c = load(spark, sf_dir, "customer")
@@ -214,7 +230,7 @@ def price_lists(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, forward_in_runs, unrestored_values, masked_bodies, masked_conversations, export_records,
+        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, forward_in_runs, zh_names, unrestored_values, masked_bodies, masked_conversations, export_records,
         tolerant_restore, validators_more, jwt_headers, digit_runs, entity_windows, env_entries, price_lists,
     )
 }
@@ -244,6 +260,9 @@ ORACLE_SQL = {
     "forward_in_runs": f"""SELECT c_custkey, '客户' || w || '今天来了,' || w || 'x' AS text FROM (
   SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {Q.token("'NAME'", 'han', KEY)} ELSE han END AS w
   FROM (SELECT c_custkey, translate(lpad(c_custkey::VARCHAR, 9, '0'), '0123456789', '{_NUMERALS}') AS han FROM customer))""",
+    "zh_names": f"""SELECT doc_id, ({len(_NOISE)} + CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END + CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 4 END)::INTEGER AS start,
+  substr('{_FIRST}', doc_id % 8 + 1, 1) || substr('{_GIVEN}', doc_id % 10 + 1, 1) || CASE WHEN doc_id % 2 = 0 THEN substr('{_SECOND}', doc_id // 10 % 10 + 1, 1) ELSE '' END AS value
+  FROM documents WHERE doc_id IS NOT NULL""",
     "unrestored_values": f"SELECT c_custkey, 'EMAIL' AS label, {_MAIL} AS value FROM customer WHERE c_custkey % 3 <> 0",
     "masked_bodies": f"""SELECT c_custkey, 2::INTEGER AS changed, '{{ "model" : "m-' || {_MAIL} || '",  "messages":[{{"role":"user","content":"say \\"hi\\" to ' || {_EMAIL(_MAIL)} || '\\n"}},{{"type":"tool_use","input":{{"name": "'
         || {_EMAIL(_MAIL)} || '"}}}}], "n": ' || c_custkey || '.50 }}' AS body FROM customer""",
