@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import tokens as T
 from ..session import shared_dir, written
+from ..streaming import framing as G
 from ..streaming import restoration as R
 from ..streaming import rollups as U
 from ..streaming import windows as S
+from ..streaming import writer as V
 from .detection import KEY
 from .tables import load
 from .traffic import LOG
@@ -63,11 +65,63 @@ def rollups_incremental(spark, sf_dir):
     return U.current(spark, path)
 
 
+def stream_lines(spark, sf_dir):
+    """Documents as channels of pieces of 97 characters, put together as lines: their number and characters by document."""
+    d = load(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    pieces = R.chunked(F.coalesce("text", F.lit("")), F.lit(97))
+    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+    each = d.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("string").alias("sid"), F.size(pieces).alias("size"), F.posexplode(pieces).alias("seq", "delta"))
+    rows = each.select("sid", F.lit("").alias("channel"), F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("size") - 1).alias("final"))
+    files = written(rows.repartition("seq"), "pieces")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    out = S.drained(G.assembled(stream, G.lines), "lines", "append")
+    return out.groupBy(F.col("sid").cast("long").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+_EVENT = "id long, ts timestamp, type string, ms double, evidence string"
+
+
+def writer_outcomes(spark, sf_dir):
+    """Events as JSON texts, some of them with a bad time, a bad number, without a type or broken; each fifth comes twice, and those of the first days are from before a clear."""
+    e = load(spark, sf_dir, "events")
+    i, kind = F.col("event_id"), F.upper(F.col("event_type"))
+    ts = F.when(i % 50 == 7, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    ms = F.when(i % 70 == 3, "x").otherwise(F.lit("1.5"))
+    whole = F.to_json(F.struct(i.alias("id"), ts.alias("ts"), F.when(i % 90 != 11, "PASS").alias("type"), ms.alias("ms"), F.repeat(kind, 100).alias("evidence")))
+    text = F.when(i % 110 == 13, F.concat(F.lit("{"), F.lit("broken "), i.cast("string"))).otherwise(whole)
+    rows = e.select(F.explode(F.array_repeat(text, F.when(i % 5 == 0, 2).otherwise(1))).alias("value"), i.alias("event_id"))
+    files = written(rows.repartition("event_id").select("value"), "texts")
+    path = f"{shared_dir(spark)}/quietlake-writer-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    cutoff = e.agg(F.date_add(F.to_date(F.min("ts")), 3)).first()[0]
+    how = {"cutoff": F.lit(cutoff).cast("timestamp"), "cuts": {"evidence": 300}}
+    V.kept_log(stream, path, "events", _EVENT, ("id", "ts", "type"), **how).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = V.log(spark, path, _EVENT).agg(F.count("*").alias("rows"), F.max(F.length("evidence")).alias("evidence"))
+    dead = V.dead_letters(spark, path, _EVENT).groupBy("reason").agg(F.count("*").alias("n"))
+    total = V.counters(spark, path).select("type", F.explode(F.create_map(*[x for o in V.OUTCOMES for x in (F.lit(o), F.col(o))])).alias("what", "n"))
+    parts = total.groupBy("what").agg(F.sum("n").alias("n")).select(F.concat(F.lit("count "), "what").alias("what"), "n")
+    parts = parts.unionByName(dead.select(F.concat(F.lit("dead "), "reason").alias("what"), "n"))
+    return parts.unionByName(kept.select(F.explode(F.array(F.struct(F.lit("log rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("log evidence").alias("what"), F.col("evidence").cast("long").alias("n")))).alias("s")).select("s.*"))
+
+
 _ANSWER = "'Reply to u' || conv_id || '.' || turn || '@mail.example or {{EMAIL_zzzzzz}}{{' || coalesce(text, '') || ' u' || conv_id || '.' || turn || '@mail.example'"
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status, stream_restored, rollups_incremental)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_daily_status, stream_restored, rollups_incremental, stream_lines, writer_outcomes)}
 ORACLE_SQL = {
     "stream_hourly": LOG + "SELECT date_trunc('hour', ts) AS hour, type, count(*) AS n FROM log GROUP BY ALL",
     "stream_restored": f"SELECT conv_id, turn, length(a)::BIGINT AS chars, sha256(a) AS sha256 FROM (SELECT *, {_ANSWER} AS a FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)",
+    "stream_lines": r"""SELECT doc_id, len(l)::BIGINT AS lines, list_sum(list_transform(l, lambda x: length(x)))::BIGINT AS chars
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN right(x, 1) = chr(13) THEN left(x, -1) ELSE x END), lambda x: x <> '') AS l
+  FROM (SELECT DISTINCT ON (doc_id) doc_id, text FROM documents WHERE text IS NOT NULL)) WHERE len(l) > 0""",
+    "writer_outcomes": """WITH c AS (SELECT min(ts)::DATE + 3 AS cutoff FROM events),
+r AS (SELECT event_id AS i, ts, upper(event_type) AS k, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS copies,
+  CASE WHEN event_id % 110 = 13 THEN 'no object' WHEN event_id % 50 = 7 THEN 'ts: value' WHEN event_id % 70 = 3 THEN 'ms: value' WHEN event_id % 90 = 11 THEN 'type: missing' END AS reason FROM events),
+o AS (SELECT *, reason IS NULL AND date_trunc('second', ts) >= cutoff AS ok FROM r, c)
+SELECT 'count kept' AS what, count(*) FILTER (ok) AS n FROM o
+UNION ALL SELECT 'count dropped', (sum(copies) FILTER (reason IS NULL) - count(*) FILTER (ok))::BIGINT FROM o
+UNION ALL SELECT 'count dead', (sum(copies) FILTER (reason IS NOT NULL))::BIGINT FROM o
+UNION ALL SELECT 'dead ' || reason, sum(copies)::BIGINT FROM o WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'log rows', count(*) FILTER (ok) FROM o
+UNION ALL SELECT 'log evidence', max(least(300, length(k) * 100)) FILTER (ok) FROM o""",
     "rollups_incremental": LOG + """, rows AS (
   SELECT 'daily' AS rollup, day, type AS k1, NULL::VARCHAR AS k2, NULL::VARCHAR AS k3, 1 AS m1, 0 AS m2, 0 AS m3, 0 AS m4 FROM log
   UNION ALL SELECT 'status', day, status, NULL, NULL, 1, 0, 0, 0 FROM log WHERE type = 'RESTORE'
