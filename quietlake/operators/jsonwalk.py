@@ -68,32 +68,50 @@ def _placed(body: str | None) -> list[dict] | None:
     return [x | {"start": a, "stop": b} for x, (a, b) in zip(found, literals(body))]
 
 
+def _indexed(body: Column) -> Column:
+    """The leaves of each body with their places, by structural index; made on call, since workers import this module without a session."""
+    import pyarrow as pa
+
+    from .structure import FIELDS, index
+
+    def work(bodies: pa.Array) -> pa.Array:
+        return index(bodies, BUSINESS_KEYS, DEFINITION_KEYS, MAX_DEPTH)
+
+    work.__annotations__ = {"bodies": pa.Array, "return": pa.Array}
+    kinds = {pa.string(): "string", pa.bool_(): "boolean", pa.int32(): "int"}
+    return F.arrow_udf(work, f"array<struct<{','.join(f'{n}:{kinds[t]}' for n, t in FIELDS)}>>")(body)
+
+
 def rewritten(body: Column, masked: Callable[[Column], Column], fail_closed: bool = True) -> Column:
-    """struct(body, changed): a JSON text in which the literals of leaves that masked() changes are replaced, and no other byte.
+    """struct(body, changed, exempt, repeated): a JSON text in which the literals of leaves that masked() changes are replaced, and no other byte.
 
-    masked: of a leaf's text. Numbers are masked in their decimal form and become strings. A text that
-    cannot be walked is masked as a whole if fail_closed, else left as it is (changed is null then).
+    masked: of a leaf's text. Numbers are masked in their decimal form and become strings. The
+    opaque fields of carriers stay as they are, and exempt counts them. repeated counts the
+    leaves under keys that their object has twice; each of them is masked where it stands, so that no
+    reader of the body sees one that is not. A text that cannot be walked is masked as a whole
+    if fail_closed, else left as it is (changed is null then).
     """
     from .tokens import json_escaped
 
-    spots = F.pandas_udf(lambda b: b.map(_placed), LEAF.replace(">>", ",start:int,stop:int>>"), F.PandasUDFType.SCALAR)(body)
-
-    def splice(changed: Column) -> Column:
+    def splice(changed: Column, all_: Column) -> Column:
         quoted = lambda c: F.concat(F.lit('"'), json_escaped(c["new"]), F.lit('"'))
-        return F.struct(spliced(body, changed, quoted).alias("body"), F.size(changed).alias("changed"))
+        exempt, twice = F.size(F.filter(all_, carried)), F.size(F.filter(all_, lambda x: x["repeated"]))
+        return F.struct(spliced(body, changed, quoted).alias("body"), F.size(changed).alias("changed"), exempt.alias("exempt"), twice.alias("repeated"))
 
     def work(all_: Column) -> Column:
-        mine = F.filter(all_, lambda x: scannable(x["key"], x["kind"], x["value"], x["business"], x["definition"]))
+        mine = F.filter(all_, lambda x: scannable(x["key"], x["kind"], x["value"], x["business"], x["definition"]) & ~carried(x))
         each = F.transform(mine, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("old"), masked(x["value"]).alias("new")))
-        return let(F.filter(each, lambda x: x["old"] != x["new"]), splice)
+        return let(F.filter(each, lambda x: x["old"] != x["new"]), lambda changed: splice(changed, all_))
 
-    whole = F.struct((masked(body) if fail_closed else body).alias("body"), F.lit(None).cast("int").alias("changed"))
-    return let(spots, lambda all_: F.when(all_.isNull(), whole).otherwise(work(all_)))
+    none = lambda name: F.lit(None).cast("int").alias(name)
+    whole = F.struct((masked(body) if fail_closed else body).alias("body"), none("changed"), none("exempt"), none("repeated"))
+    return let(_indexed(body), lambda all_: F.when(all_.isNull(), whole).otherwise(work(all_)))
 
 
 def leaves(body: Column) -> Column:
-    """LEAF of each body; made on call, since workers import this module without a session."""
-    return F.pandas_udf(lambda b: b.map(walk), LEAF, F.PandasUDFType.SCALAR)(body)
+    """LEAF of each body; null for one that cannot be walked."""
+    names = [f.split(":")[0] for f in LEAF[len("array<struct<") : -2].split(",")]
+    return F.transform(_indexed(body), lambda x: F.struct(*[x[n].alias(n) for n in names]))
 
 
 def leaf_table(bodies: DataFrame, id_column: str, body: str = "body") -> DataFrame:
@@ -138,6 +156,15 @@ CARRIERS = (
 )
 
 
+def carried(leaf: Column) -> Column:
+    """Whether a leaf (a struct with key, role, type, value and business) is the opaque field of a carrier; never in business zones."""
+    out = F.lit(False)
+    for _, role, type_, field in CARRIERS:
+        here = (leaf["type"] == type_) & (leaf["key"] == field)
+        out = out | F.coalesce(here & (leaf["role"] == role) if role else here, F.lit(False))
+    return out & ~leaf["business"] & (F.length(leaf["value"]) > 0)
+
+
 def carriers(leaf: DataFrame) -> DataFrame:
     """leaf with the name of the carrier that it is the opaque field of, or null. Business zones have none."""
     spark = leaf.sparkSession

@@ -136,6 +136,25 @@ def masked_bodies(spark, sf_dir):
     return out.select("c_custkey", "r.changed", "r.body")
 
 
+def _zoned(mail):
+    """Six forms of bodies around an address: a definition, repeated keys, a carrier, too deep, no JSON, a bare string."""
+    lit = F.lit
+    return [
+        F.concat(lit('{"tools":[{"name":"'), mail, lit('","description":"to '), mail, lit('"}]}')), F.concat(lit('{"a":"x","a":"'), mail, lit('"}')),
+        F.concat(lit('{"content":[{"role":"assistant","type":"thinking","signature":"'), mail, lit('"}]}')), F.concat(lit("[" * 26 + '"'), mail, lit('"' + "]" * 26)),
+        F.concat(lit("ask "), mail, lit(" {")), F.concat(lit('"'), mail, lit('"')),
+    ]
+
+
+def body_zones(spark, sf_dir):
+    """Which leaves of a body are masked: natural-language fields of definitions, both of two equal keys, no carrier's content; what cannot be walked as a whole."""
+    c = load(spark, sf_dir, "customer")
+    forms = _zoned(F.concat(F.lit("c"), "c_custkey", F.lit("@a.example")))
+    body = F.coalesce(*[F.when(F.col("c_custkey") % 6 == i, f) for i, f in enumerate(forms)])
+    out = c.select("c_custkey", J.rewritten(body, lambda v: D.replaced(v, lambda x: T.token(x["label"], x["value"], KEY), ["EMAIL"])).alias("r"))
+    return out.select("c_custkey", "r.body", "r.changed", "r.exempt", "r.repeated")
+
+
 def masked_conversations(spark, sf_dir):
     """Conversations as JSON bodies, masked leaf by leaf: their texts are those that masking the turns gives."""
     from .documents import _bodies
@@ -230,7 +249,7 @@ def price_lists(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, forward_in_runs, zh_names, unrestored_values, masked_bodies, masked_conversations, export_records,
+        long_secrets, colliding_placeholders, custom_words, action_texts, full_width_phones, forward_values, forward_in_runs, zh_names, unrestored_values, masked_bodies, body_zones, masked_conversations, export_records,
         tolerant_restore, validators_more, jwt_headers, digit_runs, entity_windows, env_entries, price_lists,
     )
 }
@@ -263,6 +282,11 @@ ORACLE_SQL = {
     "zh_names": f"""SELECT doc_id, ({len(_NOISE)} + CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END + CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 4 END)::INTEGER AS start,
   substr('{_FIRST}', doc_id % 8 + 1, 1) || substr('{_GIVEN}', doc_id % 10 + 1, 1) || CASE WHEN doc_id % 2 = 0 THEN substr('{_SECOND}', doc_id // 10 % 10 + 1, 1) ELSE '' END AS value
   FROM documents WHERE doc_id IS NOT NULL""",
+    "body_zones": f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '{{"tools":[{{"name":"' || m || '","description":"to ' || t || '"}}]}}' WHEN 1 THEN '{{"a":"x","a":"' || t || '"}}'
+    WHEN 2 THEN '{{"content":[{{"role":"assistant","type":"thinking","signature":"' || m || '"}}]}}' WHEN 3 THEN repeat('[', 26) || '"' || t || '"' || repeat(']', 26)
+    WHEN 4 THEN 'ask ' || t || ' {{' ELSE '"' || t || '"' END AS body, CASE WHEN c_custkey % 6 IN (3, 4) THEN NULL WHEN c_custkey % 6 = 2 THEN 0 ELSE 1 END::INTEGER AS changed,
+    CASE WHEN c_custkey % 6 IN (3, 4) THEN NULL WHEN c_custkey % 6 = 2 THEN 1 ELSE 0 END::INTEGER AS exempt, CASE WHEN c_custkey % 6 IN (3, 4) THEN NULL WHEN c_custkey % 6 = 1 THEN 2 ELSE 0 END::INTEGER AS repeated
+  FROM (SELECT c_custkey, m, {Q.token("'EMAIL'", 'm', KEY)} AS t FROM (SELECT c_custkey, 'c' || c_custkey || '@a.example' AS m FROM customer))""",
     "unrestored_values": f"SELECT c_custkey, 'EMAIL' AS label, {_MAIL} AS value FROM customer WHERE c_custkey % 3 <> 0",
     "masked_bodies": f"""SELECT c_custkey, 2::INTEGER AS changed, '{{ "model" : "m-' || {_MAIL} || '",  "messages":[{{"role":"user","content":"say \\"hi\\" to ' || {_EMAIL(_MAIL)} || '\\n"}},{{"type":"tool_use","input":{{"name": "'
         || {_EMAIL(_MAIL)} || '"}}}}], "n": ' || c_custkey || '.50 }}' AS body FROM customer""",
