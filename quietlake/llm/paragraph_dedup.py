@@ -82,10 +82,24 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     """Places of the smallest of every WINNOW consecutive hashes (of all, if they are fewer)."""
     if len(hashes) <= WINNOW:
         return np.array([hashes.argmin()])
-    at = np.lib.stride_tricks.sliding_window_view(hashes, WINNOW).argmin(1) + np.arange(len(hashes) - WINNOW + 1)
+    low, size = hashes, 1
+    while size < WINNOW:  # minima of ever longer windows
+        step = min(size, WINNOW - size)
+        low, size = np.minimum(low[:-step], low[step:]), size + step
+    at = np.full(len(low), WINNOW - 1)
+    for k in range(WINNOW - 2, -1, -1):  # the first of equal ones
+        at[hashes[k : k + len(low)] == low] = k
+    at += np.arange(len(low))
     return at[np.concatenate(([True], at[1:] != at[:-1]))]  # they never go back
 
 
+def _grouped(x: np.ndarray, m: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """x and m in groups that make at most 64K numbers of n each."""
+    size = max(1, 65_536 // n)
+    for at in range(0, len(x), size):
+        yield x[at : at + size], m[at : at + size]
+
+
 def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths (words) and contents of the units of a text, lines before seeds, and the lines' band keys."""
     words, sizes = words_of(text)
@@ -103,11 +117,10 @@ def doc_units(text: str, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray,
         pairs = np.stack([start, stop - SHINGLE + 1], 1).ravel()
         tail = np.append(s, ~np.uint64(0))
         out = np.zeros((bands, len(start)), np.uint64)
-        for b in range(bands):
-            for r in range(rows):
-                k = b * rows + r
-                low = np.minimum.reduceat((tail ^ _XOR[k]) * _MULTIPLY[k], pairs)[::2]
-                out[b] = (out[b] + low) * _MULTIPLY[63 - r]
+        for r in range(rows):  # hashes of all bands at once, of as many words as stay in the processor's cache
+            k = np.arange(r, bands * rows, rows)
+            low = [np.minimum.reduceat((tail ^ x[:, None]) * m[:, None], pairs, axis=1)[:, ::2] for x, m in _grouped(_XOR[k], _MULTIPLY[k], len(tail))]
+            out = (out + np.concatenate(low)) * _MULTIPLY[63 - r]
         keys = _mix(out + np.arange(bands, dtype=np.uint64)[:, None] * _STEP).T.view(np.int64)
     seeds = sum(s[j : len(words) - SEED + 1 + j] * power[j] for j in range(SEED - SHINGLE + 1))
     at = winnowed(_mix(seeds))
