@@ -330,11 +330,10 @@ def compacted(table: DataFrame, path: str, target_bytes: int = 128 << 20, least:
     path must not be where the table is read from, nor within it or around it: a table that is
     overwritten while it is read is lost.
     """
-    target = path.split(":", 1)[-1].rstrip("/") + "/"
-    for file in table.inputFiles():
-        read = file.split(":", 1)[-1]
-        if ("/" + read.lstrip("/")).startswith("/" + target.lstrip("/")) or target.startswith(read.rsplit("/", 1)[0] + "/"):
-            raise ValueError(f"{path} is where the table is read from")
+    bare = lambda p: "/" + p.split(":", 1)[-1].strip("/") + "/"
+    target = bare(path)
+    if any(bare(f).startswith(target) or target.startswith(bare(f.rsplit("/", 1)[0])) for f in table.inputFiles()):
+        raise ValueError(f"{path} is where the table is read from")
     size = table_size(table).first()
     files = max(1, -(-size["bytes"] // target_bytes)) if size["files"] else 0
     if not size["files"] or size["files"] - files < least * size["files"] or size["files"] == files:

@@ -4,6 +4,7 @@ import json
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quietlake.operators import audit as U
@@ -202,6 +203,9 @@ def test_compaction_and_size(spark, tmp_path):
     assert (size.files, size.rows) == (8, 100) and size.bytes > 0
     assert events.compacted(table, str(tmp_path / "b")) and events.table_size(spark.read.parquet(str(tmp_path / "b"))).first().files == 1
     assert not events.compacted(spark.read.parquet(str(tmp_path / "b")), str(tmp_path / "c"))
+    for same in (str(tmp_path / "b"), f"file:{tmp_path}/b/", str(tmp_path), f"{tmp_path}/b/c"):
+        with pytest.raises(ValueError):  # what is read must not be overwritten
+            events.compacted(spark.read.parquet(str(tmp_path / "b")), same)
 
 
 def test_entities(spark):
