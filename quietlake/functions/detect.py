@@ -36,6 +36,12 @@ _SECRET_HEAD = (
 _SECRET_HEAD_ZH = r"(?:密码|口令|令牌|密钥)[\"']?[ \t]{0,4}(?:=|:|：|是|为)[ \t]{0,4}[\"']?"
 
 
+#: The default prefixes of credentials. Callers may have a list of their own, see with_prefixes().
+SECRET_PREFIXES = (
+    "sk-", "ah-", "ghp_", "glpat-", "xoxb-", "xoxp-", "pypi-", "npm_", "dify-", "sk-proj-", "sk-svcacct-", "sk-admin-", "sk-ant-", "sk-or-",
+    "hf_", "gsk_", "xai-", "nvapi-", "pplx-", "dop_v1_", "SG.",
+)
+
 def java(pattern: str) -> str:
     """The same pattern for Java: ASCII word edges, and runs without an upper bound are never given back."""
     # before a group of patterns that all begin with a word character half of the test is enough
@@ -48,6 +54,7 @@ class Rule:
     """label, pattern of the whole candidate, test of the value, patterns of what stands before and after the value and stays.
 
     hint: a cheap pattern that every candidate begins with (Java), for rules that begin a word.
+    behind: characters that no candidate stands after (Java), for rules that begin elsewhere; keeps long runs linear.
     fold: values that differ by case only have one placeholder.
     """
 
@@ -60,6 +67,28 @@ class Rule:
     tail: str | None = None
     hint: str | None = None
     fold: bool = False
+    behind: str | None = None
+
+
+def valid_prefixes(prefixes: Sequence[str]) -> list[str]:
+    """Prefixes of letters, digits, dots, dashes and underscores, an @ before them or not; others are left out, repeated ones too."""
+    return list(dict.fromkeys(p for p in prefixes if re.fullmatch(r"@?[A-Za-z0-9][A-Za-z0-9._-]*", p)))
+
+
+def prefix_rules(prefixes: Sequence[str] = SECRET_PREFIXES) -> list[Rule]:
+    """Rules for credentials that begin with one of the prefixes (dash and underscore are alike) and go on for 8 characters or more.
+
+    A prefix with a dot may be followed by more dots. No rule for no (valid) prefix.
+    """
+    out = []
+    for at, dot in ((False, False), (False, True), (True, False), (True, True)):
+        given = [p for p in valid_prefixes(prefixes) if p.startswith("@") == at and p.endswith(".") == dot]
+        kept = [p for p in given if not any(p != q and p.startswith(q) for q in given)]  # the shorter prefix finds what the longer one does
+        if kept:
+            any_of = "|".join(re.sub("[-_]", "[_-]", p.replace(".", r"\.")) for p in kept)
+            tail = r"[A-Za-z0-9_.-]{8,}" if dot else r"[A-Za-z0-9_-]{8,}"
+            out.append(Rule("APIKEY", rf"{'' if at else chr(92) + 'b'}(?:{any_of}){tail}", None, None, True, hint=None if at else rf"(?:{any_of})"))
+    return out
 
 
 def _secret_ok(v: Column) -> Column:
@@ -75,12 +104,23 @@ _IP = r"\b(?:[A-Za-z][A-Za-z0-9_]{0,40}[-_.])?[0-9]{1,10}(?:\.[0-9]{1,10}){1,9}(
 _DIGITS = r"\b[0-9](?:[ -]?[0-9]){9,30}\b"
 _SECRET = r"[A-Za-z0-9_+/=!@#$%^&*-]{8,}"
 _CONN = r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:"
-_KEYS = r"sk|pk|rk|ah|ghp|gho|ghs|ghu|ghr|github_pat|xoxb|xoxp|xoxa|glpat|hf|npm|pypi|dify|gsk|xai|nvapi|pplx|dop_v1"
+#: Shapes of vendors that are no prefixes of the list below; application ids need a digit.
+_KEYS = r"pk|rk|gho|ghs|ghu|ghr|github_pat|xoxa"
+_APPS = r"(?:cli_|ding)[a-z]{0,20}[0-9][a-z0-9]{5,}"
+
+#: Characters before a region's letter on number plates (GA 36).
+REGIONS = "京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼"
+_HAN = r"\x{4e00}-\x{9fff}"
+#: What is said before an address in Chinese and belongs to no name.
+_LEAD = r"(?:请|联系人|联系|邮箱|电邮|邮件|地址|发送|发|抄送|至|给|到|是|为|和|或|与|及){0,6}"
+_DOMAIN = r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,}"
 
 #: Hints: a digit, a word before an @ or an assignment, and the beginnings of credentials.
 _DIGIT, _WORD = "[0-9]", r"[A-Za-z0-9._%+-]{0,100}+(?:@|[\"']?[ \t]{0,4}[=:：])"
 _ALNUM = r"[A-Z]*+[0-9]"
 
+_PREFIXED = tuple(prefix_rules())
+
 #: In order of priority.
 RULES: tuple[Rule, ...] = (
     Rule("PRIVATEKEY", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s{1,2}[A-Za-z-]{1,30}: [^\n]{0,200}){0,4}[A-Za-z0-9+/=\s]{1,}-----END [A-Z ]{0,20}PRIVATE KEY-----", credential=True),
@@ -90,21 +130,23 @@ RULES: tuple[Rule, ...] = (
     Rule("SECRET", rf"{_SECRET_HEAD_ZH}{_SECRET}", _secret_ok, _SECRET_HEAD_ZH, True),
     Rule("TOKEN", r"\b(?i:bearer)[ \t]{1,4}[A-Za-z0-9._~+/=-]{16,}", None, r"(?i:bearer)[ \t]{1,4}", True, hint=r"(?i:bearer)[ \t]"),
     Rule("ACCESSKEY", r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|LTAI[0-9A-Za-z]{12,20}|AKID[0-9A-Za-z]{32}|AIza[0-9A-Za-z_-]{35})\b", None, None, True, hint="A[KSI]|LTAI"),
-    Rule("APIKEY", rf"\b(?:{_KEYS})[_-][A-Za-z0-9_-]{{16,}}|\bSG\.[A-Za-z0-9_.-]{{16,}}", None, None, True, hint=rf"(?:{_KEYS})[_-]|SG\."),
-    Rule("EMAIL", r"\b[A-Za-z0-9_][A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", hint=_WORD),
+    *_PREFIXED,
+    Rule("APIKEY", rf"\b(?:(?:{_KEYS})[_-][A-Za-z0-9_-]{{16,}}|{_APPS})", None, None, True, hint=rf"(?:{_KEYS})[_-]|cli_|ding"),
+    Rule("EMAIL", rf"\b[A-Za-z0-9_][A-Za-z0-9._%+-]{{1,63}}@{_DOMAIN}", hint=_WORD),
+    Rule("EMAIL", rf"[{_HAN}][A-Za-z0-9._%+{_HAN}-]{{1,63}}@{_DOMAIN}", None, _LEAD, behind=f"[{_HAN}]"),
     Rule("MAC", r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", V.mac_ok, enabled=False, hint="[0-9A-Fa-f]{2}[:-]"),
-    Rule("IPV6PRIVATE", r"\b(?i:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9A-Fa-f]{0,4}){2,7}", V.ipv6_private_ok, enabled=False, hint="[fF][dDeE]"),
+    Rule("IPV6PRIVATE", r"(?i:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9A-Fa-f]{0,4}){2,7}(?:%[A-Za-z0-9]{1,16})?", V.ipv6_private_ok, enabled=False, behind="[A-Za-z0-9_:.]"),
     Rule("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", V.iban_ok, enabled=False, hint=_ALNUM),
     Rule("USCC", r"\b[0-9A-Z]{18}\b", V.uscc_ok, enabled=False, hint="[0-9A-Z]{18}"),
     Rule("IP_PRIVATE", _IP, _ip("IP_PRIVATE"), hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
     Rule("IP_INTERNAL", _IP, _ip("IP_INTERNAL"), enabled=False, hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
     Rule("IP_PUBLIC", _IP, _ip("IP_PUBLIC"), enabled=False, hint=rf"{_DIGIT}|[A-Za-z0-9_]{{1,50}}+[-_.][0-9]"),
-    Rule("LANDLINE", r"(?:\+86[ -]?)?(?:\(0?[0-9]{2,3}\)[ -]?|\b0[0-9]{2,3}[ -])[2-9][0-9]{6,7}(?:-[0-9]{1,5}| ext\.? ?[0-9]{1,5})?\b", V.landline_ok, enabled=False),
+    Rule("LANDLINE", rf"(?:{V.CODE}[ -]?{V.AREA}|{V.BRACKETS}|\b0[0-9]{{2,3}}[ -]){V.LOCAL}\b", V.landline_ok, enabled=False),
     Rule("IDCARD", r"\b(?:[0-9]{17}[0-9Xx]|[0-9]{15})\b", V.id_card_ok, hint=_DIGIT),
     Rule("PHONE", r"\b(?:(?:00)?86[ -]?)?1[3-9][0-9](?:[0-9]{8}| [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4})\b", V.cn_mobile_ok, hint=_DIGIT),
     Rule("CARD", _DIGITS, V.card_ok, hint=_DIGIT),
     Rule("HKID", r"\bH[0-9]{8}\b", V.hkid_ok, enabled=False, hint="H[0-9]"),
-    Rule("PLATE", r"[\x{4e00}-\x{9fff}][A-HJ-NP-Z][A-HJ-NP-Z0-9]{5,6}\b", V.plate_ok, enabled=False),
+    Rule("PLATE", rf"[{REGIONS}][A-HJ-NP-Z][A-HJ-NP-Z0-9]{{5,6}}\b", V.plate_ok, enabled=False),
     Rule("HIGHENTROPY", r"\b[A-Za-z0-9_+/=-]{20,}", V.high_entropy, None, True, enabled=False, hint="[A-Za-z0-9_+/=-]{20}"),
     Rule("NAME", rf"(?:{'|'.join(N.STRONG_LEFT)})(?:是|为|：|:|\s){{0,2}}(?:{N.PATTERN})", N.name_ok, rf"(?:{'|'.join(N.STRONG_LEFT)})(?:是|为|：|:|\s){{0,2}}", enabled=False),
     Rule("NAME", rf"(?:{N.SHORT})(?:{'|'.join(N.STRONG_RIGHT)})", N.name_ok, enabled=False, tail=rf"(?:{'|'.join(N.STRONG_RIGHT)})$"),
@@ -124,6 +166,14 @@ def rules_for(chosen: Chosen = None) -> list[Rule]:
     return own + [r for r in RULES if r.label in [c for c in chosen if isinstance(c, str)]]
 
 
+def with_prefixes(prefixes: Sequence[str], chosen: Chosen = None) -> list[Rule]:
+    """The chosen rules with these prefixes of credentials in place of the default ones, at their priority; [] turns prefixes off."""
+    rules = rules_for(chosen)
+    at = next((i for i, r in enumerate(rules) if r in _PREFIXED), len(rules))
+    rest = lambda rs: [r for r in rs if r not in _PREFIXED]
+    return [*rest(rules[:at]), *prefix_rules(prefixes), *rest(rules[at:])]
+
+
 def fused(chosen: Chosen = None, hints: bool = False) -> str:
     """One alternation: placeholders, patterns that begin anywhere, and those that begin a word under one test for that."""
     rules = rules_for(chosen)
@@ -131,7 +181,8 @@ def fused(chosen: Chosen = None, hints: bool = False) -> str:
     words = [p[2:].replace(r"|\b", "|") for p in patterns if p.startswith(r"\b")]
     given = [r.hint for r in rules if r.pattern.startswith(r"\b")]
     ahead = f"(?={'|'.join(dict.fromkeys(given))})" if hints and all(given) else ""
-    return "|".join([PLACEHOLDER, *(p for p in patterns if not p.startswith(r"\b")), *([rf"\b(?:{ahead}(?:{'|'.join(words)}))"] if words else [])])
+    behind = {r.pattern: f"(?<!{r.behind})" for r in rules if hints and r.behind}
+    return "|".join([PLACEHOLDER, *(behind.get(p, "") + p for p in patterns if not p.startswith(r"\b")), *([rf"\b(?:{ahead}(?:{'|'.join(words)}))"] if words else [])])
 
 
 def parts(text: Column, chosen: Chosen = None) -> Column:

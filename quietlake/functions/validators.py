@@ -82,9 +82,16 @@ def cn_mobile_ok(value: Column) -> Column:
     return F.coalesce(shape & (distinct_chars(F.right(digits(value), F.lit(11))) > 1), F.lit(False))
 
 
+#: Parts of a fixed-line number: country code, area code after it or in brackets of either width, number with extension.
+CODE = r"(?:\+|\b00)86"
+AREA = r"(?:0?[1-9][0-9]{1,2}[ -]|[(（]0?[1-9][0-9]{1,2}[)）][ -]?)"
+BRACKETS = r"[(（]0?[1-9][0-9]{1,2}[)）][ -]?"
+LOCAL = r"[2-9][0-9]{6,7}(?:(?:-| ?(?:ext|转)\.? ?)[0-9]{1,5})?"
+
+
 def landline_ok(value: Column) -> Column:
     """Area code, separator or brackets, 7 or 8 digits that do not begin with 0 or 1; optional country code and extension."""
-    return F.coalesce(value.rlike(r"^(?:\+86[ -]?)?(?:0[0-9]{2,3}[ -]|\(0?[0-9]{2,3}\)[ -]?)[2-9][0-9]{6,7}(?:(?:-| ext\.? ?)[0-9]{1,5})?$"), F.lit(False))
+    return F.coalesce(value.rlike(rf"^(?:(?:\+|00)86[ -]?{AREA}|{BRACKETS}|0[1-9][0-9]{{1,2}}[ -]){LOCAL}$"), F.lit(False))
 
 
 def _date_ok(text: Column) -> Column:
@@ -139,8 +146,13 @@ def mac_ok(value: Column) -> Column:
 
 
 def ipv6_private_ok(value: Column) -> Column:
-    """Link-local (with an optional zone) or unique local addresses in fd00::/8."""
-    return F.coalesce(value.rlike(r"^(?i)(?:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9a-f]{0,4}){1,7}(?:%[0-9a-z]+)?$"), F.lit(False))
+    """Link-local (with an optional zone) or unique local addresses in fd00::/8: eight groups, or fewer around one double colon."""
+    shape = value.rlike(r"^(?i)(?:fe[89ab][0-9a-f]|fd[0-9a-f]{2})(?::[0-9a-f]{0,4}){1,7}(?:%[0-9a-z]+)?$")
+    bare = F.split_part(value, F.lit("%"), F.lit(1))
+    doubled = F.contains(bare, F.lit("::"))
+    whole = ~doubled & bare.rlike("^[^:]+(?::[^:]+){7}$")
+    short = doubled & ~F.contains(bare, F.lit(":::")) & (F.size(F.split(bare, "::")) == 2) & bare.rlike("^[^:]+(?:::?[^:]+){0,6}(?:::)?$")
+    return F.coalesce(shape & (whole | short), F.lit(False))
 
 
 def jwt_ok(value: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, detection, documents, gateway, masking, streams, traffic
+from . import audit, detection, documents, gateway, identifiers, masking, streams, traffic
 
-MODULES = (detection, masking, gateway, traffic, audit, documents, streams)
+MODULES = (detection, identifiers, masking, gateway, traffic, audit, documents, streams)
 
 
 def queries() -> dict:
