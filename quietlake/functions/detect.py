@@ -5,14 +5,15 @@ two begin at the same place, and a placeholder that is already there is passed o
 have no upper length: their characters are one class, matched possessively, so matching is linear
 in the text. Cheap look-aheads (hints) pass over words at which no rule can begin. The pattern
 runs once for each text: it marks the candidates, and the text is split at the marks. A candidate
-that no validator accepts is left alone.
+that no validator accepts is searched once more for what it may hide (a phone number after another
+number, say) by the rules with narrow patterns, and else left alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -185,8 +186,43 @@ def fused(chosen: Chosen = None, hints: bool = False) -> str:
     return "|".join([PLACEHOLDER, *(behind.get(p, "") + p for p in patterns if not p.startswith(r"\b")), *([rf"\b(?:{ahead}(?:{'|'.join(words)}))"] if words else [])])
 
 
+#: Rules whose candidates may be wider than a value, and those that are not tried again within what they refused.
+_WIDE = ("JWT", "SECRET", "IP_PRIVATE", "IP_INTERNAL", "IP_PUBLIC", "CARD")
+_NOT_AGAIN = ("PRIVATEKEY", "CONNSTR", "NAME", *_WIDE)
+#: Characters that a candidate has at least if it hides a value: a number's 11 and one more.
+HIDING = 12
+
+
+def inside(chosen: Chosen = None) -> list[Rule]:
+    """Rules for what a refused candidate hides; none if no wide rule is chosen. A card number within other numbers must be one run."""
+    rules = rules_for(chosen)
+    if not any(r.label in _WIDE for r in rules):
+        return []
+    cards = [replace(r, pattern=r"\b[0-9]{13,19}\b") for r in rules if r.label == "CARD"]
+    return [r for r in rules if r.label not in _NOT_AGAIN] + cards
+
+
 def parts(text: Column, chosen: Chosen = None) -> Column:
-    """array<string>: what stands between the candidates at even places, the candidates at odd ones."""
+    """array<string>: what stands between the candidates at even places, the candidates at odd ones.
+
+    A refused candidate that hides others gives way to an empty one, its own parts and another empty one.
+    """
+    first, within = _parts(text, chosen), inside(chosen)
+    if not within:
+        return first
+
+    def again(m: Column) -> Column:
+        def hidden(found: Column) -> Column:
+            more = (F.size(found) > 1) & (F.get(found, F.lit(1)) != m)
+            return F.when(more & _label(m, chosen).isNull(), F.concat(F.array(F.lit("")), found, F.array(F.lit("")))).otherwise(F.array(m))
+
+        may = (F.length(m) >= HIDING) & ~F.startswith(m, F.lit("{{")) & ~F.contains(m, F.lit("://"))
+        return F.when(may, let(_parts(m, within), hidden)).otherwise(F.array(m))
+
+    return F.flatten(F.transform(first, lambda p, i: F.when(i % 2 == 1, again(p)).otherwise(F.array(p))))
+
+
+def _parts(text: Column, chosen: Chosen) -> Column:
     pattern = java(fused(chosen, hints=True))
     marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -165,7 +165,15 @@ base AS (SELECT doc_id, text, regexp_extract_all(text, {S.fused()}) AS ms, regex
 parts AS (
   SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) AS i, ms FROM base
 ),
-lab AS (SELECT doc_id, i, g, ms[i] AS m, CASE WHEN ms[i] IS NULL THEN NULL ELSE {S.label('ms[i]')} END AS label FROM parts),
+apart AS (
+  SELECT doc_id, i, g, CASE WHEN {S.refused('ms[i]')} THEN regexp_split_to_array(ms[i], {S.hidden()}) ELSE [''] END AS gs,
+    CASE WHEN {S.refused('ms[i]')} THEN regexp_extract_all(ms[i], {S.hidden()}) ELSE [ms[i]] END AS ms FROM parts
+),
+again AS (SELECT doc_id, i, g, unnest(gs) AS inner_g, generate_subscripts(gs, 1) AS j, ms FROM apart),
+lab AS (
+  SELECT doc_id, 1000000 * i + j AS i, CASE WHEN j = 1 THEN g ELSE '' END || inner_g AS g, ms[j] AS m,
+    CASE WHEN ms[j] IS NULL THEN NULL ELSE {S.label('ms[j]')} END AS label FROM again
+),
 masked AS (
   SELECT doc_id, string_agg(g || CASE WHEN m IS NULL THEN '' WHEN label IS NULL THEN m
     ELSE {_HEAD} || {S.token('label', _VALUE, KEY)} || {_TAIL} END, '' ORDER BY i) AS text

@@ -77,6 +77,20 @@ OWN_LINES = (
 )
 
 
+#: Values behind or within what a rule with a wide pattern takes first and then refuses.
+HIDDEN_LINES = (
+    ("2024 ", f"'138' || {_D(1, 7)} || '0'", " x", "PHONE"),
+    ("2024-01-02 ", f"'13912' || {_D(2, 5)} || '1'", "", "PHONE"),
+    ("no. 7-", f"'137-0' || {_D(3, 3)} || '-' || {_D(4, 4)}", " end", "PHONE"),
+    ("lib-1.2.3-", f"'13711' || {_D(5, 5)} || '2'", "", "PHONE"),
+    ("12 ", "'4111111111111111'", "", "CARD"),
+    ("2024 ", "'4111111111111112'", "", None),
+    ("", f"'1' || {_D(6, 6)} || ' ' || {_D(7, 4)}", "", None),
+    ("2.", "'13812345678'", ".1-ab", None),
+    ("token=", f"'skip_' || translate({_X(9, 8)}, '0123456789', 'ghijklmnop')", "", None),
+)
+
+
 def _planted(spark, sf_dir: str, lines, chosen: D.Chosen) -> DataFrame:
     """Spans within the lines that are added to every text, with places counted from the end of the text itself."""
     docs = texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
@@ -96,6 +110,11 @@ def own_prefixes(spark, sf_dir):
     return _planted(spark, sf_dir, OWN_LINES, D.with_prefixes(OWN, ["APIKEY"]))
 
 
+def hidden_values(spark, sf_dir):
+    """Phone and card numbers within what wider rules refuse."""
+    return _planted(spark, sf_dir, HIDDEN_LINES, ["SECRET", "IP_PRIVATE", "PHONE", "CARD"])
+
+
 def _sql(lines) -> str:
     rows = ", ".join(
         f"({i}, '{before}', {value}, '{after}', {'NULL' if label is None else repr(label)})" for i, (before, value, after, label) in enumerate(lines)
@@ -106,5 +125,5 @@ def _sql(lines) -> str:
         SELECT doc_id, label, pos::INTEGER AS pos, value FROM p WHERE label IS NOT NULL"""
 
 
-QUERIES = {f.__name__: f for f in (detect_identifiers, own_prefixes)}
-ORACLE_SQL = {"detect_identifiers": _sql(LINES), "own_prefixes": _sql(OWN_LINES)}
+QUERIES = {f.__name__: f for f in (detect_identifiers, own_prefixes, hidden_values)}
+ORACLE_SQL = {"detect_identifiers": _sql(LINES), "own_prefixes": _sql(OWN_LINES), "hidden_values": _sql(HIDDEN_LINES)}

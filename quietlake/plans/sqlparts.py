@@ -139,14 +139,25 @@ def fused() -> str:
     return quoted(D.fused(LABELS))
 
 
+def hidden() -> str:
+    """Pattern of what a refused candidate may hide."""
+    return quoted(D.fused(D.inside(LABELS)))
+
+
+def refused(m: str) -> str:
+    return f"length({m}) >= {D.HIDING} AND NOT starts_with({m}, '{{{{') AND NOT contains({m}, '://') AND ({label(m)}) IS NULL"
+
+
 def found(table: str = "documents", id_column: str = "doc_id", text: str = "text", extra: str = "") -> str:
     """CTEs: `cand` (one row per candidate with pos from 0) and `hits` (accepted ones: label, value)."""
     more = f", {extra}" if extra else ""
     return f"""
 raw AS (SELECT {id_column}{more}, regexp_extract_all({text}, {fused()}) AS ms FROM {table} WHERE {text} IS NOT NULL),
-cand AS (
+whole AS (
   SELECT {id_column}{more}, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS nth FROM raw
 ),
+split AS (SELECT {id_column}{more}, nth, CASE WHEN {refused('m')} THEN regexp_extract_all(m, {hidden()}) ELSE [m] END AS ms FROM whole),
+cand AS (SELECT {id_column}{more}, unnest(ms) AS m, 1000000 * nth + generate_subscripts(ms, 1) AS nth FROM split),
 labelled AS (SELECT *, {label('m')} AS label FROM cand),
 hits AS (
   SELECT {id_column}{more}, nth, label, {value('label', 'm')} AS value

@@ -40,6 +40,11 @@ CASES = [
     ("+86 138-1234-5678", [("PHONE", "86 138-1234-5678")]),
     ("138 1234 5678", [("PHONE", "138 1234 5678")]),
     ("1381234 5678", []),
+    ("2024 13812345678 x", [("PHONE", "13812345678")]),
+    ("2024-01-02 138-1234-5678", [("PHONE", "138-1234-5678")]),
+    ("12 4111111111111111 4111 1111 1111 1111 1111", []),
+    ("12 4111111111111111, 4111 1111 1111 1111 1111", [("CARD", "4111111111111111")]),
+    ("redis://u:${13812345678}@ab.example.org", []),
     ("1700000000000", []),
     ("x13812345678", []),
     ("13333333333 13333333331", [("PHONE", "13333333333"), ("PHONE", "13333333331")]),
@@ -156,6 +161,11 @@ def test_entropy_and_sequences(spark):
     assert [r[1] for r in rows] == [False, True, False, True] and [r[2] for r in rows] == [False, False, True, False]
 
 
+def test_high_entropy_behind_a_refused_secret(spark):
+    df = spark.createDataFrame([("token = aB3dE6gH9jK2mN5pQ8sT, token = some_function_name_of_length",)], "t string")
+    assert [(s.label, s.value) for s in df.select(D.detect(F.col("t"), list(D.LABELS)).alias("s")).first().s] == [("HIGHENTROPY", "aB3dE6gH9jK2mN5pQ8sT")]
+
+
 def test_spans(spark):
     schema = "t string, s array<struct<start:int,stop:int,token:string>>"
     df = spark.createDataFrame([("abcdefgh", [(4, 6, "Y"), (0, 3, "X"), (0, 2, "Z"), (2, 5, "no")]), ("abc", []), ("éa🙂b", [(2, 3, "#")])], schema)
