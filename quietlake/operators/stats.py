@@ -187,31 +187,73 @@ def words_top(log: DataFrame, k: int = 20) -> DataFrame:
     return both.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
-def priced(usage: DataFrame, catalogue: DataFrame, model: str = "model") -> DataFrame:
-    """usage with price columns: exact name, then bare name (vendor off, lower case, dots as dashes), then longest prefix.
+def bare_name(model: Column) -> Column:
+    """A model's name without its vendor, in lower case, dots as dashes."""
+    return F.replace(F.lower(F.element_at(F.split(model, "/"), -1)), F.lit("."), F.lit("-"))
 
-    catalogue: name, input, output (per million tokens). Distinct models are priced once and
-    joined back; the prefix step expands each model into its own prefixes for an equi-join.
+
+_PRICES = ("input", "output", "cache_read", "cache_write")
+
+
+def priced(usage: DataFrame, catalogue: DataFrame, model: str = "model", overrides: DataFrame | None = None, built_in: DataFrame | None = None) -> DataFrame:
+    """usage with price columns and how they were found: the first that there is of
+
+    override (exact name, the user's own prices), exact, bare (bare name), prefix (longest prefix of the
+    bare name), built_in (longest prefix too, for names that the catalogue lacks); null for none.
+    All tables: name, input, output (per million tokens); cache_read and cache_write as well if the
+    catalogue has them. Distinct models are priced once and joined back; the prefix steps expand
+    each model into its own prefixes for an equi-join.
     """
-    bare = lambda c: F.replace(F.lower(F.element_at(F.split(c, "/"), -1)), F.lit("."), F.lit("-"))
-    names = usage.select(F.col(model).alias("m")).where("m IS NOT NULL").distinct().withColumn("b", bare(F.col("m")))
-    prices = catalogue.select("name", F.struct("input", "output").alias("p"), bare(F.col("name")).alias("nb"))
-    unique = prices.groupBy("nb").agg(F.min_by("p", "name").alias("p"))
-    exact = names.join(prices.select(F.col("name").alias("m"), F.col("p").alias("p1")), "m", "left")
-    bares = exact.join(unique.select(F.col("nb").alias("b"), F.col("p").alias("p2")), "b", "left")
-    heads = bares.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("b")), lambda i: F.substr("b", F.lit(1), i))).alias("nb"))
-    longest = heads.join(unique, "nb").groupBy("m").agg(F.max_by("p", F.length("nb")).alias("p3"))
-    done = bares.join(longest, "m", "left")
-    how = F.when(F.col("p1").isNotNull(), "exact").when(F.col("p2").isNotNull(), "bare").when(F.col("p3").isNotNull(), "prefix")
-    table = done.select(F.col("m").alias(model), F.coalesce("p1", "p2", "p3").alias("p"), how.alias("matched"))
+    kinds = [k for k in _PRICES if k in catalogue.columns]
+    p = lambda df: F.struct(*[(F.col(k) if k in df.columns else F.lit(None)).cast("double").alias(k) for k in kinds])
+    names = usage.select(F.col(model).alias("m")).where("m IS NOT NULL").distinct().withColumn("b", bare_name(F.col("m")))
+    heads = names.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("b")), lambda i: F.substr("b", F.lit(1), i))).alias("nb"))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("name").alias("m"), p(df).alias("p")).groupBy("m").agg(F.min("p").alias("p"))
+
+    def bare(df: DataFrame) -> DataFrame:
+        return df.select(bare_name(F.col("name")).alias("nb"), "name", p(df).alias("p")).groupBy("nb").agg(F.min_by("p", F.struct("name", "p")).alias("p"))
+
+    def longest(df: DataFrame) -> DataFrame:
+        return heads.join(bare(df), "nb").groupBy("m").agg(F.max_by("p", F.length("nb")).alias("p"))
+
+    steps = {"override": named(overrides) if overrides is not None else None, "exact": named(catalogue)}
+    steps |= {"bare": names.join(bare(catalogue), F.col("b") == F.col("nb")).select("m", "p"), "prefix": longest(catalogue)}
+    steps |= {"built_in": longest(built_in) if built_in is not None else None}
+    steps = {k: df for k, df in steps.items() if df is not None}
+    done = names.select("m")
+    for k, df in steps.items():
+        done = done.join(df.withColumnRenamed("p", k), "m", "left")
+    how = F.coalesce(*[F.when(F.col(k).isNotNull(), k) for k in steps])
+    table = done.select(F.col("m").alias(model), F.coalesce(*steps).alias("p"), how.alias("matched"))
     out = usage.join(table, model, "left")
-    return out.select(*usage.columns, F.col("p.input").alias("input_price"), F.col("p.output").alias("output_price"), "matched")
+    return out.select(*usage.columns, *[F.col(f"p.{k}").alias(f"{k}_price") for k in kinds], "matched")
 
 
 def cost(prompt: Column, completion: Column, input_price: Column, output_price: Column) -> Column:
     return F.round((prompt * input_price + completion * output_price) / 1e6, 6)
 
 
+def cached_apart(model: Column) -> Column:
+    """Whether a model's vendor counts tokens read from its cache beside those of the prompt and not among them."""
+    return F.contains(bare_name(model), F.lit("claude")) | F.contains(F.lower(model), F.lit("anthropic"))
+
+
+def cached_cost(usage: dict[str, Column], prices: dict[str, Column], apart: Column) -> Column:
+    """Cost with cached tokens (prompt, completion, read, write) at the prices (input, output, cache_read, cache_write).
+
+    Tokens read from the cache have their own price if there is one, and are then no prompt tokens;
+    null and negative counts are none; without a price of its own a write costs nothing. 0 without prices.
+    """
+    n = {k: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for k, c in usage.items()}
+    at = {k: F.coalesce(c, F.lit(0.0)) for k, c in prices.items()}
+    discounted = (n["read"] > 0) & prices["cache_read"].isNotNull()
+    rest = F.when(~discounted | apart, n["prompt"]).otherwise(F.greatest(n["prompt"] - n["read"], F.lit(0)))
+    total = rest * at["input"] + F.when(discounted, n["read"] * at["cache_read"]).otherwise(0.0) + n["completion"] * at["output"] + n["write"] * at["cache_write"]
+    return F.round(total / 1e6, 6)
+
+
 def last_known(frames: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Usage over the frames of a stream: for each column the last value that is present."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

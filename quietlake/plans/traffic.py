@@ -83,6 +83,30 @@ def stats_models_cost(spark, sf_dir):
     return out.groupBy("model", "matched").agg(F.count("*").alias("n"), F.round(F.sum(money), 6).alias("cost"))
 
 
+#: Models of the parts' names, and prices for some of them: SQL of both engines.
+_MODEL = "lower(p_type) || '/' || replace(p_name, ' ', '.') || '-' || substr(p_brand, 7)"
+_USAGE = f"SELECT {_MODEL} AS model, p_size * 1000 AS prompt, p_size * 10 AS completion, p_size * CASE WHEN p_size > 40 THEN 1500 ELSE 300 END AS read, p_size AS write FROM part"
+_PRICE = "max(p_size) * 0.5e0 AS input, max(p_size) * 2e0 AS output, max(CASE WHEN p_size < 45 THEN p_size END) * 0.25e0 AS cache_read, min(p_size) * 1e0 AS cache_write"
+_OVERRIDES = f"SELECT {_MODEL} AS name, {_PRICE} FROM part WHERE p_size = 20 GROUP BY {_MODEL}"
+_NAMES = (
+    f"CASE WHEN p_size < 4 THEN {_MODEL} WHEN p_size < 7 THEN 'Other/' || upper({_MODEL.split(' || ', 2)[2]}) WHEN p_size < 9 THEN 'x/' || replace(p_name, ' ', '-') "
+    "WHEN p_size = 9 THEN 'claude/' || substr(p_name, 1, 4) ELSE 'none/-' || p_brand END"
+)
+_CATALOGUE = f"SELECT {_NAMES} AS name, {_PRICE} FROM part GROUP BY {_NAMES}"
+_BUILT_IN = f"SELECT substr(p_name, 1, 2) AS name, {_PRICE} FROM part GROUP BY substr(p_name, 1, 2)"
+
+
+def model_prices(spark, sf_dir):
+    """Cost of every model by override, catalogue and built-in prices, with tokens read from and written to a cache."""
+    part = load(spark, sf_dir, "part")
+    sql = lambda text: spark.sql(text.replace("FROM part", "FROM {part}"), part=part)
+    out = A.priced(sql(_USAGE), sql(_CATALOGUE), overrides=sql(_OVERRIDES), built_in=sql(_BUILT_IN))
+    counts = {k: F.col(k) for k in ("prompt", "completion", "read", "write")}
+    prices = {k: F.col(f"{k}_price") for k in ("input", "output", "cache_read", "cache_write")}
+    money = A.cached_cost(counts, prices, A.cached_apart(F.col("model")) | F.startswith("model", F.lit("small")))
+    return out.groupBy("model", "matched").agg(F.count("*").alias("n"), F.round(F.sum(money), 6).alias("cost"))
+
+
 def recent_percentiles(spark, sf_dir):
     log = _log(spark, sf_dir)
     newest = log.where("type = 'RESTORE'").orderBy(F.desc("id")).limit(2000)
@@ -239,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stats_daily, stats_daily_status, stats_daily_words, stats_daily_tokens, stats_daily_models, prefix_fidelity, stats_today, stats_range_7,
-        stats_history_day, stats_history_hour, label_summary, stats_models, stats_models_cost, recent_percentiles, percentiles_by_type, recent_minutes,
+        stats_history_day, stats_history_hour, label_summary, stats_models, stats_models_cost, model_prices, recent_percentiles, percentiles_by_type, recent_minutes,
         retry_storms, words_top20, status_counts, decision_split, fold_by_sid, fold_union, sibling_event, page_forward, page_backward, page_latest,
         filter_search, filter_type_overrides, count_max, retention_prune, ingress_split, summary_projection, outcome_classes, usage_last_value,
         usage_regress, silence_gaps, session_windows, sliding_errors, marker_verification, restore_items, clear_cutoff,
@@ -356,3 +380,20 @@ ORACLE_SQL = {
         "clear_cutoff": "SELECT day, count(*) AS n FROM log WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY day",
     }.items()
 }
+_BARE = "replace(lower(split_part({0}, '/', -1)), '.', '-')"
+_COLUMNS = "struct_pack(i := input, o := output, r := cache_read, w := cache_write)"
+ORACLE_SQL["model_prices"] = f"""WITH u AS ({_USAGE}), o AS ({_OVERRIDES}), c AS ({_CATALOGUE}), t AS ({_BUILT_IN}),
+    cb AS (SELECT {_BARE.format('name')} AS nb, arg_min({_COLUMNS}, name) AS p FROM c GROUP BY 1),
+    tb AS (SELECT {_BARE.format('name')} AS nb, arg_min({_COLUMNS}, name) AS p FROM t GROUP BY 1),
+    m AS (SELECT model, {_BARE.format('model')} AS b FROM u GROUP BY model),
+    ways AS (
+      SELECT model, 1 AS way, 'override' AS matched, 0 AS size, {_COLUMNS} AS p FROM m JOIN o ON name = model
+      UNION ALL SELECT model, 2, 'exact', 0, {_COLUMNS} FROM m JOIN c ON name = model
+      UNION ALL SELECT model, 3, 'bare', 0, p FROM m JOIN cb ON nb = b
+      UNION ALL SELECT model, 4, 'prefix', length(nb), p FROM m JOIN cb ON starts_with(b, nb)
+      UNION ALL SELECT model, 5, 'built_in', length(nb), p FROM m JOIN tb ON starts_with(b, nb)),
+    best AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY model ORDER BY way, size DESC) = 1),
+    e AS (SELECT u.*, matched, p, contains(model, 'claude') OR contains(model, 'anthropic') OR starts_with(model, 'small') AS apart FROM u LEFT JOIN best USING (model))
+    SELECT model, matched, count(*) AS n, round(sum(round((CASE WHEN p IS NULL THEN 0 ELSE completion * p.o + write * p.w
+        + CASE WHEN p.r IS NULL THEN prompt * p.i WHEN apart THEN prompt * p.i + read * p.r ELSE greatest(prompt - read, 0) * p.i + read * p.r END END) / 1e6, 6)), 6) AS cost
+    FROM e GROUP BY model, matched"""

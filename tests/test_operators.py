@@ -76,6 +76,22 @@ def test_prices(spark):
     assert got == {"v/m-1": "exact", "w/M.1": "bare", "x-2-turbo": "prefix", "unknown": None, None: None}
 
 
+def test_price_order(spark):
+    rows = lambda *names: spark.createDataFrame([(n, float(i), 2.0) for i, n in enumerate(names, 1)], "name string, input double, output double")
+    usage = spark.createDataFrame([("gpt-4o",), ("x/gpt-4o-mini-2024",), ("v/a.b",), ("q-7-large",), ("none",), ("",), (None,)], "model string")
+    got = {r.model: (r.matched, r.input_price) for r in A.priced(usage, rows("gpt-4o", "w/A.b", "o/gpt-4o-mini"), overrides=rows("gpt-4o"), built_in=rows("q", "q.7", "gpt")).collect()}
+    assert got == {"gpt-4o": ("override", 1.0), "x/gpt-4o-mini-2024": ("prefix", 3.0), "v/a.b": ("bare", 2.0), "q-7-large": ("built_in", 2.0), "none": (None, None), "": (None, None), None: (None, None)}
+    assert A.priced(usage, rows(), built_in=rows()).where("matched IS NOT NULL").count() == 0
+
+
+def test_cached_cost(spark):
+    df = spark.createDataFrame([(1000, 100, 400, 50, 1.0, 2.0, 0.1, 3.0, False), (1000, 100, 400, 50, 1.0, 2.0, 0.1, 3.0, True), (1000, None, 4000, -5, 1.0, 2.0, 0.1, None, False),
+        (1000, 100, 400, 50, 1.0, 2.0, None, None, False), (1, 1, 1, 1, None, None, None, None, False)], "p int, c int, r int, w int, i double, o double, cr double, cw double, a boolean")
+    counts, prices = dict(prompt=F.col("p"), completion=F.col("c"), read=F.col("r"), write=F.col("w")), dict(input=F.col("i"), output=F.col("o"), cache_read=F.col("cr"), cache_write=F.col("cw"))
+    got = [round(r[0] * 1e6) for r in df.select(A.cached_cost(counts, prices, F.col("a"))).collect()]
+    assert got == [600 + 40 + 200 + 150, 1000 + 40 + 200 + 150, 400, 1200, 0]
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)] + [("b", 7.0), ("c", None)], "g string, x double")
     got = {r.g: (r.n, r.p50, r.p95) for r in A.nearest_rank(df, "x", {"p50": 0.5, "p95": 0.95}, ["g"]).collect()}
