@@ -89,7 +89,14 @@ def domain_matches(host: Column, domain: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """0-based place of the first differing character, -1 if there is none."""
+    """0-based place of the first differing character, -1 if there is none, null if a text is null: equal beginnings are halved, no array of characters."""
     n = F.least(F.length(a), F.length(b))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(a, i + 1, F.lit(1)) != F.substr(b, i + 1, F.lit(1)))
-    return F.when(a == b, -1).when(F.size(places) > 0, F.get(places, F.lit(0))).otherwise(n)
+    steps = F.sequence(F.lit(30), F.lit(0), F.lit(-1))
+
+    def step(same: Column, bit: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), bit)
+        # what is equal up to `same` is not compared again
+        more = (same + size <= n) & (F.substr(a, same + 1, size) == F.substr(b, same + 1, size))
+        return F.when(more, same + size).otherwise(same)
+
+    return F.when(a == b, -1).when(a.isNotNull() & b.isNotNull(), F.aggregate(steps, F.lit(0), step))

@@ -70,6 +70,14 @@ def mask_documents_tokens(spark, sf_dir):
     return out.select("doc_id", F.sha2("text", 256).alias("masked_sha256"), F.length("text").alias("masked_len"))
 
 
+def first_differences(spark, sf_dir):
+    """Where a masked text begins to differ from the text, and how much of the text stays in front of it."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"), "text")
+    at = X.first_difference(F.col("before"), F.col("text"))
+    out = T.mask(docs, KEY, labels=L).select("doc_id", F.length("before").alias("length"), at.alias("first"))
+    return out.select("doc_id", "first", F.when(F.col("first") < 0, F.col("length")).otherwise(F.col("first")).alias("reused"))
+
+
 def mapping_distinct_values(spark, sf_dir):
     return T.mapping(_hits(spark, sf_dir), KEY).select("label", "token", F.sha2("value", 256).alias("value_sha256"))
 
@@ -153,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_summary, detect_email_by_lang, detect_ipv4_valid, detect_card_luhn, detect_secret_assign, detect_spans, pages_pii_summary,
-        conversations_pii_by_role, mask_documents_tokens, mapping_distinct_values, mask_roundtrip, mask_idempotent, egress_leaks, restore_accounting,
+        conversations_pii_by_role, mask_documents_tokens, first_differences, mapping_distinct_values, mask_roundtrip, mask_idempotent, egress_leaks, restore_accounting,
         rule_actions, allow_values, quality_by_pii, known_value_scan, secret_entropy,
     )
 }
@@ -193,6 +201,10 @@ ORACLE_SQL = {
           SELECT doc_id, i, label, m, {_VALUE} AS value, {_HEAD} AS head,
             sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) - coalesce(length(m), 0) AS pos FROM lab)
         SELECT doc_id, (pos + length(head))::INTEGER AS start, (pos + length(head) + length(value))::INTEGER AS stop, label FROM p WHERE label IS NOT NULL""",
+    "first_differences": f"""WITH {_MASKED}, p AS (
+          SELECT doc_id, label, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) - coalesce(length(m), 0) + length({_HEAD}) AS pos FROM lab),
+        s AS (SELECT doc_id, min(pos) AS pos FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+        SELECT doc_id, coalesce(pos, -1)::INTEGER AS first, coalesce(pos, length(text))::INTEGER AS reused FROM documents LEFT JOIN s USING (doc_id)""",
     "pages_pii_summary": f"""WITH pg AS (SELECT page_id, {{decoded}} AS text FROM pages), {S.found('pg', 'page_id')}
         SELECT label, count(*) AS n, count(DISTINCT page_id) AS pages FROM hits GROUP BY label""",
     "conversations_pii_by_role": f"""WITH cv AS (SELECT row_number() OVER () AS k, role, text FROM conversations), {S.found('cv', 'k')},

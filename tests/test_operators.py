@@ -271,3 +271,11 @@ def test_json_rewriting(spark):
     got = [r.r for r in df.orderBy("i").select(J.rewritten(F.col("b"), new).alias("r")).collect()]
     assert json.loads(got[0].body) == {"a": 'xA <"q">', "n": '<"q">', "b": [1.5, None, True, '<"q">']} and "1.50,null" in got[0].body and got[0].changed == 3
     assert json.loads(got[1].body) == '<"q">' and got[2].body == bodies[2] and got[3].body == 'no json <"q">' and got[3].changed is None and got[4].body == bodies[4]
+
+def test_first_difference(spark):
+    from quietlake.functions.text import first_difference
+
+    long = "x🙂y" * 20_000
+    given = [("", "", -1), ("a", "", 0), ("", "a", 0), ("abc", "abd", 2), ("abc", "abcd", 3), ("é🙂b", "é🙂c", 2), (long + "a", long + "b", 60_000), (long, long, -1), (None, "a", None), ("a", None, None), (None, None, None)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, g struct<a:string,b:string,want:int>").selectExpr("i", "g.*")
+    assert [r.got == r.want for r in df.select("i", "want", first_difference(F.col("a"), F.col("b")).alias("got")).orderBy("i").collect()] == [True] * len(given)
