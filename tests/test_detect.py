@@ -42,7 +42,8 @@ CASES = [
     ("1381234 5678", []),
     ("2024 13812345678 x", [("PHONE", "13812345678")]),
     ("2024-01-02 138-1234-5678", [("PHONE", "138-1234-5678")]),
-    ("12 4111111111111111 4111 1111 1111 1111 1111", []),
+    ("12 4111111111111111 4111 1111 1111 1111 1111", [("CARD", "4111111111111111")]),
+    ("12 4111 1111 1111 1111", []),
     ("12 4111111111111111, 4111 1111 1111 1111 1111", [("CARD", "4111111111111111")]),
     ("redis://u:${13812345678}@ab.example.org", []),
     ("1700000000000", []),
