@@ -152,3 +152,28 @@ def test_huge_and_tiny_vectors(spark):
     for r in got:
         a, b = unit[r.query_id], unit[r.vec_id]
         assert abs(r.score - a @ b / math.sqrt((a @ a) * (b @ b))) < 1e-9
+
+
+def test_many_copies_and_narrow_clusters(spark):
+    """Copies beyond the shortlist: the smallest ids are found. Clusters so narrow that cosines differ behind the seventh digit."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 16)).astype(np.float32)
+    copies = [(i, x[i % 40].tolist()) for i in range(2400)]
+    got = {}
+    for r in additive_ann.nearest(table(spark, copies), shortlist=32).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == 48
+    for q, found in got.items():
+        assert [v for _, v in sorted(found)] == [v for v in range(q % 40, 2400, 40) if v != q][:5]
+    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    y = rng.normal(size=(2, 16))[np.arange(4000) % 2] + 1e-5 * rng.normal(size=(4000, 16))
+    u = y / np.sqrt((y * y).sum(1, keepdims=True))
+    near = {}
+    for r in additive_ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], kind), shortlist=128).collect():
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 50):
+        d = ((u - u[q]) ** 2).sum(1)
+        d[q] = 9
+        hits += len(set(np.argsort(d)[:5].tolist()) & near[q])
+    assert hits / (5 * len(near)) >= 0.9
