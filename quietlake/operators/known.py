@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType
 from .automaton import points_of
 
 #: Bits for each value in the array, and the most bits (32 MB); fuller arrays let more windows through to the join.
-BITS_EACH, MOST_BITS = 32, 1 << 28
+BITS_EACH, MOST_BITS = 1024, 1 << 28
 SEGMENT_BITS = 1 << 23
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EDGES: list[np.ndarray] = []
@@ -170,6 +170,49 @@ def replaced(df: DataFrame, values: DataFrame, text: str = "text") -> DataFrame:
     return both.withColumn(text, F.when(F.col("_met").isNull(), column).otherwise(_spliced(F.when(F.col("_met").isNotNull(), column), F.col("_met")))).drop("_id", "_met")
 
 
+def held(df: DataFrame, values: DataFrame, text: str = "text") -> DataFrame:
+    """(value, n): in how many rows of df each of the values stands, anywhere in the text, inside words too; values that stand nowhere have no row.
+
+    Equal texts are searched once. Only the windows that may be a value leave the texts.
+    """
+    from ..session import written
+
+    given = written(keyed(values.select("value", F.lit("").alias("token"))).dropDuplicates(["value"]), "known")
+    lengths = [r.n for r in given.select("n").distinct().orderBy("n").collect()]  # one small number for each length that occurs
+    if not lengths:
+        return given.select("value", F.lit(0).cast("long").alias("n"))
+    bits, width = bit_array(given.select("key"))
+    column = F.col(text)
+    known = df.where(column.isNotNull()).select(F.sha2(column, 256).alias("id"), column.alias("text"))
+    copies = known.groupBy("id").agg(F.count("*").alias("copies"))
+    met = windows(known.where(F.length("text") >= lengths[0]), lengths, bits, width).distinct().join(given, ["n", "key"]).where("piece = value").select("id", "value")
+    return met.join(copies, "id").groupBy("value").agg(F.sum("copies").alias("n"))
+
+
+def windows(texts: DataFrame, lengths: list[int], bits: bytes, width: int) -> DataFrame:
+    """(id, n, key, piece): the different windows of texts (id, text), between edges or not, whose key may be that of a value."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = Windows(points_of(text))
+                for n in lengths:
+                    if n > len(text):
+                        break
+                    key = hashes.keys(n)
+                    place = key >> np.uint64(64 - width)
+                    at = np.flatnonzero(on[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    rows += {(i, n, k, text[a : a + n]) for a, k in zip(at.tolist(), key[at].view(np.int64).tolist())}
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "piece"])
+
+    return texts.mapInArrow(work, "id string, n int, key long, piece string")
+
+
 @F.arrow_udf(StringType())
 def _spliced(texts: pa.Array, met: pa.Array) -> pa.Array:
     out = []

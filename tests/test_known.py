@@ -84,3 +84,12 @@ def test_egress_verifies_all_values(spark):
     assert tuple(df.select(T.egress(F.col("text")).alias("e")).first().e) == (0, None)
     assert df.select(T.egress(F.col("text"), most=200)["skipped"]).first()[0] == "too_many_values"
     assert df.select(T.egress(F.col("text"), most_bytes=100)["skipped"]).first()[0] == "too_long"
+
+
+def test_values_held_inside_words(spark):
+    """Values are counted by text, also in the middle of words and numbers, and however often a text repeats."""
+    texts = ["call 192.168.7.77 or x192.168.7.771", "a192.168.7.77", "ann.lee@site.example", "joann.lee@site.example", "joann.lee@site.example", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    values = spark.createDataFrame([("192.168.7.77",), ("ann.lee@site.example",), ("nowhere@site.example",)], "value string")
+    assert {r.value: r.n for r in K.held(docs, values).collect()} == {"192.168.7.77": 2, "ann.lee@site.example": 3}
+    assert K.held(docs, values.limit(0)).count() == 0
