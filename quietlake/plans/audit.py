@@ -164,9 +164,20 @@ def _leak(kind: str, severity: str, pattern: str) -> str:
 _PLANTED = """(0, 'S6', 'MEDIUM', 'credential_echo:api_key', false, 1), (1, 'S6', 'LOW', 'credential_echo:api_key', true, 1), (2, 'S6', 'HIGH', 'auto_fetch', false, 1),
   (3, 'S6', 'MEDIUM', 'override', false, 1), (3, 'S6', 'MEDIUM', 'prompt_extraction', false, 1), (4, 'S9', 'LOW', 'filesystem', false, 2), (5, 'S6', 'MEDIUM', 'fake_system', false, 1),
   (7, 'S6', 'MEDIUM', 'credential_exfil', false, 1), (-1, 'S1', 'HIGH', 'environment', false, 1), (-1, 'S1', 'LOW', 'stack_frame', false, 1)"""
+
+
+def _entropy(v: str) -> str:
+    """Bits per character, rounded at the twelfth digit as the order of the sum is open."""
+    share = f"len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v})"
+    return f"round(-list_sum(list_transform(list_distinct(string_split({v}, '')), lambda x: {share} * log2({share}))), 12)"
+
+
 ORACLE_SQL = {
-    "answer_scan": f"""SELECT doc_id, signal, severity, kind, code, (p.n * copies)::BIGINT AS n FROM (SELECT doc_id, count(*) AS copies FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
-      JOIN (VALUES {_PLANTED}) p(form, signal, severity, kind, code, n) ON form = doc_id % 8 OR (form = -1 AND doc_id % 2 = 0)""",
+    # a value of 3 bits a character and less looks made up: no finding in an error, LOW in an answer
+    "answer_scan": f"""WITH d AS (SELECT doc_id, count(*) AS copies, md5(doc_id::VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+      e AS (SELECT *, {_entropy('s')} <= 3 AS odd, {_entropy("('sk-' || s)")} <= 3 AS odd_key FROM d)
+      SELECT doc_id, signal, CASE WHEN form = 0 AND odd_key THEN 'LOW' ELSE severity END AS severity, kind, code, (p.n * copies)::BIGINT AS n
+      FROM e JOIN (VALUES {_PLANTED}) p(form, signal, severity, kind, code, n) ON form = doc_id % 8 OR (form = -1 AND doc_id % 2 = 0) WHERE NOT (kind = 'environment' AND odd)""",
     "audit_dedupe": _F + "SELECT doc_id, kind, evidence || CASE WHEN count(*) > 1 THEN ' (x' || count(*) || ')' ELSE '' END AS evidence, count(*) AS n FROM f GROUP BY doc_id, signal, severity, kind, f.evidence",
     "audit_severity_max": _F + "SELECT signal, arg_max(severity, r) AS severity, count(*) AS n FROM f GROUP BY signal",
     "audit_severity_floor": _F + "SELECT source, severity, count(*) AS n FROM f WHERE r >= 2 GROUP BY source, severity",
