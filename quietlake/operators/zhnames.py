@@ -116,15 +116,19 @@ def _rows(docs: DataFrame, text: str, work, fields: str) -> DataFrame:
 
 
 def _words(text: str) -> Iterator[tuple[str, int, int]]:
-    """(word, places, places with strong evidence) of all strings of two and three characters that begin with a surname."""
+    """(word, places, places with strong evidence) of all strings of two and three characters that begin with a surname.
+
+    Evidence for one of the two at a place is evidence for both: 王伟先 in 王伟先生 speaks as little
+    against the name 王伟 as the first half of a longer name does.
+    """
     counts: dict[str, list[int]] = {}
     for s in _SURNAME.finditer(text):
-        for stop in range(s.end() + 1, s.end() + 3):
-            word = text[s.start() : stop]
-            if len(word) == stop - s.start() and re.fullmatch(f"{_HAN}+", word):
-                c = counts.setdefault(word, [0, 0])
-                c[0] += 1
-                c[1] += evidence(text, s.start(), stop) >= 2
+        stops = [stop for stop in (s.end() + 1, s.end() + 2) if stop <= len(text) and re.fullmatch(f"{_HAN}+", text[s.start() : stop])]
+        strong = any(evidence(text, s.start(), stop) >= 2 for stop in stops)
+        for stop in stops:
+            c = counts.setdefault(text[s.start() : stop], [0, 0])
+            c[0] += 1
+            c[1] += strong
     yield from ((w, n, e) for w, (n, e) in counts.items())
 
 

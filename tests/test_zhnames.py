@@ -44,6 +44,13 @@ def test_counter_examples_from_the_corpus(spark):
     assert plain < precision  # without counter-examples ordinary words are taken for names
 
 
+def test_frequent_names_are_no_counter_examples(spark):
+    """Names that occur often, by their first half or with the form of address behind them, stay names."""
+    docs = spark.createDataFrame([(i, "刘芳先生来电。" if i % 4 == 0 else "张伟军先生来电。" if i % 4 < 3 else "请联系张伟。") for i in range(120)], "id long, text string")
+    counter = Z.counter_examples(docs.select("text"))
+    assert counter.count() == 0 and Z.names(docs, counter).count() == 120
+
+
 def test_rejects_what_other_taggers_find(spark):
     counter = spark.createDataFrame([("张开的", 30), ("方法", 25)], "word string, n long")
     found = spark.createDataFrame([(1, "张开"), (2, "方法"), (3, "张开明"), (4, "王伟")], "id int, value string")
