@@ -160,3 +160,15 @@ def test_stream_restores_like_batch(spark, tmp_path):
     assert got == {"a": "x v@w.org and 4111 end", "b": "x v@w.org and 4111 end"}
     batch = channels.whole(spark.createDataFrame(rows, schema)).collect()
     assert {r.text for r in batch} == {text}
+
+
+def test_more_values_than_suffixes(spark):
+    """500 values for 361 suffixes of two letters: the others have longer ones, all differ and all are restored."""
+    docs = spark.range(500).selectExpr("id", "concat('to c', id, '@shop.example.') AS text")
+    known = T.mapping(T.found_values(docs, "text", ["EMAIL"]), "k", size=2)
+    tokens = [r.token for r in known.collect()]
+    assert len(set(tokens)) == len(tokens) == 500 and {len(t) for t in tokens} > {len("{{EMAIL_bb}}")}
+    masked = T.mask(docs, "k", labels=["EMAIL"], known=known, size=2)
+    assert masked.where("text LIKE '%@%'").count() == 0
+    back = T.restore(masked, known, size=2)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
