@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .structure import slices
+
 #: Characters of all words of a part: an automaton has at most as many states (about 40 bytes each).
 PART_CHARS = 2_000_000
 #: Characters of text that go through the lanes together, and of a lane.
@@ -248,7 +250,9 @@ def found(docs: DataFrame, words: DataFrame, text: str = "text", spans: str = "w
             machine = None
             for batch in batches:
                 machine = machine or pickle.loads(shared.value)
-                yield _searched(batch, at, into, machine)
+                for part in slices(batch.column(at), SLICE_CHARS):
+                    # what is found may be many times the text, so it goes out piece by piece
+                    yield _searched(batch.slice(part.offset - batch.column(at).offset, len(part)), at, into, machine)
 
         out = out.mapInArrow(work, kinds)
     return out

@@ -68,3 +68,16 @@ def test_edges_and_slices():
 def test_repeated_keys():
     out = S.index(pa.array(['{"a":1,"b":{"c":2,"c":[3]},"a":4}', '{"a":1,"b":{"a":2}}']), (), (), 24).to_pylist()
     assert [x["repeated"] for x in out[0]] == [True, True, False, True] and not any(x["repeated"] for x in out[1])
+
+
+def test_slices_bound_the_index():
+    """All bodies in order, in slices of bounded bytes, whatever the array's own offset; together they give the index of all."""
+    rng = random.Random(5)
+    bodies = [None if i % 9 == 0 else json.dumps({"messages": [{"role": "user", "content": "x" * rng.randint(0, 90)}]}) for i in range(200)] + ["x" * 5000, "", None]
+    for given_ in (pa.array(bodies, pa.string()), pa.array(["z", *bodies], pa.string()).slice(1)):
+        parts = list(S.slices(given_, 1000))
+        assert len(parts) > 10 and pa.concat_arrays(parts).to_pylist() == bodies
+        assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 1000 for p in parts)
+        walk = lambda a: S.index(a, J.BUSINESS_KEYS, J.DEFINITION_KEYS, J.MAX_DEPTH).to_pylist()
+        assert [x for p in parts for x in walk(p)] == walk(given_)
+    assert [len(p) for p in S.slices(pa.array([], pa.string()))] == [0]
