@@ -33,8 +33,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 on five-word shingles) the document with the smallest doc_id; rows without one stay."""
-    return _unpacked(simhash.first_of_each(_carried(docs), simhash.similar_documents(docs, shingle_words=5, threshold=0.8)), docs.columns)
+    """Of each group of near-duplicates the document with the smallest doc_id; rows without one stay.
+
+    Near-duplicates are those of op2: fingerprints of four-word shingles within 4 bits, by
+    pigeonring. Of what they leave, documents with a similarity of 0.8 on five-word shingles are
+    near-duplicates too, which is about 10 bits and too wide for fingerprints.
+    """
+    left = written(simhash.first_of_each(_carried(docs), simhash.fingerprint_classes(docs)), "fingerprinted")
+    return _unpacked(simhash.first_of_each(left, simhash.similar_documents(left, shingle_words=5, threshold=0.8)), docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,6 +178,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, hot_bucket: int = H
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_classes(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
+    """(doc_id, text_hash, component_id, component_key) as similar_documents() has them, of near_duplicates(): fingerprints of at most 4 differing bits. Null doc_ids take no part."""
+    each = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    out = near_duplicates(docs.where("doc_id IS NOT NULL").select(each.alias("doc_id"), "text"), shingle_words)
+    return out.select("doc_id.*", F.col("component_id.doc_id").alias("component_id"), F.col("component_id").alias("component_key"))
+
+
 #: Candidates for similar_documents(): the bands of MinHashes of shingles that find a pair at the threshold with this recall.
 BAND_RECALL, MOST_HASHES = 0.9995, 64
 
@@ -259,7 +266,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs with one row for each component of similar_documents(): that of the smallest doc_id (of its texts, of the smallest hash). Rows without a doc_id stay."""
+    """docs with one row for each component of these classes: that of the smallest doc_id (of its texts, of the smallest hash). Rows without a doc_id stay."""
     first = classes.groupBy("component_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     kept = hashed.join(first, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)

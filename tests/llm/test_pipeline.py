@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quietlake.llm import simhash
 
 from .helpers import PROSE, documents, empty
 
@@ -40,6 +41,23 @@ def test_stages(spark, docs):
     assert {r.doc_id for r in pieces} == set(masked)
 
 
+def test_near_duplicates_by_fingerprint(spark):
+    """Documents whose fingerprints differ in at most 4 bits are one, also below the similarity of the second step; others stay."""
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows = []
+    while len(rows) < 6:
+        a = prose(120)
+        b = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(a)]
+        apart = bin(simhash.fingerprint(" ".join(a), 4) ^ simhash.fingerprint(" ".join(b), 4)).count("1")
+        if apart <= 4 and len(shingles(a) & shingles(b)) < 0.8 * len(shingles(a) | shingles(b)):
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    rows += [(50 + i, " ".join(prose(120))) for i in range(5)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), None)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 50, 51, 52, 53, 54]
+
+
 def test_columns_with_the_operators_own_names(spark, docs):
     """All extra columns come through every stage with their values, whatever they are called."""
     names = ["score", "languages", "lang_pred", "_hash", "_cuts", "_uid", "_lo", "_h", "base", "found", "spans", "document", "key", "fp", "text_hash", "keys", "a b.c", "_text", "_0"]
