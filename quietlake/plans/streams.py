@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -19,6 +20,17 @@ from .tables import load
 from .traffic import LOG
 
 
+#: Micro-batches of a stream over files, and files of one for small inputs. Each batch opens the state of all its sessions, so
+#: batches must not become more as the input grows.
+BATCHES, FILES = 8, 3
+
+
+def _arriving(spark, files):
+    """The files of a written table as a stream of a bounded number of micro-batches."""
+    some = max(FILES, math.ceil(len(files.inputFiles()) / BATCHES))
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", some).parquet(files._quietlake_path)
+
+
 def _stream(spark, sf_dir):
     schema = load(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -43,9 +55,9 @@ def stream_restored(spark, sf_dir):
     text = F.concat(F.lit("Reply to "), token, F.lit(" or {{EMAIL_zzzzzz}}{{"), F.coalesce("text", F.lit("")), F.lit(" "), token)
     one = t.select(F.col("conv_id").cast("string").alias("sid"), F.struct(F.col("turn").cast("string").alias("channel"), text.alias("text")).alias("c"), F.struct(token.alias("token"), value.alias("value")).alias("i"))
     answers = one.groupBy("sid").agg(F.collect_list("c").alias("channels"), F.collect_list("i").alias("issued")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    rows = R.session_rows(answers, (1 + F.pmod(F.crc32("sid"), F.lit(9))).cast("int")).repartition("seq")
+    rows = R.session_rows(answers, (1 + F.pmod(F.crc32("sid"), F.lit(9))).cast("int")).repartition("seq", "sid")
     files = written(rows, "chunks")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    stream = _arriving(spark, files)
     out = S.drained(R.restored(stream), "restored", "append")
     per = out.groupBy("sid", "channel").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
     whole = F.array_join(F.transform("p", lambda x: x["text"]), "")
@@ -59,7 +71,7 @@ def rollups_incremental(spark, sf_dir):
     path = f"{shared_dir(spark)}/quietlake-rollups-{uuid.uuid4().hex}"
     mark = U.backfilled(log.where(F.col("id") <= half), path, "unresolved")
     files = written(log.repartition("sid"), "log")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path).where(F.col("id") > mark)
+    stream = _arriving(spark, files).where(F.col("id") > mark)
     run = U.kept_current(stream, path, "events", "unresolved", compact_after=2).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return U.current(spark, path)
@@ -72,8 +84,8 @@ def stream_lines(spark, sf_dir):
     pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
     each = d.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("string").alias("sid"), F.size(pieces).alias("size"), F.posexplode(pieces).alias("seq", "delta"))
     rows = each.select("sid", F.lit("").alias("channel"), F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("size") - 1).alias("final"))
-    files = written(rows.repartition("seq"), "pieces")
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    files = written(rows.repartition("seq", "sid"), "pieces")
+    stream = _arriving(spark, files)
     out = S.drained(G.assembled(stream, G.lines), "lines", "append")
     return out.groupBy(F.col("sid").cast("long").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
 
@@ -92,7 +104,7 @@ def writer_outcomes(spark, sf_dir):
     rows = e.select(F.explode(F.array_repeat(text, F.when(i % 5 == 0, 2).otherwise(1))).alias("value"), i.alias("event_id"))
     files = written(rows.repartition("event_id").select("value"), "texts")
     path = f"{shared_dir(spark)}/quietlake-writer-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 3).parquet(files._quietlake_path)
+    stream = _arriving(spark, files)
     cutoff = e.agg(F.date_add(F.to_date(F.min("ts")), 3)).first()[0]
     how = {"cutoff": F.lit(cutoff).cast("timestamp"), "cuts": {"evidence": 300}}
     V.kept_log(stream, path, "events", _EVENT, ("id", "ts", "type"), **how).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
