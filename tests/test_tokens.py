@@ -165,7 +165,7 @@ def test_stream_restores_like_batch(spark, tmp_path):
 def test_more_values_than_suffixes(spark):
     """500 values for 361 suffixes of two letters: the others have longer ones, all differ and all are restored."""
     docs = spark.range(500).selectExpr("id", "concat('to c', id, '@shop.example.') AS text")
-    known = T.mapping(T.found_values(docs, "text", ["EMAIL"]), "k", size=2)
+    known = T.mapping(T.found_values(docs, "text", ["EMAIL"]), "k", size=2, longest=6)
     tokens = [r.token for r in known.collect()]
     assert len(set(tokens)) == len(tokens) == 500 and {len(t) for t in tokens} > {len("{{EMAIL_bb}}")}
     masked = T.mask(docs, "k", labels=["EMAIL"], known=known, size=2)
