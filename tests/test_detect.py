@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from quietlake.functions import detect as D
 from quietlake.functions import names, normalize
 from quietlake.functions import validators as V
 from quietlake.operators import spans
+from quietlake.operators import tokens as T
+from quietlake.plans import sqlparts
 
 # put together at run time, so that nothing here looks like a credential to a scanner
 KEY = "AKIA" + "ABCDEFGH" + "IJKLMNOP"
@@ -167,6 +170,37 @@ def test_high_entropy_behind_a_refused_secret(spark):
     assert [(s.label, s.value) for s in df.select(D.detect(F.col("t"), list(D.LABELS)).alias("s")).first().s] == [("HIGHENTROPY", "aB3dE6gH9jK2mN5pQ8sT")]
 
 
+BEHIND = {
+    "a 4028005252517056 27.189.188.194 b": ["4028005252517056", "27.189.188.194"],
+    "4028005252517056-127.189.188.194": ["4028005252517056"],
+    "4028005252517056-27.189.188.194": ["4028005252517056", "27.189.188.194"],
+    "4028 0052 5251 7056 27.189.188.194 192.168.1.7": ["192.168.1.7"],
+    "12 4028 0052 5251 7056 27.189.188.194": ["27.189.188.194"],
+    "2024-11-28 192.168.1.7 up": ["192.168.1.7"],
+    "1234567 10.0.0.1": ["10.0.0.1"],
+    "5 10.0.0.1 6": ["10.0.0.1"],
+    "99 13812345678 10.0.0.1": ["13812345678", "10.0.0.1"],
+    "2024-11-28 1.2.3.4.5": [],
+    "2024-11-28 8.8.300.1": [],
+    "nginx-1.25.3.11 and 1.2.3.4-beta1 and 1.2.3.4-5.6.7.8": [],
+    "4028005252517056.50 and 4028 0052 5251 7056.5.6": ["4028005252517056", "4028 0052 5251 7056"],
+}
+
+
+def test_address_behind_a_number(spark):
+    """Digits do not take the beginning of an address with them, a version is still none, SQL says the same, and masking again changes nothing."""
+    df = spark.createDataFrame(list(enumerate(BEHIND)), "doc_id int, text string")
+    once = df.select("text", D.detect(F.col("text"), sqlparts.LABELS)["value"].alias("v"), D.replaced(F.col("text"), lambda c: T.token(c["label"], c["value"], "k"), sqlparts.LABELS).alias("once"))
+    rows = once.withColumn("again", D.replaced(F.col("once"), lambda c: T.token(c["label"], c["value"], "k"), sqlparts.LABELS)).collect()
+    assert {r.text: r.v for r in rows} == BEHIND
+    assert [r.again for r in rows] == [r.once for r in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(BEHIND)))
+    want = con.sql(f"WITH {sqlparts.found()} SELECT doc_id, value FROM hits ORDER BY doc_id, nth").fetchall()
+    assert want == [(i, v) for i, vs in enumerate(BEHIND.values()) for v in vs]
+
+
 def test_spans(spark):
     schema = "t string, s array<struct<start:int,stop:int,token:string>>"
     df = spark.createDataFrame([("abcdefgh", [(4, 6, "Y"), (0, 3, "X"), (0, 2, "Z"), (2, 5, "no")]), ("abc", []), ("éa🙂b", [(2, 3, "#")])], schema)
