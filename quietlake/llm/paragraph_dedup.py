@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, table, written
+from .common import components, discard, map_texts, table, written
 
 SHINGLE, MIN_WORDS, SEED, WINNOW = 5, 24, 16, 10
 THRESHOLD, RECALL = 0.8, 0.995
@@ -210,7 +210,10 @@ def similar(docs: DataFrame, paragraphs: DataFrame, block: int = BLOCK) -> DataF
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(full, "key").select("key", "content", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "collisions")
     places = paragraphs.select("content", "doc_id", "start", "words").join(met.select("content").distinct(), "content", "left_semi")
-    return similar_in_blocks(met, written(_with_shingles(docs, places), "shingles"))
+    sets = written(_with_shingles(docs, places), "shingles")
+    edges = written(similar_in_blocks(met, sets), "similar")
+    discard(met), discard(sets)
+    return edges
 
 
 def similar_in_blocks(met: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -370,7 +373,7 @@ def grown(docs: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> Da
     shared = _places(seeds).where("first.doc_id < last").select("content", "first")
     at = seeds.select("doc_id", "start", "content").join(shared, "content").where("doc_id <> first.doc_id OR start <> first.start")
     pairs = at.groupBy("doc_id", F.col("first.doc_id").alias("head")).agg(F.collect_set(F.struct("start", F.col("first.start").alias("other"))).alias("seeds"))
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs")  # seeds are not read from here on
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     heads = texts.join(pairs.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("head"), F.col("text").alias("other"))
     both = pairs.join(heads, "head").join(texts, "doc_id").select("doc_id", "head", "seeds", "other", "text")
@@ -456,6 +459,7 @@ def _repeats(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     rooted = roots.select(F.col("node").alias("content"), "root").union(roots.select(F.col("root").alias("content"), "root").distinct())
     members = contents.join(rooted.distinct(), "content", "left").where("root IS NOT NULL OR first.doc_id < last")
     members = written(members.withColumn("root", F.coalesce("root", "content")), "members")
+    discard(lines), discard(roots)
     classes = members.groupBy("root").agg(F.min("first").alias("head"), F.max("last").alias("last")).where("head.doc_id < last")
     kept = members.join(classes.select("root", "head"), "root").select("content", "head")
     each = lines_found.select("doc_id", "start", "words", "content").join(kept, "content")
@@ -463,7 +467,10 @@ def _repeats(docs: DataFrame, threshold: float, block: int) -> DataFrame:
         "doc_id", "start", (F.col("start") + F.col("words")).alias("stop"), F.col("head.doc_id").alias("class_doc"),
         ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("keep"),
     )
-    return _joined(each.unionByName(grown(docs, found.where("keys IS NULL"), threshold)))
+    each = written(each, "lines")
+    grew = grown(docs, found.where("keys IS NULL"), threshold)
+    discard(members), discard(found)
+    return _joined(each.unionByName(grew))
 
 
 def _joined(spans: DataFrame) -> DataFrame:
@@ -479,7 +486,8 @@ def _joined(spans: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """docs without the passages that an earlier document has, and without documents of which nothing is left; rows without a doc_id stay as they are."""
     own, names = identified(docs)
-    out = without(own, _repeats(own.select("doc_id", "text"), threshold, block).where("NOT keep"))
+    removals = written(_repeats(own.select("doc_id", "text"), threshold, block).where("NOT keep"), "removals")
+    out = without(own, removals)
     if names is not None:
         out = out.join(names.select(F.col("uid").alias("doc_id"), F.col("doc_id").alias("_name")), "doc_id", "left").withColumn("doc_id", F.coalesce("_name", "doc_id"))
     kind = docs.schema["doc_id"].dataType

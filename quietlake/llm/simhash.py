@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, table, written
+from .common import components, discard, map_texts, table, written
 from .paragraph_dedup import _MULTIPLY, _STEP, _XOR, _mix, similar_in_blocks, tuned_bands
 
 BITS, SEGMENTS, WIDTH, DISTANCE = 64, 16, 4, 4
@@ -258,7 +258,9 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float
     wanted = texts.join(met.select("content").distinct(), "content", "left_semi").select("content", "first.doc_id", "first.text_hash")
     members = docs.join(wanted, ["doc_id", "text_hash"]).select("content", "text").dropDuplicates(["content"])
     sets = written(map_texts(members, shingle, "content long, set array<long>"), "shingles")
-    roots = components(similar_in_blocks(met, sets, threshold)).withColumnRenamed("node", "content")
+    edges = written(similar_in_blocks(met, sets, threshold), "similar")
+    discard(met), discard(sets)
+    roots = components(edges).withColumnRenamed("node", "content")
     rooted = texts.join(roots, "content", "left").select("content", F.coalesce("root", "content").alias("root"), F.col("first.doc_id").alias("least"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(names, "root").select("content", "root", "component_id")

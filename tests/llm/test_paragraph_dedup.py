@@ -1,9 +1,14 @@
+import glob
+import os
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quietlake.llm import paragraph_dedup as P
+from quietlake.session import CLEANUP, shared_dir, written
 
 from .helpers import awkward, documents, empty
 
@@ -229,3 +234,22 @@ def test_lines_against_all_pairs(spark):
             at += size
     # lines of stretches that several earlier passages hold go too
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
+
+
+def test_disk_is_given_back(spark):
+    """The shuffle files of a written table go when it is written, its session's setting stays; of the passages' tables only those that the result reads are left."""
+    files = lambda: set(glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir')}/**/shuffle_*", recursive=True))
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    out = written(spark.range(2000).groupBy((F.col("id") % 100).alias("k")).agg(F.collect_list("id").alias("ids")).repartition(3, "k"), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 100 and spark.conf.get(CLEANUP, None) == setting
+    rng = random.Random(7)
+    passage = text(rng, 60)
+    tables = set(os.listdir(shared_dir(spark)))
+    left = P.deduplicated(documents(spark, [(1, text(rng, 40) + "\n" + passage), (2, passage + "\n" + text(rng, 40)), (3, text(rng, 50))]))
+    made = {t.split("-")[1] for t in set(os.listdir(shared_dir(spark))) - tables}
+    assert "removals" in made and not made & {"units", "paragraphs", "collisions", "shingles", "members"}
+    assert {r.doc_id: passage in r.text for r in left.collect()} == {1: True, 2: False, 3: False}
