@@ -129,16 +129,22 @@ def dot_env(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     lines = texts.select(id_column, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("line", "raw"))
     row = F.trim(F.regexp_replace("raw", r"^\s*export\s+", ""))
     body = lines.withColumn("row", row).where((F.col("row") != "") & ~F.col("row").startswith("#"))
-    key = F.regexp_extract("row", r"^([A-Za-z_][A-Za-z0-9_.]*)\s*=", 1)
-    rest = F.regexp_extract("row", r"^[^=]*=\s*([\s\S]*)$", 1)
-    double = F.regexp_extract(rest, r'^"((?:[^"\\]|\\.)*)"', 1)
-    single = F.regexp_extract(rest, r"^'([^']*)'", 1)
-    escaped = F.replace(F.replace(F.replace(double, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    # one step for each: a column that is written out where it is used is searched for again at every use
+    key, rest = F.regexp_extract("row", r"^([A-Za-z_][A-Za-z0-9_.]*)\s*=", 1), F.regexp_extract("row", r"^[^=]*=\s*([\s\S]*)$", 1)
+    halves = body.select(id_column, "line", key.alias("key"), rest.alias("rest"))
+    rest, double = F.col("rest"), r'^"((?:[^"\\]|\\.)*)"'
+    escaped = F.regexp_extract(rest, double, 1)
+    for a, b in (("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
     bare = F.trim(F.regexp_replace(rest, r"(?:^|\s)#.*$", ""))
-    value = F.when(rest.startswith('"'), escaped).when(rest.startswith("'"), single).otherwise(bare)
-    open_ = (rest.startswith('"') & ~rest.rlike(r'^"(?:[^"\\]|\\.)*"')) | (rest.startswith("'") & ~rest.rlike(r"^'[^']*'"))
-    reason = F.when(key == "", "no_key").when(open_, "open_quote").when(value == "", "empty")
-    parsed = body.select(id_column, F.when(key != "", key).alias("key"), F.when(reason.isNull(), value).alias("value"), (F.col("line") + 1).alias("line"), reason.alias("reason"))
+    value = F.when(rest.startswith('"'), escaped).when(rest.startswith("'"), F.regexp_extract(rest, r"^'([^']*)'", 1)).otherwise(bare)
+    open_ = (rest.startswith('"') & ~rest.rlike(double)) | (rest.startswith("'") & ~rest.rlike(r"^'[^']*'"))
+    read = halves.select(id_column, "line", "key", value.alias("value"), open_.alias("open"))
+    reason = F.when(F.col("key") == "", "no_key").when(F.col("open"), "open_quote").when(F.col("value") == "", "empty")
+    said = read.select(id_column, "line", "key", "value", reason.alias("reason"))
+    parsed = said.select(
+        id_column, F.when(F.col("key") != "", F.col("key")).alias("key"), F.when(F.col("reason").isNull(), F.col("value")).alias("value"), (F.col("line") + 1).alias("line"), "reason"
+    )
     later = F.row_number().over(Window.partitionBy(id_column, "key", F.col("reason").isNull()).orderBy(F.desc("line")))
     named = parsed.withColumn("nth", later)
     skip = F.when(F.col("reason").isNull() & (F.col("nth") > 1), "overridden").otherwise(F.col("reason"))
