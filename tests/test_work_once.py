@@ -22,3 +22,9 @@ def test_a_masked_text_is_searched_once(spark):
     out = df.select(D.replaced(F.col("text"), lambda c: F.lit("*"), ["EMAIL"]).alias("text"))
     assert plan(out).count("regexp_replace(text") == 1
     assert [r[0] for r in out.collect()] == ["to *", None, "", "none"]
+
+
+def test_a_quoted_string_is_written_once(spark):
+    df = spark.createDataFrame([('a"\n',)], "v string")
+    out = df.select(T.json_escaped(F.col("v")).alias("v"))
+    assert plan(out).count("StructsToJsonEvaluator(") == 1 and out.first()[0] == '\\"'.join(["a", "\\n"])
