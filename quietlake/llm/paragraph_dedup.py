@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_texts, table, written
+from .common import components, discard, map_texts, release, table, written
 
 SHINGLE, MIN_WORDS, SEED, WINNOW = 5, 24, 16, 10
 THRESHOLD, RECALL = 0.8, 0.995
 #: Distinct contents of one band that are compared in one task; fuller bands are split into blocks.
 BLOCK = 1024
+#: Shingles, of two sets or more, and ids that are looked at in one go: bounds the arrays of a block.
+COLUMNS, STRIPE = 2048, 128
 #: Documents whose words a task keeps while it compares pairs.
 KEPT = 32
 
@@ -162,12 +164,12 @@ def forest(ids: list[int], sets: list[np.ndarray], threshold: float = THRESHOLD)
     col = column[inverse]
     owner, col = owner[col >= 0], col[col >= 0]
     common = np.zeros((n, n), np.float32)
-    for at in range(0, int((df > 1).sum()), 4096):
-        part = (col >= at) & (col < at + 4096)
-        x = np.zeros((n, 4096), np.float32)
+    x = np.zeros((n, COLUMNS), np.float32)
+    for at in range(0, int((df > 1).sum()), COLUMNS):
+        part = (col >= at) & (col < at + COLUMNS)
+        x[:] = 0
         x[owner[part], col[part] - at] = 1
         common += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - common
     parent = list(range(n))
 
     def find(i: int) -> int:
@@ -176,11 +178,15 @@ def forest(ids: list[int], sets: list[np.ndarray], threshold: float = THRESHOLD)
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(common >= threshold * union - 1e-6, 1))):
-        a, b = find(int(i)), find(int(j))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((ids[int(i)], ids[int(j)]))
+    for k in range(0, n, STRIPE):
+        mine = common[k : k + STRIPE]
+        union = sizes[k : k + STRIPE, None] + sizes[None, :] - mine
+        rows, columns = np.nonzero(np.triu(mine >= threshold * union - 1e-6, k + 1))
+        for i, j in zip((rows + k).tolist(), columns.tolist()):
+            a, b = find(i), find(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
     return out
 
 
@@ -254,6 +260,7 @@ def similar_in_blocks(met: DataFrame, sets: DataFrame, threshold: float = THRESH
             u.clear(), v.clear()
         flush()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        release()
 
     ordered = members.select("task", "content", "set").repartition("task").sortWithinPartitions("task", "content")
     return ordered.mapInArrow(run, "u long, v long").distinct()
