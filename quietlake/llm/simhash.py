@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_texts, table, written
+from .common import components, discard, map_texts, shuffled, table, written
 from .paragraph_dedup import _MULTIPLY, _STEP, _XOR, _mix, similar_in_blocks, tuned_bands
 
 BITS, SEGMENTS, WIDTH, DISTANCE = 64, 16, 4, 4
@@ -146,7 +146,7 @@ def links(nodes: DataFrame, hot_bucket: int = HOT_BUCKET, sets: tuple[tuple[int,
     keys = _keys(nodes, sets or keys_for(nodes.count()))
     full = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket).select("key"), "hotkeys")
     hot = bool(full.take(1))
-    cold = keys.join(full, "key", "left_anti") if hot else keys
+    cold = shuffled(keys.join(full, "key", "left_anti") if hot else keys)
     a, b = cold.alias("a"), cold.select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2")).alias("b")
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("rep") > F.col("rep2")) & _chain(x, F.col("start"))
@@ -156,7 +156,7 @@ def links(nodes: DataFrame, hot_bucket: int = HOT_BUCKET, sets: tuple[tuple[int,
         return pairs
     points = _around(keys.join(full, "key", "left_semi").select("fp", "rep").distinct())
     least = points.groupBy("point").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = points.join(least, "point").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    shared = shuffled(points).join(least, "point").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     return pairs.union(shared)
 
 

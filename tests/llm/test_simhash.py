@@ -199,3 +199,12 @@ def test_band_recall():
         s = rng.integers(1 << 63, size=300, dtype=np.uint64)
         found += bool((simhash.band_keys(s, bands, rows) == simhash.band_keys(s[:240], bands, rows)).any())
     assert found >= 1996
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_keys_and_points_are_not_broadcast(spark, hot):
+    """Spark takes the many keys and points of a fingerprint for one row; sent to all executors they filled the driver."""
+    fps = [1, 2, 3, 2**40, 2**40 + 1]
+    plan = simhash.links(simhash.written(_nodes(spark, fps), "nodes"), hot)._jdf.queryExecution().sparkPlan().toString()
+    wide = [line for line in plan.splitlines() if "Join" in line and ("rep" in line or "point" in line)]
+    assert len(wide) == (1 if hot == 1000 else 2) and all("SortMergeJoin" in line for line in wide), plan
