@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_texts, release, table, written
+from .common import components, discard, map_texts, release, shuffled, table, written
 
 SHINGLE, MIN_WORDS, SEED, WINNOW = 5, 24, 16, 10
 THRESHOLD, RECALL = 0.8, 0.995
@@ -194,7 +194,7 @@ def _with_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(content, set): the distinct shingle hashes of each content, from the document at its place."""
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("content", "start", "words")).alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    both = wanted.join(texts, "doc_id").select("text", "wanted")
+    both = wanted.join(shuffled(texts), "doc_id").select("text", "wanted")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, sets = [], []
@@ -214,7 +214,7 @@ def similar(docs: DataFrame, paragraphs: DataFrame, block: int = BLOCK) -> DataF
     """Edges (u, v) between contents of paragraphs (content, doc_id, start, words, keys; contents distinct)."""
     keys = paragraphs.select("content", F.explode("keys").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keys.join(full, "key").select("key", "content", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "collisions")
+    met = written(shuffled(keys).join(full, "key").select("key", "content", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "collisions")
     places = paragraphs.select("content", "doc_id", "start", "words").join(met.select("content").distinct(), "content", "left_semi")
     sets = written(_with_shingles(docs, places), "shingles")
     edges = written(similar_in_blocks(met, sets), "similar")
@@ -232,7 +232,7 @@ def similar_in_blocks(met: DataFrame, sets: DataFrame, threshold: float = THRESH
     # in a band of one block only its own; else every pair of blocks has a task that sees both
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
     members = met.select("key", "content", F.explode(pairs).alias("p")).select("content", F.xxhash64("key", "p.a", "p.b").alias("task"))
-    members = members.join(sets, "content")
+    members = shuffled(members).join(sets, "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -383,7 +383,7 @@ def grown(docs: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> Da
     pairs = written(pairs, "pairs")  # seeds are not read from here on
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     heads = texts.join(pairs.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("head"), F.col("text").alias("other"))
-    both = pairs.join(heads, "head").join(texts, "doc_id").select("doc_id", "head", "seeds", "other", "text")
+    both = shuffled(pairs).join(heads, "head").join(shuffled(texts), "doc_id").select("doc_id", "head", "seeds", "other", "text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int, bool]] = []

@@ -247,7 +247,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float
     full = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), *who).where("n > 1")
     once = full.groupBy("n", "who", "who2").agg(F.min("key").alias("key"), F.min("shingles").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    met = written(keys.join(once, "key").select("key", "content", blocks), "collisions")
+    met = written(shuffled(keys).join(once, "key").select("key", "content", blocks), "collisions")
 
     def shingle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), shingle_words).view(np.int64) for t in batch.column(1)]
@@ -256,7 +256,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, threshold: float
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["content", "set"])
 
     wanted = texts.join(met.select("content").distinct(), "content", "left_semi").select("content", "first.doc_id", "first.text_hash")
-    members = docs.join(wanted, ["doc_id", "text_hash"]).select("content", "text").dropDuplicates(["content"])
+    members = shuffled(docs).join(wanted, ["doc_id", "text_hash"]).select("content", "text").dropDuplicates(["content"])
     sets = written(map_texts(members, shingle, "content long, set array<long>"), "shingles")
     edges = written(similar_in_blocks(met, sets, threshold), "similar")
     discard(met), discard(sets)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quietlake.llm import simhash
+from quietlake.llm import paragraph_dedup, simhash
+from quietlake.session import written
 
 from .helpers import PROSE, documents, empty
 
@@ -84,3 +85,21 @@ def test_empty_table(spark):
 def test_run(spark, data):
     rows = corpus_pipeline.run(spark, data).collect()
     assert rows and sum(r.length for r in rows) == sum(len(r.ids) for r in rows)
+
+
+@pytest.mark.parametrize("module, run", [(simhash, lambda d: simhash.similar_documents(d)), (paragraph_dedup, lambda d: paragraph_dedup.deduplicated(d))])
+def test_what_is_made_of_a_row_is_not_broadcast(spark, docs, monkeypatch, module, run):
+    """Band keys, blocks, pairs and texts, all of which Spark takes for less than they are, go to no driver."""
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, label)
+
+    given = written(docs[0], "given")
+    monkeypatch.setattr(module, "written", seen)
+    run(given).count()
+    for label in plans.keys() & {"collisions", "shingles", "similar", "removals"}:
+        joins = [line for line in plans[label].splitlines() if "Join" in line and "LeftSemi" not in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), (label, plans[label])
+    assert {"collisions", "shingles", "similar"} <= plans.keys()
