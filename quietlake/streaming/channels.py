@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +40,59 @@ def release_behind(pending: str, delta: str, final: bool, cap: int = CAP) -> tup
     return text[:at], text[at:]
 
 
+#: Numbers whose rows wait in one entry, and rows that wait without one.
+BLOCK = 128
+Row = str | list | tuple
+
+
+class Waiting:
+    """Rows of a stream that came before an earlier one: seq -> row.
+
+    A call to a state takes far longer than a row. So up to BLOCK rows stand as JSON in `near`, a
+    text that the caller keeps with its own state; more of them in a map state (block long -> rows
+    string), an entry for the rows of BLOCK numbers. `blocks` are those that have one.
+    """
+
+    def __init__(self, state, blocks: Iterable[int] = (), near: str = ""):
+        self.state, self.stored = state, set(blocks)
+        self.read: dict[int, dict[int, Row]] = {}
+        for seq, row in json.loads(near) if near else ():
+            self.read.setdefault(seq // BLOCK, {})[seq] = row
+
+    def _rows(self, block: int) -> dict[int, Row]:
+        if block not in self.read:
+            found = self.state.getValue((block,)) if block in self.stored else None
+            self.read[block] = dict(json.loads(found[0])) if found else {}
+        return self.read[block]
+
+    def get(self, seq: int) -> Row | None:
+        block = seq // BLOCK
+        return self._rows(block).get(seq) if block in self.read or block in self.stored else None
+
+    def rows(self) -> list[tuple[int, Row]]:
+        """All that wait, by number."""
+        return sorted(r for b in self.stored | self.read.keys() for r in self._rows(b).items())
+
+    def store(self, arrived: dict[int, Row], following: int) -> tuple[list[int], str]:
+        """Keeps what has arrived and forgets what is before `following`; blocks and near from now on."""
+        for seq, row in arrived.items():
+            self._rows(seq // BLOCK)[seq] = row
+        for block in [b for b in self.stored if b < following // BLOCK]:
+            self.read[block] = {}
+        left = {b: sorted(r for r in rows.items() if r[0] >= following) for b, rows in self.read.items()}
+        if not self.stored and sum(map(len, left.values())) <= BLOCK:
+            near = sorted(r for rows in left.values() for r in rows)
+            return [], json.dumps(near, ensure_ascii=False) if near else ""
+        for block, rows in left.items():
+            if rows:
+                self.state.updateValue((block,), (json.dumps(rows, ensure_ascii=False),))
+                self.stored.add(block)
+            elif block in self.stored:
+                self.state.removeKey((block,))
+                self.stored.discard(block)
+        return sorted(self.stored), ""
+
+
 def _handler(cut: Callable[[str, str, bool], tuple[str, str]], idle_seconds: int | None):
     def ordered(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Chunks in order of seq: later ones wait until the missing one has come, or until the channel is idle for too long."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietlake.streaming import restoration as R
+from quietlake.streaming.channels import Waiting
 
 TOKEN, VALUE = "{{EMAIL_bcdfgh}}", "v@w.org"
 TEXT = f"a {TOKEN} b {{x}} {{{{no {TOKEN}{{{{EMAIL_"
@@ -130,3 +131,41 @@ def test_session_rows(spark):
     df = spark.createDataFrame([("s", at(), [("a", "xyz"), ("b", "")], [(TOKEN, VALUE)])], "sid string, ts timestamp, channels array<struct<channel:string,text:string>>, issued array<struct<token:string,value:string>>")
     got = [(r.seq, r.kind, r.channel, r.delta) for r in R.session_rows(df, F.lit(2)).orderBy("seq").collect()]
     assert got == [(0, "issue", "", None), (1, "delta", "a", "xy"), (2, "delta", "a", "z"), (3, "end", "", None)]
+
+
+def test_rows_that_wait_share_entries(stream):
+    """A thousand pieces that come before the first one are a few entries of the state, and nothing is lost or left."""
+    rows = [(("s", i, "delta", "c", str(i % 10)), at()) for i in range(1000)] + [(("s", 1000, "end"), at())]
+    early, first = rows[:0:-1], rows[:1]
+    out, progress = stream([early[1:]])
+    assert out == [] and 1 < rows_left(progress) < 20
+    out, progress = stream([early[:400], early[300:700], early[700:], first])
+    assert texts(out) == {("s", "c"): "0123456789" * 100} and rows_left(progress) == 0
+
+
+def test_waiting_in_any_order():
+    class Kept(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+        removeKey = dict.pop
+
+    for seed, n in ((1, 50), (2, 100), (3, 1000)):
+        rng, state, blocks, near, following, got = random.Random(seed), Kept(), [], "", 0, []
+        order = rng.sample(range(n), n)
+        for k in range(0, n, 7):
+            waiting = Waiting(state, blocks, near)
+            arrived = {i: [f"row {i}\n", None] for i in [*order[k : k + 7], *order[:2]] if i >= following}  # some come again
+            while (row := arrived.pop(following, None) or waiting.get(following)) is not None:
+                got.append(row)
+                following += 1
+            blocks, near = waiting.store(arrived, following)
+            assert len(state) == len(blocks) <= n // 128 + 1 and {(b,) for b in blocks} == set(state)
+        assert got == [[f"row {i}\n", None] for i in range(n)] and not near
+        assert {b for (b,) in state} <= {n // 128}  # what came again in the last block
+
+
+@pytest.mark.parametrize("size", [1, 3, 997])
+def test_chunked(spark, size):
+    values = ["", None, "a", "ab\r\n c" * 300, "😀x日" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", R.chunked(F.col("t"), F.lit(size)).alias("c")).collect()}
+    assert got == {i: [(t or "")[k : k + size] for k in range(0, len(t or ""), size)] for i, t in enumerate(values)}
