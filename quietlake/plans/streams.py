@@ -81,8 +81,9 @@ def stream_lines(spark, sf_dir):
     """Documents as channels of pieces of 997 characters, put together as lines: their number and characters by document."""
     d = load(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     pieces = R.chunked(F.coalesce("text", F.lit("")), F.lit(997))
-    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
-    each = d.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("string").alias("sid"), F.size(pieces).alias("size"), F.posexplode(pieces).alias("seq", "delta"))
+    cut = d.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("string").alias("sid"), pieces.alias("pieces"))
+    cut = cut.select("sid", F.greatest(F.size("pieces"), F.lit(1)).alias("size"), "pieces")  # beside an explode it would be counted for each piece
+    each = cut.select("sid", "size", F.posexplode(F.when(F.size("pieces") == 0, F.array(F.lit(""))).otherwise(F.col("pieces"))).alias("seq", "delta"))
     rows = each.select("sid", F.lit("").alias("channel"), F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("size") - 1).alias("final"))
     files = written(rows.repartition("seq", "sid"), "pieces")
     stream = _arriving(spark, files)

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.audit import COMMANDS, NOTICE
+from .channels import Waiting
 from .restoration import PROVIDER, ROCKS
 
 #: Rows of a channel's stream, in the order of seq (0, 1, …); what a cutter makes of them.
@@ -104,44 +105,45 @@ def commands(rest: str, text: str, final: bool, channel: str = "", cap: int = CA
     return out, "T" + (whole[-1:] or "\0")
 
 
+_OUT = Row("sid", "channel", "n", "kind", "text")
+
+
 class Assembled(StatefulProcessor):
-    """State of a channel: at (next seq, next record, rest) and waiting (seq -> piece)."""
+    """State of a channel: at (next seq, next record, rest, what waits) and waiting (pieces in blocks)."""
 
     def __init__(self, cut: Callable[..., Cut], cap: int):
         self.cut, self.cap = cut, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "following long, n long, rest string")
-        self.waiting = handle.getMapState("waiting", "seq long", "delta string, final boolean")
+        self.at = handle.getValueState("at", "following long, n long, rest string, blocks array<long>, near string")
+        self.waiting = handle.getMapState("waiting", "block long", "rows string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        following, n, rest = self.at.get() if self.at.exists() else (0, 0, "")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.at.get()
+        following, n, rest, blocks, near = known or (0, 0, "", (), "")
         arrived: dict[int, tuple[str, bool]] = {}
-        for part in rows:
-            for r in part.itertuples(index=False):
-                if r.seq >= following:
-                    arrived.setdefault(int(r.seq), ("" if pd.isna(r.delta) else r.delta, bool(r.final)))
-        out, ended = [], False
+        for _, _, seq, delta, final in rows:
+            if seq >= following:
+                arrived.setdefault(seq, (delta, final))
+        waiting = Waiting(self.waiting, blocks, near)
+        ended = False
         while not ended:
-            if following not in arrived and self.waiting.containsKey((following,)):
-                arrived[following] = tuple(self.waiting.getValue((following,)))
-                self.waiting.removeKey((following,))
-            if following not in arrived:
+            piece = arrived.pop(following, None) or waiting.get(following)
+            if piece is None:
                 break
-            delta, ended = arrived.pop(following)
+            delta, ended = piece
             records, rest = self.cut(rest, delta, ended, key[1] or "", self.cap)
             for kind, text in records:
-                out.append((*key, n, kind, text))
+                yield _OUT(*key, n, kind, text)
                 n += 1
             following += 1
-        if ended:
+        if not ended:
+            self.at.update((following, n, rest, *waiting.store(arrived, following)))
+            return
+        if known:
             self.at.clear()
+        if blocks:
             self.waiting.clear()
-        else:
-            for seq, piece in arrived.items():
-                self.waiting.updateValue((seq,), piece)
-            self.at.update((following, n, rest))
-        yield pd.DataFrame(out, columns=["sid", "channel", "n", "kind", "text"])
 
     def close(self) -> None:
         pass
@@ -154,7 +156,8 @@ def assembled(pieces: DataFrame, cut: Callable[..., Cut] = lines, cap: int = CAP
     state goes with its final piece.
     """
     pieces.sparkSession.conf.set(PROVIDER, ROCKS)
-    return pieces.groupBy("sid", "channel").transformWithStateInPandas(Assembled(cut, cap), OUTPUT, "append", "none")
+    pieces = pieces.select("sid", "channel", "seq", F.coalesce("delta", F.lit("")).alias("delta"), F.coalesce("final", F.lit(False)).alias("final"))
+    return pieces.groupBy("sid", "channel").transformWithState(Assembled(cut, cap), OUTPUT, "append", "none")
 
 
 def whole(text: str, cut: Callable[..., Cut], channel: str = "") -> list[tuple[str, str]]:

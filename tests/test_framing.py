@@ -86,3 +86,17 @@ def test_stream_in_batches_and_any_order(spark, tmp_path):
     for r in spark.read.schema(S.OUTPUT).parquet(str(tmp_path / "out")).orderBy("sid", "n").collect():
         got.setdefault(r.sid, []).append((r.kind, r.text))
     assert {s: joined(v) for s, v in got.items()} == {s: v for s, v in want.items() if v}
+
+
+def test_pieces_that_wait_stay_with_the_channel(spark, tmp_path):
+    """Pieces before the first one cost the state no entry of their own."""
+    rows = [(f"s{i}", "", n, f"{n}\n", n == 3) for i in range(10) for n in range(4)]
+    for part in ([r for r in rows if r[2]], rows[::4]):
+        spark.createDataFrame(part, S.INPUT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(S.INPUT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    q = S.assembled(stream).writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == [0, 10]
+    got = spark.read.schema(S.OUTPUT).parquet(str(tmp_path / "out")).orderBy("sid", "n").collect()
+    assert [(r.sid, r.n, r.text) for r in got] == [(f"s{i}", n, str(n)) for i in range(10) for n in range(4)]
