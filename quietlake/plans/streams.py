@@ -23,6 +23,8 @@ from .traffic import LOG
 #: Micro-batches of a stream over files, and files of one for small inputs. Each batch opens the state of all its sessions, so
 #: batches must not become more as the input grows.
 BATCHES, FILES = 8, 3
+#: Characters of an unfinished line: as many as a text may have, of which a line is a part.
+WHOLE = 2**31 - 1
 
 
 def _arriving(spark, files):
@@ -87,7 +89,7 @@ def stream_lines(spark, sf_dir):
     rows = each.select("sid", F.lit("").alias("channel"), F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("size") - 1).alias("final"))
     files = written(rows.repartition("seq", "sid"), "pieces")
     stream = _arriving(spark, files)
-    out = S.drained(G.assembled(stream, G.lines), "lines", "append")
+    out = S.drained(G.assembled(stream, G.lines, cap=WHOLE), "lines", "append")
     return out.groupBy(F.col("sid").cast("long").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quietlake.plans import streams
 from quietlake.streaming import framing as S
 
 NDJSON = '{"a": 1}\r\n\n{"b": "x\\n"}\nbroken {\n{"c": 3}'
@@ -100,3 +101,11 @@ def test_pieces_that_wait_stay_with_the_channel(spark, tmp_path):
     assert sorted(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == [0, 10]
     got = spark.read.schema(S.OUTPUT).parquet(str(tmp_path / "out")).orderBy("sid", "n").collect()
     assert [(r.sid, r.n, r.text) for r in got] == [(f"s{i}", n, str(n)) for i in range(10) for n in range(4)]
+
+
+def test_documents_lines_stay_whole(spark, tmp_path):
+    """A line above the operator's cap counts once, as in the SQL."""
+    rows = [(1, "x" * 70_000 + "\r\ny"), (2, "a\n" + "z" * 65_800)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.lines, r.chars) for r in streams.stream_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 70_001), 2: (2, 65_801)}
